@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_encode
 from .common import shared_dir
+from .minhash import near_duplicates
 from .mixing import mix
 from .quality import quality
 from .sharding import shard_documents
+from .substrings import dedup_substrings, dedup_suffixes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,12 +32,27 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 50 words that start in an earlier document, removed from every document."""
+    return dedup_substrings(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base statistics and the cascade's verdict for every document."""
     out = quality(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicates over all documents."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strings of 100 bytes that start earlier, removed from every document."""
+    return dedup_suffixes(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents appended in eight arrivals, compacted, committed, and read back through the manifest."""
     docs = table(spark, sf_dir, "documents")
@@ -47,7 +64,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_mixing": op2_mixing,
+    "op4_substrings": op4_substrings,
     "op6_quality": op6_quality,
+    "op8_minhash": op8_minhash,
+    "op9_suffixes": op9_suffixes,
     "op10_sharding": op10_sharding,
 }
 
@@ -55,6 +75,24 @@ _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_substrings": rf"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+x AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d)),
+f AS (SELECT h, min(doc_id) AS first FROM x GROUP BY h),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM x JOIN f USING (h) WHERE doc_id > first),
+p AS (SELECT doc_id, w[p] AS word, p FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d)),
+k AS (SELECT p.doc_id, string_agg(word, ' ' ORDER BY p.p) AS kept, count(*) AS n FROM p ANTI JOIN g ON p.doc_id = g.doc_id AND p.p = g.p GROUP BY p.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(k.n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)""",
+    "op8_minhash": r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 4], ' ')) AS t FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, least(len(w), 1) + 1))) AS i FROM d)),
+n AS (SELECT doc_id, count(*)::BIGINT AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * i >= 75 * (a.n + b.n - i)),
+r AS (SELECT doc_id AS x, doc_id AS c FROM d UNION SELECT e.x, r.c FROM r JOIN e ON e.y = r.x)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id, d.doc_id = m.c AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT x, min(c) AS c FROM r GROUP BY x) m ON m.x = d.doc_id""".replace("\\\\", "\\"),
     "op2_mixing": rf"""
 WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size,
                   md5('mix:' || coalesce(doc_id::VARCHAR, 'null')) AS key FROM documents),

@@ -48,8 +48,8 @@ def n_partitions(spark: SparkSession) -> int:
 # ---- documents ------------------------------------------------------------------------------------
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, ord, th, text. ord is doc_id (null: after all others); th tells rows of one doc_id apart.
+def keyed(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, ord, th, text, and the columns `more` of docs. ord is doc_id (null: after all others); th tells rows of one doc_id apart.
 
     Rows that are equal in doc_id and text get the same results, so nothing is multiplied by joining on
     (ord, th) with one row a key on the other side. Other columns of docs play no part, whatever their names.
@@ -59,6 +59,7 @@ def keyed(docs: DataFrame) -> DataFrame:
         F.coalesce(F.col("doc_id").cast("long"), F.lit(MAX_LONG)).alias("ord"),
         F.xxhash64("text").alias("th"),
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
+        *more,
     )
 
 

@@ -8,12 +8,14 @@ similarity of 3/4 miss each other in all bands with a probability of about 1e-8
 Documents with equal sets are one node. Links are confirmed on full sets, and only as many are looked for as components
 need, never all pairs of a bucket:
 
-1. Each bucket's members are compared with one of them. Confirmed links are contracted.
-2. Buckets where two others are still in different components may hide links. Their members are joined exactly, by prefix
-   filtering: two sets at 3/4 share one of each other's rarest shingles (a quarter of them and one), where the rarest are
-   those in fewest of these sets; common passages so meet only where they make up three quarters of a text.
-3. In a bucket of that join up to 16 members are compared with each other, of others eight at a time with the rest, until
-   no two of different components are left.
+1. Each bucket's members are compared with one of them, another one in each band. Confirmed links are contracted.
+2. Buckets that still hold several components may hide links. Up to 16 members are compared with each other, where they
+   are in different components. In larger buckets the members outside the largest component are compared with the rest,
+   64 at a time, until no two of different components are left.
+3. Large loose buckets (more than 64 outside the largest component; they share a common passage, say) go another way:
+   their sets are joined exactly, by prefix filtering. Two sets at 3/4 share one of each other's rarest shingles (a quarter
+   of them and one), so common passages meet only where they make up three quarters of a text. The buckets of these
+   shingles are then treated as in 2.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ SHINGLE = 5
 BANDS = 48
 #: Members of a bucket that may be compared with each other; larger ones go by leaders.
 SMALL = 16
-LEADERS = 8
+LEADERS = 64
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -98,6 +100,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             {
                 "doc_id": column(b, "doc_id"),
                 "ord": column(b, "ord"),
+                "th": column(b, "th"),
                 "rk": column(b, "rk"),
                 "n": pa.array(sizes, pa.int64()),
                 "sid": pa.array(sid, mask=~some),
@@ -131,6 +134,19 @@ def _in_components(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(labels.select(F.col("node").alias("sid"), "comp"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
 
 
+def _open(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """members (bk, sid, n) of the buckets with more than one component, and these buckets.
+
+    To each: its component, and the bucket's members (c), the component with most of them (major), and how many others (strays).
+    """
+    there = written(_in_components(members, labels), "there")
+    by = there.groupBy("bk", "comp").agg(F.count(F.lit(1)).alias("m"))
+    top = F.max(F.struct("m", "comp")).alias("top")
+    buckets = by.groupBy("bk").agg(F.sum("m").alias("c"), top, F.count(F.lit(1)).alias("k")).where("k > 1")
+    buckets = written(buckets.select("bk", "c", F.col("top.comp").alias("major"), (F.col("c") - F.col("top.m")).alias("strays")), "open")
+    return written(there.join(buckets, "bk"), "there"), buckets
+
+
 def _comparable(a: str, b: str) -> Column:
     """Sizes that a similarity of 3/4 allows."""
     return F.expr(f"4 * least({a}, {b}) >= 3 * greatest({a}, {b})")
@@ -146,7 +162,7 @@ def _prefixes(sets: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per row of docs: doc_id, n_shingles, component_id, kept.
+    """Per row of docs: doc_id, ord, th (see keyed), n_shingles, component_id, kept.
 
     component_id is the smallest doc_id that confirmed links reach, its own included; kept tells whether it is the row's
     own. Rows without words (null text included) have no shingles and are linked with nothing. Null doc_ids come after
@@ -156,46 +172,50 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = keyed(docs).withColumn("rk", F.xxhash64("ord", "th"))
-    signed = written(rows.mapInArrow(_signed, "doc_id long, ord long, rk long, n long, sid long, bands array<long>"), "signatures")
+    signed = written(rows.mapInArrow(_signed, "doc_id long, ord long, th long, rk long, n long, sid long, bands array<long>"), "signatures")
     nodes = signed.where("n > 0").groupBy("sid").agg(F.min(F.struct("ord", "rk")).alias("m"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     nodes = written(nodes.select("sid", "m.ord", "m.rk", "n", "bands"), "nodes")
 
     # 1: each bucket's members against one
     bands = nodes.select("sid", "rk", "n", F.explode("bands").alias("bk"))
-    several = written(bands.groupBy("bk").agg(F.min(F.struct("sid", "n")).alias("lo"), F.max("sid").alias("hi")).where("lo.sid <> hi").select("bk", "lo.sid", "lo.n").toDF("bk", "lo", "lo_n"), "buckets")
+    lead = F.min(F.struct(F.xxhash64("sid", "bk").alias("o"), "sid", "n")).alias("l")
+    several = bands.groupBy("bk").agg(lead, F.min("sid").alias("x"), F.max("sid").alias("y")).where("x <> y")
+    several = written(several.select("bk", F.col("l.sid").alias("l_sid"), F.col("l.n").alias("l_n")), "buckets")
     members = written(bands.join(several, "bk"), "members")
     wanted = spark.sparkContext.broadcast(bitmap(members, "rk"))
     sets = written(rows.mapInArrow(lambda it: _sets(it, wanted), "sid long, set array<long>"), "sets")
-    pairs = members.where((F.col("sid") != F.col("lo")) & _comparable("n", "lo_n")).select(F.col("sid").alias("x"), F.col("lo").alias("y")).distinct()
+    pairs = members.where((F.col("sid") != F.col("l_sid")) & _comparable("n", "l_n")).select(F.col("sid").alias("x"), F.col("l_sid").alias("y")).distinct()
     links = written(_links(pairs, sets), "links")
     labels = components(links)
 
-    # 2: those of buckets where links may hide still
-    others = _in_components(members.where("sid <> lo"), labels)
-    hiding = written(others.groupBy("bk").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("bk"), "hiding")
-    rest = written(members.join(hiding, "bk", "left_semi").select("sid").distinct(), "rest")
-    if not rest.isEmpty():
-        left = written(_prefixes(sets.join(rest, "sid", "left_semi").dropDuplicates(["sid"])), "prefixes")
-        while True:
-            # 3: small buckets whole, large ones by leaders
-            there = written(_in_components(left, labels), "there")
-            open_ = there.groupBy("bk").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("p"), F.max("comp").alias("q")).where("p <> q").select("bk", "c")
-            open_ = written(open_, "open")
-            if open_.isEmpty():
-                break
-            there = there.join(open_, "bk")
-            small, large = there.where(f"c <= {SMALL}"), there.where(f"c > {SMALL}")
-            lead = large.groupBy("bk", F.pmod("sid", F.lit(LEADERS)).alias("slot")).agg(F.min(F.struct("sid", "n", "comp")).alias("l"))
-            lead = written(lead.select("bk", "l.sid", "l.n", "l.comp").toDF("bk", "l_sid", "l_n", "l_comp"), "leaders")
-            same = small.select("bk", F.col("sid").alias("l_sid"), F.col("n").alias("l_n"), F.col("comp").alias("l_comp"))
-            pairs = small.join(same, "bk").where("sid < l_sid").union(large.join(lead, "bk")).where((F.col("comp") != F.col("l_comp")) & _comparable("n", "l_n"))
-            new = written(_links(pairs.select(F.col("sid").alias("x"), F.col("l_sid").alias("y")).distinct(), sets), "links")
-            if not new.isEmpty():
-                links = links.union(new)
-                labels = components(links)
-            left = written(large.join(lead.select("bk", F.col("l_sid").alias("sid")), ["bk", "sid"], "left_anti").select("bk", "sid", "n"), "left")
-            if left.isEmpty():
-                break
+    # 2: the other pairs of different components, bucket by bucket; of large loose ones exactly, by prefixes
+    left, prefixed = members.where("sid <> l_sid").select("bk", "sid", "n"), False
+    while True:
+        there, open_ = _open(left, labels)
+        if open_.isEmpty():
+            break
+        small = there.where(f"c <= {SMALL}")
+        same = small.select("bk", F.col("sid").alias("l_sid"), F.col("n").alias("l_n"), F.col("comp").alias("l_comp"))
+        loose = f"c > {SMALL} and strays > {LEADERS}"
+        large = there.where(f"c > {SMALL}" if prefixed else f"c > {SMALL} and strays <= {LEADERS}")
+        leaders = large.where("comp <> major").groupBy("bk", F.pmod("sid", F.lit(LEADERS)).alias("slot")).agg(F.min(F.struct("sid", "n", "comp")).alias("l"))
+        leaders = written(leaders.select("bk", F.col("l.sid").alias("l_sid"), F.col("l.n").alias("l_n"), F.col("l.comp").alias("l_comp")), "leaders")
+        differ = (F.col("comp") != F.col("l_comp")) & _comparable("n", "l_n")
+        pairs = small.alias("s").join(same, (F.col("s.bk") == same["bk"]) & (F.col("sid") < F.col("l_sid")) & differ).select("sid", "l_sid")
+        pairs = pairs.union(large.alias("s").join(leaders, (F.col("s.bk") == leaders["bk"]) & differ).select("sid", "l_sid"))
+        new = written(_links(pairs.toDF("x", "y").distinct(), sets), "links")
+        if not new.isEmpty():
+            links = written(links.union(new), "links")
+            labels = components(links)
+        if prefixed:
+            left = written(large.select("bk", "sid", "n").join(leaders.select("bk", F.col("l_sid").alias("sid")), ["bk", "sid"], "left_anti"), "left")
+        else:
+            # the leaders of large buckets that were not loose are done only if no other stray shares their slot
+            again = large.select("bk", "sid", "n").join(leaders.select("bk", F.col("l_sid").alias("sid")), ["bk", "sid"], "left_anti")
+            rest = written(there.where(loose).select("sid").distinct(), "rest")
+            if not rest.isEmpty():
+                again = again.union(_prefixes(sets.join(rest, "sid", "left_semi").dropDuplicates(["sid"])))
+            left, prefixed = written(again, "left"), True
 
     # component of every node, then of every row
     placed = _in_components(nodes.select("sid", "ord"), labels)
@@ -203,4 +223,4 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     of_node = written(placed.join(least, "comp").select("sid", "least"), "components")
     out = signed.drop("bands").join(of_node, "sid", "left")
     component = F.when(F.col("least").isNull(), F.col("doc_id")).when(F.col("least") == MAX_LONG, F.lit(None)).otherwise(F.col("least"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.cast("long").alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "ord", "th", F.col("n").alias("n_shingles"), component.cast("long").alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

@@ -78,10 +78,10 @@ def standard_rules() -> dict[str, Column]:
     }
 
 
-def ordered_rules(stats: DataFrame, rules: dict[str, Column], sample_rows: int = SAMPLE_ROWS, seed: int = 7) -> list[dict]:
+def ordered_rules(docs: DataFrame, rules: dict[str, Column], sample_rows: int = SAMPLE_ROWS, seed: int = 7) -> list[dict]:
     """The rules by rejection per cost, best first: name, rejects (share of the sample), seconds; measured on about sample_rows rows."""
-    n = stats.count()
-    sample = written(stats.sample(min(1.0, sample_rows / max(n, 1)), seed), "quality-sample")
+    n = docs.count()
+    sample = written(text_stats(docs.sample(min(1.0, sample_rows / max(n, 1)), seed)), "quality-sample")
     rows = max(sample.count(), 1)
 
     def timed(c: Column) -> tuple[int, float]:
@@ -107,16 +107,13 @@ def cascade(rules: dict[str, Column], order: list[str], first: Column | None = N
     return out
 
 
-def quality(docs: DataFrame, rules: dict[str, Column] | None = None, *more: str, sample_from: DataFrame | None = None) -> DataFrame:
-    """text_stats of every row of docs with base_failed and kept (false if the base test or any rule rejects).
+def quality(docs: DataFrame, *more: str, rules: dict[str, Column] | None = None) -> DataFrame:
+    """text_stats of every row of docs (with the columns `more`), base_failed and kept (false if the base test or any rule rejects).
 
     Null and empty texts fail the base test. Rows are judged one by one: a null doc_id, repeated rows and further columns
-    make no difference; no rows give no rows. The sample is taken from sample_from (docs by default).
+    make no difference; no rows give no rows.
     """
     rules = standard_rules() if rules is None else rules
-    source = docs if sample_from is None else sample_from
-    n = source.count()
-    small = source.sample(min(1.0, SAMPLE_ROWS / max(n, 1)), 7)
-    order = [r["name"] for r in ordered_rules(text_stats(small), rules)]
+    order = [r["name"] for r in ordered_rules(docs, rules)]
     stats = text_stats(docs, *more)
     return stats.select("*", base_failed().alias("base_failed"), (~cascade(rules, order, base_failed())).alias("kept"))

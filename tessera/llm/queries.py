@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_encode
 from .common import shared_dir
+from .langid import identify_held_out
+from .lines import dedup_lines
 from .minhash import near_duplicates
 from .mixing import mix
+from .neighbours import nearest
 from .quality import quality
 from .sharding import shard_documents
 from .substrings import dedup_substrings, dedup_suffixes
@@ -32,20 +35,35 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten rows nearest to each hundredth vector, among all."""
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of 50 words that start in an earlier document, removed from every document."""
     return dedup_substrings(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that equal an earlier one, or are one edit from it, removed from every document."""
+    return dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "kept_sha256")
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base statistics and the cascade's verdict for every document."""
     out = quality(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that are not held out."""
+    return identify_held_out(table(spark, sf_dir, "documents"))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-duplicates over all documents."""
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,8 +82,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_mixing": op2_mixing,
+    "op3_neighbours": op3_neighbours,
     "op4_substrings": op4_substrings,
+    "op5_lines": op5_lines,
     "op6_quality": op6_quality,
+    "op7_langid": op7_langid,
     "op8_minhash": op8_minhash,
     "op9_suffixes": op9_suffixes,
     "op10_sharding": op10_sharding,
@@ -92,7 +113,7 @@ p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.
 e AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * i >= 75 * (a.n + b.n - i)),
 r AS (SELECT doc_id AS x, doc_id AS c FROM d UNION SELECT e.x, r.c FROM r JOIN e ON e.y = r.x)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id, d.doc_id = m.c AS kept
-FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT x, min(c) AS c FROM r GROUP BY x) m ON m.x = d.doc_id""".replace("\\\\", "\\"),
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT x, min(c) AS c FROM r GROUP BY x) m ON m.x = d.doc_id""",
     "op2_mixing": rf"""
 WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS size,
                   md5('mix:' || coalesce(doc_id::VARCHAR, 'null')) AS key FROM documents),
@@ -110,6 +131,20 @@ SELECT doc_id, size, source_size::BIGINT AS source_size, target,
        (CASE WHEN source_size > 0 THEN floor(floor(target) / source_size) * size
              + greatest(0, least(size, floor(target) - floor(floor(target) / source_size) * source_size - before)) ELSE 0 END)::BIGINT AS taken
 FROM c""",
+    "op5_lines": r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS no FROM d),
+w AS (SELECT * FROM l WHERE length(translate(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13), '')) > 0),
+c AS (SELECT line, min((doc_id, no)) AS place, length(line) AS n FROM w GROUP BY line),
+k AS (SELECT line, place, unnest([md5('p' || n || left(line, n // 2)), md5('s' || n || substr(line, n // 2 + 1)),
+                           md5('p' || (n - 1) || left(line, (n - 1) // 2)), md5('s' || (n - 1) || substr(line, (n - 1) // 2 + 2))]) AS key FROM c WHERE n >= 20),
+near AS (SELECT DISTINCT a.line FROM k a JOIN k b USING (key) WHERE a.place > b.place AND levenshtein(a.line, b.line) <= 1),
+g AS (SELECT w.doc_id, w.no FROM w JOIN c USING (line) WHERE (w.doc_id, w.no) <> c.place OR w.line IN (SELECT line FROM near)),
+r AS (SELECT doc_id, count(*) AS n_removed FROM g GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n_lines FROM w GROUP BY doc_id),
+s AS (SELECT l.doc_id, string_agg(line, chr(10) ORDER BY l.no) AS kept FROM l ANTI JOIN g ON l.doc_id = g.doc_id AND l.no = g.no GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN r USING (doc_id) LEFT JOIN s USING (doc_id)""",
     "op6_quality": rf"""
 WITH d AS (SELECT doc_id, text, {_WORDS} AS w,
                   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: length(translate(x, {_SPACES}, '')) > 0) AS lines FROM documents),

@@ -30,8 +30,6 @@ from pyspark.sql import functions as F
 
 from .common import U64, as_longs, bitmap, column, gram_hashes, in_bitmap, joined_bytes, keyed, longs, mixed, n_partitions, powers, sha256_hex, sliced, span_hashes, word_spans, written
 
-#: Bits of a minimiser's key.
-KEY = U64((1 << 48) - 1)
 #: Bytes of packed strings that a task sorts at once, unless one token has more.
 CHUNK_BYTES = 4 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -56,14 +54,18 @@ BYTES_100 = Windows(width=100, gram=32, words=False, in_document=True)
 
 
 def argmin_of_runs(a: np.ndarray, span: int) -> np.ndarray:
-    """For each `span` consecutive entries, the place of their least (the leftmost of equals)."""
-    val, pos, have = a, np.arange(len(a), dtype=np.int32), 1
+    """For each `span` consecutive entries, the place of their least (the leftmost of equals).
+
+    The place stands in the low bits of each value, so one minimum gives both; values are told apart by their high bits.
+    """
+    bits = U64(max(22, len(a).bit_length()))
+    low = (U64(1) << bits) - U64(1)
+    val, have = (a & ~low) | np.arange(len(a), dtype=U64), 1
     while have < span and len(val):
         shift = min(have, span - have)
-        right = val[shift:] < val[:-shift]
-        val, pos = np.where(right, val[shift:], val[:-shift]), np.where(right, pos[shift:], pos[:-shift])
+        val = np.minimum(val[shift:], val[:-shift])
         have += shift
-    return pos
+    return (val & low).astype(np.int64)
 
 
 @dataclass
@@ -108,13 +110,13 @@ def runs_of(texts: list[bytes], w: Windows) -> Runs:
     new = np.ones(len(at), dtype=bool)
     new[1:] = (np.diff(at) != 1) | (np.diff(pos) != 0)
     k = np.flatnonzero(new)
-    begin, n, place = at[k], np.diff(np.append(k, len(at))), pos[k].astype(np.int64)
+    begin, n, place = at[k], np.diff(np.append(k, len(at))), pos[k]
     if w.words:
         of, lo, hi, anchor = doc[begin], ws[begin], we[begin + n + w.width - 2], place - begin
     else:
         of = np.searchsorted(starts, begin, side="right") - 1
         lo, hi, anchor = begin, begin + n + w.width - 1, place - begin
-    return Runs(of, begin - first[of], n, grams[place] & KEY, anchor, lo, hi, data)
+    return Runs(of, begin - first[of], n, grams[place] >> U64(16), anchor, lo, hi, data)
 
 
 def _bytes(b: pa.RecordBatch, name: str = "text") -> list[bytes]:
@@ -344,7 +346,8 @@ def repeated_ranges(rows: DataFrame, w: Windows) -> DataFrame:
     buckets = packed.repartitionByRange(n_partitions(spark), "lead", "ord", "start").sortWithinPartitions("lead")
     found = written(buckets.mapInArrow(lambda it: _settled(it, w), "ord long, th long, a long, b long, d1 long, d2 long"), "windows")
     border = found.where("b < 0")
-    first = border.groupBy("d1", "d2").agg(F.min(F.struct("ord", "a")).alias("m"))
+    first = border.groupBy("d1", "d2").agg(F.min(F.struct("ord", "a")).alias("m"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    first = written(first.select("d1", "d2", "m"), "border")
     before = (F.col("m.ord") < F.col("ord")) | ((F.col("m.ord") == F.col("ord")) & (F.col("m.a") < F.col("a")) if w.in_document else F.lit(False))
     across = border.join(first, ["d1", "d2"]).where(before).select("ord", "th", "a", (F.col("a") + w.width).alias("b"))
     return found.where("b >= 0").select("ord", "th", "a", "b").union(across)

@@ -51,7 +51,7 @@ def near_family(rng, n, edits):
 
 
 def check(spark, rows):
-    got = sorted((tuple(r) for r in near_duplicates(with_clashes(documents(spark, rows))).collect()), key=str)
+    got = sorted((tuple(r) for r in near_duplicates(with_clashes(documents(spark, rows))).drop("ord", "th").collect()), key=str)
     assert got == brute(rows)
     return got
 

@@ -28,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MAX_LONG, U64, as_longs, bitmap, column, gram_hashes, in_bitmap, joined_bytes, keyed, longs, mixed, sliced, span_hashes, word_spans, written
+from .common import BITMAP_LOG2, MAX_LONG, U64, as_longs, bitmap, column, gram_hashes, in_bitmap, joined_bytes, keyed, longs, mixed, sliced, span_hashes, word_spans, written
 from .components import components
 
 SHINGLE = 5
@@ -152,13 +152,68 @@ def _comparable(a: str, b: str) -> Column:
     return F.expr(f"4 * least({a}, {b}) >= 3 * greatest({a}, {b})")
 
 
+#: Parts in which shingles are counted; each is one bit range of a bitmap.
+PARTS = 64
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shingles of a batch of sets, once or twice each, packed by part."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        vals, c = np.unique(column(b, "set").flatten().to_numpy().view(U64), return_counts=True)
+        ends = np.searchsorted(vals, np.arange(1, PARTS, dtype=U64) << U64(58)).tolist()
+        packed = np.repeat(vals, np.minimum(c, 2))
+        at = np.concatenate(([0], np.cumsum(np.minimum(c, 2))))
+        parts = [packed[at[x] : at[y]].tobytes() for x, y in zip([0, *ends], [*ends, len(vals)], strict=True)]
+        yield pa.RecordBatch.from_pydict({"part": pa.array(range(PARTS), pa.int32()), "vals": pa.array(parts, pa.binary())})
+
+
+def _shared(group: pa.Table) -> pa.Table:
+    """The bits of a part's shingles that two sets have."""
+    vals, c = np.unique(np.concatenate([np.frombuffer(x, dtype=U64) for x in group.column("vals").to_pylist()]), return_counts=True)
+    bits = np.zeros((1 << BITMAP_LOG2) // PARTS // 8, dtype=np.uint8)
+    slot = (vals[c > 1] & U64(len(bits) * 8 - 1)).astype(np.int64)
+    np.bitwise_or.at(bits, slot >> 3, (1 << (slot & 7)).astype(np.uint8))
+    return pa.table({"part": group.column("part").slice(0, 1).cast(pa.int32()), "bits": pa.array([bits.tobytes()], pa.binary())})
+
+
+def prefix_size(n: np.ndarray) -> np.ndarray:
+    """So many of a set's rarest shingles that it shares one of them with any set at 3/4."""
+    return n - (3 * n + 3) // 4 + 1
+
+
+def _common(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
+    """Sets that have fewer shingles of their own than prefix_size: these shared shingles, and how many of them the prefix takes."""
+    for b in batches:
+        rows = []
+        for sid, vals in zip(column(b, "sid").to_pylist(), column(b, "set"), strict=True):
+            v = vals.values.to_numpy().view(U64)
+            slot = (v & U64(shared.value.shape[1] * 8 - 1)).astype(np.int64)
+            hit = (shared.value[(v >> U64(58)).astype(np.int64), slot >> 3] >> (slot & 7).astype(np.uint8)) & 1
+            takes = int(prefix_size(np.array(len(v)))) - int((hit == 0).sum())
+            if takes > 0:
+                rows.append((sid, len(v), takes, as_longs(v[hit == 1])))
+        cols = list(zip(*rows, strict=True)) or [[]] * 4
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["sid", "n", "takes", "common"])
+
+
 def _prefixes(sets: DataFrame) -> DataFrame:
-    """bk (a shingle), sid, n: each set's rarest shingles, so many that two sets at 3/4 must share one."""
-    tokens = sets.select("sid", F.size("set").alias("n"), F.explode("set").alias("bk"))
-    rare = written(tokens.groupBy("bk").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "shingle-counts")
-    ranked = tokens.join(rare, "bk", "left").withColumn("f", F.coalesce("f", F.lit(1)))
+    """bk (a shingle), sid, n: of each set the rarest shingles that another of these sets has, as far as its prefix goes.
+
+    Which shingles two sets have is told by a bitmap of fixed size, which at worst takes one for shared that isn't.
+    """
+    parts = sets.select("set").mapInArrow(_counted, "part int, vals binary").groupBy("part").applyInArrow(_shared, "part int, bits binary").toArrow()
+    table = np.zeros((PARTS, (1 << BITMAP_LOG2) // PARTS // 8), dtype=np.uint8)
+    for k, bits in zip(parts.column("part").to_pylist(), parts.column("bits").to_pylist(), strict=True):
+        table[k] = np.frombuffer(bits, dtype=np.uint8)
+    shared = sets.sparkSession.sparkContext.broadcast(table)
+    some = written(sets.select("sid", "set").mapInArrow(lambda it: _common(it, shared), "sid long, n long, takes long, common array<long>"), "common")
+    tokens = some.select("sid", "n", "takes", F.explode("common").alias("bk"))
+    counts = written(tokens.groupBy("bk").agg(F.count(F.lit(1)).alias("f")), "shingle-counts")
     place = F.row_number().over(Window.partitionBy("sid").orderBy("f", "bk"))
-    return ranked.withColumn("place", place).where("place <= n - ceil(0.75D * n) + 1 and f > 1").select("bk", "sid", "n")
+    return tokens.join(counts, "bk").withColumn("place", place).where("place <= takes and f > 1").select("bk", "sid", "n")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -194,28 +249,35 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         there, open_ = _open(left, labels)
         if open_.isEmpty():
             break
-        small = there.where(f"c <= {SMALL}")
-        same = small.select("bk", F.col("sid").alias("l_sid"), F.col("n").alias("l_n"), F.col("comp").alias("l_comp"))
-        loose = f"c > {SMALL} and strays > {LEADERS}"
-        large = there.where(f"c > {SMALL}" if prefixed else f"c > {SMALL} and strays <= {LEADERS}")
-        leaders = large.where("comp <> major").groupBy("bk", F.pmod("sid", F.lit(LEADERS)).alias("slot")).agg(F.min(F.struct("sid", "n", "comp")).alias("l"))
-        leaders = written(leaders.select("bk", F.col("l.sid").alias("l_sid"), F.col("l.n").alias("l_n"), F.col("l.comp").alias("l_comp")), "leaders")
-        differ = (F.col("comp") != F.col("l_comp")) & _comparable("n", "l_n")
-        pairs = small.alias("s").join(same, (F.col("s.bk") == same["bk"]) & (F.col("sid") < F.col("l_sid")) & differ).select("sid", "l_sid")
-        pairs = pairs.union(large.alias("s").join(leaders, (F.col("s.bk") == leaders["bk"]) & differ).select("sid", "l_sid"))
-        new = written(_links(pairs.toDF("x", "y").distinct(), sets), "links")
+        small, large = there.where(f"c <= {SMALL}"), there.where(f"c > {SMALL}" + ("" if prefixed else f" and strays <= {LEADERS}"))
+        strays = large.where("comp <> major")
+        if prefixed:
+            first = F.row_number().over(Window.partitionBy("bk", F.pmod("sid", F.lit(LEADERS))).orderBy("sid"))
+            strays = strays.withColumn("first", first).where(f"strays <= {LEADERS} or first = 1").drop("first")
+            once = F.lit(True)
+        else:
+            # a pair that several bands bring together is taken in the first of them
+            signatures = nodes.select("sid", "bands")
+            small, large, strays = small.join(signatures, "sid"), large.join(signatures, "sid"), strays.join(signatures, "sid")
+            once = F.expr("element_at(filter(zip_with(bands, l_bands, (a, b) -> if(a = b, a, null)), x -> x is not null), 1) = r_bk")
+        names = {"sid": "l_sid", "n": "l_n", "comp": "l_comp", "bk": "r_bk"} | ({} if prefixed else {"bands": "l_bands"})
+        other = lambda df: df.select(*[F.col(a).alias(b) for a, b in names.items()])
+        differ = (F.col("bk") == F.col("r_bk")) & (F.col("comp") != F.col("l_comp")) & _comparable("n", "l_n") & once
+        pairs = small.join(other(small), differ & (F.col("sid") < F.col("l_sid"))).select("sid", "l_sid")
+        # of two strays the pair comes once
+        pairs = pairs.union(large.join(other(strays), differ & ((F.col("comp") == F.col("major")) | (F.col("sid") < F.col("l_sid")) | F.lit(prefixed))).select("sid", "l_sid"))
+        pairs = pairs.select(F.least("sid", "l_sid").alias("x"), F.greatest("sid", "l_sid").alias("y")).distinct()
+        new = written(_links(pairs, sets), "links")
         if not new.isEmpty():
             links = written(links.union(new), "links")
             labels = components(links)
         if prefixed:
-            left = written(large.select("bk", "sid", "n").join(leaders.select("bk", F.col("l_sid").alias("sid")), ["bk", "sid"], "left_anti"), "left")
+            left = written(large.where(f"strays > {LEADERS}").select("bk", "sid", "n").join(strays.select("bk", "sid"), ["bk", "sid"], "left_anti"), "left")
         else:
-            # the leaders of large buckets that were not loose are done only if no other stray shares their slot
-            again = large.select("bk", "sid", "n").join(leaders.select("bk", F.col("l_sid").alias("sid")), ["bk", "sid"], "left_anti")
-            rest = written(there.where(loose).select("sid").distinct(), "rest")
-            if not rest.isEmpty():
-                again = again.union(_prefixes(sets.join(rest, "sid", "left_semi").dropDuplicates(["sid"])))
-            left, prefixed = written(again, "left"), True
+            rest = written(there.where(f"c > {SMALL} and strays > {LEADERS}").select("sid").distinct(), "rest")
+            if rest.isEmpty():
+                break
+            left, prefixed = written(_prefixes(sets.join(rest, "sid", "left_semi").dropDuplicates(["sid"])), "left"), True
 
     # component of every node, then of every row
     placed = _in_components(nodes.select("sid", "ord"), labels)

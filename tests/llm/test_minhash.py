@@ -75,6 +75,15 @@ def test_common_passage_is_no_link(spark):
     check(spark, [(k, t, "en", "s", 1) for k, t in enumerate(texts)])
 
 
+def test_large_loose_buckets(spark):
+    """More than 64 outside the largest component: the way by prefixes; some of them are linked."""
+    rng = random.Random(14)
+    p = words(rng, 150)
+    texts = [p + " " + words(rng, rng.randint(30, 70)) for _ in range(150)]
+    texts += [t + " " + words(rng, 3) for t in texts[:20]] + [p + " " + words(rng, 12) for _ in range(40)]
+    check(spark, [(k, t, "en", "s", 1) for k, t in enumerate(texts)])
+
+
 def test_short_texts(spark):
     rng = random.Random(13)
     check(spark, [(k, " ".join(rng.choice("abc") for _ in range(rng.randint(0, 9))), "en", "s", 1) for k in range(80)])

@@ -2,21 +2,55 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
 
 
-def components(edges: DataFrame) -> DataFrame:
+#: Edges that one task may take; a graph with no more is done there, in one step instead of rounds.
+FEW = 1 << 19
+
+
+def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Labels of a whole small graph, by moving every node to its least neighbour until none moves."""
+    got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if not got:
+        return
+    x, y = (np.concatenate(c) for c in zip(*got, strict=True))
+    nodes, ends = np.unique(np.concatenate((x, y)), return_inverse=True)
+    a, b = ends[: len(x)], ends[len(x) :]
+    label = np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], least)
+        np.minimum.at(new, label[b], least)
+        while (new[new] != new).any():
+            new = new[new]
+        new = new[label]
+        if (new == label).all():
+            break
+        label = new
+    yield pa.RecordBatch.from_pydict({"node": pa.array(nodes), "comp": pa.array(nodes[label])})
+
+
+def components(edges: DataFrame, few: int = FEW) -> DataFrame:
     """node, comp for every end of an edge of edges (x, y, longs): comp is the same for connected nodes, and one of them.
 
     Each round every node moves to the least of its neighbours' and its own number, twice over, and edges are drawn anew
     between where their ends went; nodes without an edge to another place are done. Numbers should be hashes: then the
     nodes left shrink by a share each round, also along paths. A hub's edges are only ever reduced by a minimum or joined
-    with a written table, which Spark may split. Each round's tables are written to the shared folder.
+    with a written table, which Spark may split. Each round's tables are written to the shared folder. Graphs of up to FEW
+    edges are labelled by one task.
     """
     here = written(edges.where("x <> y").select("x", "y").distinct(), "edges")
+    if here.count() <= few:
+        return written(here.coalesce(1).mapInArrow(_labelled, "node long, comp long"), "labels")
     labels: DataFrame | None = None
     while not here.isEmpty():
         both = here.union(here.select(F.col("y").alias("x"), F.col("x").alias("y")))

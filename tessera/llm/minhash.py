@@ -28,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BITMAP_LOG2, MAX_LONG, U64, as_longs, bitmap, column, gram_hashes, in_bitmap, joined_bytes, keyed, longs, mixed, sliced, span_hashes, word_spans, written
+from .common import MAX_LONG, U64, as_longs, bitmap, column, gram_hashes, in_bitmap, joined_bytes, keyed, longs, mixed, sliced, span_hashes, word_spans, written
 from .components import components
 
 SHINGLE = 5
@@ -134,17 +134,17 @@ def _in_components(members: DataFrame, labels: DataFrame) -> DataFrame:
     return members.join(labels.select(F.col("node").alias("sid"), "comp"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
 
 
-def _open(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """members (bk, sid, n) of the buckets with more than one component, and these buckets.
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """members (bk, sid, n, ...) of the buckets with more than one component.
 
     To each: its component, and the bucket's members (c), the component with most of them (major), and how many others (strays).
     """
-    there = written(_in_components(members, labels), "there")
+    there = _in_components(members, labels)
     by = there.groupBy("bk", "comp").agg(F.count(F.lit(1)).alias("m"))
     top = F.max(F.struct("m", "comp")).alias("top")
     buckets = by.groupBy("bk").agg(F.sum("m").alias("c"), top, F.count(F.lit(1)).alias("k")).where("k > 1")
     buckets = written(buckets.select("bk", "c", F.col("top.comp").alias("major"), (F.col("c") - F.col("top.m")).alias("strays")), "open")
-    return written(there.join(buckets, "bk"), "there"), buckets
+    return written(there.join(buckets, "bk"), "there")
 
 
 def _comparable(a: str, b: str) -> Column:
@@ -152,68 +152,94 @@ def _comparable(a: str, b: str) -> Column:
     return F.expr(f"4 * least({a}, {b}) >= 3 * greatest({a}, {b})")
 
 
-#: Parts in which shingles are counted; each is one bit range of a bitmap.
-PARTS = 64
+#: Parts in which shingles are counted, and slots (log2) of all their counts: 16 MB, whatever the input.
+PARTS, SLOTS_LOG2 = 64, 24
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The shingles of a batch of sets, once or twice each, packed by part."""
+    """The shingles of a batch of sets with their counts, packed by part."""
     for b in batches:
         if not b.num_rows:
             continue
         vals, c = np.unique(column(b, "set").flatten().to_numpy().view(U64), return_counts=True)
-        ends = np.searchsorted(vals, np.arange(1, PARTS, dtype=U64) << U64(58)).tolist()
-        packed = np.repeat(vals, np.minimum(c, 2))
-        at = np.concatenate(([0], np.cumsum(np.minimum(c, 2))))
-        parts = [packed[at[x] : at[y]].tobytes() for x, y in zip([0, *ends], [*ends, len(vals)], strict=True)]
-        yield pa.RecordBatch.from_pydict({"part": pa.array(range(PARTS), pa.int32()), "vals": pa.array(parts, pa.binary())})
+        cuts = np.searchsorted(vals, np.array([k << 58 for k in range(PARTS)], dtype=U64)).tolist() + [len(vals)]
+        some = [k for k in range(PARTS) if cuts[k] < cuts[k + 1]]
+        yield pa.RecordBatch.from_pydict(
+            {
+                "part": pa.array(some, pa.int32()),
+                "vals": pa.array([vals[cuts[k] : cuts[k + 1]].tobytes() for k in some], pa.binary()),
+                "counts": pa.array([c[cuts[k] : cuts[k + 1]].astype(np.int64).tobytes() for k in some], pa.binary()),
+            }
+        )
 
 
-def _shared(group: pa.Table) -> pa.Table:
-    """The bits of a part's shingles that two sets have."""
-    vals, c = np.unique(np.concatenate([np.frombuffer(x, dtype=U64) for x in group.column("vals").to_pylist()]), return_counts=True)
-    bits = np.zeros((1 << BITMAP_LOG2) // PARTS // 8, dtype=np.uint8)
-    slot = (vals[c > 1] & U64(len(bits) * 8 - 1)).astype(np.int64)
-    np.bitwise_or.at(bits, slot >> 3, (1 << (slot & 7)).astype(np.uint8))
-    return pa.table({"part": group.column("part").slice(0, 1).cast(pa.int32()), "bits": pa.array([bits.tobytes()], pa.binary())})
+def _slot(vals: np.ndarray) -> np.ndarray:
+    return (vals & U64((1 << SLOTS_LOG2) // PARTS - 1)).astype(np.int64)
 
 
-def prefix_size(n: np.ndarray) -> np.ndarray:
-    """So many of a set's rarest shingles that it shares one of them with any set at 3/4."""
+def _rarity(group: pa.Table) -> pa.Table:
+    """The logarithm of how many sets have the shingles of each slot of a part; 0 for one set."""
+    counts = np.zeros((1 << SLOTS_LOG2) // PARTS, dtype=np.int64)
+    for vals, c in zip(group.column("vals").to_pylist(), group.column("counts").to_pylist(), strict=True):
+        np.add.at(counts, _slot(np.frombuffer(vals, dtype=U64)), np.frombuffer(c, dtype=np.int64))
+    logs = np.ceil(np.log2(np.maximum(counts, 1))).astype(np.uint8)
+    return pa.table({"part": group.column("part").slice(0, 1).cast(pa.int32()), "logs": pa.array([logs.tobytes()], pa.binary())})
+
+
+def prefix_size(n: int) -> int:
+    """So many of a set's first shingles, in any order common to all, that it shares one of them with any set at 3/4."""
     return n - (3 * n + 3) // 4 + 1
 
 
-def _common(batches: Iterator[pa.RecordBatch], shared: Broadcast) -> Iterator[pa.RecordBatch]:
-    """Sets that have fewer shingles of their own than prefix_size: these shared shingles, and how many of them the prefix takes."""
+def _first(batches: Iterator[pa.RecordBatch], logs: Broadcast) -> Iterator[pa.RecordBatch]:
+    """Of each set the first shingles, rarest first, without those that no other set has; sets that have none left go."""
     for b in batches:
         rows = []
         for sid, vals in zip(column(b, "sid").to_pylist(), column(b, "set"), strict=True):
             v = vals.values.to_numpy().view(U64)
-            slot = (v & U64(shared.value.shape[1] * 8 - 1)).astype(np.int64)
-            hit = (shared.value[(v >> U64(58)).astype(np.int64), slot >> 3] >> (slot & 7).astype(np.uint8)) & 1
-            takes = int(prefix_size(np.array(len(v)))) - int((hit == 0).sum())
+            rarity = logs.value[(v >> U64(58)).astype(np.int64), _slot(v)]
+            takes = prefix_size(len(v)) - int((rarity == 0).sum())
             if takes > 0:
-                rows.append((sid, len(v), takes, as_longs(v[hit == 1])))
-        cols = list(zip(*rows, strict=True)) or [[]] * 4
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["sid", "n", "takes", "common"])
+                v, rarity = v[rarity > 0], rarity[rarity > 0]
+                rows.append((sid, len(v), as_longs(v[np.lexsort((v, rarity))[:takes]])))
+        cols = list(zip(*rows, strict=True)) or [[]] * 3
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["sid", "left", "keys"])
 
 
 def _prefixes(sets: DataFrame) -> DataFrame:
-    """bk (a shingle), sid, n: of each set the rarest shingles that another of these sets has, as far as its prefix goes.
+    """sid, n, keys: of each set the rarest shingles that another of these sets may have, as far as its prefix goes.
 
-    Which shingles two sets have is told by a bitmap of fixed size, which at worst takes one for shared that isn't.
+    Rarity is read from a table of counts of fixed size; shingles that share a slot count together, which costs some
+    order but no result.
     """
-    parts = sets.select("set").mapInArrow(_counted, "part int, vals binary").groupBy("part").applyInArrow(_shared, "part int, bits binary").toArrow()
-    table = np.zeros((PARTS, (1 << BITMAP_LOG2) // PARTS // 8), dtype=np.uint8)
-    for k, bits in zip(parts.column("part").to_pylist(), parts.column("bits").to_pylist(), strict=True):
-        table[k] = np.frombuffer(bits, dtype=np.uint8)
+    parts = sets.select("set").mapInArrow(_counted, "part int, vals binary, counts binary").groupBy("part").applyInArrow(_rarity, "part int, logs binary").toArrow()
+    table = np.zeros((PARTS, (1 << SLOTS_LOG2) // PARTS), dtype=np.uint8)
+    for k, logs in zip(parts.column("part").to_pylist(), parts.column("logs").to_pylist(), strict=True):
+        table[k] = np.frombuffer(logs, dtype=np.uint8)
     shared = sets.sparkSession.sparkContext.broadcast(table)
-    some = written(sets.select("sid", "set").mapInArrow(lambda it: _common(it, shared), "sid long, n long, takes long, common array<long>"), "common")
-    tokens = some.select("sid", "n", "takes", F.explode("common").alias("bk"))
-    counts = written(tokens.groupBy("bk").agg(F.count(F.lit(1)).alias("f")), "shingle-counts")
-    place = F.row_number().over(Window.partitionBy("sid").orderBy("f", "bk"))
-    return tokens.join(counts, "bk").withColumn("place", place).where("place <= takes and f > 1").select("bk", "sid", "n")
+    first = sets.select("sid", "set").mapInArrow(lambda it: _first(it, shared), "sid long, left long, keys array<long>")
+    return first.join(sets.select("sid", F.size("set").alias("n")), "sid").select("sid", "n", "keys")
+
+
+def _bands(batches: Iterator[pa.RecordBatch], reps: Broadcast, several: Broadcast | None) -> Iterator[pa.RecordBatch]:
+    """bk (and with several: sid, rk, n) of the bands of representatives, with several only those whose key is in it."""
+    for b in batches:
+        some = np.flatnonzero(in_bitmap(reps.value, longs(b, "rk")) & (longs(b, "n") > 0))
+        if not len(some):
+            continue
+        keys, row = column(b, "bands").take(pa.array(some)).flatten().to_numpy(), np.repeat(some, BANDS)
+        if several is None:
+            yield pa.RecordBatch.from_pydict({"bk": pa.array(keys)})
+            continue
+        hit = in_bitmap(several.value, keys)
+        yield pa.RecordBatch.from_pydict({"bk": pa.array(keys[hit]), **{c: column(b, c).take(pa.array(row[hit])) for c in ("sid", "rk", "n")}})
+
+
+def _chosen(batches: Iterator[pa.RecordBatch], wanted: Broadcast) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        hit = np.flatnonzero(in_bitmap(wanted.value, longs(b, "rk")))
+        yield b.take(pa.array(hit))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -228,40 +254,47 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = keyed(docs).withColumn("rk", F.xxhash64("ord", "th"))
     signed = written(rows.mapInArrow(_signed, "doc_id long, ord long, th long, rk long, n long, sid long, bands array<long>"), "signatures")
-    nodes = signed.where("n > 0").groupBy("sid").agg(F.min(F.struct("ord", "rk")).alias("m"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    nodes = written(nodes.select("sid", "m.ord", "m.rk", "n", "bands"), "nodes")
+    nodes = signed.where("n > 0").groupBy("sid").agg(F.min(F.struct("ord", "rk")).alias("m"))
+    nodes = written(nodes.select("sid", "m.ord", "m.rk"), "nodes")
+    share = lambda keys, name: spark.sparkContext.broadcast(bitmap(keys, name))
 
     # 1: each bucket's members against one
-    bands = nodes.select("sid", "rk", "n", F.explode("bands").alias("bk"))
+    reps = share(nodes, "rk")
+    keys = signed.select("rk", "n", "bands").mapInArrow(lambda it: _bands(it, reps, None), "bk long")
+    several = share(keys.groupBy("bk").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "bk")
+    members = written(signed.select("rk", "sid", "n", "bands").mapInArrow(lambda it: _bands(it, reps, several), "bk long, sid long, rk long, n long").distinct(), "members")
     lead = F.min(F.struct(F.xxhash64("sid", "bk").alias("o"), "sid", "n")).alias("l")
-    several = bands.groupBy("bk").agg(lead, F.min("sid").alias("x"), F.max("sid").alias("y")).where("x <> y")
-    several = written(several.select("bk", F.col("l.sid").alias("l_sid"), F.col("l.n").alias("l_n")), "buckets")
-    members = written(bands.join(several, "bk"), "members")
-    wanted = spark.sparkContext.broadcast(bitmap(members, "rk"))
+    leads = members.groupBy("bk").agg(lead, F.min("sid").alias("x"), F.max("sid").alias("y")).where("x <> y")
+    leads = written(leads.select("bk", F.col("l.sid").alias("l_sid"), F.col("l.n").alias("l_n")), "buckets")
+    members = written(members.join(leads, "bk"), "members")
+    wanted = share(members, "rk")
     sets = written(rows.mapInArrow(lambda it: _sets(it, wanted), "sid long, set array<long>"), "sets")
     pairs = members.where((F.col("sid") != F.col("l_sid")) & _comparable("n", "l_n")).select(F.col("sid").alias("x"), F.col("l_sid").alias("y")).distinct()
     links = written(_links(pairs, sets), "links")
     labels = components(links)
 
     # 2: the other pairs of different components, bucket by bucket; of large loose ones exactly, by prefixes
-    left, prefixed = members.where("sid <> l_sid").select("bk", "sid", "n"), False
+    left, prefixed = members.where("sid <> l_sid").select("bk", "sid", "n", "rk"), False
     while True:
-        there, open_ = _open(left, labels)
-        if open_.isEmpty():
+        there = _open(left, labels)
+        if there.isEmpty():
             break
-        small, large = there.where(f"c <= {SMALL}"), there.where(f"c > {SMALL}" + ("" if prefixed else f" and strays <= {LEADERS}"))
+        loose = f"c > {SMALL} and strays > {LEADERS}"
+        rest = there.where(loose)
+        if not prefixed:
+            there = there.where(f"not ({loose})")
+            here = share(there, "rk")
+            signatures = signed.select("rk", F.col("bands").alias("keys")).mapInArrow(lambda it, here=here: _chosen(it, here), "rk long, keys array<long>")
+            there = there.join(signatures, "rk").drop("rk")
+        # a pair that several buckets bring together is taken in the first of them
+        bands = "element_at(filter(zip_with(keys, l_keys, (a, b) -> if(a = b, a, null)), x -> x is not null), 1)"
+        once = F.expr(("element_at(array_intersect(keys, l_keys), 1)" if prefixed else bands) + " = r_bk")
+        small, large = there.where(f"c <= {SMALL}"), there.where(f"c > {SMALL}")
         strays = large.where("comp <> major")
         if prefixed:
             first = F.row_number().over(Window.partitionBy("bk", F.pmod("sid", F.lit(LEADERS))).orderBy("sid"))
             strays = strays.withColumn("first", first).where(f"strays <= {LEADERS} or first = 1").drop("first")
-            once = F.lit(True)
-        else:
-            # a pair that several bands bring together is taken in the first of them
-            signatures = nodes.select("sid", "bands")
-            small, large, strays = small.join(signatures, "sid"), large.join(signatures, "sid"), strays.join(signatures, "sid")
-            once = F.expr("element_at(filter(zip_with(bands, l_bands, (a, b) -> if(a = b, a, null)), x -> x is not null), 1) = r_bk")
-        names = {"sid": "l_sid", "n": "l_n", "comp": "l_comp", "bk": "r_bk"} | ({} if prefixed else {"bands": "l_bands"})
-        other = lambda df: df.select(*[F.col(a).alias(b) for a, b in names.items()])
+        other = lambda df: df.select(*[F.col(a).alias(b) for a, b in (("sid", "l_sid"), ("n", "l_n"), ("comp", "l_comp"), ("bk", "r_bk"), ("keys", "l_keys"))])
         differ = (F.col("bk") == F.col("r_bk")) & (F.col("comp") != F.col("l_comp")) & _comparable("n", "l_n") & once
         pairs = small.join(other(small), differ & (F.col("sid") < F.col("l_sid"))).select("sid", "l_sid")
         # of two strays the pair comes once
@@ -269,15 +302,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.least("sid", "l_sid").alias("x"), F.greatest("sid", "l_sid").alias("y")).distinct()
         new = written(_links(pairs, sets), "links")
         if not new.isEmpty():
-            links = written(links.union(new), "links")
+            links = links.union(new)
             labels = components(links)
+        if rest.isEmpty():
+            break
         if prefixed:
-            left = written(large.where(f"strays > {LEADERS}").select("bk", "sid", "n").join(strays.select("bk", "sid"), ["bk", "sid"], "left_anti"), "left")
+            left = rest.select("bk", "sid", "n", "keys").join(strays.select("bk", "sid"), ["bk", "sid"], "left_anti")
         else:
-            rest = written(there.where(f"c > {SMALL} and strays > {LEADERS}").select("sid").distinct(), "rest")
-            if rest.isEmpty():
-                break
-            left, prefixed = written(_prefixes(sets.join(rest, "sid", "left_semi").dropDuplicates(["sid"])), "left"), True
+            them = sets.join(rest.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid"])
+            left, prefixed = written(_prefixes(written(them, "loose")), "prefixes").withColumn("bk", F.explode("keys")), True
 
     # component of every node, then of every row
     placed = _in_components(nodes.select("sid", "ord"), labels)

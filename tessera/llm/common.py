@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 MAX_LONG = (1 << 63) - 1
 #: Bytes of text that a Python worker turns into arrays at a time.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 U64 = np.uint64
 
 

@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 from .common import U64, as_longs, bitmap, column, gram_hashes, in_bitmap, joined_bytes, keyed, longs, mixed, n_partitions, powers, sha256_hex, sliced, span_hashes, word_spans, written
 
 #: Bytes of packed strings that a task sorts at once, unless one token has more.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
+#: Windows that are sorted at once.
+SORTED = 300_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -250,58 +252,76 @@ def settle(rows: dict, w: Windows, border: list[bytes]) -> pa.RecordBatch | None
     reps = reps[(strings[lead[reps]] > 1) | is_border[lead[reps]]]
     if not len(reps):
         return out.batch()
-    of = np.repeat(np.arange(len(reps)), n[reps])
-    j = np.arange(len(of)) - np.repeat(np.cumsum(n[reps]) - n[reps], n[reps])
-    row = reps[of]
     if w.words:
         data, _, _ = joined_bytes([packed[k] for k in reps.tolist()])
         ws, we = word_spans(data)
         tens = gram_hashes(span_hashes(data, ws, we), 10)
-        word = (np.cumsum(n[reps] + w.width - 1) - (n[reps] + w.width - 1))[of] + j
-        steps = [*range(0, w.width - 10, 10), w.width - 10]
-        char = lambda i, d: tens[word[i] + steps[d]]
-        raw, lo, hi = data.tobytes(), ws[word], we[word + w.width - 1]
+        first_word = np.cumsum(n[reps] + w.width - 1) - (n[reps] + w.width - 1)
+        raw = data.tobytes()
     else:
-        lo = at[row] + j
-        steps = [*range(0, w.width - 8, 8), w.width - 8]
-        char = lambda i, d: eight[lo[i] + steps[d]].astype(U64)
-        raw, hi = buffer, lo + w.width
-    place = anchor[row] - j
-    o = np.lexsort((place, lead[row]))
-    segment = np.empty(len(row), dtype=np.int64)
-    segment[o] = np.concatenate(([0], np.cumsum((np.diff(lead[row][o]) != 0) | (np.diff(place[o]) != 0))))
-    label = multikey_labels(segment, np.full(len(row), len(steps)), char)
-    o = np.lexsort((start[row] + j, ord_[row], label))
-    head = np.ones(len(o), dtype=bool)
-    head[1:] = np.diff(label[o]) != 0
-    first = np.empty(len(o), dtype=np.int64)
-    first[o] = o[np.flatnonzero(head)[np.cumsum(head) - 1]]
-    repeat = ord_[row] > ord_[row][first]
-    if w.in_document:
-        repeat |= (ord_[row] == ord_[row][first]) & (start[row] + j > (start[row] + j)[first])
-
-    # the same windows in strings that share the first place with their representative
+        raw = buffer
     mates = np.flatnonzero(~later & (rep_of != np.arange(len(later))))
     shares = {int(r): [int(r)] for r in reps}
     for m in mates.tolist():
         if (r := int(rep_of[m])) in shares:
             shares[r].append(m)
-    hit = np.flatnonzero(repeat)
-    if len(hit):
-        new = np.ones(len(hit), dtype=bool)
-        new[1:] = (np.diff(hit) != 1) | (np.diff(of[hit]) != 0)
-        k = np.flatnonzero(new)
-        a, b, r = j[hit[k]], j[hit[np.append(k[1:], len(hit)) - 1]] + w.width, row[hit[k]]
-        out.ranges(ord_[r], th[r], start[r] + a, start[r] + b)
-        for x, y, z in ((x, y, m) for x, y, q in zip(a.tolist(), b.tolist(), r.tolist(), strict=True) for m in shares[q][1:]):
-            out.ranges(ord_[[z]], th[[z]], start[[z]] + x, start[[z]] + y)
-    open_ = np.flatnonzero(~repeat & is_border[lead[row]])
-    if len(open_):
-        digests = [hashlib.blake2b(raw[x:y], digest_size=16).digest() for x, y in zip(lo[open_].tolist(), hi[open_].tolist(), strict=True)]
-        out.border(ord_[row[open_]], th[row[open_]], (start[row] + j)[open_], digests)
-        for k, x in zip(open_.tolist(), digests, strict=True):
-            for m in shares[int(row[k])][1:]:
-                out.border(ord_[[m]], th[[m]], start[[m]] + j[k], [x])
+
+    def settle_windows(of: np.ndarray, j: np.ndarray) -> None:
+        """The j-th windows of the strings reps[of]; of each token and place all or none."""
+        row = reps[of]
+        if w.words:
+            word = first_word[of] + j
+            steps = [*range(0, w.width - 10, 10), w.width - 10]
+            char = lambda i, d: tens[word[i] + steps[d]]
+            lo, hi = ws[word], we[word + w.width - 1]
+        else:
+            lo = at[row] + j
+            steps = [*range(0, w.width - 8, 8), w.width - 8]
+            char = lambda i, d: eight[lo[i] + steps[d]].astype(U64)
+            hi = lo + w.width
+        place = anchor[row] - j
+        o = np.lexsort((place, lead[row]))
+        segment = np.empty(len(row), dtype=np.int64)
+        segment[o] = np.concatenate(([0], np.cumsum((np.diff(lead[row][o]) != 0) | (np.diff(place[o]) != 0))))
+        label = multikey_labels(segment, np.full(len(row), len(steps)), char)
+        where = start[row] + j
+        o = np.lexsort((where, ord_[row], label))
+        head = np.ones(len(o), dtype=bool)
+        head[1:] = np.diff(label[o]) != 0
+        first = np.empty(len(o), dtype=np.int64)
+        first[o] = o[np.flatnonzero(head)[np.cumsum(head) - 1]]
+        repeat = ord_[row] > ord_[row][first]
+        if w.in_document:
+            repeat |= (ord_[row] == ord_[row][first]) & (where > where[first])
+        hit = np.flatnonzero(repeat)
+        if len(hit):
+            new = np.ones(len(hit), dtype=bool)
+            new[1:] = (np.diff(j[hit]) != 1) | (np.diff(of[hit]) != 0)
+            k = np.flatnonzero(new)
+            a, b, r = j[hit[k]], j[hit[np.append(k[1:], len(hit)) - 1]] + w.width, row[hit[k]]
+            out.ranges(ord_[r], th[r], start[r] + a, start[r] + b)
+            for x, y, z in ((x, y, m) for x, y, q in zip(a.tolist(), b.tolist(), r.tolist(), strict=True) for m in shares[q][1:]):
+                out.ranges(ord_[[z]], th[[z]], start[[z]] + x, start[[z]] + y)
+        open_ = np.flatnonzero(~repeat & is_border[lead[row]])
+        if len(open_):
+            digests = [hashlib.blake2b(raw[x:y], digest_size=16).digest() for x, y in zip(lo[open_].tolist(), hi[open_].tolist(), strict=True)]
+            out.border(ord_[row[open_]], th[row[open_]], where[open_], digests)
+            for k, x in zip(open_.tolist(), digests, strict=True):
+                for m in shares[int(row[k])][1:]:
+                    out.border(ord_[[m]], th[[m]], start[[m]] + j[k], [x])
+
+    of = np.repeat(np.arange(len(reps), dtype=np.int32), n[reps])
+    j = np.arange(len(of), dtype=np.int32) - np.repeat(np.cumsum(n[reps]) - n[reps], n[reps]).astype(np.int32)
+    if len(of) <= SORTED:
+        settle_windows(of, j.astype(np.int64))
+    else:
+        place = anchor[reps].astype(np.int32)[of] - j
+        sizes = np.bincount(place)
+        group = (np.cumsum(sizes) - sizes) // SORTED
+        part = group[place]
+        for k in np.unique(group):
+            some = np.flatnonzero(part == k)
+            settle_windows(of[some], j[some].astype(np.int64))
     return out.batch()
 
 

@@ -24,6 +24,13 @@ from pyspark.sql import DataFrame
 
 from .common import column, sha256_hex, sliced
 
+# fixed values: letters and numbers, and capitals with their small letters (first, last, distance), of the latest Unicode
+# versions, on which the tokenizers library, the regex module and Python disagree; the library doesn't take them for letters
+# or numbers, but does lower the capitals
+NO_LETTERS = "558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7d2 a7d4 a7dd a7e2 a7f1 ab6c-ab6d 107bb-107bf 10940-10959 10ec5-10ec7 10ed9-10eee 11b0a 11db0-11ddb 11df1 16ea0-16eb8 16ebb-16ed3 16ff2-16ff3 187f8-187ff 18cd6-18cda 18d09-18d20 18d80-18df2 18e00-19191 191a0-191d2 1b123-1b128 1b168 1d6a6 1df1f-1df24 1df2b-1df81 1df90-1df96 1dfcd-1dfff 1e6c0-1e6de 1e6e0-1e6e2 1e6e4-1e6e5 1e6e7-1e6ed 1e6f0-1e6f4 1e6fe-1e6ff 2b73a-2b73f 2b81e 2cea2-2cead 323b0-33479 3d000-3fc3f"
+NO_NUMBERS = "11de0-11de9 1246f 12475-1247f 12550-12686 16ff4-16ff6"
+CAPITALS = ((0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, 0x264 - 0xA7CB), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, 0x19B - 0xA7DC), (0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B))
+
 #: Distinct words that a worker remembers; beyond it the memory is emptied and filled anew.
 WORDS_KEPT = 400_000
 
@@ -35,6 +42,11 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+def _but(kind: str, but: str) -> str:
+    """A set in the regex module's syntax: a property without ranges of code points."""
+    return rf"[\p{{{kind}}}--[{''.join('-'.join(chr(int(x, 16)) for x in r.split('-')) for r in but.split())}]]"
+
+
 class TrieEncoder:
     """Encodes words (pieces after the split) and whole texts; `ids` of a text are those of the tokenizers library."""
 
@@ -52,6 +64,9 @@ class TrieEncoder:
         self.symbols = byte_symbols()
         split = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces = regex.compile(split).findall
+        exact = split.replace(r"\p{L}", _but("L", NO_LETTERS)).replace(r"\p{N}", _but("N", NO_NUMBERS))
+        self.exact_pieces = regex.compile(exact, regex.V1).findall
+        self.small = {k: k + d for a, b, d in CAPITALS for k in range(a, b + 1)}
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.white = regex.compile(r"\s+")
         self.known: dict[str, tuple[str, str, int]] = {}
@@ -133,13 +148,14 @@ class TrieEncoder:
 
     def split(self, text: str) -> list[str]:
         """Pieces of a text between special strings, after NFC, white space and lower case, character by character."""
-        if not text.isascii():
-            text = self.white.sub(" ", unicodedata.normalize("NFC", text))
-            low = text.lower()
-            text = low if "Σ" not in text else "".join(c.lower() for c in text)
-        else:
-            text = text.lower()
-        return self.pieces(text)
+        if text.isascii():
+            return self.pieces(text.lower())
+        text = self.white.sub(" ", unicodedata.normalize("NFC", text))
+        recent = max(text) >= "\u0558"
+        if recent:
+            text = text.translate(self.small)
+        text = text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
+        return self.exact_pieces(text) if recent else self.pieces(text)
 
     def parts_of(self, text: str) -> list[tuple[bool, object]]:
         """(True, special string) and (False, pieces), in order."""

@@ -117,3 +117,12 @@ def quality(docs: DataFrame, *more: str, rules: dict[str, Column] | None = None)
     order = [r["name"] for r in ordered_rules(docs, rules)]
     stats = text_stats(docs, *more)
     return stats.select("*", base_failed().alias("base_failed"), (~cascade(rules, order, base_failed())).alias("kept"))
+
+
+def keep(docs: DataFrame, *more: str, rules: dict[str, Column] | None = None) -> DataFrame:
+    """The rows of quality() that are kept.
+
+    The row number makes the optimizer leave the filter above the statistics; below, it would copy their expressions into
+    the condition over and over.
+    """
+    return quality(docs, *more, rules=rules).withColumn("s_row", F.monotonically_increasing_id()).where("kept and s_row >= 0").drop("s_row")

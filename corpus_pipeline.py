@@ -15,14 +15,14 @@ from tessera.llm.common import keyed, written
 from tessera.llm.lines import dedup_lines
 from tessera.llm.minhash import near_duplicates
 from tessera.llm.mixing import mixed_documents
-from tessera.llm.quality import quality
+from tessera.llm.quality import keep
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the cascade rejects go."""
-    return quality(docs, "lang", "source", "n_chars").where("kept").select(*COLUMNS)
+    return keep(docs, "lang", "source", "n_chars").select(*COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

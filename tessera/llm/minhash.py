@@ -9,9 +9,9 @@ Documents with equal sets are one node. Links are confirmed on full sets, and on
 need, never all pairs of a bucket:
 
 1. Each bucket's members are compared with one of them, another one in each band. Confirmed links are contracted.
-2. Buckets that still hold several components may hide links. Up to 16 members are compared with each other, where they
-   are in different components. In larger buckets the members outside the largest component are compared with the rest,
-   64 at a time, until no two of different components are left.
+2. Buckets that still hold several components may hide links: the members outside the largest component are compared
+   with the others. Only pairs that a sketch of their sets leaves possible come out of that join (see parities; no link is
+   lost by it).
 3. Large loose buckets (more than 64 outside the largest component; they share a common passage, say) go another way:
    their sets are joined exactly, by prefix filtering. Two sets at 3/4 share one of each other's rarest shingles (a quarter
    of them and one), so common passages meet only where they make up three quarters of a text. The buckets of these
@@ -33,9 +33,9 @@ from .components import components
 
 SHINGLE = 5
 BANDS = 48
-#: Members of a bucket that may be compared with each other; larger ones go by leaders.
+#: A bucket with more members than SMALL, of which more than STRAYS are outside its largest component, is loose.
 SMALL = 16
-LEADERS = 64
+STRAYS = 64
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -119,7 +119,30 @@ def _sets(batches: Iterator[pa.RecordBatch], wanted: Broadcast) -> Iterator[pa.R
         whole, _ = band_keys(vals, sizes, 0)
         some = np.flatnonzero(sizes > 0)
         offs = np.concatenate(([0], np.cumsum(sizes[some]))).astype(np.int32)
-        yield pa.RecordBatch.from_pydict({"sid": pa.array(as_longs(whole)), "set": pa.ListArray.from_arrays(pa.array(offs), pa.array(as_longs(vals)))})
+        par = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * SKETCH), pa.array(parities(vals, sizes[some]).ravel()))
+        yield pa.RecordBatch.from_pydict({"sid": pa.array(as_longs(whole)), "set": pa.ListArray.from_arrays(pa.array(offs), pa.array(as_longs(vals))), "par": par})
+
+
+#: Longs of a parity sketch.
+SKETCH = 16
+
+
+def parities(vals: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each set (none empty) a bitmap in which each element has turned one bit around.
+
+    Bits that differ between two sets' sketches are at most as many as elements that only one of them has: a bound that
+    holds always, on what is left of the similarity.
+    """
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    bit = (mixed(vals + U64(99)) & U64(SKETCH * 64 - 1)).astype(np.int64)
+    odd = np.bincount(row * (SKETCH * 64) + bit, minlength=len(sizes) * SKETCH * 64) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(-1, 64), axis=1, bitorder="little").view(np.int64).reshape(-1, SKETCH)
+
+
+def _possible() -> Column:
+    """Whether sets of sizes n and l_n with sketches par and l_par may be at 3/4: then at most a seventh of their sizes is not shared."""
+    differ = " + ".join(f"bit_count(par[{k}] ^ l_par[{k}])" for k in range(SKETCH))
+    return F.expr(f"4 * least(n, l_n) >= 3 * greatest(n, l_n) and 7 * ({differ}) <= n + l_n")
 
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -147,11 +170,6 @@ def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
     return written(there.join(buckets, "bk"), "there")
 
 
-def _comparable(a: str, b: str) -> Column:
-    """Sizes that a similarity of 3/4 allows."""
-    return F.expr(f"4 * least({a}, {b}) >= 3 * greatest({a}, {b})")
-
-
 #: Parts in which shingles are counted, and slots (log2) of all their counts: 16 MB, whatever the input.
 PARTS, SLOTS_LOG2 = 64, 24
 
@@ -200,15 +218,15 @@ def _first(batches: Iterator[pa.RecordBatch], logs: Broadcast) -> Iterator[pa.Re
             rarity = logs.value[(v >> U64(58)).astype(np.int64), _slot(v)]
             takes = prefix_size(len(v)) - int((rarity == 0).sum())
             if takes > 0:
-                v, rarity = v[rarity > 0], rarity[rarity > 0]
-                rows.append((sid, len(v), as_longs(v[np.lexsort((v, rarity))[:takes]])))
+                some = v[rarity > 0]
+                rows.append((sid, len(v), as_longs(some[np.lexsort((some, rarity[rarity > 0]))[:takes]])))
         cols = list(zip(*rows, strict=True)) or [[]] * 3
         kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["sid", "left", "keys"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["sid", "n", "keys"])
 
 
 def _prefixes(sets: DataFrame) -> DataFrame:
-    """sid, n, keys: of each set the rarest shingles that another of these sets may have, as far as its prefix goes.
+    """bk (a shingle), sid, n: of each set the rarest shingles that another of these sets may have, as far as its prefix goes.
 
     Rarity is read from a table of counts of fixed size; shingles that share a slot count together, which costs some
     order but no result.
@@ -218,8 +236,8 @@ def _prefixes(sets: DataFrame) -> DataFrame:
     for k, logs in zip(parts.column("part").to_pylist(), parts.column("logs").to_pylist(), strict=True):
         table[k] = np.frombuffer(logs, dtype=np.uint8)
     shared = sets.sparkSession.sparkContext.broadcast(table)
-    first = sets.select("sid", "set").mapInArrow(lambda it: _first(it, shared), "sid long, left long, keys array<long>")
-    return first.join(sets.select("sid", F.size("set").alias("n")), "sid").select("sid", "n", "keys")
+    first = sets.select("sid", "set").mapInArrow(lambda it: _first(it, shared), "sid long, n long, keys array<long>")
+    return first.select(F.explode("keys").alias("bk"), "sid", "n")
 
 
 def _bands(batches: Iterator[pa.RecordBatch], reps: Broadcast, several: Broadcast | None) -> Iterator[pa.RecordBatch]:
@@ -236,12 +254,6 @@ def _bands(batches: Iterator[pa.RecordBatch], reps: Broadcast, several: Broadcas
         yield pa.RecordBatch.from_pydict({"bk": pa.array(keys[hit]), **{c: column(b, c).take(pa.array(row[hit])) for c in ("sid", "rk", "n")}})
 
 
-def _chosen(batches: Iterator[pa.RecordBatch], wanted: Broadcast) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        hit = np.flatnonzero(in_bitmap(wanted.value, longs(b, "rk")))
-        yield b.take(pa.array(hit))
-
-
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, ord, th (see keyed), n_shingles, component_id, kept.
 
@@ -268,49 +280,34 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     leads = written(leads.select("bk", F.col("l.sid").alias("l_sid"), F.col("l.n").alias("l_n")), "buckets")
     members = written(members.join(leads, "bk"), "members")
     wanted = share(members, "rk")
-    sets = written(rows.mapInArrow(lambda it: _sets(it, wanted), "sid long, set array<long>"), "sets")
-    pairs = members.where((F.col("sid") != F.col("l_sid")) & _comparable("n", "l_n")).select(F.col("sid").alias("x"), F.col("l_sid").alias("y")).distinct()
+    sets = written(rows.mapInArrow(lambda it: _sets(it, wanted), "sid long, set array<long>, par array<long>"), "sets")
+    sketch = sets.select("sid", "par").dropDuplicates(["sid"])
+    theirs = sketch.select(F.col("sid").alias("l_sid"), F.col("par").alias("l_par"))
+    pairs = members.where("sid <> l_sid and 4 * least(n, l_n) >= 3 * greatest(n, l_n)").select("sid", "l_sid", "n", "l_n").distinct()
+    pairs = pairs.join(theirs, "l_sid").join(sketch, "sid").where(_possible()).select(F.col("sid").alias("x"), F.col("l_sid").alias("y"))
     links = written(_links(pairs, sets), "links")
     labels = components(links)
 
     # 2: the other pairs of different components, bucket by bucket; of large loose ones exactly, by prefixes
-    left, prefixed = members.where("sid <> l_sid").select("bk", "sid", "n", "rk"), False
-    while True:
-        there = _open(left, labels)
-        if there.isEmpty():
-            break
-        loose = f"c > {SMALL} and strays > {LEADERS}"
-        rest = there.where(loose)
-        if not prefixed:
-            there = there.where(f"not ({loose})")
-            here = share(there, "rk")
-            signatures = signed.select("rk", F.col("bands").alias("keys")).mapInArrow(lambda it, here=here: _chosen(it, here), "rk long, keys array<long>")
-            there = there.join(signatures, "rk").drop("rk")
-        # a pair that several buckets bring together is taken in the first of them
-        bands = "element_at(filter(zip_with(keys, l_keys, (a, b) -> if(a = b, a, null)), x -> x is not null), 1)"
-        once = F.expr(("element_at(array_intersect(keys, l_keys), 1)" if prefixed else bands) + " = r_bk")
-        small, large = there.where(f"c <= {SMALL}"), there.where(f"c > {SMALL}")
-        strays = large.where("comp <> major")
-        if prefixed:
-            first = F.row_number().over(Window.partitionBy("bk", F.pmod("sid", F.lit(LEADERS))).orderBy("sid"))
-            strays = strays.withColumn("first", first).where(f"strays <= {LEADERS} or first = 1").drop("first")
-        other = lambda df: df.select(*[F.col(a).alias(b) for a, b in (("sid", "l_sid"), ("n", "l_n"), ("comp", "l_comp"), ("bk", "r_bk"), ("keys", "l_keys"))])
-        differ = (F.col("bk") == F.col("r_bk")) & (F.col("comp") != F.col("l_comp")) & _comparable("n", "l_n") & once
-        pairs = small.join(other(small), differ & (F.col("sid") < F.col("l_sid"))).select("sid", "l_sid")
-        # of two strays the pair comes once
-        pairs = pairs.union(large.join(other(strays), differ & ((F.col("comp") == F.col("major")) | (F.col("sid") < F.col("l_sid")) | F.lit(prefixed))).select("sid", "l_sid"))
-        pairs = pairs.select(F.least("sid", "l_sid").alias("x"), F.greatest("sid", "l_sid").alias("y")).distinct()
-        new = written(_links(pairs, sets), "links")
-        if not new.isEmpty():
-            links = links.union(new)
-            labels = components(links)
-        if rest.isEmpty():
-            break
-        if prefixed:
-            left = rest.select("bk", "sid", "n", "keys").join(strays.select("bk", "sid"), ["bk", "sid"], "left_anti")
-        else:
-            them = sets.join(rest.select("sid").distinct(), "sid", "left_semi").dropDuplicates(["sid"])
-            left, prefixed = written(_prefixes(written(them, "loose")), "prefixes").withColumn("bk", F.explode("keys")), True
+    def compared(there: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Links and labels after comparing, in each bucket of _open, those outside the largest component with all of other ones."""
+        there = written(there.join(sketch, "sid"), "there")
+        stray = there.where("comp <> major").select(F.col("bk").alias("r_bk"), F.col("sid").alias("l_sid"), F.col("n").alias("l_n"), F.col("comp").alias("l_comp"), F.col("par").alias("l_par"))
+        once = F.expr("comp = major or sid < l_sid")
+        pairs = there.join(stray, (F.col("bk") == F.col("r_bk")) & (F.col("comp") != F.col("l_comp")) & once & _possible())
+        new = written(_links(pairs.select(F.least("sid", "l_sid").alias("x"), F.greatest("sid", "l_sid").alias("y")).distinct(), sets), "links")
+        links = links.union(new)
+        return links, components(links)
+
+    loose = f"c > {SMALL} and strays > {STRAYS}"
+    there = _open(members.where("sid <> l_sid").select("bk", "sid", "n"), labels)
+    if not there.isEmpty():
+        links, labels = compared(there.where(f"not ({loose})"), links)
+        rest = written(there.where(loose).select("sid").distinct(), "rest")
+        if not rest.isEmpty():
+            them = written(sets.join(rest, "sid", "left_semi").dropDuplicates(["sid"]), "loose")
+            there = _open(written(_prefixes(them), "prefixes"), labels)
+            links, labels = compared(there, links)
 
     # component of every node, then of every row
     placed = _in_components(nodes.select("sid", "ord"), labels)

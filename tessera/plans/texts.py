@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import maths as M
 from tessera.functions import text as X
 from tessera.functions import vectors as V
-from tessera.operators.chunks import chunk
+from tessera.operators.chunks import ENDINGS, chunk
 from tessera.operators.relational import page_with_total
 from tessera.session import Tables
 
@@ -285,29 +285,49 @@ def histogram(t: Tables) -> DataFrame:
     return t.lineitem.crossJoin(ends).groupBy(place.alias("bin")).agg(n("n"))
 
 
+def _chunk_sql(size: int = 500, overlap: int = 50) -> str:
+    """The chunker as a recursive query: ends are looked for in the reversed window; texts without blank spans of a chunk's length."""
+
+    def last(needle: str, at: str) -> str:
+        back = needle[::-1].replace("\n", "' || chr(10) || '")
+        return f"(CASE WHEN instr(reverse(substr(t, {at} + 1, {size})), '{back}') > 0 THEN {size} + 1 - {len(needle)} - instr(reverse(substr(t, {at} + 1, {size})), '{back}') ELSE -1 END)"
+
+    def end(at: str) -> str:
+        half = size // 2
+        best = " ".join(f"WHEN {last(x, at)} > {half} THEN {last(x, at)} + {len(x)}" for x in ENDINGS)
+        line = f"CASE WHEN {last(chr(10), at)} > {half} THEN {last(chr(10), at)} + 1 ELSE {size} END"
+        return f"(CASE WHEN {last(chr(10) * 2, at)} > {half} THEN {last(chr(10) * 2, at)} + 2 WHEN coalesce(CASE {best} END, {size}) = {size} THEN {line} ELSE CASE {best} END END)"
+
+    return f"""WITH RECURSIVE d AS (SELECT doc_id, {_CLEAN} AS t FROM documents WHERE length(text) > 0),
+c AS (SELECT doc_id, t, 0 AS i, 0::BIGINT AS s, (CASE WHEN length(t) <= {size} THEN length(t) ELSE {end("0")} END)::BIGINT AS e FROM d
+UNION ALL SELECT doc_id, t, i + 1, e - {overlap}, (CASE WHEN e - {overlap} + {size} >= length(t) THEN length(t) ELSE e - {overlap} + {end(f"(e - {overlap})")} END)::BIGINT FROM c WHERE e < length(t))"""
+
+
 def chunks(t: Tables) -> DataFrame:
     return chunk(t.documents, "doc_id", "text", 500, 50)
 
 
-@query()
+@query(_chunk_sql() + " SELECT doc_id, i::INT AS chunk_index, s::INT AS start_char, e::INT AS end_char, sha256(substr(t, s + 1, e - s)) AS content_hash FROM c")
 def chunk_documents(t: Tables) -> DataFrame:
     return chunks(t).select("doc_id", "chunk_index", "start_char", "end_char", F.sha2("content", 256).alias("content_hash"))
 
 
-@query()
+@query(_chunk_sql() + " SELECT doc_id, i::INT AS chunk_index, 50 AS overlap FROM c WHERE i > 0")
 def chunk_overlap_check(t: Tables) -> DataFrame:
     """How far each chunk reaches into the one before."""
     before = F.lag("end_char").over(Window.partitionBy("doc_id").orderBy("chunk_index"))
     return chunks(t).select("doc_id", "chunk_index", (before - F.col("start_char")).alias("overlap")).where("overlap is not null")
 
 
-@query()
+@query(_chunk_sql() + " SELECT doc_id, i::INT AS chunk_index, e::INT AS end_char, (SELECT count(*) FROM c) AS total FROM c ORDER BY doc_id, i LIMIT 50")
 def chunk_page(t: Tables) -> DataFrame:
     """Chunks of the first documents, in order, with their number."""
     return page_with_total(chunks(t).select("doc_id", "chunk_index", "end_char"), [F.asc("doc_id"), F.asc("chunk_index")], 0, 50)
 
 
-@query()
+@query(_chunk_sql() + """, k AS (SELECT doc_id, count(*) AS n, sum(floor(len(regexp_extract_all(substr(t, s + 1, e - s), '[\\x{4e00}-\\x{9fff}]')) / 1.5::DOUBLE + (e - s - len(regexp_extract_all(substr(t, s + 1, e - s), '[\\x{4e00}-\\x{9fff}]'))) / 4.0::DOUBLE))::BIGINT AS tokens FROM c GROUP BY doc_id),
+a AS (SELECT documents.doc_id, source, CASE WHEN n IS NULL THEN 'failed' ELSE 'completed' END AS status, coalesce(n, 0) AS chunk_count, coalesce(tokens, 0) AS tokens FROM documents LEFT JOIN k ON k.doc_id = documents.doc_id)
+SELECT doc_id, status, chunk_count, b.document_count, b.total_chunks, b.total_tokens FROM a JOIN (SELECT source, count(*) FILTER (WHERE status = 'completed') AS document_count, sum(chunk_count)::BIGINT AS total_chunks, sum(tokens)::BIGINT AS total_tokens FROM a GROUP BY source) b USING (source)""")
 def ingest_pipeline(t: Tables) -> DataFrame:
     """Each document's status, chunks and tokens, and its knowledge base's counters."""
     by = chunks(t).groupBy("doc_id").agg(n("chunk_count"), F.sum(X.token_estimate(F.col("content"))).alias("token_count"))

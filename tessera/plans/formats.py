@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import code as K
+from tessera.functions import text as X
 from tessera.functions.maths import calculate
+from tessera.functions.tools import Tool, Tools
 from tessera.session import Tables
 from tessera.sources import bibliography as B
 from tessera.sources import web
@@ -151,6 +153,45 @@ def calculator(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", f(F.concat(F.lit("floor(("), F.col("p_size").cast("string"), F.lit(" * 2 + 1) / 3)"))).alias("value"))
 
 
+@query("SELECT conv_id, turn, role AS tool, CASE WHEN turn % 2 = 0 THEN 'k' END AS k, 'say ' || role AS left_over FROM conversations")
+def bare_calls(t: Tables) -> DataFrame:
+    """Calls without tags, and what is left of the reply without them."""
+    k = F.when(F.col("turn") % 2 == 0, '"q": "k"').otherwise("")
+    x = F.concat(F.lit("say <answer>"), F.col("role"), F.lit('</answer> {"tool": "'), F.col("role"), F.lit('", "input": {'), k, F.lit("}}"))
+    call = X.bare_call(F.col("x"))
+    flat = F.replace(F.replace("x", F.lit(', "input": {'), F.lit(", ")), F.lit("}}"), F.lit("}"))
+    return t.conversations.withColumn("x", x).select("conv_id", "turn", call["tool"].alias("tool"), F.try_element_at(call["input"], F.lit("q")).alias("k"), X.without_tags_and_calls(flat).alias("left_over"))
+
+
+@query("SELECT page_id, url AS title, 'https://e.org/' || page_id AS link, CASE WHEN page_id % 2 = 0 THEN 'a & b' ELSE '' END AS snippet FROM pages")
+def result_links(t: Tables) -> DataFrame:
+    k = F.col("page_id").cast("string")
+    note = F.when(F.col("page_id") % 2 == 0, '<a class="result__snippet">a &amp; <b>b</b></a>').otherwise("")
+    page = F.concat(F.lit('<a rel="x" class="result__a" href="https://e.org/'), k, F.lit('"><b>'), F.col("url"), F.lit("</b></a>"), note)
+    return t.pages.select("page_id", F.inline(X.result_links(page))).select("page_id", "title", F.col("url").alias("link"), "snippet")
+
+
+@query("SELECT c_custkey, string_agg(place || '. ' || o_orderpriority || CASE WHEN o_orderstatus = 'F' THEN '' ELSE chr(10) || '   ' || o_orderstatus END, chr(10) ORDER BY place) AS listing FROM (SELECT o_custkey AS c_custkey, o_orderpriority, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM orders) GROUP BY c_custkey")
+def result_listing(t: Tables) -> DataFrame:
+    """Numbered blocks of each customer's orders."""
+    row = F.struct("o_orderkey", "o_orderpriority", F.when(F.col("o_orderstatus") == "F", "").otherwise(F.col("o_orderstatus")).alias("note"))
+    rows = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.array_sort(F.collect_list(row)).alias("r"))
+    return rows.select("c_custkey", X.numbered(F.col("r"), "o_orderpriority", "note").alias("listing"))
+
+
+@query("SELECT page_id, url AS text FROM pages")
+def css_select(t: Tables) -> DataFrame:
+    page = F.concat(F.lit('<div id="a">no</div><p class="x main">'), F.col("url"), F.lit("<br></p><p>no</p>"))
+    return web.select(t.pages.withColumn("page", page), "page_id", "page", "p.main").select("page_id", F.explode("texts").alias("text"))
+
+
+@query("SELECT event_id, event_type IN ('view', 'click') AS success, CASE event_type WHEN 'view' THEN upper(event_type) WHEN 'click' THEN '5' END AS output, CASE WHEN event_type = 'error' THEN 'no output' WHEN event_type NOT IN ('view', 'click') THEN 'unknown tool: ' || event_type END AS error FROM events")
+def tool_dispatch(t: Tables) -> DataFrame:
+    """Each row's tool called on its argument; unknown and failing tools are errors of their rows."""
+    tools = Tools(Tool("view", "upper case", F.upper), Tool("click", "length", lambda a: F.length(a).cast("string")), Tool("error", "nothing", lambda a: F.lit(None).cast("string")))
+    return t.events.select("event_id", tools.call(F.col("event_type"), F.col("event_type")).alias("r")).select("event_id", "r.*")
+
+
 # fixed values: tools and whether they need the user's permission
 TOOLS = {"knowledge_search": False, "web_search": False, "calculator": False, "datetime": False, "text_analysis": False, "unit_converter": False, "literature_search": False, "notebook_execute": True, "notebook_variables": True, "notebook_cell": True, "pip_install": True, "web_scrape": False, "code_analysis": False}
 PROVIDERS = {"deepseek": 1536, "aliyun": 1536, "local": 768}

@@ -67,6 +67,61 @@ class Page(HTMLParser):
             self._cell.append(data)
 
 
+#: Elements that have no end tag.
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+
+
+class Selected(HTMLParser):
+    """Texts of the elements that a simple selector takes: a tag, .class, #id, or a tag with one of these."""
+
+    def __init__(self, html: str, selector: str):
+        super().__init__()
+        self.texts: list[str] = []
+        self._tag, self._class, self._id = selector, "", ""
+        if "." in selector:
+            self._tag, self._class = selector.split(".", 1)
+        elif "#" in selector:
+            self._tag, self._id = selector.split("#", 1)
+        self._stack: list[tuple[str, list[str] | None]] = []
+        self.feed(html)
+        self.close()
+        while self._stack:
+            self._leave(self._stack.pop())
+
+    def _leave(self, element: tuple[str, list[str] | None]) -> None:
+        if element[1] is not None:
+            self.texts.append("".join(element[1]).strip())
+
+    def handle_starttag(self, tag, attrs):
+        a = dict(attrs)
+        takes = self._tag in ("", "*", tag) and (not self._class or self._class in (a.get("class") or "").split()) and (not self._id or self._id == a.get("id"))
+        if tag not in VOID:
+            self._stack.append((tag, [] if takes else None))
+
+    def handle_endtag(self, tag):
+        if any(t == tag for t, _ in self._stack):
+            while self._stack[-1][0] != tag:
+                self._leave(self._stack.pop())
+            self._leave(self._stack.pop())
+
+    def handle_data(self, data):
+        if not any(t in SKIPPED for t, _ in self._stack):
+            for _, got in self._stack:
+                if got is not None:
+                    got.append(data)
+
+
+def select(pages: DataFrame, key: str, html: str, selector: str) -> DataFrame:
+    """key and texts of the elements that the selector takes, inner ones before those around them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"key": b["key"], "texts": [Selected(x or "", selector).texts for x in b["html"]]})
+
+    schema = f"key {dict(pages.dtypes)[key]}, texts array<string>"
+    return pages.select(F.col(key).alias("key"), F.col(html).alias("html")).mapInPandas(run, schema).withColumnRenamed("key", key)
+
+
 def extract(pages: DataFrame, key: str, html: str, links: int = 50, tables: int = 5) -> DataFrame:
     """key, body (text pieces by line), links (http only, texts cut at 50) and tables (rows that aren't empty) of each page. Null pages give empty ones."""
 

@@ -167,3 +167,14 @@ def test_windowed_stream(spark, tmp_path):
     q = s.writeStream.format("memory").queryName("windows").outputMode("complete").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("windows").count() == 2
+
+
+def test_selectors():
+    html = '<div class="a b"><p id="q">x<br>y</p></div><p>z</p><script>no</script>'
+    assert web.Selected(html, ".b").texts == ["xy"] and web.Selected(html, "p#q").texts == ["xy"]
+    assert web.Selected(html, "p").texts == ["xy", "z"] and web.Selected("<p>open", "p").texts == ["open"]
+
+
+def test_broken_calls(spark):
+    assert one(spark, X.bare_call(F.col("t")), t="nothing here") is None
+    assert one(spark, X.without_tags_and_calls(F.col("t")), t="<think>a</think> {\"tool\": 1} b ") == "a  b"

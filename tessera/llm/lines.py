@@ -103,6 +103,8 @@ def _candidates(batches: Iterator[pa.RecordBatch], places: Broadcast, halves: Br
                     lines.append(line)
         at, j = np.array(row, dtype=np.int64), np.array(no, dtype=np.int64)
         keep = np.flatnonzero(in_bitmap(places.value, place_hash(ord_[at], j, th[at]))) if len(at) else at
+        # a full bitmap also lets in lines without a word, which _lines has passed over
+        keep = np.array([k for k in keep.tolist() if lines[k].encode("utf-8", "surrogatepass").split()], dtype=np.int64)
         if not len(keep):
             continue
         texts = [lines[k] for k in keep.tolist()]

@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+
+from tessera.llm import lines
 from tessera.llm.common import MAX_LONG
 from tessera.llm.lines import dedup_lines
 
@@ -60,5 +63,12 @@ def test_corpus(spark):
     check(spark, [*rows, rows[0]])
 
 
+def test_full_bitmaps_change_nothing(spark, monkeypatch):
+    monkeypatch.setattr(lines, "bitmap", lambda keys, name: np.full(1, (1 << 64) - 1, dtype=np.uint64))
+    blank, long = " " * 24, "a line of more than twenty characters"
+    texts = [blank, f"{blank}\n{long}\n{' ' * 25}", f"{' ' * 12}x{' ' * 11}\n\t{' ' * 23}", f"{long}s\n{blank}\n{blank}", f"{' ' * 30}\n{' ' * 30}"]
+    assert sum(r[2] for r in check(spark, [(k, x, "en", "s", 1) for k, x in enumerate(texts)])) == 1
+
+
 def test_empty(spark):
     assert dedup_lines(spark.createDataFrame([], SCHEMA)).collect() == []

@@ -90,10 +90,14 @@ def _nearest(k: int):
             lists = group.column("v").chunk(0)
             x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
             rows, own = x[~asked], ids[~asked]
+            repeated = len(np.unique(own)) < len(own)
             for q, v in zip(ids[asked].tolist(), x[asked], strict=True):
                 d = np.sqrt(((rows - v) ** 2).sum(axis=1))
-                o = np.lexsort((own, d))[: k + 1]
-                o = o[own[o] != q][:k]
+                o = np.lexsort((own, d))
+                o = o[own[o] != q]
+                if repeated:  # the nearest row of each id
+                    o = o[np.sort(np.unique(own[o], return_index=True)[1])]
+                o = o[:k]
                 out.append((np.full(len(o), q), own[o], d[o]))
         q, own, d = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))
         return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(own, pa.int64()), "score": pa.array(d, pa.float64())})

@@ -62,6 +62,21 @@ def test_one_bucket_holds_most(spark):
     assert [i for _, i, _ in got[1500]] == list(range(10)) and len(got) == 33
 
 
+def test_repeated_ids_hide_no_neighbours(spark):
+    # so near to each other that one bucket of each table holds them all
+    x = vectors(1, 8, seed=4)[0] + 1e-3 * np.random.default_rng(4).normal(size=(21, 8))
+    rows = [(i + 1, v.tolist(), 0) for i, v in enumerate(x[:20])] + [(100, x[20].tolist(), 0)]
+    want = [i for i, _ in brute(rows, 100)]
+    copies = [rows[want[0] - 1]] * 12 + [rows[-1]] * 12
+    assert [i for _, i, _ in search(spark, rows + copies)[100]] == want
+    # one id with many vectors, all nearer than any other row, is one neighbour
+    many = [(50, (x[20] + 1e-5 * j).tolist(), 0) for j in range(1, 14)]
+    assert [i for _, i, _ in search(spark, rows + many)[100]] == [50, *want[:9]]
+    # fewer than ten others
+    few = [r for r in rows if r[0] in (100, *want[:5])]
+    assert [i for _, i, _ in search(spark, few + copies)[100]] == want[:5]
+
+
 def test_empty(spark):
     assert search(spark, []) == {}
 

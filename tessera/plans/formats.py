@@ -146,6 +146,24 @@ def react_stream(t: Tables) -> DataFrame:
     return tags.parse_batch(pieces, "conv_id", "seq", "piece")
 
 
+@query("SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT * 2 AS place, role AS type, text AS data FROM conversations")
+def sse_frames_whole(t: Tables) -> DataFrame:
+    """As sse_frames, over whole messages: JSON escapes their newlines."""
+    frame = F.concat(F.lit("data: "), F.to_json(F.struct(F.col("role").alias("type"), F.col("text").alias("data"))))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", frame.alias("f")))), lambda x: x["f"]), "\n\n")
+    return tags.frames(t.conversations.groupBy("conv_id").agg(text.alias("s")), "conv_id", "s")
+
+
+@query(r"""SELECT conv_id, (2 * (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1))::INT AS place, 'thought' AS type, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM conversations
+UNION ALL SELECT conv_id, (2 * (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) + 1)::INT, 'answer', turn::VARCHAR FROM conversations""")
+def react_stream_whole(t: Tables) -> DataFrame:
+    """As react_stream, with whole messages as thoughts."""
+    reply = F.concat(F.lit("<think> "), F.col("text"), F.lit("</think><answer>"), F.col("turn").cast("string"), F.lit("</answer>"))
+    whole = t.conversations.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", reply.alias("r")))), lambda x: x["r"]), "").alias("s"))
+    pieces = whole.select("conv_id", F.posexplode(F.regexp_extract_all("s", F.lit("(?s).{1,7}"), F.lit(0))).alias("seq", "piece"))
+    return tags.parse_batch(pieces, "conv_id", "seq", "piece")
+
+
 @query("SELECT p_partkey, ((p_size * 2 + 1) // 3)::VARCHAR AS value FROM part")
 def calculator(t: Tables) -> DataFrame:
     """Expressions evaluated by their syntax tree."""

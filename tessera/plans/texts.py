@@ -205,6 +205,33 @@ def code_blocks(t: Tables) -> DataFrame:
     return rows.select("conv_id", "turn", F.inline(parts)).select("conv_id", "turn", F.coalesce(F.nullif(F.col("lang"), F.lit("")), F.lit("python")).alias("lang"), F.length("code").cast("long").alias("n"))
 
 
+_TAGGED_WHOLE = "'<think>' || text || '</think><answer>' || role || '</answer>'"
+
+
+@query(f"SELECT conv_id, turn, trim(regexp_extract(x, '(?s)<think>(.*?)</think>', 1), ' ' || chr(9) || chr(10) || chr(13) || chr(12)) AS thought, role AS answer, CASE WHEN turn % 2 = 0 THEN role END AS tool FROM (SELECT *, {_TAGGED_WHOLE} AS x FROM conversations)")
+def parse_react_whole(t: Tables) -> DataFrame:
+    """As parse_react, with whole messages as thoughts."""
+    action = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("<action>{'tool': '"), F.col("role"), F.lit("'}</action>"))).otherwise("")
+    x = F.concat(F.lit("<think>"), F.col("text"), F.lit("</think>"), action, F.lit("<answer>"), F.col("role"), F.lit("</answer>"))
+    call = F.from_json(F.replace(X.within(F.col("x"), "action"), F.lit("'"), F.lit('"')), "tool string")
+    rows = t.conversations.withColumn("x", x)
+    return rows.select("conv_id", "turn", X.within(F.col("x"), "think").alias("thought"), X.within(F.col("x"), "answer").alias("answer"), call["tool"].alias("tool"))
+
+
+_BLOCK = r"(?s)```(\w+)?\n(.*?)\n?```"
+
+
+@query(rf"""WITH x AS (SELECT conv_id, turn, 'before ```' || CASE WHEN turn % 2 = 0 THEN 'sql' ELSE '' END || chr(10) || text || chr(10) || '``` after' AS x FROM conversations),
+b AS (SELECT conv_id, turn, unnest(regexp_extract_all(x, '{_BLOCK}', 1)) AS lang, unnest(regexp_extract_all(x, '{_BLOCK}', 2)) AS code FROM x)
+SELECT conv_id, turn, CASE WHEN coalesce(lang, '') = '' THEN 'python' ELSE lang END AS lang, length(code) AS n, sha256(code) AS code_sha256 FROM b""")
+def code_blocks_whole(t: Tables) -> DataFrame:
+    """As code_blocks, with whole messages as code; one with a fence in it ends its block there, as in any reply."""
+    lang = F.when(F.col("turn") % 2 == 0, "sql").otherwise("")
+    rows = t.conversations.withColumn("x", F.concat(F.lit("before ```"), lang, F.lit("\n"), F.col("text"), F.lit("\n``` after")))
+    parts = F.arrays_zip(F.regexp_extract_all("x", F.lit(_BLOCK), F.lit(1)).alias("lang"), F.regexp_extract_all("x", F.lit(_BLOCK), F.lit(2)).alias("code"))
+    return rows.select("conv_id", "turn", F.inline(parts)).select("conv_id", "turn", F.coalesce(F.nullif(F.col("lang"), F.lit("")), F.lit("python")).alias("lang"), F.length("code").cast("long").alias("n"), F.sha2("code", 256).alias("code_sha256"))
+
+
 @query("SELECT p_partkey, least(15 + ln(p_size + 1) * 3, 25) AS size, CASE WHEN length(p_name) > 30 THEN left(p_name, 30) || '...' ELSE p_name END AS label FROM part")
 def graph_node_size(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", F.least(15 + F.ln(F.col("p_size") + 1) * 3, F.lit(25.0)).alias("size"), X.truncated(F.col("p_name"), 30).alias("label"))

@@ -52,3 +52,22 @@ def empty_tables(spark, tmp_path_factory):
 @pytest.mark.parametrize("name", ["vector_search", "conversation_list", "keywords", "chunk_documents", "insert_if_absent", "html_extract", "react_stream", "parse_arxiv", "describe", "ingest_pipeline"])
 def test_empty_tables(spark, empty_tables, name):
     plans.QUERIES[name](spark, empty_tables).collect()
+
+
+MESSAGES = [(1, 0, "user", "a\nb `c` \"d\"\n\nlong " + "word " * 400 + "end"), (1, 1, "assistant", "\n\nfirst\r\n" + "x" * 3000), (1, 2, "user", "short"), (2, 0, "user", "é😀\n" * 50 + "中")]
+
+
+@pytest.fixture(scope="module")
+def messages(spark, tmp_path_factory):
+    out = str(tmp_path_factory.mktemp("messages"))
+    spark.createDataFrame(MESSAGES, "conv_id long, turn long, role string, text string").write.parquet(f"{out}/conversations.parquet")
+    return out
+
+
+def test_parsers_get_whole_messages(spark, messages):
+    rows = lambda name, *cols: sorted(tuple(r) for r in plans.QUERIES[name](spark, messages).select(*cols).collect())
+    assert rows("sse_frames_whole", "conv_id", "place", "type", "data") == [(c, 2 * k, r, x) for c, k, r, x in MESSAGES]
+    assert rows("parse_react_whole", "conv_id", "turn", "thought", "answer") == [(c, k, x.strip(), r) for c, k, r, x in MESSAGES]
+    assert rows("code_blocks_whole", "conv_id", "turn", "lang", "n") == [(c, k, "python" if k % 2 else "sql", len(x)) for c, k, _, x in MESSAGES]
+    want = [y for c, k, _, x in MESSAGES for y in ((c, 2 * k, "thought", x.strip()), (c, 2 * k + 1, "answer", str(k)))]
+    assert rows("react_stream_whole", "conv_id", "place", "type", "text") == want

@@ -369,6 +369,14 @@ def safe_ts_sort(t: Tables) -> DataFrame:
     return rows.select("event_id", F.row_number().over(Window.orderBy(F.desc("at"), "event_id")).cast("long").alias("place"))
 
 
+@query("SELECT event_id, coalesce(CASE WHEN event_id % 5 = 0 THEN NULL ELSE ts END, TIMESTAMP '0001-01-01 00:00:00') AS sort_time FROM events ORDER BY sort_time DESC, event_id")
+def safe_ts_sort_whole(t: Tables) -> DataFrame:
+    """As safe_ts_sort, all rows in their order; the time stands for the place, which would need all rows in one task."""
+    text = F.when(F.col("event_id") % 5 == 0, "not a time").otherwise(F.col("ts").cast("string"))
+    when = F.coalesce(F.try_to_timestamp(text).cast("timestamp_ntz"), F.lit("0001-01-01 00:00:00").cast("timestamp_ntz"))
+    return t.events.select("event_id", when.alias("sort_time")).orderBy(F.desc("sort_time"), "event_id")
+
+
 @query("SELECT event_id, user_id, event_type FROM events WHERE event_type = 'view' ORDER BY ts DESC, event_id LIMIT 20")
 def search_history(t: Tables) -> DataFrame:
     return R.paginate(t.events.where("event_type = 'view'").select("event_id", "user_id", "event_type", "ts"), [F.desc("ts"), F.asc("event_id")], 0, 20).drop("ts")
@@ -380,6 +388,13 @@ def my_students(t: Tables) -> DataFrame:
     return R.paginate(joined, [F.col("joined").desc_nulls_first(), F.asc("c_custkey")], 0, 50).select("c_custkey", "c_name")
 
 
+@query("SELECT c_custkey, c_name, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS joined FROM customer ORDER BY joined DESC NULLS FIRST, c_custkey")
+def my_students_whole(t: Tables) -> DataFrame:
+    """As my_students, all of them in their order."""
+    joined = F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("joined")
+    return t.customer.select("c_custkey", "c_name", joined).orderBy(F.col("joined").desc_nulls_first(), "c_custkey")
+
+
 @query("SELECT doc_id, lang, (SELECT count(*) FROM documents WHERE source = 'src3') AS total FROM documents WHERE source = 'src3' ORDER BY doc_id DESC LIMIT 20")
 def document_page(t: Tables) -> DataFrame:
     return R.page_with_total(t.documents.where("source = 'src3'").select("doc_id", "lang"), [F.desc("doc_id")], 0, 20)

@@ -71,3 +71,12 @@ def test_parsers_get_whole_messages(spark, messages):
     assert rows("code_blocks_whole", "conv_id", "turn", "lang", "n") == [(c, k, "python" if k % 2 else "sql", len(x)) for c, k, _, x in MESSAGES]
     want = [y for c, k, _, x in MESSAGES for y in ((c, 2 * k, "thought", x.strip()), (c, 2 * k + 1, "answer", str(k)))]
     assert rows("react_stream_whole", "conv_id", "place", "type", "text") == want
+
+
+@pytest.mark.parametrize("name", ["my_students_whole", "safe_ts_sort_whole"])
+def test_all_rows_in_order(spark, duck, name):
+    df = plans.QUERIES[name](spark, FOLDER)
+    got = [tuple(map(shown, r)) for r in df.collect()]
+    want = [tuple(map(shown, r)) for r in duck.sql(f"SELECT {', '.join(df.columns)} FROM ({plans.ORACLES[name]})").fetchall()]
+    table, most = {"my_students_whole": ("customer", 50), "safe_ts_sort_whole": ("events", 200)}[name]
+    assert got == want and len(got) == duck.sql(f"SELECT count(*) FROM {table}").fetchall()[0][0] > most

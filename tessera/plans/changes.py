@@ -101,6 +101,18 @@ def copy_collection(t: Tables) -> DataFrame:
     return C.insert_if_absent(mine, keyed.where("doc_id % 5 <> 0"), ["key"], [F.asc("doc_id")]).where("doc_id % 5 <> 0")
 
 
+@query("""WITH k AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 's2:' || doc_id WHEN doc_id % 4 = 1 THEN 'doi:' || n_chars ELSE 'title:' || sha256(text) END AS key FROM documents),
+e AS (SELECT key FROM k WHERE doc_id % 5 = 0) SELECT min(doc_id) AS doc_id, key FROM k WHERE doc_id % 5 <> 0 AND key NOT IN (SELECT key FROM e) GROUP BY key""")
+def copy_collection_whole(t: Tables) -> DataFrame:
+    """As copy_collection, with the whole text as title: documents that only begin alike stay apart."""
+    d, k = F.col("doc_id"), F.col("doc_id") % 4
+    s2, doi = F.when(k == 0, d.cast("string")).otherwise(""), F.when(k == 1, F.col("n_chars").cast("string")).otherwise("")
+    tagged = lambda tag, c: F.concat(F.lit(tag), F.nullif(c, F.lit("")))
+    keyed = t.documents.select("doc_id", F.coalesce(tagged("s2:", s2), tagged("doi:", doi), F.concat(F.lit("title:"), F.sha2("text", 256))).alias("key"))
+    mine = keyed.where("doc_id % 5 = 0")
+    return C.insert_if_absent(mine, keyed.where("doc_id % 5 <> 0"), ["key"], [F.asc("doc_id")]).where("doc_id % 5 <> 0")
+
+
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_returnflag <> 'N' THEN 'closed' WHEN l_shipdate < TIMESTAMP '1998-01-01' THEN 'cancelled' WHEN l_linestatus = 'O' THEN 'accepted' ELSE 'rejected' END AS status FROM lineitem""")
 def invitation_transition(t: Tables) -> DataFrame:
     """An answer to a pending invitation; one that has expired is cancelled instead."""

@@ -421,6 +421,15 @@ def search_all(t: Tables) -> DataFrame:
     return a.unionByName(b, allowMissingColumns=True).unionByName(c, allowMissingColumns=True)
 
 
+@query("SELECT 'documents' AS source, doc_id AS id, text AS title, NULL::VARCHAR AS url FROM documents UNION ALL SELECT 'pages', page_id, NULL, url FROM pages UNION ALL SELECT 'benchmark', item_id, text, NULL FROM benchmark")
+def search_all_whole(t: Tables) -> DataFrame:
+    """As search_all, with whole texts as titles."""
+    a = t.documents.select(F.lit("documents").alias("source"), F.col("doc_id").alias("id"), F.col("text").alias("title"))
+    b = t.pages.select(F.lit("pages").alias("source"), F.col("page_id").alias("id"), "url")
+    c = t.benchmark.select(F.lit("benchmark").alias("source"), F.col("item_id").alias("id"), F.col("text").alias("title"))
+    return a.unionByName(b, allowMissingColumns=True).unionByName(c, allowMissingColumns=True)
+
+
 @query("SELECT unnest(['en', 'de', 'zh', 'ja']) AS lang EXCEPT SELECT lang FROM documents")
 def except_defaults(t: Tables) -> DataFrame:
     wanted = t.spark.createDataFrame([(x,) for x in ("en", "de", "zh", "ja")], "lang string")

@@ -80,3 +80,10 @@ def test_all_rows_in_order(spark, duck, name):
     want = [tuple(map(shown, r)) for r in duck.sql(f"SELECT {', '.join(df.columns)} FROM ({plans.ORACLES[name]})").fetchall()]
     table, most = {"my_students_whole": ("customer", 50), "safe_ts_sort_whole": ("events", 200)}[name]
     assert got == want and len(got) == duck.sql(f"SELECT count(*) FROM {table}").fetchall()[0][0] > most
+
+
+def test_documents_that_begin_alike_stay_apart(spark, tmp_path):
+    head = "the same licence line of well over forty characters\n"
+    rows = [(2, head + "one"), (3, head + "two"), (6, head + "one"), (10, head + "mine"), (7, head + "mine")]
+    spark.createDataFrame([(d, x, "en", "s", len(x)) for d, x in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r["doc_id"] for r in plans.QUERIES["copy_collection_whole"](spark, str(tmp_path)).collect()) == [2, 3]

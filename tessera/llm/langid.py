@@ -5,7 +5,7 @@ the languages with the bit and those without) is fitted; a text's bits are decod
 each bit's loss weighted by how often its classifier is right on that language. Where the second-best codeword is close,
 the text is flagged as ambiguous.
 
-Fitting takes a bounded sample of labelled rows (SAMPLE_DOCS a language, chosen by a hash of the text) and gathers one
+Fitting takes a bounded sample of labelled rows (SAMPLE_DOCS a language, chosen by a hash of text and doc_id) and gathers one
 table of languages by n-grams, whatever the input's size. Everything else runs over all rows, as a narrow map.
 """
 
@@ -117,9 +117,14 @@ class Model:
 
 
 def fit(train: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
-    """A model from train (text, lang): rows without a lang or a text are passed over. No rows give a model without languages."""
-    some = train.where("lang is not null and text is not null").select("text", "lang")
-    counts = {r["lang"]: r["n"] for r in some.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    """A model from train (text, lang): rows without a lang or a text are passed over. No rows give a model without languages.
+
+    Where train has a doc_id, copies of a text are sampled each by itself. Every language has the row of its least hash.
+    """
+    key = F.xxhash64("text", *(["doc_id"] if "doc_id" in train.columns else [])).bitwiseAND(F.lit((1 << 30) - 1))
+    some = train.where("lang is not null and text is not null").select("text", "lang", key.alias("key"))
+    found = some.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("least")).limit(MOST_LANGUAGES + 1).collect()
+    counts = {r["lang"]: (r["n"], r["least"]) for r in found}
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"over {MOST_LANGUAGES} languages")
     names = sorted(counts)
@@ -127,10 +132,10 @@ def fit(train: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     size = 1 << TABLE_LOG2
     if len(names) < 2:
         return Model(names, code, np.zeros((size, 0), dtype=np.float32), np.ones((len(names), 0)))
-    share = F.lit(1.0)
-    for name, n in counts.items():
-        share = F.when(F.col("lang") == name, F.lit(sample_docs / n)).otherwise(share)
-    sample = written(some.where((F.xxhash64("text").bitwiseAND(F.lit((1 << 30) - 1)) / F.lit(float(1 << 30))) < share), "languages")
+    most = F.lit(1 << 30)
+    for name, (n, least) in counts.items():
+        most = F.when(F.col("lang") == name, F.lit(max(least, int(sample_docs / n * (1 << 30))))).otherwise(most)
+    sample = written(some.where(F.col("key") <= most).select("text", "lang"), "languages")
     number = {name: k for k, name in enumerate(names)}
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,6 +198,6 @@ def held_out(docs: DataFrame) -> Column:
 
 def identify_held_out(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """Learns from the rows that are not held out, and predicts all: doc_id, held_out, lang_pred, score, ambiguous."""
-    model = fit(docs.where(~held_out(docs)).select(docs["text"], docs["lang"]), sample_docs)
+    model = fit(docs.where(~held_out(docs)).select(docs["doc_id"], docs["text"], docs["lang"]), sample_docs)
     out = identify(docs, model)
     return out.select("doc_id", held_out(out).alias("held_out"), "lang_pred", "score", "ambiguous")

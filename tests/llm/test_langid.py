@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
+from tessera.llm import langid
 from tessera.llm.langid import codewords, fit, identify, identify_held_out
 
 from .fixtures import SCHEMA, corpus, documents, with_clashes
@@ -49,6 +50,18 @@ def test_nothing_or_one_language_learned(spark):
     assert {(r["doc_id"], r["lang_pred"]) for r in identify(one, fit(one)).collect()} == {(1, "en"), (2, "und")}
 
 
+def test_copies_are_sampled_one_by_one(spark, monkeypatch):
+    sizes = []
+    monkeypatch.setattr(langid, "written", lambda df, what: sizes.append(df.count()) or df)
+    copy = texts(1, ["ff"], seed=9)[0][1]
+    docs = documents(spark, texts(600, ["aa"]) + [(1000 + k, copy, "ff", "s", 1) for k in range(600)])
+    model = fit(docs, 30)
+    assert 40 <= sizes[0] <= 90
+    assert {r["lang_pred"] for r in identify(docs.where("lang = 'ff'"), model).collect()} == {"ff"}
+    fit(docs.select("text", "lang"), 0)
+    assert sizes[1] >= 2
+
+
 def test_codewords_are_far_apart():
     for n in (2, 3, 4, 5, 8, 40):
         m = codewords(n)

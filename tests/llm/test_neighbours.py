@@ -5,6 +5,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
+from tessera.llm import neighbours
 from tessera.llm.neighbours import hadamard, nearest, turned
 
 SCHEMA = "vec_id long, embedding array<float>, label int"
@@ -77,6 +78,33 @@ def test_repeated_ids_hide_no_neighbours(spark):
     assert [i for _, i, _ in search(spark, few + copies)[100]] == want[:5]
 
 
+def test_every_row_many_times(spark):
+    for dim, n in ((2, 200), (64, 300)):
+        rows = [(i, v.tolist(), 0) for i, v in enumerate(vectors(n, dim, seed=5))]
+        got = search(spark, rows * 12)
+        assert {q: [i for _, i, _ in x] for q, x in got.items()} == {q: [i for _, i, _ in x] for q, x in search(spark, rows).items()}
+        hits = sum(len({i for _, i, _ in got[q]} & {i for i, _ in brute(rows, q)}) for q in range(0, n, 100))
+        assert hits >= 0.9 * 10 * len(got) and all(len(x) == 10 for x in got.values())
+
+
+def test_recall_holds_at_other_lengths_and_split_groups(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 200)
+    monkeypatch.setattr(neighbours, "GROUP", 300)
+    for dim in (5, 256):
+        rows = [(i, v.tolist(), 0) for i, v in enumerate(vectors(2500, dim, seed=6))]
+        got = search(spark, rows)
+        assert sum(len({i for _, i, _ in got[q]} & {i for i, _ in brute(rows, q)}) for q in got) >= 0.9 * 10 * len(got)
+
+
+def test_few_candidates_where_rows_stand_in_clusters():
+    """Probing shrinks where neighbours are near: of 200,000 rows in clusters a query looks at few."""
+    rng = np.random.default_rng(3)
+    centres = vectors(20_000, 64, seed=7).astype(float)
+    near = np.repeat(centres[:50], 10, axis=0) + 0.05 * rng.normal(size=(500, 64)) / 8
+    plan = neighbours.planned(200_000, 64, centres[:50], np.repeat(np.arange(50), 10), neighbours.unit(near), 3)
+    assert plan.probes * 3 / (plan.n_inner * np.prod([2 * g for g in plan.groups])) < 0.01
+
+
 def test_empty(spark):
     assert search(spark, []) == {}
 

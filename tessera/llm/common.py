@@ -23,10 +23,12 @@ U64 = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one of our own only where it is unset."""
+    """The folder named in spark.checkpoint.dir, else the one set; one of our own only on a local master, where all share it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not set_dir.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = set_dir.get() if set_dir.isDefined() else tempfile.mkdtemp(prefix="tessera-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(found)
@@ -37,10 +39,23 @@ def written(df: DataFrame, what: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts the lineage, and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tessera/{what}-{uuid.uuid4().hex}"
+    _paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_paths: list[str] = []
+
+
+def forget_written(spark: SparkSession) -> int:
+    """Deletes the tables that this driver's operators wrote, for when no result that reads them is wanted any more; returns how many."""
+    path, gone = spark._jvm.org.apache.hadoop.fs.Path, 0
+    while _paths:
+        p = path(_paths.pop())
+        gone += bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True))
+    return gone
+
+
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

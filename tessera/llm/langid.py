@@ -31,7 +31,8 @@ TABLE_LOG2 = 16
 ORDERS = (1, 2, 3)
 #: A difference of losses, as a share of the best codeword's distance, under which the choice is ambiguous.
 CLOSE = 0.1
-MOST_LANGUAGES = 1000
+#: Languages that are learned, the most frequent ones: a bound for the gathered table.
+MOST_LANGUAGES = 256
 _SLICE = 1 << 19
 
 _LETTERS = np.full(256, 32, dtype=np.uint8)
@@ -60,13 +61,16 @@ def codewords(n: int) -> np.ndarray:
 
 
 def grams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """For each order the table place of the n-gram at each byte, and each text's start and end; all but letters is a space."""
+    """For each order the table place of the n-gram at each byte, and each text's start and end; all but letters, and what follows a text, is a space."""
     data, starts, ends = joined_bytes([t.lower().encode("utf-8", "replace") for t in texts])
     x = _LETTERS[data].astype(np.uint32)
     x = np.concatenate((x, np.full(max(ORDERS), 32, dtype=np.uint32)))
     n, out, h = len(data), [], np.zeros(len(data), dtype=np.uint32)
     for k in ORDERS:
-        h = h * np.uint32(0x01000193) + x[k - 1 : k - 1 + n] * np.uint32(0x9E3779B1) + np.uint32(k)
+        ahead = x[k - 1 : k - 1 + n].copy()
+        for j in range(k - 1):
+            ahead[ends - j] = 32
+        h = h * np.uint32(0x01000193) + ahead * np.uint32(0x9E3779B1) + np.uint32(k)
         out.append(((h * np.uint32(0x85EBCA6B)) >> np.uint32(32 - TABLE_LOG2)).astype(np.int32))
     return out, starts, ends
 
@@ -116,26 +120,24 @@ class Model:
         return lang, score, close
 
 
-def fit(train: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
+def fit(train: DataFrame, sample_docs: int = SAMPLE_DOCS, most_languages: int = MOST_LANGUAGES) -> Model:
     """A model from train (text, lang): rows without a lang or a text are passed over. No rows give a model without languages.
 
     Where train has a doc_id, copies of a text are sampled each by itself. Every language has the row of its least hash.
+    Of more than most_languages values of lang (dirty labels, say) the most frequent ones are learned, ties by code point; the
+    others are never predicted.
     """
     key = F.xxhash64("text", *(["doc_id"] if "doc_id" in train.columns else [])).bitwiseAND(F.lit((1 << 30) - 1))
     some = train.where("lang is not null and text is not null").select("text", "lang", key.alias("key"))
-    found = some.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("least")).limit(MOST_LANGUAGES + 1).collect()
+    found = some.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("least")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
     counts = {r["lang"]: (r["n"], r["least"]) for r in found}
-    if len(counts) > MOST_LANGUAGES:
-        raise ValueError(f"over {MOST_LANGUAGES} languages")
     names = sorted(counts)
     code = codewords(len(names))
     size = 1 << TABLE_LOG2
     if len(names) < 2:
         return Model(names, code, np.zeros((size, 0), dtype=np.float32), np.ones((len(names), 0)))
-    most = F.lit(1 << 30)
-    for name, (n, least) in counts.items():
-        most = F.when(F.col("lang") == name, F.lit(max(least, int(sample_docs / n * (1 << 30))))).otherwise(most)
-    sample = written(some.where(F.col("key") <= most).select("text", "lang"), "languages")
+    most = F.create_map(*[F.lit(x) for name, (n, least) in counts.items() for x in (name, max(least, int(sample_docs / n * (1 << 30))))])
+    sample = written(some.where(F.col("key") <= F.try_element_at(most, F.col("lang"))).select("text", "lang"), "languages")
     number = {name: k for k, name in enumerate(names)}
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -26,8 +26,6 @@ from pyspark.sql import functions as F
 
 from .common import U64, as_longs, bitmap, column, in_bitmap, keyed, longs, mixed, powers, sha256_hex, sliced, written
 
-#: Characters from which a line is compared by edits; shorter ones are duplicates only if equal.
-LEAST_CHARS = 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -47,7 +45,7 @@ def half_keys(line: str) -> tuple[int, int, int, int]:
     return _hash(b"P" + own, line[:a]), _hash(b"S" + own, line[a:]), _hash(b"P" + less, line[:b]), _hash(b"S" + less, line[b + 1 :])
 
 
-def _lines(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each line with a word."""
     for b in sliced(batches):
         row, no, whole, n, keys = [], [], [], [], []
@@ -59,7 +57,7 @@ def _lines(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
                     no.append(j)
                     whole.append(hashlib.blake2b(data, digest_size=16).digest())
                     n.append(len(line))
-                    keys.append(half_keys(line) if len(line) >= least else None)
+                    keys.append(half_keys(line))
         ids = np.frombuffer(b"".join(whole), dtype=np.int64).reshape(-1, 2)
         at = np.array(row, dtype=np.int64)
         yield pa.RecordBatch.from_pydict(
@@ -81,26 +79,20 @@ def place_hash(ord_: np.ndarray, no: np.ndarray, th: np.ndarray) -> np.ndarray:
 def _sharing(batches: Iterator[pa.RecordBatch], halves: Broadcast) -> Iterator[pa.RecordBatch]:
     """Places of the lines (earliest of equals) that share a half."""
     for b in batches:
-        lists = column(b, "keys")
-        some = np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False))
-        if not len(some):
-            continue
-        hit = in_bitmap(halves.value, lists.take(pa.array(some)).flatten().to_numpy()).reshape(-1, 4).any(axis=1)
-        k = some[hit]
+        k = np.flatnonzero(in_bitmap(halves.value, column(b, "keys").flatten().to_numpy()).reshape(-1, 4).any(axis=1))
         yield pa.RecordBatch.from_pydict({"place": pa.array(as_longs(place_hash(longs(b, "ord")[k], longs(b, "no")[k], longs(b, "th")[k])))})
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], places: Broadcast, halves: Broadcast, least: int) -> Iterator[pa.RecordBatch]:
+def _candidates(batches: Iterator[pa.RecordBatch], places: Broadcast, halves: Broadcast) -> Iterator[pa.RecordBatch]:
     """The texts of those lines, and which part of them may hold the edit."""
     for b in sliced(batches):
         ord_, th = longs(b, "ord"), longs(b, "th")
         row, no, lines = [], [], []
         for k, text in enumerate(column(b, "text").to_pylist()):
             for j, line in enumerate(text.split("\n")):
-                if len(line) >= least:
-                    row.append(k)
-                    no.append(j)
-                    lines.append(line)
+                row.append(k)
+                no.append(j)
+                lines.append(line)
         at, j = np.array(row, dtype=np.int64), np.array(no, dtype=np.int64)
         keep = np.flatnonzero(in_bitmap(places.value, place_hash(ord_[at], j, th[at]))) if len(at) else at
         # a full bitmap also lets in lines without a word, which _lines has passed over
@@ -153,14 +145,14 @@ def _variants(batches: Iterator[pa.RecordBatch], wanted: Broadcast | None) -> It
             yield pa.RecordBatch.from_pydict({"key": pa.array(keys), "kind": pa.array(kinds.astype(np.int32)), **{x: pa.array(longs(part, x)[at_]) for x in ("ord", "no", "th")}})
 
 
-def near_lines(rows: DataFrame, classes: DataFrame, least: int) -> DataFrame:
+def near_lines(rows: DataFrame, classes: DataFrame) -> DataFrame:
     """ord, no, th: lines, each the earliest of its equals, that are one edit from an earlier line."""
     spark = rows.sparkSession
     halves = classes.select("h", F.explode("keys").alias("key")).groupBy("key").agg(F.min("h").alias("x"), F.max("h").alias("y")).where("x <> y")
     half_bits = spark.sparkContext.broadcast(bitmap(halves, "key"))
     places = classes.select("ord", "no", "th", "keys").mapInArrow(lambda it: _sharing(it, half_bits), "place long")
     place_bits = spark.sparkContext.broadcast(bitmap(places, "place"))
-    cands = written(rows.mapInArrow(lambda it: _candidates(it, place_bits, half_bits, least), "ord long, no long, th long, line string, late boolean, early boolean"), "line-candidates")
+    cands = written(rows.mapInArrow(lambda it: _candidates(it, place_bits, half_bits), "ord long, no long, th long, line string, late boolean, early boolean"), "line-candidates")
     schema = "key long, kind int, ord long, no long, th long"
     place = F.struct("ord", "no", "th")
     met = cands.mapInArrow(lambda it: _variants(it, None), schema).groupBy("key").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x <> y")
@@ -196,23 +188,23 @@ def _kept(batches: Iterator[pa.RecordBatch], more: tuple[str, ...]) -> Iterator[
         )
 
 
-def dedup_lines(docs: DataFrame, *more: str, least_chars: int = LEAST_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, *more: str) -> DataFrame:
     """Per row of docs: doc_id, ord, th (see keyed), the columns `more`, n_lines, n_removed, kept_sha256, kept.
 
     Lines are what \\n separates; n_lines counts those with a word, and only those are ever removed. A line goes if an
-    earlier line (smaller doc_id, or before it in its document) equals it or, from least_chars characters on, is within
-    one edit of it, a character being a code point; whether that line goes itself makes no difference. kept is what stays,
+    earlier line (smaller doc_id, or before it in its document) equals it or is within one edit of it, a character being a
+    code point; whether that line goes itself makes no difference. kept is what stays,
     joined by \\n. Null text counts as empty. Null doc_ids come after all others. Rows with equal doc_ids and different
     texts come in the order of a hash of their texts, line by line; equal rows get equal results. All other columns are left out.
     """
     rows = keyed(docs)
-    lines = written(rows.mapInArrow(lambda it: _lines(it, least_chars), "h long, g long, ord long, no long, th long, keys array<long>"), "lines")
+    lines = written(rows.mapInArrow(lambda it: _lines(it), "h long, g long, ord long, no long, th long, keys array<long>"), "lines")
     place = F.struct("ord", "no", "th")
     classes = lines.groupBy("h", "g").agg(F.min(place).alias("m"), F.first("keys").alias("keys"))
     classes = written(classes.select("h", "g", "m.ord", "m.no", "m.th", "keys"), "line-classes")
     first = classes.select("h", "g", F.struct("ord", "no", "th").alias("m"))
     equal = lines.select("h", "g", "ord", "no", "th").join(first, ["h", "g"]).where("struct(ord, no, th) <> m").select("ord", "no", "th")
-    gone = equal.union(near_lines(rows, classes, least_chars)).groupBy("ord", "th").agg(F.collect_list("no").alias("gone"))
+    gone = equal.union(near_lines(rows, classes)).groupBy("ord", "th").agg(F.collect_list("no").alias("gone"))
     both = (keyed(docs, *more) if more else rows).join(gone.hint("shuffle_hash"), ["ord", "th"], "left")
     kinds = dict(docs.dtypes)
     schema = "doc_id long, ord long, th long, " + "".join(f"`{c}` {kinds[c]}, " for c in more) + "n_lines long, n_removed long, kept_sha256 string, kept string"

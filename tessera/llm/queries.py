@@ -135,10 +135,12 @@ FROM c""",
 WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS no FROM d),
 w AS (SELECT * FROM l WHERE length(translate(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13), '')) > 0),
-c AS (SELECT line, min((doc_id, no)) AS place, length(line) AS n FROM w GROUP BY line),
-k AS (SELECT line, place, unnest([md5('p' || n || left(line, n // 2)), md5('s' || n || substr(line, n // 2 + 1)),
-                           md5('p' || (n - 1) || left(line, (n - 1) // 2)), md5('s' || (n - 1) || substr(line, (n - 1) // 2 + 2))]) AS key FROM c WHERE n >= 20),
-near AS (SELECT DISTINCT a.line FROM k a JOIN k b USING (key) WHERE a.place > b.place AND levenshtein(a.line, b.line) <= 1),
+c AS (SELECT line, min((doc_id, no)) AS place, length(line) AS n, list_transform(range(1, length(line) + 1), lambda i: substr(line, i, 1)) AS cs FROM w GROUP BY line),
+k AS (SELECT line, place, cs, unnest([md5('p' || n || left(line, n // 2)), md5('s' || n || substr(line, n // 2 + 1)),
+                           md5('p' || (n - 1) || left(line, (n - 1) // 2)), md5('s' || (n - 1) || substr(line, (n - 1) // 2 + 2))]) AS key FROM c),
+two AS (SELECT DISTINCT a.line AS mine, a.line AS x, b.line AS y, a.cs AS xs, b.cs AS ys FROM k a JOIN k b USING (key) WHERE a.place > b.place AND abs(len(a.cs) - len(b.cs)) <= 1),
+p AS (SELECT *, coalesce(list_position(list_transform(list_zip(xs, ys), lambda z: z[1] IS DISTINCT FROM z[2]), true), 1 + len(xs)) AS i FROM two),
+near AS (SELECT DISTINCT mine AS line FROM p WHERE CASE WHEN len(xs) = len(ys) THEN substr(x, i + 1) = substr(y, i + 1) WHEN len(xs) > len(ys) THEN substr(x, i + 1) = substr(y, i) ELSE substr(x, i) = substr(y, i + 1) END),
 g AS (SELECT w.doc_id, w.no FROM w JOIN c USING (line) WHERE (w.doc_id, w.no) <> c.place OR w.line IN (SELECT line FROM near)),
 r AS (SELECT doc_id, count(*) AS n_removed FROM g GROUP BY doc_id),
 n AS (SELECT doc_id, count(*) AS n_lines FROM w GROUP BY doc_id),

@@ -1,7 +1,9 @@
 """Operator 7: codes, held-out accuracy, and awkward rows."""
 
+import math
 import random
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -62,6 +64,66 @@ def test_copies_are_sampled_one_by_one(spark, monkeypatch):
     assert sizes[1] >= 2
 
 
+def plain_model(rows, code, names):
+    """Log-odds of hashed n-grams and trust of each bit, by loops."""
+
+    def grams(text):
+        data = [(c if c >= 128 else c - 0 if 97 <= c <= 122 else 32) for c in text.lower().encode()] + [32] * 4
+        for i in range(len(text.lower().encode()) + 1):
+            h = 0
+            for k in (1, 2, 3):
+                h = (h * 0x01000193 + data[i + k - 1] * 0x9E3779B1 + k) % 2**32
+                yield (h * 0x85EBCA6B) % 2**32 >> 16
+
+    counts = {name: Counter() for name in names}
+    for _, text, lang, *_ in rows:
+        counts[lang].update(grams(text))
+    rate = {name: defaultdict(float, {g: n / sum(c.values()) for g, n in c.items()}) for name, c in counts.items()}
+
+    def odds(g, j):
+        plus, minus = ([rate[n][g] for n, w in zip(names, code, strict=True) if w[j] == side] for side in (1, -1))
+        return math.log(sum(plus) / len(plus) + 1e-6) - math.log(sum(minus) / len(minus) + 1e-6)
+
+    def bits(text):
+        gs = list(grams(text))
+        return [max(-8, min(8, sum(odds(g, j) for g in gs) / math.sqrt(len(gs) / 3) / 4)) for j in range(len(code[0]))]
+
+    trust = []
+    for name, word in zip(names, code, strict=True):
+        mine = [bits(r[1]) for r in rows if r[2] == name]
+        t = [(sum(b[j] * word[j] > 0 for b in mine) + 1) / (len(mine) + 2) for j in range(len(word))]
+        trust.append([x / sum(t) for x in t])
+
+    def predict(text):
+        loss = [sum(math.log1p(math.exp(-z * w)) * t for z, w, t in zip(bits(text), word, tr, strict=True)) for word, tr in zip(code, trust, strict=True)]
+        shares = [math.exp(-(x - min(loss)) * len(code[0])) for x in loss]
+        best, second = sorted(loss)[:2]
+        return names[loss.index(best)], 1 / sum(shares), second - best < 0.1 * math.log(2)
+
+    return predict
+
+
+@pytest.mark.parametrize("langs", [["aa", "bb", "cc"], list(LANGS)])
+def test_equals_brute_force(spark, langs):
+    """Every prediction, score and flag against plain loops, with all rows in the fitting sample; texts of two languages among them."""
+    rows = texts(60, langs, seed=2)
+    rng = random.Random(1)
+    both = [(100 + k, " ".join(rng.choice(LANGS[x]) + rng.choice(LANGS[x]) for x in rng.sample(langs, 2) for _ in range(3)), "aa", "s", 1) for k in range(20)]
+    model = fit(documents(spark, rows))
+    predict = plain_model(rows, model.code.tolist(), sorted(langs))
+    got = {r["doc_id"]: r for r in identify(documents(spark, rows + both), model).collect()}
+    for r in rows + both:
+        lang, score, close = predict(r[1])
+        assert (got[r[0]]["lang_pred"], got[r[0]]["ambiguous"]) == (lang, close) and abs(got[r[0]]["score"] - score) < 1e-4
+
+
+def test_the_most_frequent_labels_are_learned(spark):
+    rows = texts(200, ["aa", "bb"]) + [(1000 + k, "odd text", f"label {k}", "s", 1) for k in range(300)]
+    docs = documents(spark, rows)
+    assert fit(docs, most_languages=2).names == ["aa", "bb"]
+    assert len(fit(docs).names) == langid.MOST_LANGUAGES
+
+
 def test_codewords_are_far_apart():
     for n in (2, 3, 4, 5, 8, 40):
         m = codewords(n)

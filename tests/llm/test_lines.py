@@ -24,7 +24,7 @@ def brute(rows):
     lines = sorted((MAX_LONG if d is None else d, j, x) for d, t, *_ in {r[:2] for r in rows} for j, x in enumerate((t or "").split("\n")) if x.encode().split())
     gone = {}
     for k, (d, j, x) in enumerate(lines):
-        if any((x == y or (len(x) >= 20 and len(y) >= 20 and within_one(x, y))) and (e, i) < (d, j) for e, i, y in lines[:k]):
+        if any(within_one(x, y) and (e, i) < (d, j) for e, i, y in lines[:k]):
             gone.setdefault(d, set()).add(j)
     out = []
     for d, t, *_ in rows:
@@ -53,6 +53,12 @@ def test_edits(spark):
     assert sum(r[2] for r in check(spark, rows)) > 50
 
 
+def test_short_lines(spark):
+    rng = random.Random(8)
+    rows = [(k, "\n".join("".join(rng.choice("ab é中") for _ in range(rng.randint(0, 4))) for _ in range(rng.randint(1, 5))), "en", "s", 1) for k in range(40)]
+    assert sum(r[2] for r in check(spark, rows)) > 10
+
+
 def test_corpus(spark):
     seen, rows = set(), []
     for r in corpus(6):

@@ -3,7 +3,8 @@
 Every row gets a hash-random key. Within its source it is sorted by ranges of the key: as keys are spread evenly, fixed
 ranges of equal width are as good as sampled ones. Sums of sizes by (source, range) give each range its offset; within a
 range a running sum does the rest. So no source, however large, is summed in one task. The mix takes rows in that order
-until a source's budget is used up to the word, starting over (another epoch) where the source is too small.
+until a source's budget is used up to the word, starting over (another epoch) where the source is too small. Texts are
+read once: their sizes and keys are written, equal rows as one with their number.
 """
 
 from __future__ import annotations
@@ -11,85 +12,112 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import n_partitions, written
+
 #: Runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Ranges of the key within a source. Each is a few thousandths of a permille of a source, so none outgrows a task.
+#: Ranges of the key within a source. Each is a quarter of a permille of a source, so none outgrows a task.
 RANGES = 4096
+#: Copies of a row that are made at once.
+_COPIES = 4096
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _key(seed: str, doc_id: Column, text: Column) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")))))
+
+
+def _repeated(df: DataFrame, times: str, name: str) -> DataFrame:
+    """Each row so many times, numbered from 0 in `name`; rows with none go. No array is longer than _COPIES times itself allows."""
+    n = F.col(times)
+    out = df.where(n > 0).withColumn("m_hi", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"({times} - 1) div {_COPIES}"))))
+    out = out.withColumn("m_lo", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(_COPIES - 1).cast("long"), n - 1 - F.col("m_hi") * _COPIES))))
+    return out.withColumn(name, F.col("m_hi") * _COPIES + F.col("m_lo")).drop("m_hi", "m_lo")
+
+
 def source_targets(sizes: DataFrame, weights: list[float], most: float) -> DataFrame:
     """A row for each source of sizes (source, source_size): with its weight and target.
 
-    Sources by code point, null last, take the weights in turn. They share the sum of all sizes by weight, none above
-    most times its own size: what the full ones cannot take goes to the others by weight. That is the level at which
-    the sum of least(most * size, weight * level) is the total; it is found by one pass over the sources, ordered by the
-    level at which each is full. One row a source: the table is as long as the list of sources.
+    Sources by code point, null last, take the weights in turn: range partitions are numbered within, and from the numbers
+    of rows in those before (one row a partition). They share the sum of all sizes by weight, none above most times its own
+    size: what the full ones cannot take goes to the others by weight. That level (words to a weight) is found by filling
+    up: each pass over the sources gathers two sums, and the level rises until no further source is full.
     """
-    every = Window.orderBy(F.col("source").asc_nulls_last())
+    placed = sizes.repartitionByRange(n_partitions(sizes.sparkSession), F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id())
+    placed = written(placed, "sources")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = placed.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    place = F.col("before") + F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last())) - 1
     turn = F.array(*[F.lit(float(w)) for w in weights])
-    by_level = Window.orderBy("full_at", F.col("source").asc_nulls_last())
-    ranked = sizes.withColumn("weight", F.element_at(turn, (F.pmod(F.row_number().over(every) - 1, F.lit(len(weights))) + 1).cast("int")))
-    ranked = ranked.withColumn("most", F.col("source_size") * F.lit(float(most))).withColumn("full_at", F.col("most") / F.col("weight"))
-    whole = Window.partitionBy()
-    before = by_level.rowsBetween(Window.unboundedPreceding, -1)
-    after = by_level.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    level = (F.sum("source_size").over(whole) - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum("weight").over(after)
-    levels = ranked.withColumn("level", level)
-    levels = levels.withColumn("level", F.min(F.when(F.col("level") <= F.col("full_at"), F.struct("full_at", "source", "level"))).over(whole)["level"])
-    return levels.select("source", "source_size", "weight", F.least("most", F.col("weight") * F.coalesce("level", F.lit(0.0))).alias("target"))
-
-
-def mix(docs: DataFrame, weights: list[float] = (1, 2, 3), most: float = 3.0, seed: str = "mix", th: Column | None = None, ranges: int = RANGES) -> DataFrame:
-    """Per row of docs: doc_id, source, size, source_size, target (its source's) and taken, the words that the mix takes of it.
+    ranked = placed.join(parts, "part").withColumn("weight", F.element_at(turn, (F.pmod(place, F.lit(len(weights))) + 1).cast("int")))
+    ranked = written(ranked.select("source", "source_size", "weight", (F.col("source_size") * F.lit(float(most))).alias("most")), "sources")
+    total, level = ranked.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("n")).first()["n"], 0.0
+    while True:
+        full = F.col("most") / F.col("weight") < level
+        got = ranked.agg(F.coalesce(F.sum(F.when(full, F.col("most"))), F.lit(0.0)).alias("taken"), F.sum(F.when(~full, F.col("weight"))).alias("open")).first()
+        last, level = level, (total - got["taken"]) / got["open"] if got["open"] else float("inf")
+        if level <= last or level == float("inf"):
+            break
+    return ranked.select("source", "source_size", "weight", F.least("most", F.col("weight") * F.lit(level)).alias("target"))
 
-    size is the number of words; null text has none. A source's rows are taken in the order of their keys, each whole
-    and as often as whole epochs fit in the target, the last one up to the word at which the target (rounded down) is
-    reached; so no row is taken more than most times, and the sum of taken is the target less a fraction of a word.
-    The key is the MD5 of the seed and doc_id: reruns agree. A null source is a source of its own, in the last place; a
-    null doc_id has a key too. Equal rows are taken one after the other. No rows give no rows. Further columns of docs
-    are left out. Only (doc_id, source, size, key) is shuffled, never text.
-    """
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["source"].alias("source"), word_count(docs["text"]).alias("size"), *([th.alias("th")] if th is not None else []))
-    rows = rows.select("*", key.alias("key")).withColumn("range", F.pmod(F.conv(F.substring("key", 1, 8), 16, 10).cast("long"), F.lit(1 << 32)))
-    rows = rows.withColumn("range", F.expr(f"cast(floor(range * {ranges}D / 4294967296D) as int)"))
-    by_range = rows.groupBy("source", "range").agg(F.sum("size").alias("in_range"))
-    sizes = by_range.groupBy("source").agg(F.sum("in_range").alias("source_size"))
-    targets = source_targets(sizes, list(weights), most)
+
+def _taken(docs: DataFrame, weights: list[float], most: float, seed: str, ranges: int) -> DataFrame:
+    """For each distinct (doc_id, source, key): m (rows), size, source_size, target, epochs, and extra, the words of all m beyond whole epochs."""
+    doc_id = docs["doc_id"].cast("long")
+    rows = docs.select(doc_id.alias("doc_id"), docs["source"].alias("source"), word_count(docs["text"]).alias("size"), _key(seed, doc_id, docs["text"]).alias("key"))
+    rows = rows.groupBy("doc_id", "source", "size", "key").agg(F.count(F.lit(1)).alias("m"))
+    rows = written(rows.withColumn("range", F.expr(f"cast(floor(cast(conv(substring(key, 1, 8), 16, 10) as long) * {ranges}D / 4294967296D) as int)")), "sizes")
+    by_range = rows.groupBy("source", "range").agg(F.sum(F.col("size") * F.col("m")).alias("in_range"))
+    targets = source_targets(by_range.groupBy("source").agg(F.sum("in_range").alias("source_size")), list(weights), most)
     earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = by_range.withColumn("offset", F.coalesce(F.sum("in_range").over(earlier), F.lit(0)))
     offsets = offsets.select(F.col("source").alias("o_source"), F.col("range").alias("o_range"), "offset")
     targets = targets.select(F.col("source").alias("t_source"), "source_size", "target")
     plan = offsets.join(targets, offsets["o_source"].eqNullSafe(targets["t_source"])).drop("t_source")
-    within = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size", *(["th"] if th is not None else [])).rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    within = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("before", F.coalesce(F.sum(F.col("size") * F.col("m")).over(within), F.lit(0)))
     placed = placed.join(plan, placed["source"].eqNullSafe(plan["o_source"]) & (placed["range"] == plan["o_range"]))
     budget = F.floor("target")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
-    rest = budget - epochs * F.col("source_size")
-    extra = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("offset") - F.col("before")))
-    taken = (epochs * F.col("size") + extra).cast("long")
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), *(["th"] if th is not None else []))
+    rest = budget - F.col("epochs") * F.col("source_size")
+    extra = F.greatest(F.lit(0), F.least(F.col("size") * F.col("m"), rest - F.col("offset") - F.col("before")))
+    out = placed.withColumn("epochs", epochs.cast("long")).withColumn("extra", extra.cast("long"))
+    return out.select("doc_id", "source", "key", "m", "size", "source_size", "target", "epochs", "extra")
+
+
+def mix(docs: DataFrame, weights: list[float] = (1, 2, 3), most: float = 3.0, seed: str = "mix", ranges: int = RANGES) -> DataFrame:
+    """Per row of docs: doc_id, source, size, source_size, target (its source's) and taken, the words that the mix takes of it.
+
+    size is the number of words; null text has none. A source's rows are taken in the order of their keys, each whole
+    and as often as whole epochs fit in the target, the last one up to the word at which the target (rounded down) is
+    reached; so no row is taken more than most times, and the sum of taken is the target less a fraction of a word.
+    The key is the MD5 of the seed, doc_id and text: reruns agree, and rows that share a doc_id, null too, are spread. A
+    null source is a source of its own, in the last place. Equal rows are taken one after the other. No rows give no
+    rows. Further columns of docs are left out. Only sizes and keys are shuffled, never text.
+    """
+    rows = _repeated(_taken(docs, weights, most, seed, ranges), "m", "copy")
+    here = F.greatest(F.lit(0), F.least(F.col("size"), F.col("extra") - F.col("copy") * F.col("size")))
+    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + here).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, weights: list[float] = (1, 2, 3), most: float = 3.0, seed: str = "mix") -> DataFrame:
     """The rows of docs as the mix takes them, with all their columns: once for each epoch, the last time cut to the words that are left.
 
     A row of which nothing is taken goes. A cut text is its first words, joined by single spaces. Rows equal in doc_id,
-    source and text stand for one another: as many come out as the mix takes of them all. Columns of docs must not
-    start with m_.
+    source and text stand for one another: as many come out as the mix takes of them all. Columns of docs may have any
+    names: they travel in one struct. Nulls, ties and empty tables as for mix.
     """
-    th = F.xxhash64("text")
-    took = mix(docs, weights, most, seed, th).where("taken > 0")
-    took = took.groupBy(F.col("doc_id").alias("m_doc_id"), F.col("source").alias("m_source"), F.col("size").alias("m_size"), F.col("th").alias("m_th"))
-    took = took.agg(F.collect_list("taken").alias("m_takens"))
-    rows = docs.withColumn("m_text", th).dropDuplicates(["doc_id", "source", "m_text"])
-    same = rows["doc_id"].eqNullSafe(took["m_doc_id"]) & rows["source"].eqNullSafe(took["m_source"]) & (rows["m_text"] == took["m_th"])
-    epochs = F.expr("flatten(transform(m_takens, t -> concat(array_repeat(m_size, cast(t div m_size as int)), filter(array(t % m_size), r -> r > 0))))")
-    out = rows.join(took, same).withColumn("m_words", F.explode(epochs))
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})")), F.lit(1), F.col("m_words").cast("int")), " ")
-    return out.withColumn("text", F.when(F.col("m_words") < F.col("m_size"), cut).otherwise(F.col("text"))).select(*docs.columns)
+    whole = lambda key, source: F.md5(F.concat(key, F.coalesce(F.concat(F.lit(":"), source), F.lit("null"))))
+    took = _taken(docs, weights, most, seed, RANGES)
+    took = took.select(whole(F.col("key"), F.col("source")).alias("m_key"), F.col("size").alias("m_size"), (F.col("m") * F.col("epochs") * F.col("size") + F.col("extra")).alias("m_all"))
+    key = whole(_key(seed, docs["doc_id"].cast("long"), docs["text"]), docs["source"])
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("m_row"), key.alias("m_key")).dropDuplicates(["m_key"])
+    out = rows.join(took.where("m_all > 0"), "m_key").withColumn("m_times", F.ceil(F.col("m_all") / F.col("m_size")))
+    out = _repeated(out, "m_times", "m_copy").withColumn("m_words", F.least(F.col("m_size"), F.col("m_all") - F.col("m_copy") * F.col("m_size")))
+    text = F.col("m_row")["text"]
+    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"({WORD})")), F.lit(1), F.col("m_words").cast("int")), " ")
+    kept = F.when(F.col("m_words") < F.col("m_size"), cut).otherwise(text)
+    return out.select(*[(kept if c == "text" else F.col("m_row")[c]).alias(c) for c in docs.columns])

@@ -35,8 +35,8 @@ def brute(rows, weights=(1, 2, 3)):
         by[r[3]] += s
     goal = targets(by, weights)
     before, out = defaultdict(int), []
-    key = lambda r: hashlib.md5(f"mix:{'null' if r[0] is None else r[0]}".encode()).hexdigest()
-    for r, s in sorted(zip(rows, size, strict=True), key=lambda x: (key(x[0]), x[1])):
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    for r, s in sorted(zip(rows, size, strict=True), key=lambda x: md5(f"mix:{'null' if x[0][0] is None else x[0][0]}:{md5(x[0][1] or '')}")):
         budget = int(goal[r[3]])
         times = budget // by[r[3]] if by[r[3]] else 0
         extra = max(0, min(s, budget - times * by[r[3]] - before[r[3]]))
@@ -69,6 +69,28 @@ def test_documents_come_as_often_as_taken(spark):
     assert dict(got) == {k: v for k, v in took.items() if v}
 
 
+def test_clashing_names_and_many_equal_rows(spark):
+    rows = [(None, "one two three", "en", "a", 1)] * 9000 + [(None, f"other words {k}", "en", "a", 1) for k in range(50)] + [(1, "x y", "en", "b", 1), (2, None, "en", None, 0)]
+    clash = ["m_size", "m_key", "m_row", "m", "size", "key", "copy", "with.dot"]
+    docs = documents(spark, rows).selectExpr("*", *[f"'z' as `{c}`" for c in clash])
+    took = defaultdict(int)
+    for r in mix(docs).collect():
+        took[r["source"]] += r["taken"]
+    assert sum(took.values()) == sum(len((r[1] or "").split()) for r in rows)
+    out = mixed_documents(docs)
+    assert out.columns == docs.columns
+    got = defaultdict(int)
+    for r in out.collect():
+        got[r["source"]] += len(r["text"].split())
+        assert all(r[c] == "z" for c in clash)
+    assert dict(got) == {k: v for k, v in took.items() if v}
+
+
+def test_a_most_below_the_share_leaves_words_out(spark):
+    docs = documents(spark, [(1, "a b c d", "en", "s", 1), (2, "a b", "en", "t", 1)])
+    assert {r["doc_id"]: r["taken"] for r in mix(docs, [1.0], 0.5).collect()} == {1: 2, 2: 1}
+
+
 def test_empty(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert mix(empty).collect() == [] and mixed_documents(empty).collect() == []

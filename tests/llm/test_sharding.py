@@ -1,5 +1,7 @@
 """Operator 10: nothing is lost, versions are atomic, files reach their size."""
 
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 
 from tessera.llm.sharding import ManifestConflict, ShardStore, shard_documents
@@ -12,12 +14,12 @@ def content(df):
 
 
 def test_nothing_is_lost_or_doubled(spark, tmp_path):
-    docs = documents(spark, corpus(3)).selectExpr("*", "'x' as tier", "1 as version")
+    docs = documents(spark, corpus(3)).selectExpr("*", "'x' as tier", "1 as version", "'here' as arrival")
     store = shard_documents(docs, str(tmp_path / "s"), arrivals=8, fan_in=2)
     assert content(store.read(docs.schema)) == content(docs)
     m = store.manifest()
-    assert m["version"] == 2 and len(m["runs"]) < 8
-    assert content(store.read(docs.schema, 1)) == content(docs)
+    assert m["version"] > 8 and len(m["runs"]) == 1
+    assert content(store.read(docs.schema, 8)) == content(docs)
 
 
 def test_appends_compact_by_tier(spark, tmp_path):
@@ -29,10 +31,27 @@ def test_appends_compact_by_tier(spark, tmp_path):
     before = store.manifest()
     store.compact(df.schema)
     after = store.manifest()
-    assert len(before["runs"]) == 7 and after["version"] == 8 and sorted(r["tier"] for r in after["runs"]) == [0, 1, 1]
-    assert all(len(r["files"]) == 1 for r in after["runs"])
+    assert len(before["runs"]) == 7 and after["version"] == 9 and sorted(r["tier"] for r in after["runs"]) == [0, 1, 1]
+    assert all(r["files"] == 1 for r in after["runs"])
     assert [r["k"] for r in store.read(df.schema).orderBy("k").collect()] == list(range(7))
-    assert store.vacuum() == 6 and store.read(df.schema).count() == 7
+    df.write.parquet(str(tmp_path / "s/data/left-by-a-crash"))
+    assert store.vacuum() == 0
+    assert store.vacuum(grace_seconds=0) == 7 and store.read(df.schema).count() == 7 and store.versions() == [9]
+
+
+def test_writers_at_the_same_time(spark, tmp_path):
+    """Appends and merges of several writers: none is lost, and a merge of runs that are gone is dropped."""
+    stores = [ShardStore(spark, str(tmp_path / "s"), fan_in=2) for _ in range(4)]
+    schema = spark.createDataFrame([], "k long").schema
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda k: stores[k % 4].append(spark.createDataFrame([(k,)], "k long")), range(12)))
+        list(pool.map(lambda s: s.compact(schema), stores))
+    assert sorted(r["k"] for r in stores[0].read(schema).collect()) == list(range(12))
+    gone = [{"folder": str(tmp_path / "s/data/merged-elsewhere"), "files": 1, "bytes": 1, "tier": 0}] * 2
+    spark.createDataFrame([(99,)], schema).write.parquet(gone[0]["folder"])
+    before = stores[0].manifest()
+    stores[1]._merged(gone, schema)
+    assert stores[0].manifest() == before
 
 
 def test_only_one_writer_commits_a_version(spark, tmp_path):

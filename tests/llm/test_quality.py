@@ -48,5 +48,13 @@ def test_order_changes_no_verdict(spark):
     assert stats.where(cascade({"null": F.lit(None).cast("boolean")}, ["null"])).count() == 0
 
 
+def test_costs_are_those_of_the_rules(spark):
+    """A rule that reads a long text over and over costs more than a comparison, whatever else the machine does."""
+    docs = documents(spark, [(k, "some words " * 400, "en", "s", 1) for k in range(40)])
+    dear = F.length(F.regexp_replace(F.regexp_replace("text", "[aeiou]", "xy"), "[xy]+", "zz")) < 0
+    got = {r["name"]: r["seconds"] for r in ordered_rules(docs, {"cheap": F.col("n_words") < 0, "dear": dear})}
+    assert got["dear"] > 5 * got["cheap"] > 0
+
+
 def test_empty(spark):
     assert quality(spark.createDataFrame([], SCHEMA)).collect() == []

@@ -22,10 +22,6 @@ SPACES = " \t\n\x0b\x0c\r"
 SAMPLE_ROWS = 2000
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
-
-
 def text_stats(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, text, n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words of every row of docs (and the columns `more`).
 
@@ -41,7 +37,7 @@ def text_stats(docs: DataFrame, *more: str) -> DataFrame:
     rows = rows.select(
         "*",
         F.expr("if(size(array_distinct(s_grams)) < size(s_grams), sort_array(transform(s_grams, (h, i) -> struct(h, i))), array())").alias("s_sorted"),
-        F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0).alias("s_lines"),
+        F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "").alias("s_lines"),
     )
     repeats = "filter(s_sorted, (e, k) -> (k > 0 and element_at(s_sorted, if(k > 0, k, 1)).h = e.h) or (k + 1 < size(s_sorted) and element_at(s_sorted, if(k + 1 < size(s_sorted), k + 2, 1)).h = e.h))"
     return rows.select(
@@ -49,8 +45,8 @@ def text_stats(docs: DataFrame, *more: str) -> DataFrame:
         F.col("s_text").alias("text"),
         *more,
         F.size("s_words").cast("long").alias("n_words"),
-        (F.length(t) - _without(t, SPACES)).cast("long").alias("word_chars"),
-        _without(t, SYMBOLS).cast("long").alias("n_symbols"),
+        F.length(F.array_join("s_words", "")).cast("long").alias("word_chars"),
+        F.regexp_count(t, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
         F.size("s_lines").cast("long").alias("n_lines"),
         (F.size("s_lines") - F.size(F.array_distinct("s_lines"))).cast("long").alias("n_dup_lines"),
         F.expr(f"size(array_distinct(flatten(transform({repeats}, e -> array(e.i, e.i + 1, e.i + 2)))))").cast("long").alias("n_repeat_words"),

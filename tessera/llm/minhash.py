@@ -5,17 +5,15 @@ two values, its minimum and its maximum, so half as many are evaluated; each equ
 similarity as its probability. Four values (two permutations) make a band, 48 bands a signature: two sets with a
 similarity of 3/4 miss each other in all bands with a probability of about 1e-8 (1e-6 for sets of a few shingles).
 
-Documents with equal sets are one node. Links are confirmed on full sets, and only as many are looked for as components
-need, never all pairs of a bucket:
+Documents with equal sets are one node (their hashes of 128 bits are equal). Links are confirmed on full sets, and only as
+many are looked for as components need, never all pairs of a bucket:
 
 1. Each bucket's members are compared with one of them, another one in each band. Confirmed links are contracted.
-2. Buckets that still hold several components may hide links: the members outside the largest component are compared
-   with the others. Only pairs that a sketch of their sets leaves possible come out of that join (see parities; no link is
-   lost by it).
-3. Large loose buckets (more than 64 outside the largest component; they share a common passage, say) go another way:
-   their sets are joined exactly, by prefix filtering. Two sets at 3/4 share one of each other's rarest shingles (a quarter
-   of them and one), so common passages meet only where they make up three quarters of a text. The buckets of these
-   shingles are then treated as in 2.
+2. Buckets that still hold several components may hide links. The sets of their members are joined exactly, by prefix
+   filtering: two sets at 3/4 share one of each other's rarest shingles (a quarter of them and one), so common passages
+   meet only where they make up three quarters of a text. Of a shingle's members those outside its largest component are
+   compared with the others, in blocks, so no task gets a whole bucket. Only pairs that a sketch of their sets leaves
+   possible come out of that join (see parities; no link is lost by it).
 """
 
 from __future__ import annotations
@@ -33,9 +31,8 @@ from .components import components
 
 SHINGLE = 5
 BANDS = 48
-#: A bucket with more members than SMALL, of which more than STRAYS are outside its largest component, is loose.
-SMALL = 16
-STRAYS = 64
+#: Members of a bucket that one task compares with what is outside its largest component.
+BLOCK = 256
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -70,11 +67,20 @@ def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return vals[new], np.bincount(doc[new], minlength=len(texts))
 
 
-def band_keys(vals: np.ndarray, sizes: np.ndarray, bands: int = BANDS) -> tuple[np.ndarray, np.ndarray]:
-    """For each set that isn't empty: a hash of the whole set, and its bands' keys (a row of `bands`)."""
+def set_hashes(vals: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each set that isn't empty, 128 bits together."""
     offs = (np.cumsum(sizes) - sizes)[sizes > 0]
     if not len(offs):
-        return np.zeros(0, dtype=U64), np.zeros((0, bands), dtype=U64)
+        return np.zeros(0, dtype=U64), np.zeros(0, dtype=U64)
+    one = mixed(np.add.reduceat(mixed(vals), offs) + sizes[sizes > 0].astype(U64))
+    return one, mixed(np.add.reduceat(mixed(vals + U64(7)), offs) + U64(5))
+
+
+def band_keys(vals: np.ndarray, sizes: np.ndarray, bands: int = BANDS) -> np.ndarray:
+    """For each set that isn't empty its bands' keys, a row of `bands`."""
+    offs = (np.cumsum(sizes) - sizes)[sizes > 0]
+    if not len(offs):
+        return np.zeros((0, bands), dtype=U64)
     a, b = _constants(2 * bands, 1) | U64(1), _constants(2 * bands, 2)
     c = _constants(4, 3) | U64(1)
     out = np.empty((len(offs), bands), dtype=U64)
@@ -84,17 +90,15 @@ def band_keys(vals: np.ndarray, sizes: np.ndarray, bands: int = BANDS) -> tuple[
             x = vals * a[2 * j + k] + b[2 * j + k]
             key = mixed(key + np.minimum.reduceat(x, offs) * c[2 * k] + np.maximum.reduceat(x, offs) * c[2 * k + 1])
         out[:, j] = key
-    whole = mixed(np.add.reduceat(mixed(vals), offs) + mixed(np.bitwise_xor.reduceat(mixed(vals + U64(7)), offs)) + sizes[sizes > 0].astype(U64))
-    return whole, out
+    return out
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signed(batches: Iterator[pa.RecordBatch], hashes=set_hashes) -> Iterator[pa.RecordBatch]:
     for b in sliced(batches):
         vals, sizes = shingle_sets(column(b, "text").cast(pa.binary()).to_pylist())
-        whole, bands = band_keys(vals, sizes)
-        some = sizes > 0
-        sid = np.zeros(len(sizes), dtype=np.int64)
-        sid[some] = as_longs(whole)
+        bands, some = band_keys(vals, sizes), sizes > 0
+        ids = np.zeros((2, len(sizes)), dtype=np.int64)
+        ids[:, some] = [as_longs(x) for x in hashes(vals, sizes)]
         offs = np.concatenate(([0], np.cumsum(some * BANDS))).astype(np.int32)
         yield pa.RecordBatch.from_pydict(
             {
@@ -103,24 +107,25 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 "th": column(b, "th"),
                 "rk": column(b, "rk"),
                 "n": pa.array(sizes, pa.int64()),
-                "sid": pa.array(sid, mask=~some),
+                "sid": pa.array(ids[0], mask=~some),
+                "check": pa.array(ids[1], mask=~some),
                 "bands": pa.ListArray.from_arrays(pa.array(offs), pa.array(as_longs(bands.ravel()))),
             }
         )
 
 
-def _sets(batches: Iterator[pa.RecordBatch], wanted: Broadcast) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], wanted: Broadcast, hashes=set_hashes) -> Iterator[pa.RecordBatch]:
     for b in sliced(batches):
         keep = np.flatnonzero(in_bitmap(wanted.value, longs(b, "rk")))
         if not len(keep):
             continue
         texts = column(b, "text").cast(pa.binary()).take(pa.array(keep)).to_pylist()
         vals, sizes = shingle_sets(texts)
-        whole, _ = band_keys(vals, sizes, 0)
+        sid, check = hashes(vals, sizes)
         some = np.flatnonzero(sizes > 0)
         offs = np.concatenate(([0], np.cumsum(sizes[some]))).astype(np.int32)
         par = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * SKETCH), pa.array(parities(vals, sizes[some]).ravel()))
-        yield pa.RecordBatch.from_pydict({"sid": pa.array(as_longs(whole)), "set": pa.ListArray.from_arrays(pa.array(offs), pa.array(as_longs(vals))), "par": par})
+        yield pa.RecordBatch.from_pydict({"sid": pa.array(as_longs(sid)), "check": pa.array(as_longs(check)), "set": pa.ListArray.from_arrays(pa.array(offs), pa.array(as_longs(vals))), "par": par})
 
 
 #: Longs of a parity sketch.
@@ -170,38 +175,19 @@ def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
     return written(there.join(buckets, "bk"), "there")
 
 
-#: Parts in which shingles are counted, and slots (log2) of all their counts: 16 MB, whatever the input.
-PARTS, SLOTS_LOG2 = 64, 24
-
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The shingles of a batch of sets with their counts, packed by part."""
-    for b in batches:
-        if not b.num_rows:
-            continue
-        vals, c = np.unique(column(b, "set").flatten().to_numpy().view(U64), return_counts=True)
-        cuts = np.searchsorted(vals, np.array([k << 58 for k in range(PARTS)], dtype=U64)).tolist() + [len(vals)]
-        some = [k for k in range(PARTS) if cuts[k] < cuts[k + 1]]
-        yield pa.RecordBatch.from_pydict(
-            {
-                "part": pa.array(some, pa.int32()),
-                "vals": pa.array([vals[cuts[k] : cuts[k + 1]].tobytes() for k in some], pa.binary()),
-                "counts": pa.array([c[cuts[k] : cuts[k + 1]].astype(np.int64).tobytes() for k in some], pa.binary()),
-            }
-        )
+#: Slots (log2) in which shingles are counted: 4 MB of logarithms, whatever the input.
+SLOTS_LOG2 = 22
 
 
 def _slot(vals: np.ndarray) -> np.ndarray:
-    return (vals & U64((1 << SLOTS_LOG2) // PARTS - 1)).astype(np.int64)
+    return (vals & U64((1 << SLOTS_LOG2) - 1)).astype(np.int64)
 
 
-def _rarity(group: pa.Table) -> pa.Table:
-    """The logarithm of how many sets have the shingles of each slot of a part; 0 for one set."""
-    counts = np.zeros((1 << SLOTS_LOG2) // PARTS, dtype=np.int64)
-    for vals, c in zip(group.column("vals").to_pylist(), group.column("counts").to_pylist(), strict=True):
-        np.add.at(counts, _slot(np.frombuffer(vals, dtype=U64)), np.frombuffer(c, dtype=np.int64))
-    logs = np.ceil(np.log2(np.maximum(counts, 1))).astype(np.uint8)
-    return pa.table({"part": group.column("part").slice(0, 1).cast(pa.int32()), "logs": pa.array([logs.tobytes()], pa.binary())})
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many sets of a batch have the shingles of each slot."""
+    for b in batches:
+        slot, n = np.unique(_slot(column(b, "set").flatten().to_numpy().view(U64)), return_counts=True)
+        yield pa.RecordBatch.from_pydict({"slot": pa.array(slot), "n": pa.array(n)})
 
 
 def prefix_size(n: int) -> int:
@@ -215,7 +201,7 @@ def _first(batches: Iterator[pa.RecordBatch], logs: Broadcast) -> Iterator[pa.Re
         rows = []
         for sid, vals in zip(column(b, "sid").to_pylist(), column(b, "set"), strict=True):
             v = vals.values.to_numpy().view(U64)
-            rarity = logs.value[(v >> U64(58)).astype(np.int64), _slot(v)]
+            rarity = logs.value[_slot(v)]
             takes = prefix_size(len(v)) - int((rarity == 0).sum())
             if takes > 0:
                 some = v[rarity > 0]
@@ -231,10 +217,10 @@ def _prefixes(sets: DataFrame) -> DataFrame:
     Rarity is read from a table of counts of fixed size; shingles that share a slot count together, which costs some
     order but no result.
     """
-    parts = sets.select("set").mapInArrow(_counted, "part int, vals binary, counts binary").groupBy("part").applyInArrow(_rarity, "part int, logs binary").toArrow()
-    table = np.zeros((PARTS, (1 << SLOTS_LOG2) // PARTS), dtype=np.uint8)
-    for k, logs in zip(parts.column("part").to_pylist(), parts.column("logs").to_pylist(), strict=True):
-        table[k] = np.frombuffer(logs, dtype=np.uint8)
+    counts = sets.select("set").mapInArrow(_counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    logs = counts.where("n > 1").select(F.col("slot").cast("int").alias("slot"), F.ceil(F.log2("n")).cast("byte").alias("log")).toArrow()
+    table = np.zeros(1 << SLOTS_LOG2, dtype=np.uint8)
+    table[logs.column("slot").to_numpy()] = logs.column("log").to_numpy()
     shared = sets.sparkSession.sparkContext.broadcast(table)
     first = sets.select("sid", "set").mapInArrow(lambda it: _first(it, shared), "sid long, n long, keys array<long>")
     return first.select(F.explode("keys").alias("bk"), "sid", "n")
@@ -254,7 +240,7 @@ def _bands(batches: Iterator[pa.RecordBatch], reps: Broadcast, several: Broadcas
         yield pa.RecordBatch.from_pydict({"bk": pa.array(keys[hit]), **{c: column(b, c).take(pa.array(row[hit])) for c in ("sid", "rk", "n")}})
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, hashes=set_hashes) -> DataFrame:
     """Per row of docs: doc_id, ord, th (see keyed), n_shingles, component_id, kept.
 
     component_id is the smallest doc_id that confirmed links reach, its own included; kept tells whether it is the row's
@@ -265,7 +251,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = keyed(docs).withColumn("rk", F.xxhash64("ord", "th"))
-    signed = written(rows.mapInArrow(_signed, "doc_id long, ord long, th long, rk long, n long, sid long, bands array<long>"), "signatures")
+    signed = written(rows.mapInArrow(lambda it: _signed(it, hashes), "doc_id long, ord long, th long, rk long, n long, sid long, check long, bands array<long>"), "signatures")
+    # sets that differ and yet share sid, if there are any, get another one each; a table of next to no rows, whose size Spark checks
+    shared = signed.where("n > 0").groupBy("sid").agg(F.min("check").alias("x"), F.max("check").alias("y")).where("x <> y").select("sid", F.lit(True).alias("shared"))
+    shared = written(shared, "shared-hashes")
+    apart = lambda df: df.join(shared, "sid", "left").withColumn("sid", F.when(F.col("shared"), F.xxhash64("sid", "check")).otherwise(F.col("sid"))).drop("shared", "check")
+    signed = apart(signed)
     nodes = signed.where("n > 0").groupBy("sid").agg(F.min(F.struct("ord", "rk")).alias("m"))
     nodes = written(nodes.select("sid", "m.ord", "m.rk"), "nodes")
     share = lambda keys, name: spark.sparkContext.broadcast(bitmap(keys, name))
@@ -280,7 +271,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     leads = written(leads.select("bk", F.col("l.sid").alias("l_sid"), F.col("l.n").alias("l_n")), "buckets")
     members = written(members.join(leads, "bk"), "members")
     wanted = share(members, "rk")
-    sets = written(rows.mapInArrow(lambda it: _sets(it, wanted), "sid long, set array<long>, par array<long>"), "sets")
+    sets = written(apart(rows.mapInArrow(lambda it: _sets(it, wanted, hashes), "sid long, check long, set array<long>, par array<long>")), "sets")
     sketch = sets.select("sid", "par").dropDuplicates(["sid"])
     theirs = sketch.select(F.col("sid").alias("l_sid"), F.col("par").alias("l_par"))
     pairs = members.where("sid <> l_sid and 4 * least(n, l_n) >= 3 * greatest(n, l_n)").select("sid", "l_sid", "n", "l_n").distinct()
@@ -288,26 +279,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = written(_links(pairs, sets), "links")
     labels = components(links)
 
-    # 2: the other pairs of different components, bucket by bucket; of large loose ones exactly, by prefixes
-    def compared(there: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Links and labels after comparing, in each bucket of _open, those outside the largest component with all of other ones."""
-        there = written(there.join(sketch, "sid"), "there")
-        stray = there.where("comp <> major").select(F.col("bk").alias("r_bk"), F.col("sid").alias("l_sid"), F.col("n").alias("l_n"), F.col("comp").alias("l_comp"), F.col("par").alias("l_par"))
-        once = F.expr("comp = major or sid < l_sid")
-        pairs = there.join(stray, (F.col("bk") == F.col("r_bk")) & (F.col("comp") != F.col("l_comp")) & once & _possible())
-        new = written(_links(pairs.select(F.least("sid", "l_sid").alias("x"), F.greatest("sid", "l_sid").alias("y")).distinct(), sets), "links")
-        links = links.union(new)
-        return links, components(links)
-
-    loose = f"c > {SMALL} and strays > {STRAYS}"
-    there = _open(members.where("sid <> l_sid").select("bk", "sid", "n"), labels)
-    if not there.isEmpty():
-        links, labels = compared(there.where(f"not ({loose})"), links)
-        rest = written(there.where(loose).select("sid").distinct(), "rest")
-        if not rest.isEmpty():
-            them = written(sets.join(rest, "sid", "left_semi").dropDuplicates(["sid"]), "loose")
-            there = _open(written(_prefixes(them), "prefixes"), labels)
-            links, labels = compared(there, links)
+    # 2: the other pairs of different components, by shared rare shingles
+    rest = written(_open(members.where("sid <> l_sid").select("bk", "sid", "n"), labels).select("sid").distinct(), "rest")
+    them = written(sets.join(rest, "sid", "left_semi").dropDuplicates(["sid"]), "open-sets")
+    there = written(_open(written(_prefixes(them), "prefixes"), labels).join(sketch, "sid"), "there")
+    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+    there = there.withColumn("block", F.pmod(F.xxhash64("sid"), blocks).cast("int"))
+    stray = there.where("comp <> major").withColumn("r_block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    stray = stray.select(F.col("bk").alias("r_bk"), "r_block", F.col("sid").alias("l_sid"), F.col("n").alias("l_n"), F.col("comp").alias("l_comp"), F.col("par").alias("l_par"))
+    once = F.expr("bk = r_bk and block = r_block and comp <> l_comp and (comp = major or sid < l_sid)")
+    pairs = there.join(stray, once & _possible()).select(F.least("sid", "l_sid").alias("x"), F.greatest("sid", "l_sid").alias("y")).distinct()
+    labels = components(links.union(written(_links(pairs, sets), "links")))
 
     # component of every node, then of every row
     placed = _in_components(nodes.select("sid", "ord"), labels)

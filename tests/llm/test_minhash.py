@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+
+from tessera.llm import minhash
 from tessera.llm.components import components
 from tessera.llm.minhash import near_duplicates
 
@@ -76,7 +79,7 @@ def test_common_passage_is_no_link(spark):
 
 
 def test_large_loose_buckets(spark):
-    """More than 64 outside the largest component: the way by prefixes; some of them are linked."""
+    """Many outside the largest component, some of them linked."""
     rng = random.Random(14)
     p = words(rng, 150)
     texts = [p + " " + words(rng, rng.randint(30, 70)) for _ in range(150)]
@@ -84,6 +87,19 @@ def test_large_loose_buckets(spark):
     check(spark, [(k, t, "en", "s", 1) for k, t in enumerate(texts)])
 
 
+def test_sets_that_share_a_hash_stay_apart(spark):
+    """A first hash that is the same for all sets of one size: the second one tells them apart."""
+    plain = minhash.set_hashes
+
+    def weak(vals, sizes):
+        return sizes[sizes > 0].astype(np.uint64), plain(vals, sizes)[1]
+
+    rng = random.Random(15)
+    texts = [words(rng, 40) for _ in range(20)]
+    rows = [(k, t, "en", "s", 1) for k, t in enumerate(texts + texts[:5])]
+    assert sorted((tuple(r) for r in near_duplicates(documents(spark, rows), weak).drop("ord", "th").collect()), key=str) == brute(rows)
+
+
 def test_short_texts(spark):
     rng = random.Random(13)
     check(spark, [(k, " ".join(rng.choice("abc") for _ in range(rng.randint(0, 9))), "en", "s", 1) for k in range(80)])

@@ -4,8 +4,8 @@ A greedy merge encoding has two properties that the walk rests on: every prefix
 string it spells, and a list of tokens is an encoding when each two neighbours are (each token being the encoding of its own string, which a
 vocabulary built by merges ensures). So the encoding of any prefix is
 told by its last token alone, which is the one token ending there that may follow the last token of what stands before
-it. New words go into a trie; a depth-first walk hands each node's last-token state down, so a prefix that many words
-share is encoded once.
+it. New words go into a trie (as its words in order, each with what it shares with the one before); a depth-first walk hands
+each node's last-token state down, so a prefix that many words share is encoded once.
 
 The vocabulary is a file in the format of the `tokenizers` library with a word-end suffix, lower-casing and NFC, as
 `word_bpe_49k.json`. Special strings in a text become their own ids, as there.
@@ -31,8 +31,8 @@ NO_LETTERS = "558 58b-58c 88f c5c cdc 208f 209d-209f a7ce-a7cf a7d2 a7d4 a7dd a7
 NO_NUMBERS = "11de0-11de9 1246f 12475-1247f 12550-12686 16ff4-16ff6"
 CAPITALS = ((0x1C89, 0x1C89, 1), (0xA7CB, 0xA7CB, 0x264 - 0xA7CB), (0xA7CC, 0xA7CC, 1), (0xA7CE, 0xA7CE, 1), (0xA7D2, 0xA7D2, 1), (0xA7D4, 0xA7D4, 1), (0xA7DA, 0xA7DA, 1), (0xA7DC, 0xA7DC, 0x19B - 0xA7DC), (0x10D50, 0x10D65, 0x20), (0x16EA0, 0x16EB8, 0x1B))
 
-#: Distinct words that a worker remembers; beyond it the memory is emptied and filled anew.
-WORDS_KEPT = 400_000
+#: Bytes of distinct words that a worker remembers; beyond it the memory is emptied and filled anew.
+BYTES_KEPT = 3 << 20
 
 
 def byte_symbols() -> list[str]:
@@ -69,7 +69,10 @@ class TrieEncoder:
         self.small = {k: k + d for a, b, d in CAPITALS for k in range(a, b + 1)}
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.white = regex.compile(r"\s+")
+        self.ends = [x + self.suffix for x in self.symbols]
+        self.numbers = {t: str(i) for t, i in self.vocab.items()}
         self.known: dict[str, tuple[str, str, int]] = {}
+        self.known_bytes = 0
         self._may_follow: dict[tuple[str, str], bool] = {}
 
     def _length(self, token: str) -> int:
@@ -103,48 +106,41 @@ class TrieEncoder:
         return False
 
     def learn(self, words: list[str]) -> None:
-        """Puts words into a trie and walks it once, depth first, remembering what each encodes to."""
-        root: dict = {}
-        for w in words:
-            data = w.encode("utf-8", "surrogatepass")
-            node = root
-            for b in data[:-1]:
-                node = node.setdefault(b, {})
-            node.setdefault(256 + data[-1], []).append(w) if data else None
+        """Walks the trie of words once, depth first, remembering what each encodes to.
+
+        The trie is held as its words in order, each with the length of the prefix that it shares with the word before: that
+        is where the walk goes back to. A word's last byte is a symbol of its own, as it carries the suffix.
+        """
         path: list[str] = []  # symbols from the root
         last: list[str] = [""]  # last token of the encoding of each prefix
-        vocab, most = self.vocab, self.longest
-        stack: list = [(0, iter(root.items()))]
-        while stack:
-            depth, children = stack[-1]
-            step = next(children, None)
-            if step is None:
-                stack.pop()
-                continue
-            key, below = step
-            del path[depth:], last[depth + 1 :]
-            path.append(self.symbols[key & 255] + (self.suffix if key >= 256 else ""))
-            token = ""
-            for size in range(1, min(most, depth + 1) + 1):
-                token = path[depth + 1 - size] + token
-                if token in vocab:
-                    before = last[depth + 1 - size]
-                    if size == depth + 1 or self.may_follow(before, token):
+        sizes: list[int] = [0]  # symbols in it
+        vocab, most, plain, ends = self.vocab, self.longest, self.symbols, self.ends
+        before = b""
+        for data, w in sorted((w.encode("utf-8", "surrogatepass"), w) for w in words):
+            shared, limit = 0, min(len(before), len(data)) - 1
+            while shared < limit and before[shared] == data[shared]:
+                shared += 1
+            before = data
+            del path[shared:], last[shared + 1 :], sizes[shared + 1 :]
+            path += [plain[x] for x in data[shared:-1]]
+            path.append(ends[data[-1]])
+            for depth in range(shared + 1, len(path) + 1):
+                token = ""
+                for size in range(1, min(most, depth) + 1):
+                    token = path[depth - size] + token
+                    if token in vocab and (size == depth or self.may_follow(last[depth - size], token)):
                         last.append(token)
+                        sizes.append(size)
                         break
-            else:
-                raise ValueError(f"no token ends at {path[-1]!r}")
-            if key >= 256:
-                tokens, at = [], depth + 1
-                while at:
-                    tokens.append(last[at])
-                    at -= self._length(last[at])
-                tokens.reverse()
-                entry = (" ".join(str(vocab[t]) for t in tokens), " ".join(tokens), len(tokens))
-                for w in below:
-                    self.known[w] = entry
-            else:
-                stack.append((depth + 1, iter(below.items())))
+                else:
+                    raise ValueError(f"no token ends at {path[depth - 1]!r}")
+            tokens, at = [], len(path)
+            while at:
+                tokens.append(last[at])
+                at -= sizes[at]
+            tokens.reverse()
+            self.known[w] = (" ".join([self.numbers[t] for t in tokens]), " ".join(tokens), len(tokens))
+            self.known_bytes += len(data)
 
     def split(self, text: str) -> list[str]:
         """Pieces of a text between special strings, after NFC, white space and lower case, character by character."""
@@ -165,8 +161,9 @@ class TrieEncoder:
 
     def encode_batch(self, texts: list[str]) -> list[tuple[str, str, int]]:
         """For each text: its ids as decimals joined by spaces, its decoding, and how many ids."""
-        if len(self.known) > WORDS_KEPT:
+        if self.known_bytes > BYTES_KEPT:
             self.known.clear()
+            self.known_bytes = 0
         cut = [self.parts_of(t) for t in texts]
         fresh = {w for parts in cut for is_special, x in parts if not is_special for w in x}.difference(self.known)
         if fresh:
@@ -210,8 +207,8 @@ def bpe_encode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
 
     path must be readable on every executor (an installed package's file, say). A narrow map: nothing is shuffled, a
     lost task is simply run again. Null text counts as empty: no ids, and the hashes of the empty string. A null doc_id
-    stays null; repeated rows are repeated; further columns of docs are left out. Memory: one slice of texts (2 MB, or
-    one longer text), its trie, and at most WORDS_KEPT words with their encodings beside a slice's own.
+    stays null; repeated rows are repeated; further columns of docs are left out. Memory: one slice of texts (1 MB, or
+    one longer text), the path to one word, and at most BYTES_KEPT of words with their encodings beside a slice's own.
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text")).mapInArrow(lambda it: _encoded(it, path, with_ids), schema)

@@ -60,6 +60,19 @@ def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of input for each of the partitions that an operator sorts or ranges by itself.
+PARTITION_BYTES = 64 << 20
+
+
+def partitions_for(df: DataFrame) -> int:
+    """The session's shuffle partitions, or more where Spark takes df for larger than PARTITION_BYTES for each.
+
+    Spark takes tables whose size it doesn't know for exabytes; for these the session's number holds.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(n_partitions(df.sparkSession), size // PARTITION_BYTES if size < 1 << 53 else 0)
+
+
 # ---- documents ------------------------------------------------------------------------------------
 
 
@@ -132,7 +145,20 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each data[start:end], equal for equal contents wherever they stand."""
+    """A 64-bit hash of each data[start:end], equal for equal contents wherever they stand; spans are in order and apart.
+
+    About SLICE_BYTES are worked on at a time, unless one span is longer.
+    """
+    out, k = np.empty(len(starts), dtype=U64), 0
+    while k < len(starts):
+        lo = starts[k]
+        to = max(k + 1, int(np.searchsorted(ends, lo + SLICE_BYTES, side="right")))
+        out[k:to] = _span_hashes(data[lo : ends[to - 1]], starts[k:to] - lo, ends[k:to] - lo)
+        k = to
+    return out
+
+
+def _span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     n = len(data)
     sums = np.zeros(n + 1, dtype=U64)
     np.cumsum((data.astype(U64) + U64(1)) * powers(_BASE, n), out=sums[1:])

@@ -19,6 +19,7 @@ is one packed string. Steps:
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,12 +29,14 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, as_longs, bitmap, column, gram_hashes, in_bitmap, joined_bytes, keyed, longs, mixed, n_partitions, powers, sha256_hex, sliced, span_hashes, word_spans, written
+from .common import SLICE_BYTES, U64, as_longs, bitmap, column, gram_hashes, in_bitmap, joined_bytes, keyed, longs, mixed, partitions_for, powers, sha256_hex, sliced, span_hashes, word_spans, written
 
 #: Bytes of packed strings that a task sorts at once, unless one token has more.
 CHUNK_BYTES = 1 << 20
 #: Windows that are sorted at once.
 SORTED = 300_000
+#: Characters (eight bytes) of a packed string that are sorted one by one; what is left of a longer one is two, its 128-bit digest.
+DEEP = 128
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -121,13 +124,64 @@ def runs_of(texts: list[bytes], w: Windows) -> Runs:
     return Runs(of, begin - first[of], n, grams[place] >> U64(16), anchor, lo, hi, data)
 
 
+_WHITE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def pieces(text: bytes, w: Windows, most: int = SLICE_BYTES) -> Iterator[tuple[bytes, int]]:
+    """A text in pieces of about `most` bytes, with the symbol at which each begins; every window is in just one piece.
+
+    Neighbours share width - 1 symbols. A piece of words ends between words, and has a window at least.
+    """
+    if len(text) <= most + w.width:
+        yield text, 0
+    elif not w.words:
+        for at in range(0, len(text) - w.width + 1, most):
+            yield text[at : at + most + w.width - 1], at
+    else:
+        at, first, size = 0, 0, most
+        while True:
+            cut = _WHITE.search(text, at + size) if at + size < len(text) else None
+            piece = text[at : cut.start()] if cut else text[at:]
+            if not cut:
+                yield piece, first
+                return
+            starts = word_spans(np.frombuffer(piece + b" ", dtype=np.uint8))[0]
+            if len(starts) < w.width:
+                size *= 2
+                continue
+            yield piece, first
+            at, first, size = at + int(starts[len(starts) - w.width + 1]), first + len(starts) - w.width + 1, most
+
+
+def _runs(b: pa.RecordBatch, w: Windows) -> Iterator[Runs]:
+    """Runs of a batch: documents by their place in it, starts counted from a document's beginning; long texts in pieces."""
+    lot: list[tuple[bytes, int, int]] = []
+    size = 0
+
+    def done() -> Runs:
+        r = runs_of([x for x, _, _ in lot], w)
+        first, row = np.array([f for _, f, _ in lot], dtype=np.int64), np.array([k for _, _, k in lot], dtype=np.int64)
+        r.start, r.doc = r.start + first[r.doc], row[r.doc]
+        lot.clear()
+        return r
+
+    for k, text in enumerate(_bytes(b)):
+        for piece, first in pieces(text, w):
+            lot.append((piece, first, k))
+            size += len(piece)
+            if size >= SLICE_BYTES:
+                yield done()
+                size = 0
+    if lot:
+        yield done()
+
+
 def _bytes(b: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return column(b, name).cast(pa.binary()).to_pylist()
 
 
 def _keys(batches: Iterator[pa.RecordBatch], w: Windows) -> Iterator[pa.RecordBatch]:
-    for b in sliced(batches):
-        r = runs_of(_bytes(b), w)
+    for b, r in ((b, r) for b in sliced(batches) for r in _runs(b, w)):
         rows = {"key": as_longs(r.key)}
         if not w.in_document:
             rows["ord"] = longs(b, "ord")[r.doc]
@@ -135,8 +189,7 @@ def _keys(batches: Iterator[pa.RecordBatch], w: Windows) -> Iterator[pa.RecordBa
 
 
 def _packed(batches: Iterator[pa.RecordBatch], w: Windows, repeated: Broadcast) -> Iterator[pa.RecordBatch]:
-    for b in sliced(batches):
-        r = runs_of(_bytes(b), w)
+    for b, r in ((b, r) for b in sliced(batches) for r in _runs(b, w)):
         keep = np.flatnonzero(in_bitmap(repeated.value, r.key))
         if not len(keep):
             continue
@@ -235,7 +288,17 @@ def settle(rows: dict, w: Windows, border: list[bytes]) -> pa.RecordBatch | None
     o = np.lexsort((sizes, lead))
     segment = np.empty(len(lead), dtype=np.int64)
     segment[o] = np.concatenate(([0], np.cumsum((np.diff(lead[o]) != 0) | (np.diff(sizes[o]) != 0))))
-    label = multikey_labels(segment, (sizes + 7) // 8, lambda i, d: eight[at[i] + 8 * d].astype(U64))
+    tails: dict[int, np.ndarray] = {}
+
+    def tail(k: int) -> np.ndarray:
+        if k not in tails:
+            tails[k] = np.frombuffer(hashlib.blake2b(packed[k][8 * DEEP :], digest_size=16).digest(), dtype=U64)
+        return tails[k]
+
+    def char(i: np.ndarray, d: int) -> np.ndarray:
+        return eight[at[i] + 8 * d].astype(U64) if d < DEEP else np.array([tail(k)[d - DEEP] for k in i.tolist()], dtype=U64)
+
+    label = multikey_labels(segment, np.where(sizes > 8 * DEEP, DEEP + 2, (sizes + 7) // 8), char)
     o = np.lexsort((th, start, ord_, label))
     head = np.ones(len(o), dtype=bool)
     head[1:] = np.diff(label[o]) != 0
@@ -363,7 +426,7 @@ def repeated_ranges(rows: DataFrame, w: Windows) -> DataFrame:
     seen = keys.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1") if w.in_document else keys.groupBy("key").agg(F.min("ord").alias("x"), F.max("ord").alias("y")).where("x <> y")
     repeated = spark.sparkContext.broadcast(bitmap(seen, "key"))
     packed = rows.mapInArrow(lambda it: _packed(it, w, repeated), "lead binary, ord long, th long, start long, n int, anchor int, packed binary")
-    buckets = packed.repartitionByRange(n_partitions(spark), "lead", "ord", "start").sortWithinPartitions("lead")
+    buckets = packed.repartitionByRange(partitions_for(rows), "lead", "ord", "start").sortWithinPartitions("lead")
     found = written(buckets.mapInArrow(lambda it: _settled(it, w), "ord long, th long, a long, b long, d1 long, d2 long"), "windows")
     border = found.where("b < 0")
     first = border.groupBy("d1", "d2").agg(F.min(F.struct("ord", "a")).alias("m"), F.count(F.lit(1)).alias("c")).where("c > 1")

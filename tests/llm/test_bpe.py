@@ -31,6 +31,12 @@ def test_awkward_texts(library):
     same(library, ["", " ", "Hello WORLD's ΣΑΣ İ", "<|endoftext|>", "a<|startoftext|><|endoftext|>b", "<|ENDOFTEXT|>", "é é", "\x1c\x85 　x", "中文 😀😀", "x" * 3000, "''''s't're", "ab1234cd", "<|endoftext", "ﬁ Å"])
 
 
+def test_long_words(library):
+    rng = random.Random(3)
+    long = "".join(rng.choice("abcdeé1") for _ in range(40_000))
+    same(library, [long, long[:30_000] + "z", f"{long} {long[:20_000]} short", long[:-1]])
+
+
 @given(st.lists(st.text(max_size=60), max_size=8))
 @settings(max_examples=150, deadline=None)
 def test_any_text(library, texts):

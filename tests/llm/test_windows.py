@@ -1,6 +1,7 @@
 """Operators 4 and 9 against brute force over small corpora."""
 
 import hashlib
+import random
 
 import pytest
 
@@ -8,7 +9,7 @@ from tessera.llm import windows as W
 from tessera.llm.common import MAX_LONG
 from tessera.llm.substrings import dedup_substrings, dedup_suffixes
 
-from .fixtures import SCHEMA, corpus, documents, with_clashes
+from .fixtures import SCHEMA, corpus, documents, with_clashes, words
 
 
 def brute(rows, width, words):
@@ -37,12 +38,12 @@ def brute(rows, width, words):
 
 
 @pytest.mark.parametrize("seed", [3, 4])
-@pytest.mark.parametrize("words", [True, False])
-def test_equals_brute_force(spark, words, seed):
+@pytest.mark.parametrize("is_words", [True, False])
+def test_equals_brute_force(spark, is_words, seed):
     rows = corpus(seed)
-    f, width = (dedup_substrings, 50) if words else (dedup_suffixes, 100)
+    f, width = (dedup_substrings, 50) if is_words else (dedup_suffixes, 100)
     got = sorted((tuple(r) for r in f(with_clashes(documents(spark, rows))).collect()), key=str)
-    want = brute(rows, width, words)
+    want = brute(rows, width, is_words)
     assert got == want
     assert sum(r[2] for r in want) > 1000
 
@@ -52,9 +53,9 @@ def test_every_window_compared_across_borders(spark, monkeypatch):
     rows = [(k, "common passage " * 3 + " ".join(f"w{k % 3}x{i}" for i in range(80)) + f" own{k}", "en", "s", 1) for k in range(40)]
     spark.conf.set("spark.sql.shuffle.partitions", "23")
     try:
-        for words, f, width in ((True, dedup_substrings, 50), (False, dedup_suffixes, 100)):
+        for is_words, f, width in ((True, dedup_substrings, 50), (False, dedup_suffixes, 100)):
             got = sorted((tuple(r) for r in f(documents(spark, rows)).collect()), key=str)
-            assert got == brute(rows, width, words)
+            assert got == brute(rows, width, is_words)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
@@ -69,6 +70,32 @@ def test_small_chunks_settle_alike():
         assert covered == sum(max(0, s - w.width + 1) for s in sizes)
 
 
+@pytest.mark.parametrize("w", [W.WORDS_50, W.BYTES_100])
+def test_pieces_hold_every_window_once(w):
+    for seed in range(20):
+        rng = random.Random(seed)
+        text = b"".join(rng.choice([b"a", b"bc ", b" ", b"\n", b"x" * 150]) for _ in range(rng.choice([0, 30, 400, 3000])))
+        units = text.split() if w.words else text
+        got = {}
+        for piece, first in W.pieces(text, w, rng.choice([64, 300, 2000])):
+            u = piece.split() if w.words else piece
+            for i in range(len(u) - w.width + 1):
+                assert first + i not in got
+                got[first + i] = u[i : i + w.width]
+        assert got == {i: units[i : i + w.width] for i in range(len(units) - w.width + 1)}
+
+
+def test_texts_longer_than_a_slice(spark):
+    """Over a megabyte, with passages across the ends of pieces and a word of 200,000 letters."""
+    rng = random.Random(4)
+    passage = words(rng, 3000)
+    long = " ".join([words(rng, 20_000), passage, words(rng, 60_000), "y" * 200_000, words(rng, 60_000), passage, words(rng, 30_000)])
+    assert len(long.encode()) > 1_200_000
+    rows = [(1, passage[500:9000], "en", "s", 1), (2, long, "en", "s", 1), (3, long[700_000:1_200_000], "en", "s", 1)]
+    for is_words, f, width in ((True, dedup_substrings, 50), (False, dedup_suffixes, 100)):
+        assert sorted((tuple(r) for r in f(documents(spark, rows)).collect()), key=str) == brute(rows, width, is_words)
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert dedup_substrings(empty).collect() == [] and dedup_suffixes(empty).collect() == []

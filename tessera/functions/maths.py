@@ -9,22 +9,28 @@ import operator
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# fixed values: units by kind, in metres, grams and bytes
-LENGTH = {"m": 1.0, "km": 1000.0, "cm": 0.01, "mm": 0.001, "um": 1e-6, "nm": 1e-9, "mile": 1609.344, "yard": 0.9144, "foot": 0.3048, "inch": 0.0254, "ft": 0.3048, "in": 0.0254}
-WEIGHT = {"kg": 1000.0, "g": 1.0, "mg": 0.001, "ug": 1e-6, "ton": 1e6, "lb": 453.59237, "oz": 28.349523125, "pound": 453.59237, "ounce": 28.349523125, "t": 1e6}
-DATA = {"B": 1.0, "KB": 1024.0, "MB": 1024.0**2, "GB": 1024.0**3, "TB": 1024.0**4, "bit": 0.125, "byte": 1.0}
+# fixed values: units by kind, in metres, grams and bytes, and the names of the temperatures
+LENGTH = {"m": 1.0, "km": 1000.0, "cm": 0.01, "mm": 0.001, "mile": 1609.344, "yard": 0.9144, "foot": 0.3048, "inch": 0.0254, "米": 1.0, "千米": 1000.0, "厘米": 0.01, "毫米": 0.001}
+WEIGHT = {"g": 1.0, "kg": 1000.0, "mg": 0.001, "ton": 1000000.0, "lb": 453.592, "oz": 28.3495, "克": 1.0, "千克": 1000.0, "毫克": 0.001, "吨": 1000000.0}
+DATA = {"B": 1.0, "KB": 1024.0, "MB": 1024.0**2, "GB": 1024.0**3, "TB": 1024.0**4, "byte": 1.0, "bit": 0.125}
+CELSIUS, FAHRENHEIT = ("celsius", "c", "摄氏度"), ("fahrenheit", "f", "华氏度")
+
+
+def conversion(value: Column, unit: Column, to: Column) -> Column:
+    """struct<result, error>: value in another unit of its kind. Temperatures in either case; other units as they are written."""
+    kinds = F.create_map(*[F.lit(x) for kind, units in (("length", LENGTH), ("weight", WEIGHT), ("data", DATA)) for u in units for x in (u, kind)])
+    factors = F.create_map(*[F.lit(x) for units in (LENGTH, WEIGHT, DATA) for kv in units.items() for x in kv])
+    warm = lambda u, names: F.lower(u).isin(*names)
+    up, down = warm(unit, CELSIUS) & warm(to, FAHRENHEIT), warm(unit, FAHRENHEIT) & warm(to, CELSIUS)
+    a, b = F.try_element_at(kinds, unit), F.try_element_at(kinds, to)
+    error = F.when(up | down, None).when(a.isNull() | b.isNull(), "unsupported_unit").when(a != b, "category_mismatch")
+    result = F.when(up, value * 9 / 5 + 32).when(down, (value - 32) * 5 / 9).when(error.isNull(), value * F.try_element_at(factors, unit) / F.try_element_at(factors, to))
+    return F.struct(result.alias("result"), error.alias("error"))
 
 
 def convert(value: Column, unit: Column, to: Column) -> Column:
-    """value in another unit of its kind; null where there is none. Temperatures go between c and f in either case."""
-    out = F.lit(None).cast("double")
-    for kind in (LENGTH, WEIGHT, DATA):
-        factor = F.create_map(*[F.lit(x) for kv in kind.items() for x in kv])
-        a, b = F.try_element_at(factor, unit), F.try_element_at(factor, to)
-        out = F.coalesce(out, value * a / b)
-    low = F.lower(unit), F.lower(to)
-    celsius = F.when((low[0] == "c") & (low[1] == "f"), value * 9 / 5 + 32).when((low[0] == "f") & (low[1] == "c"), (value - 32) * 5 / 9)
-    return F.coalesce(out, celsius)
+    """The result of conversion; null where it is an error."""
+    return conversion(value, unit, to)["result"]
 
 
 _BINARY = {ast.Add: operator.add, ast.Sub: operator.sub, ast.Mult: operator.mul, ast.Div: operator.truediv, ast.FloorDiv: operator.floordiv, ast.Mod: operator.mod, ast.Pow: operator.pow}

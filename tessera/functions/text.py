@@ -41,15 +41,16 @@ def safe_filename(title: Column) -> Column:
 
 
 def file_type(name: Column) -> Column:
-    """The extension in lower case; txt where there is none."""
-    ext = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
+    """The extension of a path's last part in lower case; txt where there is none. Dots at its beginning begin no extension."""
+    last = F.regexp_replace(F.regexp_extract(name, r"[^/]*$", 0), r"^\.+", "")
+    ext = F.lower(F.regexp_extract(last, r"(?s)^[^.].*\.([^.]*)$", 1))
     return F.when(ext == "", "txt").otherwise(ext)
 
 
 def html_to_text(html: Column) -> Column:
     """Without scripts, styles and tags, white space as single spaces, stripped."""
-    t = F.regexp_replace(html, r"(?is)<script[^>]*>.*?</script>", "")
-    t = F.regexp_replace(F.regexp_replace(t, r"(?is)<style[^>]*>.*?</style>", ""), r"<[^>]+>", " ")
+    t = F.regexp_replace(html, r"(?s)<script[^>]*>.*?</script>", "")
+    t = F.regexp_replace(F.regexp_replace(t, r"(?s)<style[^>]*>.*?</style>", ""), r"<[^>]+>", " ")
     return F.btrim(F.regexp_replace(t, r"\s+", " "), F.lit(BLANK))
 
 
@@ -69,7 +70,7 @@ def arxiv_id(text: Column) -> Column:
 def keywords_of(text: Column) -> Column:
     """Words of Chinese or Latin letters in lower case, over one character, without stop words."""
     # fixed values: the stop words
-    stop = ["the", "a", "an", "is", "are", "was", "were", "in", "on", "at", "to", "for", "of", "and", "or", "的", "是", "在", "了", "和", "与", "或", "等", "这", "那", "有", "为", "以"]
+    stop = ["的", "是", "在", "和", "了", "有", "不", "这", "为", "上", "the", "a", "an", "is", "are", "was", "were", "be", "been", "to", "of", "and", "in", "that", "it", "for", "on", "with"]
     words = F.regexp_extract_all(F.lower(text), F.lit("([\\u4e00-\\u9fff]+|[a-z]+)"), F.lit(1))
     return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(stop))
 
@@ -90,6 +91,30 @@ def author_display(authors: Column, most: int = 3) -> Column:
     return F.when(F.size(authors) > most, F.concat(names, F.lit(" et al."))).otherwise(names)
 
 
+def node_size(citations: Column) -> Column:
+    """Grows with the logarithm of citations, from 15 to 25."""
+    return F.least(15 + F.ln(citations + 1) * 3, F.lit(25.0))
+
+
+def vector_of(text: Column) -> Column:
+    """The array that a text like [x,y] spells; null where it spells none."""
+    return F.from_json(text, "array<float>")
+
+
+def vector_text(vector: Column) -> Column:
+    return F.concat(F.lit("["), F.array_join(vector.cast("array<string>"), ","), F.lit("]"))
+
+
+def iso_time(time: Column) -> Column:
+    """ISO 8601 with microseconds, which are left out where they are zero."""
+    return F.when(F.date_format(time, "SSSSSS") == "000000", F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+
+
+def first_entries(pairs: Column, n: int) -> Column:
+    """The first n entries of a map, in its order."""
+    return F.slice(F.map_entries(pairs), 1, n)
+
+
 def citation(authors: Column, title: Column, venue: Column, year: Column) -> Column:
     who = F.coalesce(F.nullif(F.array_join(author_names(authors), ", "), F.lit("")), F.lit("Unknown"))
     return F.concat(who, F.lit('. "'), title, F.lit('". '), F.coalesce(venue, F.lit("")), F.lit(" ("), F.coalesce(year.cast("string"), F.lit("")), F.lit(")"))
@@ -100,41 +125,19 @@ def url_allowed(url: Column) -> Column:
     # fixed values: what a host must not contain, and how it must not start
     inside = ["localhost", "127.0.0.1", "0.0.0.0", "internal", "intranet", "private", "corp"]
     starts = ["10.", "172.", "192.168."]
-    host = F.lower(F.regexp_extract(url, r"^[a-zA-Z]+://([^/:?#]*)", 1))
+    host = F.lower(F.regexp_extract(url, r"^[a-zA-Z]+://(?:[^/?#]*@)?(\[[^\]]*\]|[^/:?#]*)", 1))
     bad = F.lit(False)
     for x in inside:
         bad = bad | host.contains(x)
     for x in starts:
         bad = bad | host.startswith(x)
-    return F.coalesce((F.startswith(url, F.lit("http://")) | F.startswith(url, F.lit("https://"))) & ~bad, F.lit(False))
+    return F.coalesce(F.regexp_like(url, F.lit(r"^(?i:https?)://")) & ~bad, F.lit(False))
 
 
 def package_name(text: Column) -> Column:
     return F.lower(F.btrim(F.split(text, "[<>=!~]")[0]))
 
 
-def without_tags_and_calls(text: Column) -> Column:
-    """A reply without the agent's tags and without flat JSON objects that name a tool, stripped."""
-    t = F.regexp_replace(text, "</?(think|action|answer|observation)>", "")
-    return F.btrim(F.regexp_replace(t, r'\{[^{}]*"tool"[^{}]*\}', ""), F.lit(BLANK))
-
-
-def bare_call(text: Column) -> Column:
-    """tool and input of the first JSON call that stands in a text without tags; null where there is none or it is broken."""
-    found = F.regexp_extract(text, r'(\{[^{}]*"tool"\s*:\s*"[^"]+"\s*,\s*"input"\s*:\s*\{[^{}]*\}[^{}]*\})', 1)
-    return F.from_json(F.nullif(found, F.lit("")), "tool string, input map<string,string>")
-
-
-def result_links(html: Column, most: int = 5) -> Column:
-    """array<struct<url,title,snippet>> of a result page: links of class result__a, each with the snippet in the same place."""
-    body = "([^<]*(?:<(?!/a>)[^>]+>[^<]*)*)</a>"
-    link, note = '(?s)<a[^>]*class="[^"]*result__a[^"]*"[^>]*href="([^"]+)"[^>]*>' + body, '(?s)<a[^>]*class="[^"]*result__snippet[^"]*"[^>]*>' + body
-    plain = lambda c: F.coalesce(strip_tags(c), F.lit(""))
-    urls, titles, notes = F.regexp_extract_all(html, F.lit(link), F.lit(1)), F.regexp_extract_all(html, F.lit(link), F.lit(2)), F.regexp_extract_all(html, F.lit(note), F.lit(1))
-    rows = F.transform(F.slice(urls, 1, most), lambda u, i: F.struct(u.alias("url"), plain(F.get(titles, i)).alias("title"), plain(F.get(notes, i)).alias("snippet")))
-    return F.filter(rows, lambda r: r["title"] != "")
-
-
 def numbered(rows: Column, title: str, *more: str) -> Column:
     """A text of numbered blocks from an array of structs: n. title, and below it the given fields that aren't empty."""
     def block(r: Column, i: Column) -> Column:

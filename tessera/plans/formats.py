@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import calls
 from tessera.functions import code as K
 from tessera.functions import text as X
 from tessera.functions.maths import calculate
@@ -15,7 +16,7 @@ from tessera.sources import web
 from tessera.streaming import tags
 
 from .library import n
-from .registry import query
+from .registry import ORACLES, query
 
 
 def _json(t: Tables, expr: str) -> DataFrame:
@@ -127,15 +128,6 @@ def error_classify(t: Tables) -> DataFrame:
     return t.events.select("event_id", K.error_kind(m[F.col("event_type")]).alias("kind"))
 
 
-@query("SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT * 2 AS place, role AS type, left(text, 10) AS data FROM conversations WHERE left(text, 10) NOT LIKE '%' || chr(10) || '%'")
-def sse_frames(t: Tables) -> DataFrame:
-    """Events framed and read again; a line that is no JSON stands between."""
-    rows = t.conversations.withColumn("d", F.left("text", F.lit(10))).where(~F.col("d").contains("\n"))
-    frame = F.concat(F.lit("data: "), F.to_json(F.struct(F.col("role").alias("type"), F.col("d").alias("data"))))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", frame.alias("f")))), lambda x: x["f"]), "\n\n")
-    return tags.frames(rows.groupBy("conv_id").agg(text.alias("s")), "conv_id", "s")
-
-
 @query("""SELECT conv_id, (2 * (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1))::INT AS place, 'thought' AS type, role AS text FROM conversations
 UNION ALL SELECT conv_id, (2 * (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) + 1)::INT, 'answer', turn::VARCHAR FROM conversations""")
 def react_stream(t: Tables) -> DataFrame:
@@ -148,12 +140,15 @@ def react_stream(t: Tables) -> DataFrame:
 
 @query("SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT * 2 AS place, role AS type, text AS data FROM conversations")
 def sse_frames_whole(t: Tables) -> DataFrame:
-    """As sse_frames, over whole messages: JSON escapes their newlines."""
+    """Events framed and read again, over whole messages: JSON escapes their newlines. A line that is no frame stands between."""
     frame = F.concat(F.lit("data: "), F.to_json(F.struct(F.col("role").alias("type"), F.col("text").alias("data"))))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", frame.alias("f")))), lambda x: x["f"]), "\n\n")
     return tags.frames(t.conversations.groupBy("conv_id").agg(text.alias("s")), "conv_id", "s")
 
 
+query(ORACLES["sse_frames_whole"], "sse_frames")(sse_frames_whole)
+
+
 @query(r"""SELECT conv_id, (2 * (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1))::INT AS place, 'thought' AS type, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM conversations
 UNION ALL SELECT conv_id, (2 * (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) + 1)::INT, 'answer', turn::VARCHAR FROM conversations""")
 def react_stream_whole(t: Tables) -> DataFrame:
@@ -176,9 +171,8 @@ def bare_calls(t: Tables) -> DataFrame:
     """Calls without tags, and what is left of the reply without them."""
     k = F.when(F.col("turn") % 2 == 0, '"q": "k"').otherwise("")
     x = F.concat(F.lit("say <answer>"), F.col("role"), F.lit('</answer> {"tool": "'), F.col("role"), F.lit('", "input": {'), k, F.lit("}}"))
-    call = X.bare_call(F.col("x"))
-    flat = F.replace(F.replace("x", F.lit(', "input": {'), F.lit(", ")), F.lit("}}"), F.lit("}"))
-    return t.conversations.withColumn("x", x).select("conv_id", "turn", call["tool"].alias("tool"), F.try_element_at(call["input"], F.lit("q")).alias("k"), X.without_tags_and_calls(flat).alias("left_over"))
+    rows = t.conversations.withColumn("x", x).select("conv_id", "turn", calls.bare_call(F.col("x")).alias("call"), calls.without_tags_and_calls(F.col("x")).alias("left_over"))
+    return rows.select("conv_id", "turn", F.col("call.tool").alias("tool"), F.try_element_at(F.col("call.input"), F.lit("q")).alias("k"), "left_over")
 
 
 @query("SELECT page_id, url AS title, 'https://e.org/' || page_id AS link, CASE WHEN page_id % 2 = 0 THEN 'a & b' ELSE '' END AS snippet FROM pages")
@@ -186,7 +180,7 @@ def result_links(t: Tables) -> DataFrame:
     k = F.col("page_id").cast("string")
     note = F.when(F.col("page_id") % 2 == 0, '<a class="result__snippet">a &amp; <b>b</b></a>').otherwise("")
     page = F.concat(F.lit('<a rel="x" class="result__a" href="https://e.org/'), k, F.lit('"><b>'), F.col("url"), F.lit("</b></a>"), note)
-    return t.pages.select("page_id", F.inline(X.result_links(page))).select("page_id", "title", F.col("url").alias("link"), "snippet")
+    return web.result_links(t.pages.withColumn("page", page), "page_id", "page").select("page_id", "title", F.col("url").alias("link"), "snippet")
 
 
 @query("SELECT c_custkey, string_agg(place || '. ' || o_orderpriority || CASE WHEN o_orderstatus = 'F' THEN '' ELSE chr(10) || '   ' || o_orderstatus END, chr(10) ORDER BY place) AS listing FROM (SELECT o_custkey AS c_custkey, o_orderpriority, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS place FROM orders) GROUP BY c_custkey")
@@ -212,7 +206,8 @@ def tool_dispatch(t: Tables) -> DataFrame:
 
 # fixed values: tools and whether they need the user's permission
 TOOLS = {"knowledge_search": False, "web_search": False, "calculator": False, "datetime": False, "text_analysis": False, "unit_converter": False, "literature_search": False, "notebook_execute": True, "notebook_variables": True, "notebook_cell": True, "pip_install": True, "web_scrape": False, "code_analysis": False}
-PROVIDERS = {"deepseek": 1536, "aliyun": 1536, "local": 768}
+# fixed values: providers of models, and whether one needs a key to be available
+PROVIDERS = {"deepseek": True, "openai": True, "aliyun": True, "ollama": False}
 
 
 @query("SELECT unnest([" + ", ".join(f"'{x}'" for x in TOOLS) + "]) AS name, unnest([" + ", ".join(str(x).lower() for x in TOOLS.values()) + "]) AS needs_permission")
@@ -220,9 +215,14 @@ def tool_catalog(t: Tables) -> DataFrame:
     return t.spark.createDataFrame(list(TOOLS.items()), "name string, needs_permission boolean")
 
 
-@query("SELECT unnest([" + ", ".join(f"'{x}'" for x in PROVIDERS) + "]) AS provider, unnest([" + ", ".join(map(str, PROVIDERS.values())) + "])::INT AS dimension")
+def providers(t: Tables, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Providers in their order, and which are available with the keys that are set."""
+    return t.spark.createDataFrame([(k, p, p in keys or not needs) for k, (p, needs) in enumerate(PROVIDERS.items())], "place int, provider string, available boolean")
+
+
+@query("SELECT * FROM (VALUES (0, 'deepseek', true), (1, 'openai', false), (2, 'aliyun', false), (3, 'ollama', true)) AS p(place, provider, available)")
 def provider_catalog(t: Tables) -> DataFrame:
-    return t.spark.createDataFrame(list(PROVIDERS.items()), "provider string, dimension int")
+    return providers(t, ("deepseek",))
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")

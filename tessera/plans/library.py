@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tessera.operators import relational as R
 from tessera.session import Tables
 
-from .registry import query
+from .registry import ORACLES, query
 
 NOW = "1998-01-01 00:00:00"
 
@@ -79,13 +79,12 @@ _LAST = "SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY
 
 
 @query(f"""WITH l AS ({_LAST}), c AS (SELECT conv_id, count(*) AS n_messages, max(turn) AS last_turn FROM conversations GROUP BY conv_id)
-SELECT c.conv_id, CASE WHEN length(l.text) > 100 THEN left(l.text, 100) || '...' ELSE l.text END AS last_message, n_messages
+SELECT c.conv_id, left(l.text, 100) AS last_message, n_messages
 FROM c LEFT JOIN l ON l.conv_id = c.conv_id AND rn = 1 ORDER BY last_turn DESC, c.conv_id LIMIT 50""")
 def conversation_list(t: Tables) -> DataFrame:
     last = R.first_per(t.conversations.where("role = 'assistant'"), ["conv_id"], [F.desc("turn")]).select("conv_id", "text")
     counts = t.conversations.groupBy("conv_id").agg(n("n_messages"), F.max("turn").alias("last_turn"))
-    text = F.when(F.length("text") > 100, F.concat(F.left("text", F.lit(100)), F.lit("..."))).otherwise(F.col("text"))
-    rows = counts.join(last, "conv_id", "left").select("conv_id", text.alias("last_message"), "n_messages", "last_turn")
+    rows = counts.join(last, "conv_id", "left").select("conv_id", F.left("text", F.lit(100)).alias("last_message"), "n_messages", "last_turn")
     return R.paginate(rows, [F.desc("last_turn"), F.asc("conv_id")], 0, 50).drop("last_turn")
 
 
@@ -236,13 +235,15 @@ def citation_edges(t: Tables) -> DataFrame:
     return e.join(p, "citing").join(q, "cited").select("citing", "cited", "citing_title", "cited_title")
 
 
-@query("""SELECT (SELECT count(*) FROM customer) AS users, (SELECT count(*) FROM customer WHERE c_mktsegment = 'BUILDING') AS admins, (SELECT count(*) FROM customer WHERE c_acctbal > 0) AS active,
-(SELECT count(*) FROM nation) AS groups, (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM conversations) AS messages, (SELECT count(DISTINCT conv_id) FROM conversations) AS conversations""")
+@query("""SELECT (SELECT count(*) FROM customer) AS users, (SELECT count(*) FROM customer WHERE c_mktsegment = 'BUILDING') AS admins, (SELECT count(*) FROM customer WHERE c_mktsegment = 'MACHINERY') AS mentors,
+(SELECT count(*) FROM customer WHERE c_mktsegment = 'AUTOMOBILE') AS students, (SELECT count(*) FROM customer WHERE c_acctbal > 0) AS active, (SELECT count(DISTINCT conv_id) FROM conversations) AS conversations,
+(SELECT count(DISTINCT source) FROM documents) AS knowledge_bases, (SELECT count(*) FROM part) AS papers, (SELECT count(*) FROM supplier) AS notebooks""")
 def system_statistics(t: Tables) -> DataFrame:
-    users = t.customer.agg(n("users"), F.count_if(F.col("c_mktsegment") == "BUILDING").alias("admins"), F.count_if(F.col("c_acctbal") > 0).alias("active"))
-    messages = t.conversations.agg(n("messages"), F.countDistinct("conv_id").alias("conversations"))
-    out = users.crossJoin(t.nation.agg(n("groups"))).crossJoin(t.documents.agg(n("documents"))).crossJoin(messages)
-    return out.select("users", "admins", "active", "groups", "documents", "messages", "conversations")
+    """One row of nine counts: a pass over each table, one-row sides put together."""
+    role = lambda r, a: F.count_if(F.col("c_mktsegment") == r).alias(a)
+    users = t.customer.agg(n("users"), role("BUILDING", "admins"), role("MACHINERY", "mentors"), role("AUTOMOBILE", "students"), F.count_if(F.col("c_acctbal") > 0).alias("active"))
+    chats, kbs = t.conversations.agg(F.countDistinct("conv_id").alias("conversations")), t.documents.agg(F.countDistinct("source").alias("knowledge_bases"))
+    return users.crossJoin(chats).crossJoin(kbs).crossJoin(t.part.agg(n("papers"))).crossJoin(t.supplier.agg(n("notebooks")))
 
 
 @query("SELECT count(*) AS n FROM customer WHERE c_mktsegment = 'MACHINERY' AND c_acctbal > 0")
@@ -260,12 +261,16 @@ def mentor_student_count(t: Tables) -> DataFrame:
     return R.counts_for(t.nation, "n_nationkey", t.customer.where("c_acctbal > 9000"), "c_nationkey", "students").select("n_nationkey", "n_name", "students")
 
 
-@query("""SELECT c_custkey, coalesce(o, 0) AS conversations, coalesce(f, 0) AS papers, coalesce(p, 0) AS notebooks FROM customer
-LEFT JOIN (SELECT o_custkey, count(*) AS o, count(*) FILTER (WHERE o_orderstatus = 'F') AS f, count(*) FILTER (WHERE o_orderstatus = 'P') AS p FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey""")
+@query("""SELECT c_custkey, (SELECT count(DISTINCT conv_id) FROM conversations WHERE conv_id % 100 = c_custkey) AS conversations, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS knowledge_bases,
+(SELECT count(*) FROM part WHERE p_partkey % 500 = c_custkey) AS papers, (SELECT count(*) FROM documents WHERE doc_id % 300 = c_custkey) AS notebooks FROM customer""")
 def student_progress(t: Tables) -> DataFrame:
-    by = t.orders.groupBy("o_custkey").agg(n("o"), F.count_if(F.col("o_orderstatus") == "F").alias("f"), F.count_if(F.col("o_orderstatus") == "P").alias("p"))
-    zero = lambda c, a: F.coalesce(c, F.lit(0)).alias(a)
-    return t.customer.join(by, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", zero("o", "conversations"), zero("f", "papers"), zero("p", "notebooks"))
+    """Four counts of four tables for each user, 0 where there is nothing."""
+    chats = t.conversations.select((F.col("conv_id") % 100).alias("owner"), "conv_id").distinct()
+    facts = {"conversations": chats, "knowledge_bases": t.orders.select(F.col("o_custkey").alias("owner")), "papers": t.part.select((F.col("p_partkey") % 500).alias("owner")), "notebooks": t.documents.select((F.col("doc_id") % 300).alias("owner"))}
+    out = t.customer.select("c_custkey")
+    for name, rows in facts.items():
+        out = R.counts_for(out, "c_custkey", rows, "owner", name)
+    return out
 
 
 @query(f"""SELECT l_suppkey % 10 AS party, count(*) FILTER (WHERE l_returnflag = 'N' AND l_shipdate > TIMESTAMP '{NOW}') AS received, count(*) FILTER (WHERE l_returnflag = 'A' AND l_shipdate > TIMESTAMP '{NOW}') AS sent,
@@ -303,11 +308,11 @@ def notebook_totals(t: Tables) -> DataFrame:
     return t.conversations.agg(F.countDistinct("conv_id").alias("notebooks"), n("cells"), F.sum("turn").alias("executions"))
 
 
-@query("""SELECT c_custkey, least(100, n + 5 * f + 3 * p) AS score, CASE WHEN least(100, n + 5 * f + 3 * p) >= 70 THEN 'active' WHEN least(100, n + 5 * f + 3 * p) >= 40 THEN 'medium' ELSE 'low' END AS level
-FROM (SELECT o_custkey AS c_custkey, count(*) AS n, count(*) FILTER (WHERE o_orderstatus = 'F') AS f, count(*) FILTER (WHERE o_orderstatus = 'P') AS p FROM orders GROUP BY 1)""")
+@query("""SELECT c_custkey, score, CASE WHEN score >= 70 THEN 'active' WHEN score >= 40 THEN 'medium' ELSE 'low' END AS level FROM (SELECT o_custkey AS c_custkey,
+least(100, count(*) + 5 * count(*) FILTER (WHERE o_orderstatus = 'F') + 3 * count(*) FILTER (WHERE o_orderstatus = 'P') + 4 * count(*) FILTER (WHERE o_orderstatus = 'O')) AS score FROM orders GROUP BY 1)""")
 def activity_score(t: Tables) -> DataFrame:
-    by = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(n("n"), F.count_if(F.col("o_orderstatus") == "F").alias("f"), F.count_if(F.col("o_orderstatus") == "P").alias("p"))
-    by = by.select("c_custkey", F.least(F.lit(100), F.col("n") + 5 * F.col("f") + 3 * F.col("p")).alias("score"))
+    by = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(n("n"), F.count_if(F.col("o_orderstatus") == "F").alias("f"), F.count_if(F.col("o_orderstatus") == "P").alias("p"), F.count_if(F.col("o_orderstatus") == "O").alias("b"))
+    by = by.select("c_custkey", F.least(F.lit(100), F.col("n") + 5 * F.col("f") + 3 * F.col("p") + 4 * F.col("b")).alias("score"))
     return by.withColumn("level", F.when(F.col("score") >= 70, "active").when(F.col("score") >= 40, "medium").otherwise("low"))
 
 
@@ -412,18 +417,9 @@ def accessible_kbs(t: Tables) -> DataFrame:
     return own.union(seen(t).select(F.col("owner_id").alias("kb"))).distinct()
 
 
-@query("SELECT 'documents' AS source, doc_id AS id, left(text, 20) AS title, NULL::VARCHAR AS url FROM documents UNION ALL SELECT 'pages', page_id, NULL, url FROM pages UNION ALL SELECT 'benchmark', item_id, left(text, 20), NULL FROM benchmark")
-def search_all(t: Tables) -> DataFrame:
-    """Several sources in one schema, nothing merged."""
-    a = t.documents.select(F.lit("documents").alias("source"), F.col("doc_id").alias("id"), F.left("text", F.lit(20)).alias("title"))
-    b = t.pages.select(F.lit("pages").alias("source"), F.col("page_id").alias("id"), "url")
-    c = t.benchmark.select(F.lit("benchmark").alias("source"), F.col("item_id").alias("id"), F.left("text", F.lit(20)).alias("title"))
-    return a.unionByName(b, allowMissingColumns=True).unionByName(c, allowMissingColumns=True)
-
-
 @query("SELECT 'documents' AS source, doc_id AS id, text AS title, NULL::VARCHAR AS url FROM documents UNION ALL SELECT 'pages', page_id, NULL, url FROM pages UNION ALL SELECT 'benchmark', item_id, text, NULL FROM benchmark")
 def search_all_whole(t: Tables) -> DataFrame:
-    """As search_all, with whole texts as titles."""
+    """Several sources in one schema, nothing merged."""
     a = t.documents.select(F.lit("documents").alias("source"), F.col("doc_id").alias("id"), F.col("text").alias("title"))
     b = t.pages.select(F.lit("pages").alias("source"), F.col("page_id").alias("id"), "url")
     c = t.benchmark.select(F.lit("benchmark").alias("source"), F.col("item_id").alias("id"), F.col("text").alias("title"))
@@ -441,3 +437,6 @@ def kb_access_check(t: Tables) -> DataFrame:
     """Requested knowledge bases that are neither accessible nor public; none may be left."""
     asked = t.customer.where("c_acctbal <= 9000").select(F.col("c_custkey").alias("kb"))
     return asked.join(accessible_kbs(t), "kb", "left_anti")
+
+
+query(ORACLES["search_all_whole"], "search_all")(search_all_whole)

@@ -13,7 +13,7 @@ from tessera.operators.relational import page_with_total
 from tessera.session import Tables
 
 from .library import n
-from .registry import query
+from .registry import ORACLES, query
 
 _ROUND = lambda c: F.round(c, 4)
 
@@ -81,26 +81,29 @@ def token_estimate(t: Tables) -> DataFrame:
 
 @query(r"""SELECT doc_id, length(text) AS chars, length(replace(replace(text, ' ', ''), chr(10), '')) AS no_space, len(regexp_extract_all(text, '[a-zA-Z]+')) AS words,
 greatest(len(regexp_extract_all(text, '[。！？.!?]+')), 1) AS sentences, len(list_filter(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13)) <> '')) AS lines,
-round(length(text) / greatest(len(regexp_extract_all(text, '[。！？.!?]+')), 1)::DOUBLE, 1) AS mean_sentence FROM documents""")
+len(regexp_extract_all(text, '[\x{4e00}-\x{9fff}]')) AS chinese,
+round(length(replace(replace(text, ' ', ''), chr(10), '')) / greatest(len(regexp_extract_all(text, '[。！？.!?]+')), 1)::DOUBLE, 1) AS mean_sentence FROM documents""")
 def text_stats(t: Tables) -> DataFrame:
     sentences = F.greatest(F.regexp_count(F.col("text"), F.lit("[。！？.!?]+")), F.lit(1))
     lines = F.size(F.filter(F.split(F.col("text"), "\n"), lambda x: F.btrim(x, F.lit(X.BLANK)) != ""))
     long = lambda c, a: c.cast("long").alias(a)
     no_space = F.length(F.translate(F.col("text"), " \n", ""))
-    return t.documents.select("doc_id", long(F.length(F.col("text")), "chars"), long(no_space, "no_space"), long(F.regexp_count(F.col("text"), F.lit("[a-zA-Z]+")), "words"), long(sentences, "sentences"), long(lines, "lines"), F.round(F.length(F.col("text")) / sentences, 1).alias("mean_sentence"))
+    return t.documents.select("doc_id", long(F.length(F.col("text")), "chars"), long(no_space, "no_space"), long(F.regexp_count(F.col("text"), F.lit("[a-zA-Z]+")), "words"), long(sentences, "sentences"), long(lines, "lines"), long(F.regexp_count(F.col("text"), F.lit(X.ZH)), "chinese"), F.round(no_space / sentences, 1).alias("mean_sentence"))
 
 
-_STOP = "('the','a','an','is','are','was','were','in','on','at','to','for','of','and','or','的','是','在','了','和','与','或','等','这','那','有','为','以')"
+_STOP = "('的','是','在','和','了','有','不','这','为','上','the','a','an','is','are','was','were','be','been','to','of','and','in','that','it','for','on','with')"
 
 
 @query(rf"""WITH w AS (SELECT doc_id, unnest(x) AS word, unnest(range(1, len(x) + 1)) AS p FROM (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\x{{4e00}}-\x{{9fff}}]+|[a-z]+'), lambda y: length(y) > 1 AND y NOT IN {_STOP}) AS x FROM documents)),
 c AS (SELECT doc_id, word, count(*) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, min(p)) AS place FROM w GROUP BY doc_id, word) SELECT doc_id, word, n, place FROM c WHERE place <= 10""")
 def keywords(t: Tables) -> DataFrame:
-    """Each document's ten most frequent words, ties in the order of appearance."""
-    words = t.documents.select("doc_id", F.posexplode(X.keywords_of(F.col("text"))).alias("p", "word"))
-    counts = words.groupBy("doc_id", "word").agg(n("n"), F.min("p").alias("p"))
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "p")).cast("long")
-    return counts.withColumn("place", place).where("place <= 10").select("doc_id", "word", "n", "place")
+    """Each document's ten most frequent words, ties in the order of appearance: words sorted within the row, their runs counted; nothing is shuffled."""
+    rows = t.documents.select("doc_id", X.keywords_of(F.col("text")).alias("w"))
+    rows = rows.select("doc_id", F.expr("sort_array(transform(w, (x, i) -> struct(x as w, i as i)))").alias("s")).where("size(s) > 0")
+    rows = rows.select("doc_id", "s", F.expr("filter(sequence(0, size(s) - 1), k -> k = 0 or get(s, k).w <> get(s, k - 1).w)").alias("b"))
+    runs = F.expr("transform(b, (k, j) -> struct(k - coalesce(get(b, j + 1), size(s)) as less, get(s, k).i as i, get(s, k).w as word))")
+    top = rows.select("doc_id", F.posexplode(F.slice(F.sort_array(runs), 1, 10)).alias("p", "r"))
+    return top.select("doc_id", F.col("r.word").alias("word"), (-F.col("r.less")).cast("long").alias("n"), (F.col("p") + 1).cast("long").alias("place"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 200 THEN left(text, 200) || '...' ELSE text END AS preview FROM documents")
@@ -154,14 +157,16 @@ def strip_tags(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.sha2(X.strip_tags(F.col("html")), 256).alias("plain"))
 
 
-@query(r"SELECT page_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?is)<style[^>]*>.*?</style>', '', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'), ' ' || chr(9) || chr(10) || chr(13) || chr(12))) AS body FROM pages")
+@query(r"SELECT page_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<script[^>]*>.*?</script>', '', 'g'), '(?s)<style[^>]*>.*?</style>', '', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'), ' ' || chr(9) || chr(10) || chr(13) || chr(12))) AS body FROM pages")
 def html_to_text(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.sha2(X.html_to_text(F.col("html")), 256).alias("body"))
 
 
-@query("SELECT page_id, CASE WHEN regexp_extract(url, '\\.([^.]+)$', 1) = '' THEN 'txt' ELSE lower(regexp_extract(url, '\\.([^.]+)$', 1)) END AS kind FROM pages")
+@query(r"""WITH b AS (SELECT page_id, ltrim(list_last(string_split(x, '/')), '.') AS base FROM (SELECT page_id, [url, '.bashrc', 'a/b.c/Report.PDF', url || '/x.tar.gz', 'end.'][(page_id % 5 + 1)::INT] AS x FROM pages))
+SELECT page_id, CASE WHEN base NOT LIKE '%.%' OR lower(list_last(string_split(base, '.'))) = '' THEN 'txt' ELSE lower(list_last(string_split(base, '.'))) END AS kind FROM b""")
 def file_type(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", X.file_type(F.col("url")).alias("kind"))
+    name = F.element_at(F.array("url", F.lit(".bashrc"), F.lit("a/b.c/Report.PDF"), F.concat(F.col("url"), F.lit("/x.tar.gz")), F.lit("end.")), (F.col("page_id") % 5 + 1).cast("int"))
+    return t.pages.select("page_id", X.file_type(name).alias("kind"))
 
 
 @query(r"SELECT doc_id, trim(regexp_replace(left(text, 50), '[^\p{L}\p{N} \-_]', '', 'g')) AS name FROM documents")
@@ -169,40 +174,32 @@ def safe_filename(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", X.safe_filename(F.col("text")).alias("name"))
 
 
-_HOST = r"lower(regexp_extract(url, '^[a-zA-Z]+://([^/:?#]*)', 1))"
+_URLS = "[url, 'http://a:b@10.0.0.1/x', 'HTTPS://Example.org/y', 'http://user@my-corp.org', 'https://e.org/?u=localhost', 'ftp://e.org', 'http://172.99.0.1:80/']"
 
 
-@query(rf"SELECT page_id, regexp_matches(url, '^https?://') AND NOT regexp_matches({_HOST}, 'localhost|127\.0\.0\.1|0\.0\.0\.0|internal|intranet|private|corp|^10\.|^172\.|^192\.168\.') AS allowed FROM pages")
+@query(f"""SELECT page_id, regexp_matches(lower(x), '^https?://') AND NOT regexp_matches(h, 'localhost|127\\.0\\.0\\.1|0\\.0\\.0\\.0|internal|intranet|private|corp') AND NOT regexp_matches(h, '^(10|172|192\\.168)\\.') AS allowed
+FROM (SELECT page_id, x, split_part(list_last(string_split(split_part(split_part(split_part(lower(x), '://', 2), '/', 1), '?', 1), '@')), ':', 1) AS h FROM (SELECT page_id, {_URLS}[(page_id % 7 + 1)::INT] AS x FROM pages))""")
 def url_guard(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", X.url_allowed(F.col("url")).alias("allowed"))
+    """Hosts without user and port, schemes in either case."""
+    urls = ("http://a:b@10.0.0.1/x", "HTTPS://Example.org/y", "http://user@my-corp.org", "https://e.org/?u=localhost", "ftp://e.org", "http://172.99.0.1:80/")
+    url = F.element_at(F.array("url", *map(F.lit, urls)), (F.col("page_id") % 7 + 1).cast("int"))
+    return t.pages.select("page_id", X.url_allowed(url).alias("allowed"))
 
 
-@query("SELECT p_partkey, lower(trim(p_brand)) AS package, lower(trim(p_brand)) IN ('brand#11', 'brand#12', 'brand#23') AS allowed FROM part")
-def package_allow(t: Tables) -> DataFrame:
-    name = X.package_name(F.concat(F.lit(" "), F.col("p_brand"), F.lit(" >=1.0")))
-    return t.part.select("p_partkey", name.alias("package"), name.isin("brand#11", "brand#12", "brand#23").alias("allowed"))
-
-
-_TAGGED = "'<think>' || left(text, 20) || '</think><answer>' || role || '</answer>'"
+# fixed values: packages that may be installed
+PACKAGES = """numpy pandas scipy statsmodels matplotlib seaborn plotly bokeh altair pygal scikit-learn sklearn xgboost lightgbm catboost torch torchvision torchaudio
+tensorflow keras transformers datasets accelerate nltk spacy gensim jieba snownlp pillow opencv-python opencv-python-headless imageio requests httpx aiohttp urllib3
+beautifulsoup4 bs4 lxml html5lib cssselect pyquery parsel openpyxl xlrd xlwt python-docx PyPDF2 pdfplumber python-pptx csvkit sqlalchemy pymysql psycopg2-binary redis pymongo
+tqdm loguru rich typer click pydantic python-dotenv python-dateutil pytz sympy networkx igraph faker arrow pendulum humanize tabulate prettytable colorama""".split()
 
-
-@query(f"SELECT conv_id, turn, trim(regexp_extract(x, '(?s)<think>(.*?)</think>', 1), ' ' || chr(9) || chr(10) || chr(13) || chr(12)) AS thought, role AS answer, CASE WHEN turn % 2 = 0 THEN role END AS tool FROM (SELECT *, {_TAGGED} AS x FROM conversations)")
-def parse_react(t: Tables) -> DataFrame:
-    """Tagged replies with a tool call in single-quoted JSON."""
-    action = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("<action>{'tool': '"), F.col("role"), F.lit("'}</action>"))).otherwise("")
-    x = F.concat(F.lit("<think>"), F.left(F.col("text"), F.lit(20)), F.lit("</think>"), action, F.lit("<answer>"), F.col("role"), F.lit("</answer>"))
-    call = F.from_json(F.replace(X.within(F.col("x"), "action"), F.lit("'"), F.lit('"')), "tool string")
-    rows = t.conversations.withColumn("x", x)
-    return rows.select("conv_id", "turn", X.within(F.col("x"), "think").alias("thought"), X.within(F.col("x"), "answer").alias("answer"), call["tool"].alias("tool"))
+_WANTED = ("NumPy >=1.0", " pandas==2.1 ", "scikit-learn~=1.4", "left-pad", "PyPDF2", "torch!=2.0", "os")
 
 
-@query("SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'sql' ELSE 'python' END AS lang, length(left(text, 30)) AS n FROM conversations WHERE left(text, 30) NOT LIKE '%`%'")
-def code_blocks(t: Tables) -> DataFrame:
-    lang = F.when(F.col("turn") % 2 == 0, "sql").otherwise("")
-    rows = t.conversations.where(~F.left(F.col("text"), F.lit(30)).contains("`")).withColumn("x", F.concat(F.lit("before ```"), lang, F.lit("\n"), F.left(F.col("text"), F.lit(30)), F.lit("\n``` after")))
-    pattern = "(?s)```(\\w+)?\\n(.*?)\\n?```"
-    parts = F.arrays_zip(F.regexp_extract_all("x", F.lit(pattern), F.lit(1)).alias("lang"), F.regexp_extract_all("x", F.lit(pattern), F.lit(2)).alias("code"))
-    return rows.select("conv_id", "turn", F.inline(parts)).select("conv_id", "turn", F.coalesce(F.nullif(F.col("lang"), F.lit("")), F.lit("python")).alias("lang"), F.length("code").cast("long").alias("n"))
+@query(f"SELECT p_partkey, k AS package, k IN ({', '.join(repr(x) for x in PACKAGES)}) AS allowed FROM (SELECT p_partkey, ['numpy', 'pandas', 'scikit-learn', 'left-pad', 'pypdf2', 'torch', 'os'][(p_partkey % 7 + 1)::INT] AS k FROM part)")
+def package_allow(t: Tables) -> DataFrame:
+    """Names are compared in lower case with the list as it is, so one with capitals in the list is never met."""
+    name = X.package_name(F.element_at(F.array(*map(F.lit, _WANTED)), (F.col("p_partkey") % 7 + 1).cast("int")))
+    return t.part.select("p_partkey", name.alias("package"), name.isin(*PACKAGES).alias("allowed"))
 
 
 _TAGGED_WHOLE = "'<think>' || text || '</think><answer>' || role || '</answer>'"
@@ -210,12 +207,17 @@ _TAGGED_WHOLE = "'<think>' || text || '</think><answer>' || role || '</answer>'"
 
 @query(f"SELECT conv_id, turn, trim(regexp_extract(x, '(?s)<think>(.*?)</think>', 1), ' ' || chr(9) || chr(10) || chr(13) || chr(12)) AS thought, role AS answer, CASE WHEN turn % 2 = 0 THEN role END AS tool FROM (SELECT *, {_TAGGED_WHOLE} AS x FROM conversations)")
 def parse_react_whole(t: Tables) -> DataFrame:
-    """As parse_react, with whole messages as thoughts."""
-    action = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("<action>{'tool': '"), F.col("role"), F.lit("'}</action>"))).otherwise("")
+    """Tagged replies with a call: valid JSON, with an apostrophe in it, as it is, else with its single quotes as double ones."""
+    action = F.when(F.col("turn") % 4 == 0, F.concat(F.lit("<action>{'tool': '"), F.col("role"), F.lit("'}</action>"))).when(F.col("turn") % 2 == 0, F.concat(F.lit('<action>{"tool": "'), F.col("role"), F.lit("\", \"say\": \"it's\"}</action>"))).otherwise("")
     x = F.concat(F.lit("<think>"), F.col("text"), F.lit("</think>"), action, F.lit("<answer>"), F.col("role"), F.lit("</answer>"))
-    call = F.from_json(F.replace(X.within(F.col("x"), "action"), F.lit("'"), F.lit('"')), "tool string")
+    action = X.within(F.col("x"), "action")
+    read = lambda c: F.from_json(c, "tool string, say string", {"allowSingleQuotes": "false"})["tool"]
     rows = t.conversations.withColumn("x", x)
-    return rows.select("conv_id", "turn", X.within(F.col("x"), "think").alias("thought"), X.within(F.col("x"), "answer").alias("answer"), call["tool"].alias("tool"))
+    tool = F.coalesce(read(action), read(F.replace(action, F.lit("'"), F.lit('"'))))
+    return rows.select("conv_id", "turn", X.within(F.col("x"), "think").alias("thought"), X.within(F.col("x"), "answer").alias("answer"), tool.alias("tool"))
+
+
+query(ORACLES["parse_react_whole"], "parse_react")(parse_react_whole)
 
 
 _BLOCK = r"(?s)```(\w+)?\n(.*?)\n?```"
@@ -225,16 +227,19 @@ _BLOCK = r"(?s)```(\w+)?\n(.*?)\n?```"
 b AS (SELECT conv_id, turn, unnest(regexp_extract_all(x, '{_BLOCK}', 1)) AS lang, unnest(regexp_extract_all(x, '{_BLOCK}', 2)) AS code FROM x)
 SELECT conv_id, turn, CASE WHEN coalesce(lang, '') = '' THEN 'python' ELSE lang END AS lang, length(code) AS n, sha256(code) AS code_sha256 FROM b""")
 def code_blocks_whole(t: Tables) -> DataFrame:
-    """As code_blocks, with whole messages as code; one with a fence in it ends its block there, as in any reply."""
+    """Whole messages as code; one with a fence in it ends its block there, as in any reply."""
     lang = F.when(F.col("turn") % 2 == 0, "sql").otherwise("")
     rows = t.conversations.withColumn("x", F.concat(F.lit("before ```"), lang, F.lit("\n"), F.col("text"), F.lit("\n``` after")))
     parts = F.arrays_zip(F.regexp_extract_all("x", F.lit(_BLOCK), F.lit(1)).alias("lang"), F.regexp_extract_all("x", F.lit(_BLOCK), F.lit(2)).alias("code"))
     return rows.select("conv_id", "turn", F.inline(parts)).select("conv_id", "turn", F.coalesce(F.nullif(F.col("lang"), F.lit("")), F.lit("python")).alias("lang"), F.length("code").cast("long").alias("n"), F.sha2("code", 256).alias("code_sha256"))
 
 
+query(ORACLES["code_blocks_whole"], "code_blocks")(code_blocks_whole)
+
+
 @query("SELECT p_partkey, least(15 + ln(p_size + 1) * 3, 25) AS size, CASE WHEN length(p_name) > 30 THEN left(p_name, 30) || '...' ELSE p_name END AS label FROM part")
 def graph_node_size(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", F.least(15 + F.ln(F.col("p_size") + 1) * 3, F.lit(25.0)).alias("size"), X.truncated(F.col("p_name"), 30).alias("label"))
+    return t.part.select("p_partkey", X.node_size(F.col("p_size")).alias("size"), X.truncated(F.col("p_name"), 30).alias("label"))
 
 
 @query("""SELECT c_custkey, round(sqrt(abs(c_acctbal)), 4) AS root, round(sin(c_acctbal), 4) AS sine, round(atan(c_acctbal), 4) AS arc, round(log10(abs(c_acctbal) + 1), 4) AS tens, round(log2(abs(c_acctbal) + 1), 4) AS twos,
@@ -248,12 +253,12 @@ def math_functions(t: Tables) -> DataFrame:
     )
 
 
-@query("""SELECT p_partkey, u AS unit, CASE u WHEN 'km' THEN p_retailprice * 1000.0::DOUBLE / 1.0 WHEN 'kg' THEN p_retailprice * 1000.0::DOUBLE / 453.59237::DOUBLE WHEN 'MB' THEN p_retailprice * 1048576.0::DOUBLE / 1073741824.0::DOUBLE WHEN 'C' THEN p_retailprice * 9 / 5 + 32 END AS converted
-FROM (SELECT *, ['km', 'kg', 'MB', 'C', 'xyz'][(p_partkey % 5 + 1)::INT] AS u FROM part)""")
+@query("""SELECT p_partkey, u AS unit, CASE u WHEN 'km' THEN p_retailprice * 1000 / 1.0 WHEN 'kg' THEN p_retailprice * 1000 / 453.592::DOUBLE WHEN 'MB' THEN p_retailprice * 1048576 / 1073741824 WHEN 'C' THEN p_retailprice * 9 / 5 + 32 WHEN '千米' THEN p_retailprice * 1000
+WHEN '华氏度' THEN (p_retailprice - 32) * 5 / 9 END AS converted, CASE WHEN u = 'ft' THEN 'unsupported_unit' WHEN u = '吨' THEN 'category_mismatch' END AS error FROM (SELECT *, ['km', 'kg', 'MB', 'C', 'ft', '千米', '吨', '华氏度'][(p_partkey % 8 + 1)::INT] AS u FROM part)""")
 def unit_convert(t: Tables) -> DataFrame:
-    pick = lambda *x: F.element_at(F.array(*map(F.lit, x)), (F.col("p_partkey") % 5 + 1).cast("int"))
-    rows = t.part.withColumn("u", pick("km", "kg", "MB", "C", "xyz")).withColumn("to", pick("m", "lb", "GB", "f", "m"))
-    return rows.select("p_partkey", F.col("u").alias("unit"), M.convert(F.col("p_retailprice"), F.col("u"), F.col("to")).alias("converted"))
+    pick = lambda *x: F.element_at(F.array(*map(F.lit, x)), (F.col("p_partkey") % 8 + 1).cast("int"))
+    rows = t.part.withColumn("u", pick("km", "kg", "MB", "C", "ft", "千米", "吨", "华氏度")).withColumn("to", pick("m", "lb", "GB", "fahrenheit", "m", "米", "m", "Celsius"))
+    return rows.withColumn("r", M.conversion(F.col("p_retailprice"), F.col("u"), F.col("to"))).select("p_partkey", F.col("u").alias("unit"), F.col("r.result").alias("converted"), "r.error")
 
 
 @query("SELECT event_id, strftime(ts, '%Y年%m月%d日') AS day, (isodow(ts) - 1)::INT AS weekday, floor(epoch(ts))::BIGINT AS seconds, strftime(ts, '%H:%M') AS clock FROM events")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.text import file_type
+from tessera.functions.text import file_type, url_allowed
 
 SKIPPED = {"script", "style", "noscript", "iframe"}
 #: Encodings in the order in which they are tried.
@@ -111,6 +111,80 @@ class Selected(HTMLParser):
                     got.append(data)
 
 
+class Results(HTMLParser):
+    """Links of a page of search results and the notes beside them: anchors by their class, with all that stands in them."""
+
+    def __init__(self, html: str):
+        super().__init__()
+        self.found: dict[str, list[tuple[str, str]]] = {"result__a": [], "result__snippet": []}
+        self._open: tuple[str, str, list[str]] | None = None
+        self.feed(html)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        a = dict(attrs)
+        kind = next((k for k in self.found if k in (a.get("class") or "").split()), None)
+        if tag == "a" and kind and (kind != "result__a" or a.get("href")):
+            self._open = (kind, a.get("href") or "", [])
+
+    def handle_endtag(self, tag):
+        if tag == "a" and self._open:
+            self.found[self._open[0]].append((self._open[1], "".join(self._open[2]).strip()))
+            self._open = None
+
+    def handle_data(self, data):
+        if self._open:
+            self._open[2].append(data)
+
+
+def result_links(pages: DataFrame, key: str, html: str, most: int = 5) -> DataFrame:
+    """key, url, title and snippet of a result page's first links that have a title, each with the note in the same place."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for k, x in zip(b["key"], b["html"], strict=True):
+                got = Results(x or "").found
+                notes = [t for _, t in got["result__snippet"]]
+                rows += [(k, u, t, notes[i] if i < len(notes) else "") for i, (u, t) in enumerate(got["result__a"][:most]) if t]
+            yield pd.DataFrame(rows, columns=["key", "url", "title", "snippet"])
+
+    schema = f"key {dict(pages.dtypes)[key]}, url string, title string, snippet string"
+    return pages.select(F.col(key).alias("key"), F.col(html).alias("html")).mapInPandas(run, schema).withColumnRenamed("key", key)
+
+
+#: What scrape may give.
+MODES = ("text", "html", "links", "tables", "all")
+
+
+def scrape(pages: DataFrame, key: str, url: str, html: str, mode: str = "text", selector: str | None = None, max_length: int = 10000) -> DataFrame:
+    """key, error, text, links and tables of each page by mode, from what the selector takes if one is given; texts cut at max_length.
+
+    A page whose address is not allowed gives its error and nothing else.
+    """
+    if mode not in MODES:
+        raise ValueError(f"mode must be one of {MODES}")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for k, ok, x in zip(b["key"], b["ok"], b["html"], strict=True):
+                if not ok:
+                    rows.append((k, "blocked", None, [], []))
+                    continue
+                p = Page(x or "")
+                body = "\n".join(Selected(x or "", selector).texts if selector else p.text)
+                text = {"html": x or "", "text": body, "all": body}.get(mode)
+                links = [{"url": u, "text": t[:50]} for u, t in p.links if u.startswith(("http://", "https://"))][:50] if mode in ("links", "all") else []
+                tables = [[r for r in t if r] for t in p.tables[:5]] if mode in ("tables", "all") else []
+                rows.append((k, None, None if text is None else text[:max_length], links, tables))
+            yield pd.DataFrame(rows, columns=["key", "error", "text", "links", "tables"])
+
+    schema = f"key {dict(pages.dtypes)[key]}, error string, text string, links array<struct<url:string,text:string>>, tables array<array<array<string>>>"
+    rows = pages.select(F.col(key).alias("key"), url_allowed(F.col(url)).alias("ok"), F.col(html).alias("html"))
+    return rows.mapInPandas(run, schema).withColumnRenamed("key", key)
+
+
 def select(pages: DataFrame, key: str, html: str, selector: str) -> DataFrame:
     """key and texts of the elements that the selector takes, inner ones before those around them."""
 

@@ -5,6 +5,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import calls
 from tessera.functions import maths as M
 from tessera.functions import text as X
 from tessera.functions import vectors as V
@@ -27,13 +28,15 @@ def test_clean_text(spark):
 
 def test_tokens_and_keywords_of_chinese(spark):
     assert one(spark, X.token_estimate(F.col("t")), t="中文字abcd") == 3
-    assert one(spark, X.keywords_of(F.col("t")), t="The 中文词 cat 在 a") == ["中文词", "cat"]
+    assert one(spark, X.keywords_of(F.col("t")), t="The 中文词 cat 在 a not at with 不") == ["中文词", "cat", "not", "at"]
 
 
 def test_snippet_and_names(spark):
     assert one(spark, X.snippet(F.col("t"), "KEY"), t="x" * 60 + "key" + "y" * 60) == "..." + "x" * 50 + "key" + "y" * 50 + "..."
     assert one(spark, X.snippet(F.col("t"), "none"), t="short") == "short"
     assert one(spark, X.safe_filename(F.col("t")), t="a/b: c-d_é?") == "ab c-d_é"
+    for name, kind in ((".bashrc", "txt"), ("https://a.com/path", "txt"), ("x/.b.Md", "md"), ("a.tar.gz", "gz"), ("end.", "txt"), ("b.c/d", "txt")):
+        assert one(spark, X.file_type(F.col("t")), t=name) == kind
     assert one(spark, X.file_type(F.col("t")), t="A.PDF") == "pdf" and one(spark, X.file_type(F.col("t")), t="noext") == "txt"
     assert one(spark, X.arxiv_id(F.col("t")), t="ARXIV:2101.1v3") == "2101.1"
 
@@ -45,7 +48,7 @@ def test_tags_within(spark):
 
 
 def test_urls(spark):
-    for url, ok in (("https://example.org/x", True), ("ftp://example.org", False), ("http://localhost:1", False), ("http://10.0.0.1/", False), ("http://my-corp.example/", False), ("http://172.99.0.1", False)):
+    for url, ok in (("https://example.org/x", True), ("ftp://example.org", False), ("http://localhost:1", False), ("http://10.0.0.1/", False), ("http://my-corp.example/", False), ("http://172.99.0.1", False), ("http://a:b@10.0.0.1/x", False), ("HTTP://Example.org", True), ("https://e.org/?q=localhost", True), ("http://e.org@localhost/", False)):
         assert one(spark, X.url_allowed(F.col("u")), u=url) is ok
 
 
@@ -58,6 +61,9 @@ def test_units(spark):
     ask = lambda v, a, b: one(spark, M.convert(F.col("v"), F.col("a"), F.col("b")), v=v, a=a, b=b)
     assert ask(1.0, "km", "m") == 1000 and ask(100.0, "C", "f") == 212 and ask(212.0, "F", "c") == 100
     assert ask(1.0, "km", "kg") is None and ask(1.0, "c", "C") is None and ask(1.0, "KM", "m") is None
+    assert ask(2.0, "千米", "米") == 2000 and ask(1.0, "lb", "g") == 453.592 and ask(0.0, "摄氏度", "华氏度") == 32 and ask(1.0, "ft", "m") is None
+    why = lambda a, b: one(spark, M.conversion(F.lit(1.0), F.col("a"), F.col("b"))["error"], a=a, b=b)
+    assert (why("km", "kg"), why("xyz", "m"), why("m", "c"), why("m", "km")) == ("category_mismatch", "unsupported_unit", "unsupported_unit", None)
 
 
 @pytest.mark.parametrize("text, out", [("1 + 2 * 3", "7"), ("-7 % 3", "2"), ("sqrt(16)", "4"), ("factorial(25)", str(math.factorial(25))), ("log(8, 2)", "3"), ("1/0", "error: division by zero"), ("__import__('os')", "error: ValueError"), ("max(1, 2.5)", "2.5"), ("2 **", "error: SyntaxError")])
@@ -176,5 +182,5 @@ def test_selectors():
 
 
 def test_broken_calls(spark):
-    assert one(spark, X.bare_call(F.col("t")), t="nothing here") is None
-    assert one(spark, X.without_tags_and_calls(F.col("t")), t="<think>a</think> {\"tool\": 1} b ") == "a  b"
+    assert one(spark, calls.bare_call(F.col("t")), t="nothing here") is None
+    assert one(spark, calls.without_tags_and_calls(F.col("t")), t="<think>a</think> {\"tool\": 1} b ") == "a  b"

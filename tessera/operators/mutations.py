@@ -37,3 +37,32 @@ def renumbered(table: DataFrame, parent: str, order: list[Column], name: str = "
 def floored_decrement(column: str, by: Column) -> Column:
     """The counter less `by`, not under zero."""
     return F.greatest(F.col(column) - by, F.lit(0))
+
+
+def insert_with_defaults(table: DataFrame, new: DataFrame, defaults: dict) -> DataFrame:
+    """table and the rows of new; columns that new doesn't give take their default, else null."""
+    for name, value in defaults.items():
+        new = new if name in new.columns else new.withColumn(name, F.lit(value))
+    return table.unionByName(new, allowMissingColumns=True)
+
+
+def new_edges(edges: DataFrame, asked: DataFrame, own: DataFrame, key: list[str], owned: str) -> DataFrame:
+    """The asked edges whose end `owned` is one's own, and that aren't there yet."""
+    return asked.join(own, owned, "left_semi").join(edges.select(*key), key, "left_anti")
+
+
+def first_conflict(new: DataFrame, old: DataFrame, columns: list[str]) -> DataFrame:
+    """new with outcome: <column>_taken of the first column whose value old has, else ok."""
+    outcome = F.lit("ok")
+    for c in reversed(columns):
+        new = new.join(old.select(c).distinct().withColumn(f"_{c}", F.lit(True)), c, "left")
+        outcome = F.when(F.col(f"_{c}"), f"{c}_taken").otherwise(outcome)
+    return new.withColumn("outcome", outcome)
+
+
+def with_changes(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """table after changes (its columns, and change: create, update or delete), one a key: a full join on it."""
+    new = changes.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_new_{c}") for c in table.columns if c != key], "change")
+    both = table.join(new, F.col(key) == F.col("_key"), "full").where("change is null or (change = 'create' and " + key + " is null) or (change = 'update' and " + key + " is not null)")
+    pick = lambda c: F.when(F.col("change").isNull(), F.col(c)).otherwise(F.col(f"_new_{c}"))
+    return both.select(*[F.coalesce(F.col(key), F.col("_key")).alias(key) if c == key else pick(c).alias(c) for c in table.columns])

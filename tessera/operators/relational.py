@@ -71,3 +71,16 @@ def visible_shares(shares: DataFrame, principals: DataFrame) -> DataFrame:
     """
     named = F.when(F.col("to_kind") == "all_students", F.col("owner_id")).otherwise(F.col("to_id"))
     return shares.withColumn("_id", named).join(principals, (F.col("to_kind") == F.col("kind")) & (F.col("_id") == F.col("id")), "left_semi").drop("_id")
+
+
+def split(df: DataFrame, condition: Column) -> tuple[DataFrame, DataFrame]:
+    """The rows for which the condition holds, and all others."""
+    holds = F.coalesce(condition, F.lit(False))
+    return df.where(holds), df.where(~holds)
+
+
+def capped(df: DataFrame, key: str, order: Column, most: int = 100, keep: int = 50) -> DataFrame:
+    """Histories of more than `most` rows cut to their last `keep`."""
+    w = Window.partitionBy(key)
+    rows = df.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_r", F.row_number().over(w.orderBy(order.desc())))
+    return rows.where((F.col("_n") <= most) | (F.col("_r") <= keep)).drop("_n", "_r")

@@ -151,3 +151,32 @@ def parse_feeds(df: DataFrame, column: str, parse) -> DataFrame:
             yield pd.DataFrame(rows, columns=[x.strip().split(" ")[0] for x in PAPER.replace(AUTHORS, "a").split(",")]).astype({"year": "Int32"})
 
     return df.select(F.col(column).alias("feed")).mapInPandas(run, PAPER)
+
+
+def filtered(papers: DataFrame, years: tuple[int, int] | None = None, fields: list[str] | None = None, open_access: bool = False) -> DataFrame:
+    """Papers of a range of years (ends included), of some fields of study, with a PDF: those conditions that are given."""
+    if years:
+        papers = papers.where(F.col("year").between(*years))
+    if fields:
+        papers = papers.where(F.arrays_overlap("fields_of_study", F.array(*map(F.lit, fields))))
+    return papers.where("pdf_url is not null") if open_access else papers
+
+
+def paged(papers: DataFrame, order: list[Column], offset: int = 0, limit: int = 20, most: int = 100) -> DataFrame:
+    """A page in the given order; services give no more than `most` rows whatever limit asks for."""
+    return papers.orderBy(*order).offset(offset).limit(min(limit, most))
+
+
+def by_ids(papers: DataFrame, column: str, ids: list[str]) -> DataFrame:
+    """The papers with these ids."""
+    return papers.where(F.col(column).isin(ids))
+
+
+def routed(asked: DataFrame, named: str, sources: dict[str, DataFrame], default: str, key: str) -> DataFrame:
+    """Each request joined by key to the source that it names, the default where it names none of them; with a column source."""
+    known = F.when(F.col(named).isin(*sources), F.col(named)).otherwise(F.lit(default))
+    parts = [asked.withColumn("source", known).where(F.col("source") == name).join(rows, key) for name, rows in sources.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -89,13 +89,13 @@ def batch_share(t: Tables) -> DataFrame:
     return asked.join(old, "o_orderkey", "left").groupBy("o_custkey").agg(F.count_if(made).alias("success"), F.count_if(~made).alias("skipped"))
 
 
-@query("""WITH k AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 's2:' || doc_id WHEN doc_id % 4 = 1 THEN 'doi:' || n_chars WHEN doc_id % 4 = 2 AND lang = 'en' THEN 'arxiv:' || n_chars % 50 ELSE 'title:' || sha256(text) END AS key FROM documents),
+@query("""WITH k AS (SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 's2:' || doc_id WHEN doc_id % 4 = 1 THEN 'doi:' || n_chars WHEN doc_id % 4 = 2 AND lang = 'de' THEN 'arxiv:' || n_chars % 50 ELSE 'title:' || sha256(text) END AS key FROM documents),
 e AS (SELECT key FROM k WHERE doc_id % 5 = 0) SELECT min(doc_id) AS doc_id, key FROM k WHERE doc_id % 5 <> 0 AND key NOT IN (SELECT key FROM e) GROUP BY key""")
 def copy_collection_whole(t: Tables) -> DataFrame:
     """Papers that come new into a library: by Semantic Scholar id, else DOI, else arXiv id, else title; the first of those that are the same."""
     d, k = F.col("doc_id"), F.col("doc_id") % 4
     s2, doi = F.when(k == 0, d.cast("string")).otherwise(""), F.when(k == 1, F.col("n_chars").cast("string")).otherwise("")
-    arxiv = F.when((k == 2) & (F.col("lang") == "en"), (F.col("n_chars") % 50).cast("string")).otherwise("")
+    arxiv = F.when((k == 2) & (F.col("lang") == "de"), (F.col("n_chars") % 50).cast("string")).otherwise("")
     tagged = lambda tag, c: F.concat(F.lit(tag), F.nullif(c, F.lit("")))
     keyed = t.documents.select("doc_id", F.coalesce(tagged("s2:", s2), tagged("doi:", doi), tagged("arxiv:", arxiv), F.concat(F.lit("title:"), F.sha2("text", 256))).alias("key"))
     mine = keyed.where("doc_id % 5 = 0")

@@ -159,6 +159,16 @@ def react_stream_whole(t: Tables) -> DataFrame:
     return tags.parse_batch(pieces, "conv_id", "seq", "piece")
 
 
+@query(r"""SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN '' ELSE role END AS thought,
+CASE WHEN turn % 3 = 0 AND coalesce(text, '') = '' THEN 'tail' ELSE regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') END AS answer FROM conversations""")
+def react_two_modes(t: Tables) -> DataFrame:
+    """Replies of think and answer tags in pieces of seven characters: with both tags, without an answer tag, without any."""
+    text, think = F.coalesce("text", F.lit("")), F.concat(F.lit("<think> "), "role", F.lit("</think>"))
+    reply = F.when(F.col("turn") % 3 == 0, F.concat(think, F.lit(" hm <answer>"), text, F.lit("</answer> tail"))).when(F.col("turn") % 3 == 1, F.concat(think, text)).otherwise(text)
+    pieces = t.conversations.select("conv_id", "turn", F.posexplode_outer(F.regexp_extract_all(reply, F.lit("(?s).{1,7}"), F.lit(0))).alias("seq", "piece"))
+    return tags.parse_two_modes(pieces, ["conv_id", "turn"], "seq", "piece")
+
+
 @query("SELECT p_partkey, ((p_size * 2 + 1) // 3)::VARCHAR AS value FROM part")
 def calculator(t: Tables) -> DataFrame:
     """Expressions evaluated by their syntax tree."""

@@ -1,6 +1,7 @@
 """Literal cases that the tables don't hold."""
 
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from tessera.operators import mutations as U
 from tessera.operators import relational as R
 from tessera.sources import bibliography as B
 from tessera.sources import web
-from tessera.streaming.tags import TagParser, folded, parse_batch
+from tessera.streaming.tags import TagParser, TwoModes, folded, parse_batch
 
 
 def one(spark, column, **values):
@@ -143,6 +144,26 @@ def test_stream_parser_is_the_same_for_any_pieces(size):
     assert folded(got) == [("content", "before "), ("thought", "deep\nthought"), ("content", " mid "), ("action", "{'a': 1}"), ("answer", "done"), ("content", " tail "), ("thought", "open")]
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 15, 16, 200])
+@pytest.mark.parametrize(
+    ("reply", "want"),
+    [
+        ("x <think> a\nb </think> hm <think>c</think><answer> d <e> </answer> tail", ("a\nb c", "d <e>")),
+        ("<think>a</think> the rest", ("a", "the rest")),
+        ("<think>a and a long thought without an end</answer>", ("a and a long thought without an end", "")),
+        ("<answer>open, and long enough", ("", "open, and long enough")),
+        ("no tags", ("", "no tags")),
+        ("so <think> </think><answer></answer>", ("", "so")),
+        ("", ("", "")),
+    ],
+)
+def test_two_modes(size, reply, want):
+    p = TwoModes()
+    for i in range(0, len(reply), size):
+        p.feed(reply[i : i + size])
+    assert p.finish() == want
+
+
 def test_stream_batch(spark):
     rows = [(1, i, STREAM[i * 5 : i * 5 + 5]) for i in range(30)] + [(2, 0, None)]
     got = parse_batch(spark.createDataFrame(rows, "c long, s int, p string"), "c", "s", "p").orderBy("place").collect()
@@ -164,7 +185,29 @@ def test_streaming_state(spark, tmp_path):
         if "grpc" in str(e) or "protobuf" in str(e):
             pytest.skip("the stateful operator's Python parts are not installed")
         raise
-    assert {(r["type"], r["text"]) for r in spark.table("tags").collect()} >= {("thought", "a")}
+    assert [(r["type"], r["text"]) for r in spark.table("tags").collect()] == [("thought", "a"), ("answer", "b")]
+
+
+def test_streaming_timer(spark, tmp_path):
+    from tessera.streaming.tags import parse_stream
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    schema = "conv_id long, seq int, piece string"
+    spark.createDataFrame([(1, 0, "<think>a</think>b<answer>open")], schema).coalesce(1).write.json(str(tmp_path / "in"))
+    try:
+        stream = parse_stream(spark.readStream.schema(schema).json(str(tmp_path / "in")), idle_ms=100)
+        q = stream.writeStream.format("memory").queryName("timed").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(processingTime="1 second").start()
+        end = time.time() + 60
+        while time.time() < end and q.isActive and spark.table("timed").count() < 3:
+            time.sleep(1)
+        q.stop()
+        if q.exception():
+            raise q.exception()
+    except Exception as e:
+        if "grpc" in str(e) or "protobuf" in str(e):
+            pytest.skip("the stateful operator's Python parts are not installed")
+        raise
+    assert [(r["type"], r["text"]) for r in spark.table("timed").collect()] == [("thought", "a"), ("content", "b"), ("answer", "open")]
 
 
 def test_windowed_stream(spark, tmp_path):

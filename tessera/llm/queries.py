@@ -9,12 +9,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .boosting import classify_held_out
 from .bpe import bpe_encode
 from .common import shared_dir
 from .langid import identify_held_out
 from .lines import dedup_lines
+from .merkle import tampered_documents, verified
 from .minhash import near_duplicates
 from .mixing import mix
+from .negatives import mine_embeddings
 from .neighbours import nearest
 from .quality import quality
 from .sharding import shard_documents
@@ -79,6 +82,22 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", "source", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of all documents, and each one's proof held against the row as it is after some were tampered with."""
+    out = verified(tampered_documents(table(spark, sf_dir, "documents")))
+    return out.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first hard negatives of each hundredth vector and its positives, among all rows."""
+    return mine_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+def op13_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document, learned from the labels that are not held out."""
+    return classify_held_out(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_mixing": op2_mixing,
@@ -90,6 +109,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash": op8_minhash,
     "op9_suffixes": op9_suffixes,
     "op10_sharding": op10_sharding,
+    "op11_merkle": op11_merkle,
+    "op12_negatives": op12_negatives,
+    "op13_quality_trees": op13_quality_trees,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -169,4 +191,37 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
             OR 10 * len(regexp_extract_all(text, '(?m)^[ \t]*[-•*][ \t]')) > 9 * n_lines) AS kept
 FROM b""",
     "op10_sharding": "SELECT doc_id, source, octet_length(encode(text))::BIGINT AS n_bytes, sha256(text) AS text_sha256 FROM documents",
+    "op11_merkle": r"""
+WITH RECURSIVE f AS (SELECT *, crc % 7 = 0 AND doc_id IS NOT NULL AS touched FROM (
+         SELECT *, xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(split(coalesce(doc_id, 0)::VARCHAR, ''), lambda c: ascii(c)::UBIGINT)),
+                lambda r, b: list_reduce(list_concat([xor(r, b)], [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, z: xor(x >> 1, 3988292384::UBIGINT * (x & 1)))), 4294967295::UBIGINT) AS crc FROM documents)),
+v AS (SELECT doc_id, lang, touched, n_chars,
+             coalesce(len(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-') || coalesce(octet_length(encode(lang)) || ':' || lang, '-') AS a,
+             coalesce(octet_length(encode(text)) || ':' || text, '-') AS b FROM f),
+l AS (SELECT doc_id, lang, sha256(a || coalesce(len(n_chars::VARCHAR) || ':' || n_chars, '-') || b) AS leaf,
+             sha256(a || coalesce(len((n_chars::HUGEINT + touched::INT)::VARCHAR) || ':' || (n_chars::HUGEINT + touched::INT), '-') || b) AS found FROM v),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM l),
+t AS (SELECT lang, 0 AS level, i, n, leaf AS d FROM o
+      UNION ALL SELECT lang, level + 1, i // 2, any_value(n + 1) // 2, sha256(string_agg(d, '' ORDER BY i)) FROM t WHERE n > 1 GROUP BY lang, level, i // 2),
+g AS (SELECT lang, d AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (SELECT 0 AS level, i, n, subroot AS d FROM g UNION ALL SELECT level + 1, i // 2, any_value(n + 1) // 2, sha256(string_agg(d, '' ORDER BY i)) FROM u WHERE n > 1 GROUP BY level, i // 2),
+root AS (SELECT d AS root FROM u WHERE n = 1),
+w AS (SELECT row_number() OVER () AS id, o.*, subroot, g.i AS g_i, g.n AS g_n FROM o JOIN g ON o.lang IS NOT DISTINCT FROM g.lang),
+p AS (SELECT id, lang, 0 AS level, false AS up, i, n, g_i, g_n, found AS h, '' AS s FROM w
+      UNION ALL
+      SELECT id, p.lang, CASE WHEN p.n > 1 THEN p.level + 1 ELSE 0 END, up OR p.n = 1, CASE WHEN p.n > 1 THEN p.i // 2 ELSE g_i END, CASE WHEN p.n > 1 THEN (p.n + 1) // 2 ELSE g_n END, g_i, g_n,
+             CASE WHEN p.n = 1 THEN h WHEN x.d IS NULL AND y.d IS NULL THEN sha256(h) WHEN p.i % 2 = 0 THEN sha256(h || coalesce(x.d, y.d)) ELSE sha256(coalesce(x.d, y.d) || h) END,
+             CASE WHEN p.n = 1 THEN s ELSE s || coalesce(x.d, y.d, '') END
+      FROM p LEFT JOIN t x ON NOT up AND p.n > 1 AND x.lang IS NOT DISTINCT FROM p.lang AND x.level = p.level AND x.i = xor(p.i, 1)
+             LEFT JOIN u y ON up AND p.n > 1 AND y.level = p.level AND y.i = xor(p.i, 1)
+      WHERE NOT up OR p.n > 1)
+SELECT doc_id, leaf, subroot, root, sha256(s) AS proof_sha256, h AS folded_root, h = root AS verified
+FROM p JOIN w USING (id) CROSS JOIN root WHERE p.up AND p.n = 1""",
+    "op12_negatives": r"""
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score FROM e a, e b WHERE a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score QUALIFY rank <= 5""",
 }

@@ -54,19 +54,19 @@ def height(n: int, arity: int) -> int:
     return levels
 
 
-def block_levels(arity: int) -> int:
+def block_levels(arity: int, block: int = BLOCK) -> int:
     """Levels of a block."""
     levels = 1
-    while arity ** (levels + 1) <= BLOCK:
+    while arity ** (levels + 1) <= block:
         levels += 1
     return levels
 
 
 class Parents:
-    """Partial parents over one block of a level with n nodes in all."""
+    """Partial parents over one block, so many levels high, of a level with n nodes in all."""
 
-    def __init__(self, n: int, arity: int):
-        self.arity, self.levels = arity, min(block_levels(arity), height(n, arity))
+    def __init__(self, n: int, arity: int, levels: int):
+        self.arity, self.levels = arity, min(levels, height(n, arity))
         self.sizes = [n]
         for _ in range(self.levels):
             self.sizes.append(-(-self.sizes[-1] // arity))
@@ -103,23 +103,23 @@ class Parents:
         return above
 
 
-def _filled(nodes: pa.Table, arity: int) -> Parents:
-    parents = Parents(nodes.column("n")[0].as_py(), arity)
+def _filled(nodes: pa.Table, arity: int, levels: int) -> Parents:
+    parents = Parents(nodes.column("n")[0].as_py(), arity, levels)
     for at, digest in zip(nodes.column("at").to_pylist(), nodes.column("digest").to_pylist(), strict=True):
         parents.add(at, digest)
     return parents
 
 
-def _ascended(nodes: pa.Table, arity: int) -> pa.Table:
+def _ascended(nodes: pa.Table, arity: int, levels: int) -> pa.Table:
     """The block's frontier: the one node that has no parent in it."""
-    p = _filled(nodes, arity)
+    p = _filled(nodes, arity, levels)
     k = len(p.top)
     return pa.table({"g": pa.array([nodes.column("g")[0].as_py()] * k), "at": pa.array([at for at, _ in p.top], pa.int64()), "n": pa.array([p.sizes[-1]] * k, pa.int64()), "digest": pa.array([d for _, d in p.top])})
 
 
-def _descended(nodes: pa.Table, tops: pa.Table, arity: int) -> pa.Table:
+def _descended(nodes: pa.Table, tops: pa.Table, arity: int, levels: int) -> pa.Table:
     """The block's nodes (without the block's number) with what tops has for it, and their proofs."""
-    proofs = _filled(nodes, arity).proofs(tops.column("proof")[0].as_py())
+    proofs = _filled(nodes, arity, levels).proofs(tops.column("proof")[0].as_py())
     out = nodes.drop_columns(["block"]).append_column("proof", pa.array([proofs[at] for at in nodes.column("at").to_pylist()], pa.string()))
     for name in ("subroot", "root"):
         out = out.append_column(name, pa.array([tops.column(name)[0].as_py()] * nodes.num_rows, pa.string()))
@@ -138,35 +138,35 @@ def in_order(rows: DataFrame, *order: str) -> DataFrame:
     return ranged.join(starts, ["g", "part"]).withColumn("at", F.col("row") + F.col("shift")).drop("row", "part", "shift")
 
 
-def _in_blocks(nodes: DataFrame, arity: int) -> DataFrame:
-    return nodes.withColumn("block", F.floor(F.col("at") / F.lit(arity ** block_levels(arity))).cast("long"))
+def _in_blocks(nodes: DataFrame, size: int) -> DataFrame:
+    return nodes.withColumn("block", F.expr(f"at div {size}"))
 
 
-def ascend(leaves: DataFrame, arity: int) -> tuple[list[DataFrame], DataFrame]:
+def ascend(leaves: DataFrame, arity: int, levels: int) -> tuple[list[DataFrame], DataFrame]:
     """The nodes from which each round of leaves (g, at, n, digest) starts, and each group's last one (g, digest)."""
     most = leaves.agg(F.max("n")).first()[0] or 0
     rounds, nodes = [], leaves
-    for _ in range(-(-height(most, arity) // block_levels(arity))):
+    for _ in range(-(-height(most, arity) // levels)):
         rounds.append(nodes)
-        blocks = _in_blocks(nodes.select("g", "at", "n", "digest"), arity).groupBy("g", "block")
-        nodes = written(blocks.applyInArrow(lambda t: _ascended(t, arity), "g string, at long, n long, digest string"), "merkle-nodes")
+        blocks = _in_blocks(nodes.select("g", "at", "n", "digest"), arity**levels).groupBy("g", "block")
+        nodes = written(blocks.applyInArrow(lambda t: _ascended(t, arity, levels), "g string, at long, n long, digest string"), "merkle-nodes")
     return rounds, nodes.select("g", "digest")
 
 
-def descend(rounds: list[DataFrame], tops: DataFrame, arity: int) -> DataFrame:
+def descend(rounds: list[DataFrame], tops: DataFrame, arity: int, levels: int) -> DataFrame:
     """The columns of the first round's nodes, with proof, subroot and root, from those of each group's last node (g, proof, subroot, root)."""
     tops = tops.withColumn("at", F.lit(0).cast("long"))
     for k in range(len(rounds) - 1, -1, -1):
-        nodes = _in_blocks(rounds[k], arity)
+        nodes = _in_blocks(rounds[k], arity**levels)
         above = tops.select("g", F.col("at").alias("block"), "proof", "subroot", "root")
         schema = ", ".join(f"`{c}` {kind}" for c, kind in rounds[k].dtypes) + ", proof string, subroot string, root string"
-        tops = nodes.groupBy("g", "block").cogroup(above.groupBy("g", "block")).applyInArrow(lambda x, y: _descended(x, y, arity), schema)
+        tops = nodes.groupBy("g", "block").cogroup(above.groupBy("g", "block")).applyInArrow(lambda x, y: _descended(x, y, arity, levels), schema)
         if k:
             tops = written(tops, "merkle-proofs")
     return tops
 
 
-def manifest(rows: DataFrame, digest: Column, group: str = "lang", order: str = "doc_id", carry: dict[str, Column] | None = None, arity: int = ARITY) -> DataFrame:
+def manifest(rows: DataFrame, digest: Column, group: str = "lang", order: str = "doc_id", carry: dict[str, Column] | None = None, arity: int = ARITY, block: int = BLOCK) -> DataFrame:
     """Per row: `order`, leaf, subroot, root, proof (see folded), and the columns of carry.
 
     digest gives the rows' digests, such as leaf_digest of some columns. Groups come in the bytewise order of their names,
@@ -174,21 +174,21 @@ def manifest(rows: DataFrame, digest: Column, group: str = "lang", order: str =
     proof each. A group of one leaf has it as its subroot, as a single group's subroot is the root. No rows give no rows.
     Columns of rows that aren't named play no part, whatever they are called.
     """
-    carry, names = carry or {}, ["g", "at", "n", "digest"]
+    carry, names, levels = carry or {}, ["g", "at", "n", "digest"], block_levels(arity, block)
     own = {f"more_{k}": c for k, c in enumerate(carry.values())}
     g = F.coalesce(F.concat(F.lit("="), rows[group].cast("string")), F.lit(""))
     leaves = written(rows.select(g.alias("g"), rows[order].alias("key"), digest.alias("digest"), *[c.alias(k) for k, c in own.items()]), "merkle-leaves")
     leaves = written(in_order(leaves, "key", "digest").select(*names, "key", *own), "merkle-leaves")
-    rounds, subroots = ascend(leaves, arity)
+    rounds, subroots = ascend(leaves, arity, levels)
     top = written(in_order(subroots.select(F.lit("").alias("g"), F.col("g").alias("of"), "digest"), "of").select(*names, "of"), "merkle-subroots")
-    top_rounds, root = ascend(top, arity)
+    top_rounds, root = ascend(top, arity, levels)
     above = written(root.select("g", F.lit("").alias("proof"), F.col("digest").alias("root"), F.lit("").alias("subroot")), "merkle-root")
     if top_rounds:
-        above = descend(top_rounds, above, arity).select(F.col("of").alias("g"), "proof", F.col("digest").alias("subroot"), "root")
+        above = descend(top_rounds, above, arity, levels).select(F.col("of").alias("g"), "proof", F.col("digest").alias("subroot"), "root")
     else:
         above = top.select(F.col("of").alias("g"), F.lit("").alias("proof"), F.col("digest").alias("subroot"), F.col("digest").alias("root"))
     if rounds:
-        out = descend(rounds, written(above, "merkle-proofs"), arity)
+        out = descend(rounds, written(above, "merkle-proofs"), arity, levels)
     else:
         out = leaves.join(above, "g")
     return out.select(F.col("key").alias(order), F.col("digest").alias("leaf"), "subroot", "root", "proof", *[F.col(k).alias(name) for k, name in zip(own, carry, strict=True)])
@@ -202,14 +202,14 @@ def document_digest(docs: DataFrame, **instead: Column) -> Column:
     return leaf_digest(*[instead.get(f, docs[f]) for f in FIELDS])
 
 
-def tampered_documents(docs: DataFrame, arity: int = ARITY) -> DataFrame:
+def tampered_documents(docs: DataFrame, arity: int = ARITY, block: int = BLOCK) -> DataFrame:
     """The manifest of documents, held against rows of which some have one more in n_chars: see op11_merkle.
 
     Rows whose doc_id or n_chars is null stay as they are, as no null is tampered with.
     """
     touched = F.crc32(docs["doc_id"].cast("string")) % 7 == 0
     more = document_digest(docs, n_chars=docs["n_chars"].cast("decimal(20,0)") + 1)
-    return manifest(docs, document_digest(docs), carry={"found": F.when(touched & docs["n_chars"].isNotNull(), more)}, arity=arity)
+    return manifest(docs, document_digest(docs), carry={"found": F.when(touched & docs["n_chars"].isNotNull(), more)}, arity=arity, block=block)
 
 
 def verified(rows: DataFrame) -> DataFrame:

@@ -91,6 +91,19 @@ def keyed(docs: DataFrame, *more: str) -> DataFrame:
     )
 
 
+def one_each(rows: DataFrame) -> DataFrame:
+    """The rows of keyed() with one of each (ord, th), however often it is repeated.
+
+    Only where rows are repeated at all do texts travel: those rows are reduced to one before the shuffle. What results from a row
+    is then joined back to all of its copies.
+    """
+    again = written(rows.groupBy("ord", "th").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("ord", "th"), "repeated-rows")
+    if again.isEmpty():
+        return rows
+    alone = rows.join(again, ["ord", "th"], "left_anti").select(*rows.columns)
+    return alone.union(rows.join(again, ["ord", "th"], "left_semi").dropDuplicates(["ord", "th"]).select(*rows.columns))
+
+
 def sliced(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of about `most` bytes of `column`; a single longer text is a piece of its own."""
     for b in batches:

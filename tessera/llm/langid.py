@@ -6,12 +6,13 @@ each bit's loss weighted by how often its classifier is right on that language.
 the text is flagged as ambiguous.
 
 Fitting takes a bounded sample of labelled rows (SAMPLE_DOCS a language, chosen by a hash of text and doc_id) and gathers one
-table of languages by n-grams, whatever the input's size. Everything else runs over all rows, as a narrow map.
+table of n-grams by bits, whatever the input's size. Everything else runs over all rows, as a narrow map.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,14 +32,17 @@ TABLE_LOG2 = 16
 ORDERS = (1, 2, 3)
 #: A difference of losses, as a share of the best codeword's distance, under which the choice is ambiguous.
 CLOSE = 0.1
-#: Languages that are learned, the most frequent ones: a bound for the gathered table.
-MOST_LANGUAGES = 256
+#: Languages whose n-gram counts are gathered at a time.
+BLOCK = 64
 _SLICE = 1 << 19
+#: Bytes that the log-odds of a slice may take.
+_ODDS_BYTES = 1 << 24
 
 _LETTERS = np.full(256, 32, dtype=np.uint8)
 _LETTERS[97:123] = np.arange(97, 123)
 _LETTERS[128:] = np.arange(128, 256)
 _A_LETTER = regex.compile(r"\p{L}")
+_A_GAP = re.compile(r"\s")
 
 
 def codewords(n: int) -> np.ndarray:
@@ -60,19 +64,56 @@ def codewords(n: int) -> np.ndarray:
     return best
 
 
-def grams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """For each order the table place of the n-gram at each byte, and each text's start and end; all but letters, and what follows a text, is a space."""
-    data, starts, ends = joined_bytes([t.lower().encode("utf-8", "replace") for t in texts])
+def lots(texts: list[str], most: int = _SLICE) -> Iterator[tuple[list[int], list[str], list[int]]]:
+    """Pieces of texts, about `most` characters at a time: the text that each is of, the piece, and how many characters at its end only follow it.
+
+    A piece that isn't its text's last is followed by the next ones that n-grams of its end reach, and ends at white space
+    if there is some in the next `most` characters.
+    """
+    of: list[int] = []
+    pieces: list[str] = []
+    ahead: list[int] = []
+    size, reach = 0, max(ORDERS) - 1
+    for k, text in enumerate(texts):
+        at = 0
+        while True:
+            if len(text) - at <= 2 * most:
+                to, more = len(text), 0
+            else:
+                gap = _A_GAP.search(text, at + most, at + 2 * most)
+                to = gap.end() if gap else at + 2 * most
+                more = min(reach, len(text) - to)
+            of.append(k)
+            pieces.append(text[at : to + more])
+            ahead.append(more)
+            size += to - at
+            if size >= most:
+                yield of, pieces, ahead
+                of, pieces, ahead, size = [], [], [], 0
+            if to == len(text):
+                break
+            at = to
+    if of:
+        yield of, pieces, ahead
+
+
+def grams(pieces: list[str], ahead: list[int]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """For each order the table place of the n-gram at each byte, and where each piece's own bytes start and end.
+
+    All but letters, and what follows a text, is a space; the space after a text is one of its bytes.
+    """
+    data, starts, ends = joined_bytes([t.lower().encode("utf-8", "replace") for t in pieces])
     x = _LETTERS[data].astype(np.uint32)
     x = np.concatenate((x, np.full(max(ORDERS), 32, dtype=np.uint32)))
     n, out, h = len(data), [], np.zeros(len(data), dtype=np.uint32)
     for k in ORDERS:
-        ahead = x[k - 1 : k - 1 + n].copy()
+        after = x[k - 1 : k - 1 + n].copy()
         for j in range(k - 1):
-            ahead[ends - j] = 32
-        h = h * np.uint32(0x01000193) + ahead * np.uint32(0x9E3779B1) + np.uint32(k)
+            after[ends - j] = 32
+        h = h * np.uint32(0x01000193) + after * np.uint32(0x9E3779B1) + np.uint32(k)
         out.append(((h * np.uint32(0x85EBCA6B)) >> np.uint32(32 - TABLE_LOG2)).astype(np.int32))
-    return out, starts, ends
+    more = np.array([len(t[len(t) - m :].lower().encode("utf-8", "replace")) if m else -1 for t, m in zip(pieces, ahead, strict=True)], dtype=np.int64)
+    return out, starts, ends - more
 
 
 @dataclass
@@ -86,14 +127,18 @@ class Model:
 
     def bits(self, texts: list[str]) -> np.ndarray:
         """Each text's classifiers: mean log-odds times the root of its length, within 8 of zero."""
-        places, starts, ends = grams(texts)
-        sums = self.table[places[0]]
-        for p in places[1:]:
-            sums += self.table[p]
-        # a text and the space after it; texts are never empty here as each has that space
-        total = np.add.reduceat(sums, starts, axis=0, dtype=np.float64)
-        size = (ends + 1 - starts)[:, None].astype(float)
-        return np.clip(total / np.sqrt(size) / 4, -8, 8)
+        total, size = np.zeros((len(texts), self.code.shape[1])), np.zeros((len(texts), 1))
+        for of, pieces, ahead in lots(texts, max(1 << 12, min(_SLICE, _ODDS_BYTES // (4 * max(1, self.code.shape[1]))))):
+            places, starts, ends = grams(pieces, ahead)
+            sums = self.table[places[0]]
+            for p in places[1:]:
+                sums += self.table[p]
+            edges = np.stack((starts, ends), axis=1).ravel()
+            if edges[-1] == len(sums):
+                edges = edges[:-1]
+            np.add.at(total, of, np.add.reduceat(sums, edges, axis=0, dtype=np.float64)[::2])
+            np.add.at(size[:, 0], of, ends - starts)
+        return np.clip(total / np.sqrt(np.maximum(size, 1)) / 4, -8, 8)
 
     def losses(self, bits: np.ndarray) -> np.ndarray:
         z = bits[:, None, :] * self.code[None, :, :]
@@ -120,49 +165,58 @@ class Model:
         return lang, score, close
 
 
-def fit(train: DataFrame, sample_docs: int = SAMPLE_DOCS, most_languages: int = MOST_LANGUAGES) -> Model:
+def fit(train: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """A model from train (text, lang): rows without a lang or a text are passed over. No rows give a model without languages.
 
-    Where train has a doc_id, copies of a text are sampled each by itself. Every language has the row of its least hash.
-    Of more than most_languages values of lang (dirty labels, say) the most frequent ones are learned, ties by code point; the
-    others are never predicted.
+    Every value of lang is learned. Where train has a doc_id, copies of a text are sampled each by itself. Every language
+    has the row of its least hash. Counts of n-grams are gathered for BLOCK languages at a time; what is kept of them, and goes to the workers, is a
+    table of n-grams by bits, which are ten times the logarithm of the number of languages.
     """
     key = F.xxhash64("text", *(["doc_id"] if "doc_id" in train.columns else [])).bitwiseAND(F.lit((1 << 30) - 1))
     some = train.where("lang is not null and text is not null").select("text", "lang", key.alias("key"))
-    found = some.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("least")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
-    counts = {r["lang"]: (r["n"], r["least"]) for r in found}
-    names = sorted(counts)
+    sizes = some.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("least"))
+    most = F.greatest("least", (F.lit(float(sample_docs)) / F.col("n") * (1 << 30)).cast("long"))
+    sizes = written(sizes.select("lang", most.alias("most")), "language-sizes")
+    names = sorted(r["lang"] for r in sizes.select("lang").collect())
     code = codewords(len(names))
     size = 1 << TABLE_LOG2
     if len(names) < 2:
         return Model(names, code, np.zeros((size, 0), dtype=np.float32), np.ones((len(names), 0)))
-    most = F.create_map(*[F.lit(x) for name, (n, least) in counts.items() for x in (name, max(least, int(sample_docs / n * (1 << 30))))])
-    sample = written(some.where(F.col("key") <= F.try_element_at(most, F.col("lang"))).select("text", "lang"), "languages")
+    sample = written(some.join(sizes, "lang").where("key <= most").select("text", "lang"), "languages")
     number = {name: k for k, name in enumerate(names)}
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((len(names), size), dtype=np.int64)
+        """Counts of (language, place) pairs, a slice's at a time."""
         for b in sliced(batches, most=_SLICE):
-            places, starts, ends = grams(column(b, "text").to_pylist())
-            of = np.repeat(np.array([number[x] for x in column(b, "lang").to_pylist()]), ends + 1 - starts)
-            for p in places:
-                table += np.bincount(of * size + p, minlength=table.size).reshape(table.shape)
-        lang, place = np.nonzero(table)
-        yield pa.RecordBatch.from_pydict({"at": pa.array(lang * size + place), "n": pa.array(table[lang, place])})
-
-    got = sample.mapInArrow(counted, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros(len(names) * size)
-    table[got.column("at").to_numpy()] = got.column("n").to_numpy()
-    rates = table.reshape(len(names), size)
-    rates = rates / np.maximum(rates.sum(axis=1, keepdims=True), 1)  # each language counts alike
+            langs = np.array([number[x] for x in column(b, "lang").to_pylist()])
+            for rows, pieces, ahead in lots(column(b, "text").to_pylist()):
+                places, starts, ends = grams(pieces, ahead)
+                own = np.zeros(len(places[0]) + 1, dtype=np.int64)
+                np.add.at(own, starts, 1)
+                np.add.at(own, ends, -1)
+                own = np.cumsum(own[:-1]) > 0
+                of = np.repeat(langs[rows], np.append(starts[1:], len(own)) - starts)
+                at, n = np.unique(np.concatenate([(of * size + p)[own] for p in places]), return_counts=True)
+                yield pa.RecordBatch.from_pydict({"at": pa.array(at), "n": pa.array(n)})
+
+    counts = written(sample.mapInArrow(counted, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")), "n-grams")
+    with_bit, without = np.zeros((size, code.shape[1])), np.zeros((size, code.shape[1]))
+    for lo in range(0, len(names), BLOCK):
+        got = counts.where((F.col("at") >= lo * size) & (F.col("at") < (lo + BLOCK) * size)).toArrow()
+        at, n = got.column("at").to_numpy(), got.column("n").to_numpy().astype(float)
+        for k in range(lo, min(lo + BLOCK, len(names))):
+            mine = at // size == k
+            rates = n[mine] / max(n[mine].sum(), 1)  # each language counts alike
+            with_bit[at[mine] - k * size] += rates[:, None] * (code[k] > 0)
+            without[at[mine] - k * size] += rates[:, None] * (code[k] < 0)
     floor = 1e-6
-    odds = np.stack([np.log(rates[code[:, j] > 0].mean(axis=0) + floor) - np.log(rates[code[:, j] < 0].mean(axis=0) + floor) for j in range(code.shape[1])], axis=1)
+    odds = np.log(with_bit / (code > 0).sum(axis=0) + floor) - np.log(without / (code < 0).sum(axis=0) + floor)
     model = Model(names, code, odds.astype(np.float32), np.full(code.shape, 1 / code.shape[1]))
 
     def right(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hits, seen = np.zeros(code.shape), np.zeros(len(names))
         for b in sliced(batches, most=_SLICE):
-            of = np.array([number[x] for x in column(b, "lang").to_pylist()])
+            of = np.array([number[x] for x in column(b, "lang").to_pylist()], dtype=np.int64)
             np.add.at(hits, of, model.bits(column(b, "text").to_pylist()) * code[of] > 0)
             np.add.at(seen, of, 1)
         yield pa.RecordBatch.from_pydict({"k": pa.array(np.arange(hits.size)), "n": pa.array(hits.ravel()), "all": pa.array(np.repeat(seen, code.shape[1]))})

@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, as_longs, bitmap, column, in_bitmap, keyed, longs, mixed, powers, sha256_hex, sliced, written
+from .common import U64, as_longs, bitmap, column, in_bitmap, keyed, longs, mixed, one_each, powers, sha256_hex, sliced, written
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -195,9 +195,9 @@ def dedup_lines(docs: DataFrame, *more: str) -> DataFrame:
     earlier line (smaller doc_id, or before it in its document) equals it or is within one edit of it, a character being a
     code point; whether that line goes itself makes no difference. kept is what stays,
     joined by \\n. Null text counts as empty. Null doc_ids come after all others. Rows with equal doc_ids and different
-    texts come in the order of a hash of their texts, line by line; equal rows get equal results. All other columns are left out.
+    texts come in the order of a hash of their texts, line by line; equal rows are looked at once and get equal results. All other columns are left out.
     """
-    rows = keyed(docs)
+    rows = one_each(keyed(docs))
     lines = written(rows.mapInArrow(lambda it: _lines(it), "h long, g long, ord long, no long, th long, keys array<long>"), "lines")
     place = F.struct("ord", "no", "th")
     classes = lines.groupBy("h", "g").agg(F.min(place).alias("m"), F.first("keys").alias("keys"))
@@ -205,7 +205,7 @@ def dedup_lines(docs: DataFrame, *more: str) -> DataFrame:
     first = classes.select("h", "g", F.struct("ord", "no", "th").alias("m"))
     equal = lines.select("h", "g", "ord", "no", "th").join(first, ["h", "g"]).where("struct(ord, no, th) <> m").select("ord", "no", "th")
     gone = equal.union(near_lines(rows, classes)).groupBy("ord", "th").agg(F.collect_list("no").alias("gone"))
-    both = (keyed(docs, *more) if more else rows).join(gone.hint("shuffle_hash"), ["ord", "th"], "left")
+    both = keyed(docs, *more).join(gone.hint("shuffle_hash"), ["ord", "th"], "left")
     kinds = dict(docs.dtypes)
     schema = "doc_id long, ord long, th long, " + "".join(f"`{c}` {kinds[c]}, " for c in more) + "n_lines long, n_removed long, kept_sha256 string, kept string"
     return both.select("doc_id", "ord", "th", *more, "text", "gone").mapInArrow(lambda it: _kept(it, more), schema)

@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MAX_LONG, U64, as_longs, bitmap, column, gram_hashes, in_bitmap, joined_bytes, keyed, longs, mixed, sliced, span_hashes, word_spans, written
+from .common import MAX_LONG, U64, as_longs, bitmap, column, gram_hashes, in_bitmap, joined_bytes, keyed, longs, mixed, one_each, sliced, span_hashes, word_spans, written
 from .components import components
 
 SHINGLE = 5
@@ -125,7 +125,7 @@ def _sets(batches: Iterator[pa.RecordBatch], wanted: Broadcast, hashes=set_hashe
         some = np.flatnonzero(sizes > 0)
         offs = np.concatenate(([0], np.cumsum(sizes[some]))).astype(np.int32)
         par = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * SKETCH), pa.array(parities(vals, sizes[some]).ravel()))
-        yield pa.RecordBatch.from_pydict({"sid": pa.array(as_longs(sid)), "check": pa.array(as_longs(check)), "set": pa.ListArray.from_arrays(pa.array(offs), pa.array(as_longs(vals))), "par": par})
+        yield pa.RecordBatch.from_pydict({"sid": pa.array(as_longs(sid)), "check": pa.array(as_longs(check)), "rk": pa.array(longs(b, "rk")[keep[some]]), "set": pa.ListArray.from_arrays(pa.array(offs), pa.array(as_longs(vals))), "par": par})
 
 
 #: Longs of a parity sketch.
@@ -151,10 +151,10 @@ def _possible() -> Column:
 
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Of pairs (x, y), those whose full sets have a similarity of 3/4 or more."""
-    left = sets.select(F.col("sid").alias("y"), F.col("set").alias("t"))
-    right = sets.select(F.col("sid").alias("x"), F.col("set").alias("s"))
-    both = pairs.join(left, "y").join(right, "x").withColumn("i", F.size(F.array_intersect("s", "t")))
+    """Of pairs (x, y), with the rows that stand for their sets (x_rk, y_rk), those whose full sets have a similarity of 3/4 or more."""
+    left = sets.select(F.col("sid").alias("y"), F.col("rk").alias("y_rk"), F.col("set").alias("t"))
+    right = sets.select(F.col("sid").alias("x"), F.col("rk").alias("x_rk"), F.col("set").alias("s"))
+    both = pairs.join(left, ["y", "y_rk"]).join(right, ["x", "x_rk"]).withColumn("i", F.size(F.array_intersect("s", "t")))
     return both.where("100 * i >= 75 * (size(s) + size(t) - i)").select("x", "y")
 
 
@@ -199,20 +199,22 @@ def _first(batches: Iterator[pa.RecordBatch], logs: Broadcast) -> Iterator[pa.Re
     """Of each set the first shingles, rarest first, without those that no other set has; sets that have none left go."""
     for b in batches:
         rows = []
-        for sid, vals in zip(column(b, "sid").to_pylist(), column(b, "set"), strict=True):
+        for sid, rk, vals in zip(column(b, "sid").to_pylist(), column(b, "rk").to_pylist(), column(b, "set"), strict=True):
             v = vals.values.to_numpy().view(U64)
             rarity = logs.value[_slot(v)]
-            takes = prefix_size(len(v)) - int((rarity == 0).sum())
-            if takes > 0:
+            alone = int((rarity == 0).sum())
+            if (takes := prefix_size(len(v)) - alone) > 0:
                 some = v[rarity > 0]
-                rows.append((sid, len(v), as_longs(some[np.lexsort((some, rarity[rarity > 0]))[:takes]])))
-        cols = list(zip(*rows, strict=True)) or [[]] * 3
-        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["sid", "n", "keys"])
+                rows.append((sid, rk, len(v), alone, as_longs(some[np.lexsort((some, rarity[rarity > 0]))[:takes]])))
+        cols = list(zip(*rows, strict=True)) or [[]] * 5
+        kinds = (*[pa.int64()] * 4, pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["sid", "rk", "n", "alone", "keys"])
 
 
 def _prefixes(sets: DataFrame) -> DataFrame:
-    """bk (a shingle), sid, n: of each set the rarest shingles that another of these sets may have, as far as its prefix goes.
+    """bk (a shingle), sid, rk, n, left: of each set the rarest shingles that another of these sets may have, as far as its prefix goes.
+
+    left is how many of the set's shingles come from this one on, in the order common to all.
 
     Rarity is read from a table of counts of fixed size; shingles that share a slot count together, which costs some
     order but no result.
@@ -222,8 +224,8 @@ def _prefixes(sets: DataFrame) -> DataFrame:
     table = np.zeros(1 << SLOTS_LOG2, dtype=np.uint8)
     table[logs.column("slot").to_numpy()] = logs.column("log").to_numpy()
     shared = sets.sparkSession.sparkContext.broadcast(table)
-    first = sets.select("sid", "set").mapInArrow(lambda it: _first(it, shared), "sid long, n long, keys array<long>")
-    return first.select(F.explode("keys").alias("bk"), "sid", "n")
+    first = sets.select("sid", "rk", "set").mapInArrow(lambda it: _first(it, shared), "sid long, rk long, n long, alone long, keys array<long>")
+    return first.select("sid", "rk", "n", "alone", F.posexplode("keys").alias("k", "bk")).select("bk", "sid", "rk", "n", (F.col("n") - F.col("alone") - F.col("k")).alias("left"))
 
 
 def _bands(batches: Iterator[pa.RecordBatch], reps: Broadcast, several: Broadcast | None) -> Iterator[pa.RecordBatch]:
@@ -250,7 +252,9 @@ def near_duplicates(docs: DataFrame, hashes=set_hashes) -> DataFrame:
     of shingles. Further columns of docs are left out.
     """
     spark = docs.sparkSession
-    rows = keyed(docs).withColumn("rk", F.xxhash64("ord", "th"))
+    every = keyed(docs)
+    unique = one_each(every)
+    rows = unique.withColumn("rk", F.xxhash64("ord", "th"))
     signed = written(rows.mapInArrow(lambda it: _signed(it, hashes), "doc_id long, ord long, th long, rk long, n long, sid long, check long, bands array<long>"), "signatures")
     # sets that differ and yet share sid, if there are any, get another one each; a table of next to no rows, whose size Spark checks
     shared = signed.where("n > 0").groupBy("sid").agg(F.min("check").alias("x"), F.max("check").alias("y")).where("x <> y").select("sid", F.lit(True).alias("shared"))
@@ -266,29 +270,32 @@ def near_duplicates(docs: DataFrame, hashes=set_hashes) -> DataFrame:
     keys = signed.select("rk", "n", "bands").mapInArrow(lambda it: _bands(it, reps, None), "bk long")
     several = share(keys.groupBy("bk").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "bk")
     members = written(signed.select("rk", "sid", "n", "bands").mapInArrow(lambda it: _bands(it, reps, several), "bk long, sid long, rk long, n long").distinct(), "members")
-    lead = F.min(F.struct(F.xxhash64("sid", "bk").alias("o"), "sid", "n")).alias("l")
+    lead = F.min(F.struct(F.xxhash64("sid", "bk").alias("o"), "sid", "n", "rk")).alias("l")
     leads = members.groupBy("bk").agg(lead, F.min("sid").alias("x"), F.max("sid").alias("y")).where("x <> y")
-    leads = written(leads.select("bk", F.col("l.sid").alias("l_sid"), F.col("l.n").alias("l_n")), "buckets")
+    leads = written(leads.select("bk", F.col("l.sid").alias("l_sid"), F.col("l.n").alias("l_n"), F.col("l.rk").alias("l_rk")), "buckets")
     members = written(members.join(leads, "bk"), "members")
     wanted = share(members, "rk")
-    sets = written(apart(rows.mapInArrow(lambda it: _sets(it, wanted, hashes), "sid long, check long, set array<long>, par array<long>")), "sets")
-    sketch = sets.select("sid", "par").dropDuplicates(["sid"])
-    theirs = sketch.select(F.col("sid").alias("l_sid"), F.col("par").alias("l_par"))
-    pairs = members.where("sid <> l_sid and 4 * least(n, l_n) >= 3 * greatest(n, l_n)").select("sid", "l_sid", "n", "l_n").distinct()
-    pairs = pairs.join(theirs, "l_sid").join(sketch, "sid").where(_possible()).select(F.col("sid").alias("x"), F.col("l_sid").alias("y"))
+    sets = written(apart(rows.mapInArrow(lambda it: _sets(it, wanted, hashes), "sid long, check long, rk long, set array<long>, par array<long>")), "sets")
+    # a full bitmap lets in further rows; what meets a set must be the row that stands for it
+    sketch = sets.select("sid", "rk", "par")
+    theirs = sketch.select(F.col("sid").alias("l_sid"), F.col("rk").alias("l_rk"), F.col("par").alias("l_par"))
+    pairs = members.where("sid <> l_sid and 4 * least(n, l_n) >= 3 * greatest(n, l_n)").select("sid", "rk", "l_sid", "l_rk", "n", "l_n").distinct()
+    pairs = pairs.join(theirs, ["l_sid", "l_rk"]).join(sketch, ["sid", "rk"]).where(_possible()).select(F.col("sid").alias("x"), F.col("rk").alias("x_rk"), F.col("l_sid").alias("y"), F.col("l_rk").alias("y_rk"))
     links = written(_links(pairs, sets), "links")
     labels = components(links)
 
     # 2: the other pairs of different components, by shared rare shingles
-    rest = written(_open(members.where("sid <> l_sid").select("bk", "sid", "n"), labels).select("sid").distinct(), "rest")
-    them = written(sets.join(rest, "sid", "left_semi").dropDuplicates(["sid"]), "open-sets")
-    there = written(_open(written(_prefixes(them), "prefixes"), labels).join(sketch, "sid"), "there")
+    rest = written(_open(members.where("sid <> l_sid").select("bk", "sid", "rk", "n"), labels).select("sid", "rk").distinct(), "rest")
+    them = written(sets.join(rest, ["sid", "rk"], "left_semi"), "open-sets")
+    there = written(_open(written(_prefixes(them), "prefixes"), labels).join(sketch, ["sid", "rk"]), "there")
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
     there = there.withColumn("block", F.pmod(F.xxhash64("sid"), blocks).cast("int"))
     stray = there.where("comp <> major").withColumn("r_block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    stray = stray.select(F.col("bk").alias("r_bk"), "r_block", F.col("sid").alias("l_sid"), F.col("n").alias("l_n"), F.col("comp").alias("l_comp"), F.col("par").alias("l_par"))
-    once = F.expr("bk = r_bk and block = r_block and comp <> l_comp and (comp = major or sid < l_sid)")
-    pairs = there.join(stray, once & _possible()).select(F.least("sid", "l_sid").alias("x"), F.greatest("sid", "l_sid").alias("y")).distinct()
+    stray = stray.select(F.col("bk").alias("r_bk"), "r_block", *[F.col(c).alias(f"l_{c}") for c in ("sid", "rk", "n", "comp", "par", "left")])
+    # sets at 3/4 meet at the first shingle that they share; from there on at least 3/7 of both sizes are left in either
+    once = F.expr("bk = r_bk and block = r_block and comp <> l_comp and (comp = major or sid < l_sid) and 7 * least(left, l_left) >= 3 * (n + l_n)")
+    ends = F.array_sort(F.array(F.struct("sid", "rk"), F.struct(F.col("l_sid").alias("sid"), F.col("l_rk").alias("rk"))))
+    pairs = there.join(stray, once & _possible()).select(ends.alias("e")).select(*[F.col("e")[k][c].alias(n) for k, c, n in ((0, "sid", "x"), (0, "rk", "x_rk"), (1, "sid", "y"), (1, "rk", "y_rk"))]).distinct()
     labels = components(links.union(written(_links(pairs, sets), "links")))
 
     # component of every node, then of every row
@@ -296,5 +303,7 @@ def near_duplicates(docs: DataFrame, hashes=set_hashes) -> DataFrame:
     least = written(placed.groupBy("comp").agg(F.min("ord").alias("least")), "least")
     of_node = written(placed.join(least, "comp").select("sid", "least"), "components")
     out = signed.drop("bands").join(of_node, "sid", "left")
+    if unique is not every:  # back to all copies of a row
+        out = every.select("doc_id", "ord", "th").join(out.drop("doc_id"), ["ord", "th"])
     component = F.when(F.col("least").isNull(), F.col("doc_id")).when(F.col("least") == MAX_LONG, F.lit(None)).otherwise(F.col("least"))
     return out.select("doc_id", "ord", "th", F.col("n").alias("n_shingles"), component.cast("long").alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

@@ -29,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, U64, as_longs, bitmap, column, gram_hashes, in_bitmap, joined_bytes, keyed, longs, mixed, partitions_for, powers, sha256_hex, sliced, span_hashes, word_spans, written
+from .common import SLICE_BYTES, U64, as_longs, bitmap, column, gram_hashes, in_bitmap, joined_bytes, keyed, longs, mixed, one_each, partitions_for, powers, sha256_hex, sliced, span_hashes, word_spans, written
 
 #: Bytes of packed strings that a task sorts at once, unless one token has more.
 CHUNK_BYTES = 1 << 20
@@ -477,7 +477,7 @@ def without_repeats(docs: DataFrame, w: Windows, with_text: bool = False) -> Dat
     `kept`, bytes that a removal leaves as broken UTF-8 are replaced; the hash is that of the bytes themselves.
     """
     rows = keyed(docs)
-    ranges = repeated_ranges(rows, w)
+    ranges = repeated_ranges(one_each(rows), w)
     spans = ranges.groupBy("ord", "th").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     both = rows.join(spans.hint("shuffle_hash"), ["ord", "th"], "left").select("doc_id", "text", "spans")
     schema = "doc_id long, n long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if with_text else "")

@@ -54,7 +54,7 @@ def test_nothing_or_one_language_learned(spark):
 
 def test_copies_are_sampled_one_by_one(spark, monkeypatch):
     sizes = []
-    monkeypatch.setattr(langid, "written", lambda df, what: sizes.append(df.count()) or df)
+    monkeypatch.setattr(langid, "written", lambda df, what: (sizes.append(df.count()) if what == "languages" else None) or df)
     copy = texts(1, ["ff"], seed=9)[0][1]
     docs = documents(spark, texts(600, ["aa"]) + [(1000 + k, copy, "ff", "s", 1) for k in range(600)])
     model = fit(docs, 30)
@@ -117,11 +117,35 @@ def test_equals_brute_force(spark, langs):
         assert (got[r[0]]["lang_pred"], got[r[0]]["ambiguous"]) == (lang, close) and abs(got[r[0]]["score"] - score) < 1e-4
 
 
-def test_the_most_frequent_labels_are_learned(spark):
-    rows = texts(200, ["aa", "bb"]) + [(1000 + k, "odd text", f"label {k}", "s", 1) for k in range(300)]
+def test_every_label_is_learned(spark):
+    """300 values of lang, more than are gathered at a time; those with a text of their own are told apart."""
+    rng = random.Random(8)
+    own = {f"label {k}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(6)] for k in range(300)}
+    rows = [(k * 4 + j, " ".join(rng.choice(w) for _ in range(25)), name, "s", 1) for k, (name, w) in enumerate(own.items()) for j in range(3)]
     docs = documents(spark, rows)
-    assert fit(docs, most_languages=2).names == ["aa", "bb"]
-    assert len(fit(docs).names) == langid.MOST_LANGUAGES
+    model = fit(docs)
+    assert model.names == sorted(own) and len(model.names) > 4 * langid.BLOCK
+    got = {r["doc_id"]: r["lang_pred"] for r in identify(docs, model).collect()}
+    assert np.mean([got[r[0]] == r[2] for r in rows]) > 0.97
+
+
+def test_pieces_change_nothing():
+    """Texts over a slice are scored in pieces, cut at white space or, where there is none, anywhere."""
+    rng = random.Random(2)
+    table = np.frombuffer(rng.randbytes(2**16 * 3 * 2), dtype=np.int16).reshape(-1, 3).astype(np.float32) / 1000
+    model = langid.Model(["aa", "bb"], codewords(4)[:2, :3], table, np.ones((2, 3)))
+    long = [" ".join(rng.choice(LANGS[rng.choice(list(LANGS))]) for _ in range(n)) for n in (1, 40, 3000)] + ["üÉx" * 4000, "ß" * 9000 + " " * 9000, ""]
+    whole = model.bits(long)
+    for most in (1, 7, 500):
+        total, size = np.zeros((len(long), 3)), np.zeros(len(long))
+        for of, pieces, ahead in langid.lots(long, most):
+            assert sum(map(len, pieces)) <= 2 * most + 2 + max(map(len, pieces))
+            places, starts, ends = langid.grams(pieces, ahead)
+            for k, lo, hi in zip(of, starts.tolist(), ends.tolist(), strict=True):
+                total[k] += sum(table[p[lo:hi]].sum(axis=0, dtype=float) for p in places)
+                size[k] += hi - lo
+        assert np.allclose(np.clip(total / np.sqrt(size)[:, None] / 4, -8, 8), whole, atol=1e-4)
+        assert size.tolist() == [len(t.lower().encode()) + 1 for t in long]
 
 
 def test_codewords_are_far_apart():

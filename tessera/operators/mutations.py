@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import written
+
 
 def insert_if_absent(table: DataFrame, new: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """table and the rows of new whose key isn't there yet; of new rows with one key the first, as if they came one by one."""
@@ -60,6 +62,47 @@ def first_conflict(new: DataFrame, old: DataFrame, columns: list[str]) -> DataFr
     return new.withColumn("outcome", outcome)
 
 
+def registered(new: DataFrame, old: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """new with outcome, as if its rows came one by one in the order of key: <column>_taken of the first column whose value an old
+    row or an earlier accepted one has, else ok, and the row is accepted.
+
+    A row that comes before all undecided ones with any of its values is accepted, and the rows with its values are refused; a round does
+    so for all such rows, and there are as many rounds as rows wait for one another in turn. Nulls are equal to nothing. Keys are
+    unique, and not null.
+    """
+    values = [f"_{c}" for c in columns]
+    names = new.select(F.col(key).alias("_key"), *[F.col(c).cast("string").alias(v) for c, v in zip(columns, values, strict=True)])
+    for c, v in zip(columns, values, strict=True):
+        names = names.join(old.select(F.col(c).cast("string").alias(v)).distinct().withColumn(f"{v}_old", F.lit(True)), v, "left")
+    names = written(names)
+    seen = F.lit(False)
+    for v in values:
+        seen = seen | F.coalesce(f"{v}_old", F.lit(False))
+    left, accepted = written(names.where(~seen).select("_key", *values)), None
+    while not left.isEmpty():
+        first = left
+        for v in values:
+            first = first.join(left.where(F.col(v).isNotNull()).groupBy(v).agg(F.min("_key").alias(f"{v}_first")), v, "left")
+        least = F.lit(True)
+        for v in values:
+            least = least & F.coalesce(F.col(f"{v}_first") == F.col("_key"), F.lit(True))
+        now = written(first.where(least).select("_key", *values))
+        accepted = now if accepted is None else accepted.union(now)
+        left = left.join(now.select("_key"), "_key", "left_anti")
+        for v in values:
+            left = left.join(now.where(F.col(v).isNotNull()).select(v), v, "left_anti")
+        left = written(left.select("_key", *values))
+    outcome = F.lit("ok")
+    for c, v in reversed(list(zip(columns, values, strict=True))):
+        taken = F.coalesce(f"{v}_old", F.lit(False))
+        if accepted is not None:
+            by = accepted.where(F.col(v).isNotNull()).select(v, F.col("_key").alias(f"{v}_by"))
+            names = names.join(by, v, "left")
+            taken = taken | F.coalesce(F.col(f"{v}_by") < F.col("_key"), F.lit(False))
+        outcome = F.when(taken, f"{c}_taken").otherwise(outcome)
+    return new.join(names.select(F.col("_key").alias(key), outcome.alias("outcome")), key)
+
+
 def with_changes(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """table after changes (its columns, and change: create, update or delete), one a key: a full join on it."""
     new = changes.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_new_{c}") for c in table.columns if c != key], "change")

@@ -128,16 +128,6 @@ def error_classify(t: Tables) -> DataFrame:
     return t.events.select("event_id", K.error_kind(m[F.col("event_type")]).alias("kind"))
 
 
-@query("""SELECT conv_id, (2 * (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1))::INT AS place, 'thought' AS type, role AS text FROM conversations
-UNION ALL SELECT conv_id, (2 * (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) + 1)::INT, 'answer', turn::VARCHAR FROM conversations""")
-def react_stream(t: Tables) -> DataFrame:
-    """Replies cut into pieces of seven characters, parsed as a stream."""
-    reply = F.concat(F.lit("<think> "), F.col("role"), F.lit("</think><answer>"), F.col("turn").cast("string"), F.lit("</answer>"))
-    whole = t.conversations.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", reply.alias("r")))), lambda x: x["r"]), "").alias("s"))
-    pieces = whole.select("conv_id", F.posexplode(F.expr("transform(sequence(0, cast(ceil(length(s) / 7D) as int) - 1), i -> substring(s, i * 7 + 1, 7))")).alias("seq", "piece"))
-    return tags.parse_batch(pieces, "conv_id", "seq", "piece")
-
-
 @query("SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT * 2 AS place, role AS type, text AS data FROM conversations")
 def sse_frames_whole(t: Tables) -> DataFrame:
     """Events framed and read again, over whole messages: JSON escapes their newlines. A line that is no frame stands between."""
@@ -152,13 +142,16 @@ query(ORACLES["sse_frames_whole"], "sse_frames")(sse_frames_whole)
 @query(r"""SELECT conv_id, (2 * (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1))::INT AS place, 'thought' AS type, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM conversations
 UNION ALL SELECT conv_id, (2 * (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) + 1)::INT, 'answer', turn::VARCHAR FROM conversations""")
 def react_stream_whole(t: Tables) -> DataFrame:
-    """As react_stream, with whole messages as thoughts."""
+    """Replies with whole messages as thoughts, cut into pieces of seven characters and parsed as a stream."""
     reply = F.concat(F.lit("<think> "), F.col("text"), F.lit("</think><answer>"), F.col("turn").cast("string"), F.lit("</answer>"))
     whole = t.conversations.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", reply.alias("r")))), lambda x: x["r"]), "").alias("s"))
     pieces = whole.select("conv_id", F.posexplode(F.regexp_extract_all("s", F.lit("(?s).{1,7}"), F.lit(0))).alias("seq", "piece"))
     return tags.parse_batch(pieces, "conv_id", "seq", "piece")
 
 
+query(ORACLES["react_stream_whole"], "react_stream")(react_stream_whole)
+
+
 @query(r"""SELECT conv_id, turn, CASE WHEN turn % 3 = 2 THEN '' ELSE role END AS thought,
 CASE WHEN turn % 3 = 0 AND coalesce(text, '') = '' THEN 'tail' ELSE regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') END AS answer FROM conversations""")
 def react_two_modes(t: Tables) -> DataFrame:

@@ -365,18 +365,9 @@ def page_with_total(t: Tables) -> DataFrame:
     return R.page_with_total(t.part.select("p_partkey", "p_name"), [F.desc("p_partkey")], 20, 20)
 
 
-@query("SELECT event_id, row_number() OVER (ORDER BY coalesce(CASE WHEN event_id % 5 = 0 THEN NULL ELSE ts END, TIMESTAMP '0001-01-01 00:00:00') DESC, event_id) AS place FROM events ORDER BY place LIMIT 200")
-def safe_ts_sort(t: Tables) -> DataFrame:
-    """Times from text; what doesn't parse sorts as the earliest."""
-    text = F.when(F.col("event_id") % 5 == 0, "not a time").otherwise(F.col("ts").cast("string"))
-    when = F.coalesce(F.try_to_timestamp(text).cast("timestamp_ntz"), F.lit("0001-01-01 00:00:00").cast("timestamp_ntz"))
-    rows = t.events.select("event_id", when.alias("at")).orderBy(F.desc("at"), "event_id").limit(200)
-    return rows.select("event_id", F.row_number().over(Window.orderBy(F.desc("at"), "event_id")).cast("long").alias("place"))
-
-
 @query("SELECT event_id, coalesce(CASE WHEN event_id % 5 = 0 THEN NULL ELSE ts END, TIMESTAMP '0001-01-01 00:00:00') AS sort_time FROM events ORDER BY sort_time DESC, event_id")
 def safe_ts_sort_whole(t: Tables) -> DataFrame:
-    """As safe_ts_sort, all rows in their order; the time stands for the place, which would need all rows in one task."""
+    """Times from text, what doesn't parse as the earliest: all rows in their order. The time stands for the place, which would need all rows in one task."""
     text = F.when(F.col("event_id") % 5 == 0, "not a time").otherwise(F.col("ts").cast("string"))
     when = F.coalesce(F.try_to_timestamp(text).cast("timestamp_ntz"), F.lit("0001-01-01 00:00:00").cast("timestamp_ntz"))
     return t.events.select("event_id", when.alias("sort_time")).orderBy(F.desc("sort_time"), "event_id")
@@ -387,15 +378,9 @@ def search_history(t: Tables) -> DataFrame:
     return R.paginate(t.events.where("event_type = 'view'").select("event_id", "user_id", "event_type", "ts"), [F.desc("ts"), F.asc("event_id")], 0, 20).drop("ts")
 
 
-@query("SELECT c_custkey, c_name FROM customer ORDER BY CASE WHEN c_acctbal > 0 THEN c_acctbal END DESC NULLS FIRST, c_custkey LIMIT 50")
-def my_students(t: Tables) -> DataFrame:
-    joined = t.customer.withColumn("joined", F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")))
-    return R.paginate(joined, [F.col("joined").desc_nulls_first(), F.asc("c_custkey")], 0, 50).select("c_custkey", "c_name")
-
-
 @query("SELECT c_custkey, c_name, CASE WHEN c_acctbal > 0 THEN c_acctbal END AS joined FROM customer ORDER BY joined DESC NULLS FIRST, c_custkey")
 def my_students_whole(t: Tables) -> DataFrame:
-    """As my_students, all of them in their order."""
+    """All of a mentor's students, the last to join first, those without a date before them."""
     joined = F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")).alias("joined")
     return t.customer.select("c_custkey", "c_name", joined).orderBy(F.col("joined").desc_nulls_first(), "c_custkey")
 
@@ -440,3 +425,5 @@ def kb_access_check(t: Tables) -> DataFrame:
 
 
 query(ORACLES["search_all_whole"], "search_all")(search_all_whole)
+query(ORACLES["safe_ts_sort_whole"], "safe_ts_sort")(safe_ts_sort_whole)
+query(ORACLES["my_students_whole"], "my_students")(my_students_whole)

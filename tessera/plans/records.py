@@ -9,7 +9,8 @@ from tessera.functions import text as X
 from tessera.functions import vectors as V
 from tessera.operators import mutations as C
 from tessera.operators import relational as R
-from tessera.session import Tables
+from tessera.operators.caches import cached
+from tessera.session import Tables, kept, written
 from tessera.sources import bibliography as B
 
 from .library import n
@@ -21,10 +22,10 @@ from .registry import query
 def retrieve(t: Tables, query_id: int, kb_ids: list[int] | None = None, top_k: int = 20, threshold: float = 0.1) -> DataFrame:
     """Chunks nearest to one by cosine, with their document and knowledge base, from a threshold on; chunks without a vector are left out.
 
-    embeddings stand for chunks (of document vec_id % 1000 + 1), documents for documents of the knowledge base doc_id % 25, nation for those.
+    embeddings stand for chunks (spread over all documents), documents for documents of the knowledge base doc_id % 25, nation for those.
     """
     asked = t.embeddings.where(F.col("vec_id") == query_id).select(F.col("embedding").alias("q")).limit(1)
-    chunk = t.embeddings.where("embedding is not null").crossJoin(F.broadcast(asked)).select("vec_id", (F.col("vec_id") % 1000 + 1).alias("document"), (1 - V.cosine(F.col("embedding"), F.col("q"))).alias("distance"))
+    chunk = t.embeddings.where("embedding is not null").crossJoin(F.broadcast(asked)).crossJoin(F.broadcast(t.documents.agg(F.max("doc_id").alias("last")))).select("vec_id", (F.col("vec_id") * 7919 % (F.col("last") + 1)).alias("document"), (1 - V.cosine(F.col("embedding"), F.col("q"))).alias("distance"))
     docs = t.documents.select(F.col("doc_id").alias("document"), F.col("lang"), (F.col("doc_id") % 25).alias("kb"))
     if kb_ids is not None:
         docs = docs.where(F.col("kb").isin(kb_ids))
@@ -32,7 +33,7 @@ def retrieve(t: Tables, query_id: int, kb_ids: list[int] | None = None, top_k: i
     return found.orderBy("distance", "vec_id").limit(top_k).select("vec_id", "document", F.col("n_name").alias("kb_name"), F.round(1 - F.col("distance"), 4).alias("score"))
 
 
-_RETRIEVE = """SELECT vec_id, document, n_name AS kb_name, round(1 - d, 4) AS score FROM (SELECT e.vec_id, e.vec_id % 1000 + 1 AS document, 1 - list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS d
+_RETRIEVE = """SELECT vec_id, document, n_name AS kb_name, round(1 - d, 4) AS score FROM (SELECT e.vec_id, e.vec_id * 7919 % ((SELECT max(doc_id) FROM documents) + 1) AS document, 1 - list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS d
 FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.embedding IS NOT NULL) c JOIN documents ON doc_id = document JOIN nation ON n_nationkey = doc_id % 25 WHERE d <= 0.9"""
 
 
@@ -46,10 +47,10 @@ def retrieval_in_kbs(t: Tables) -> DataFrame:
     return retrieve(t, 0, [3, 7, 11, 19])
 
 
-@query("SELECT vec_id, '[' || array_to_string(list_transform(embedding[1:4], lambda x: floor(x * 100)::INT::VARCHAR), ',') || ']' AS literal, floor(embedding[1] * 100)::DOUBLE AS first FROM embeddings")
+@query("SELECT vec_id, '[' || array_to_string(list_transform(embedding, lambda x: floor(x * 100)::INT::VARCHAR), ',') || ']' AS literal, floor(embedding[1] * 100)::DOUBLE AS first FROM embeddings")
 def vector_literal(t: Tables) -> DataFrame:
     """A vector as text, and read again."""
-    literal = X.vector_text(F.transform(F.slice("embedding", 1, 4), lambda x: F.floor(x * 100).cast("int")))
+    literal = X.vector_text(F.transform("embedding", lambda x: F.floor(x * 100).cast("int")))
     return t.embeddings.select("vec_id", literal.alias("literal"), F.get(X.vector_of(literal), F.lit(0)).cast("double").alias("first"))
 
 
@@ -83,14 +84,20 @@ def edge_insert(t: Tables) -> DataFrame:
     return C.new_edges(edges(2), edges(1), own, ["paper", "collection"], "collection").select("paper", "collection")
 
 
-@query("""WITH c AS (SELECT c_custkey, c_mktsegment || c_custkey % 400 AS email, c_nationkey || '-' || c_custkey % 30 AS username FROM customer), old AS (SELECT * FROM c WHERE c_custkey % 3 = 0)
-SELECT c_custkey, CASE WHEN email IN (SELECT email FROM old) THEN 'email_taken' WHEN username IN (SELECT username FROM old) THEN 'username_taken' ELSE 'ok' END AS outcome FROM c WHERE c_custkey % 3 <> 0""")
+_USERS = "SELECT c_custkey, c_mktsegment || c_custkey % 400 AS email, c_nationkey || '-' || c_custkey % 30 AS username FROM customer"
+
+
+@query(f"""WITH RECURSIVE c AS ({_USERS}), n AS (SELECT *, row_number() OVER (ORDER BY c_custkey) AS i FROM c WHERE c_custkey % 3 <> 0),
+r AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS c_custkey, NULL::VARCHAR AS outcome, (SELECT list(email) FROM c WHERE c_custkey % 3 = 0) AS emails, (SELECT list(username) FROM c WHERE c_custkey % 3 = 0) AS names
+      UNION ALL SELECT i, c_custkey, outcome, CASE outcome WHEN 'ok' THEN list_append(emails, email) ELSE emails END, CASE outcome WHEN 'ok' THEN list_append(names, username) ELSE names END
+      FROM (SELECT n.*, emails, names, CASE WHEN list_contains(emails, email) THEN 'email_taken' WHEN list_contains(names, username) THEN 'username_taken' ELSE 'ok' END AS outcome FROM r JOIN n ON n.i = r.i + 1))
+SELECT c_custkey, outcome FROM r WHERE i > 0""")
 def register_check(t: Tables) -> DataFrame:
-    """Whether a name may be registered: the email is looked at before the user's name."""
+    """Users register one after the other: the email is looked at before the user's name, and who was let in before counts."""
     name = F.concat(F.col("c_nationkey").cast("string"), F.lit("-"), (F.col("c_custkey") % 30).cast("string"))
     users = t.customer.select("c_custkey", F.concat("c_mktsegment", (F.col("c_custkey") % 400).cast("string")).alias("email"), name.alias("username"))
     old, new = users.where("c_custkey % 3 = 0"), users.where("c_custkey % 3 <> 0")
-    return C.first_conflict(new, old, ["email", "username"]).select("c_custkey", "outcome")
+    return C.registered(new, old, "c_custkey", ["email", "username"]).select("c_custkey", "outcome")
 
 
 @query("""SELECT p_partkey AS id, p_name AS name FROM part WHERE p_partkey % 10 NOT IN (1, 2) UNION ALL SELECT p_partkey, p_brand FROM part WHERE p_partkey % 10 = 1
@@ -105,7 +112,7 @@ def record_changes(t: Tables) -> DataFrame:
 
 
 @query("SELECT user_id, count(*) AS n, max(event_id) AS last FROM (SELECT user_id, event_id FROM events WHERE event_type = 'view' UNION ALL SELECT user_id, event_id + 1000000 FROM events WHERE event_type = 'click') GROUP BY user_id")
-def search_history(t: Tables) -> DataFrame:
+def search_history_append(t: Tables) -> DataFrame:
     """A history with further searches appended."""
     old = t.events.where("event_type = 'view'").select("user_id", "event_id")
     new = t.events.where("event_type = 'click'").select("user_id", (F.col("event_id") + 1000000).alias("event_id"))
@@ -137,11 +144,11 @@ def variable_filter(t: Tables) -> DataFrame:
     return rows.where(~F.col("name").startswith("_") & ~F.col("kind").isin("function", "type") & R.contains_any("frame", "kind"))
 
 
-@query("""SELECT p_partkey, p_size FROM part WHERE p_size IS NOT NULL AND p_partkey % 2 = 0 AND p_brand = 'Brand#11' AND p_type IS NOT NULL AND list_contains(string_split(p_type, ' '), split_part(p_type, ' ', 1))""")
+@query("""SELECT p_partkey, p_size FROM part WHERE p_size IS NOT NULL AND p_partkey % 2 = 0 AND p_brand >= 'Brand#2' AND (p_type = 'PROMO' OR p_size % 7 = 3)""")
 def paper_filter_rest(t: Tables) -> DataFrame:
-    """Papers by read mark, source and tag, with a rating."""
-    tag = F.array_contains(F.split("p_type", " "), F.element_at(F.split("p_type", " "), 1))
-    given = R.all_given(F.col("p_partkey") % 2 == 0, F.col("p_brand") == "Brand#11", tag, F.col("p_size").isNotNull(), F.col("p_type").isNotNull())
+    """Papers by read mark, source and tag, with a rating. A paper's tags are its type and the rest of its size."""
+    tags = F.array("p_type", F.concat(F.lit("size "), (F.col("p_size") % 7).cast("string")))
+    given = R.all_given(F.col("p_partkey") % 2 == 0, F.col("p_brand") >= "Brand#2", F.arrays_overlap(tags, F.array(F.lit("PROMO"), F.lit("size 3"))), F.col("p_size").isNotNull())
     return t.part.where(given).select("p_partkey", "p_size")
 
 
@@ -191,9 +198,11 @@ def iso_format(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", X.iso_time(at).alias("iso"))
 
 
-@query("SELECT page_id, CASE WHEN length(html) > 5000 THEN left(html, 5000) || '...' ELSE html END AS part FROM pages")
+@query("SELECT page_id, left(html, 5000) AS part, left(html, 1000) || '...' AS shown FROM pages")
 def html_cut(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", X.truncated(F.col("html"), 5000).alias("part"))
+    """A page's markup as data, up to 5000 characters, and what is shown of it: 1000, and dots whatever its length."""
+    part = F.left("html", F.lit(5000))
+    return t.pages.select("page_id", part.alias("part"), F.concat(F.left(part, F.lit(1000)), F.lit("...")).alias("shown"))
 
 
 @query("SELECT p_partkey, 'name=' || p_name || ';brand=' || p_brand AS entries FROM part")
@@ -212,9 +221,11 @@ def health(t: Tables) -> DataFrame:
 
 @query("SELECT c_custkey, coalesce(n, 0) AS notebooks, coalesce(latest, -1) AS latest FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, max(o_orderkey) AS latest FROM orders GROUP BY 1) ON o_custkey = c_custkey")
 def notebooks_cached(t: Tables) -> DataFrame:
-    """Two readings of one user's notebooks from a scan that is kept: a persisted table, read once."""
-    kept = t.orders.select("o_custkey", "o_orderkey").persist()
-    by = kept.groupBy("o_custkey").agg(n("n"), F.max("o_orderkey").alias("latest"))
+    """Two readings of the users' notebooks, their number and the latest, from one scan that is kept for both and let go then."""
+    with kept(t.orders.select("o_custkey", "o_orderkey")) as orders:
+        counts = written(orders.groupBy("o_custkey").agg(n("n")))
+        latest = written(orders.groupBy("o_custkey").agg(F.max("o_orderkey").alias("latest")))
+    by = counts.join(latest, "o_custkey")
     return t.customer.join(by, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("notebooks"), F.coalesce("latest", F.lit(-1)).alias("latest"))
 
 
@@ -254,10 +265,11 @@ def pubmed_fetch(t: Tables) -> DataFrame:
     return t.part.select(F.col("p_partkey").alias("pmid"), F.col("p_name").alias("title")).join(ids, "pmid", "left_semi")
 
 
-@query("""SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'arxiv' WHEN 'O' THEN 'semantic_scholar' ELSE 'semantic_scholar' END AS source, p_name AS title FROM orders JOIN part ON p_partkey = o_orderkey % 2000 + 1""")
+@query("""SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'arxiv' WHEN 'O' THEN 'semantic_scholar' ELSE 'semantic_scholar' END AS source, p_name AS title FROM orders JOIN part ON p_partkey = o_orderkey % (SELECT count(*) FROM part)""")
 def source_router(t: Tables) -> DataFrame:
     """Each request goes to the source that it names, Semantic Scholar where it names none that is known."""
-    asked = t.orders.select("o_orderkey", (F.col("o_orderkey") % 2000 + 1).alias("p_partkey"), F.when(F.col("o_orderstatus") == "F", "arxiv").when(F.col("o_orderstatus") == "P", "unheard of").alias("named"))
+    size = F.broadcast(t.part.agg(F.count(F.lit(1)).alias("size")))
+    asked = t.orders.crossJoin(size).select("o_orderkey", (F.col("o_orderkey") % F.col("size")).alias("p_partkey"), F.when(F.col("o_orderstatus") == "F", "arxiv").when(F.col("o_orderstatus") == "P", "unheard of").alias("named"))
     papers = t.part.select("p_partkey", F.col("p_name").alias("title"))
     return B.routed(asked, "named", {"arxiv": papers, "semantic_scholar": papers}, "semantic_scholar", "p_partkey").select("o_orderkey", "source", "title")
 
@@ -287,11 +299,16 @@ def debounce(t: Tables) -> DataFrame:
     return rows.where(F.col("later").isNull() | (F.col("later") - F.col("ts") >= F.expr("interval 10 minutes"))).select("event_id", "user_id")
 
 
-@query("""SELECT a.event_id, a.user_id, EXISTS (SELECT 1 FROM events b WHERE b.user_id = a.user_id AND b.event_type = a.event_type AND (b.ts, b.event_id) < (a.ts, a.event_id) AND b.ts > a.ts - INTERVAL 300 MINUTE) AS hit FROM events a""")
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, ts, event_type || event_id % 3 AS key, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r AS (SELECT DISTINCT user_id, 0::BIGINT AS i, NULL::BIGINT AS event_id, NULL::BOOLEAN AS hit, []::STRUCT(ts TIMESTAMP, key VARCHAR)[] AS live FROM events
+      UNION ALL SELECT user_id, i, event_id, hit, CASE WHEN hit THEN live ELSE list_append(live, {'ts': ts, 'key': key})[-4:] END
+      FROM (SELECT *, len(list_filter(live, lambda x: x.key = key)) > 0 AS hit
+            FROM (SELECT e.*, list_filter(live, lambda x: x.ts > e.ts - INTERVAL 3 DAY) AS live FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)))
+SELECT event_id, user_id, hit FROM r WHERE i > 0""")
 def ttl_cache_hits(t: Tables) -> DataFrame:
-    """Whether a request finds what was asked within the time to live before it."""
-    before = F.lag("ts").over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))
-    return t.events.select("event_id", "user_id", F.coalesce(before > F.col("ts") - F.expr("interval 300 minutes"), F.lit(False)).alias("hit"))
+    """Each user's cache of three days and four entries: whether a request finds its key. A hit renews nothing, the entry stored longest ago makes room."""
+    asked = t.events.select("user_id", "event_id", "ts", F.concat("event_type", (F.col("event_id") % 3).cast("string")).alias("key"))
+    return cached(asked, "user_id", "key", "ts", "event_id", 3 * 86400 * 10**6, most=4).select("event_id", "user_id", "hit")
 
 
 @query("""SELECT conv_id, count(*) FILTER (WHERE role <> 'system') AS steps, string_agg(CASE role WHEN 'user' THEN 'thought' WHEN 'assistant' THEN 'observation' END, ',' ORDER BY turn) AS kinds,

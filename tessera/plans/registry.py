@@ -13,10 +13,12 @@ ORACLES: dict[str, str] = {}
 
 
 def query(sql: str | None = None, name: str | None = None):
-    """Registers a function of Tables under its name."""
+    """Registers a function of Tables under its name, which no other one may have."""
 
     def add(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
         key = name or f.__name__
+        if key in QUERIES:
+            raise ValueError(f"there is a query {key} already")
         QUERIES[key] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
         if sql:
             ORACLES[key] = sql

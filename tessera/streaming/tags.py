@@ -164,7 +164,7 @@ class TagProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         parser = TagParser(*json.loads(self._state.get()[0])) if self._state.exists() else TagParser()
-        events = [e for part in rows for x in part.sort_values("seq")["piece"] for e in parser.feed(x)]
+        events = [e for x in pd.concat(list(rows)).sort_values("seq")["piece"] for e in parser.feed(x or "")]
         self._state.update((json.dumps([parser.mode, parser.buffer, parser.seen]),))
         if self._idle_ms is not None:
             for t in list(self._handle.listTimers()):

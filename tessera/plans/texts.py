@@ -10,7 +10,8 @@ from tessera.functions import text as X
 from tessera.functions import vectors as V
 from tessera.operators.chunks import ENDINGS, chunk
 from tessera.operators.relational import page_with_total
-from tessera.session import Tables
+from tessera.session import Tables, shared_folder
+from tessera.streaming.ingest import Store, ingest
 
 from .library import n
 from .registry import ORACLES, query
@@ -366,4 +367,16 @@ def ingest_pipeline(t: Tables) -> DataFrame:
     docs = t.documents.select("doc_id", "source").join(by, "doc_id", "left")
     docs = docs.withColumn("status", F.when(F.col("chunk_count").isNull(), "failed").otherwise("completed"))
     kb = docs.groupBy("source").agg(F.count_if(F.col("status") == "completed").alias("document_count"), F.coalesce(F.sum("chunk_count"), F.lit(0)).alias("total_chunks"), F.coalesce(F.sum("token_count"), F.lit(0)).alias("total_tokens"))
-    return docs.join(F.broadcast(kb), "source").select("doc_id", "status", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), "document_count", "total_chunks", "total_tokens")
+    return docs.join(kb, "source").select("doc_id", "status", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), "document_count", "total_chunks", "total_tokens")
+
+
+@query(ORACLES["ingest_pipeline"])
+def ingest_stream(t: Tables) -> DataFrame:
+    """As ingest_pipeline, by a stream over the table's files into a store, and what the store shows when all are in."""
+    root = shared_folder(t.spark)
+    store = Store(t.spark, f"{root}/store")
+    uploads = t.stream("documents", ["doc_id", "source", "text"])
+    ingest(uploads.select("doc_id", F.col("source").alias("kb"), "text", F.lit(500).alias("chunk_size"), F.lit(50).alias("chunk_overlap")), store, f"{root}/checkpoint").awaitTermination()
+    counters = ["document_count", "total_chunks", "total_tokens"]
+    docs = store.documents().join(store.counters(), "kb", "left")
+    return docs.select("doc_id", "status", F.col("chunk_count").cast("long").alias("chunk_count"), *[F.coalesce(c, F.lit(0)).alias(c) for c in counters])

@@ -35,6 +35,11 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self._folder}/{name}.parquet")
 
+    def stream(self, name: str, columns: list[str], files: int = 16) -> DataFrame:
+        """Columns of a table as a stream of its files, so many a batch. A pattern stands for the path, as a stream takes no single file by its name."""
+        schema = getattr(self, name).select(*columns).schema
+        return self.spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{self._folder}/{name}.parque[t]")
+
 
 def shared_folder(spark: SparkSession) -> str:
     """A new path in the folder that spark.checkpoint.dir names, which driver and executors share; a folder of our own only on a local master."""

@@ -13,7 +13,7 @@ from tessera.functions.tools import Tool, Tools
 from tessera.session import Tables
 from tessera.sources import bibliography as B
 from tessera.sources import web
-from tessera.streaming import tags
+from tessera.streaming import live, tags
 
 from .library import n
 from .registry import ORACLES, query
@@ -231,3 +231,15 @@ def provider_catalog(t: Tables) -> DataFrame:
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def event_counts(t: Tables) -> DataFrame:
     return t.events.groupBy("event_type").agg(n("n"))
+
+
+@query()
+def live_events(t: Tables) -> DataFrame:
+    """All events of messages that come as replies in pieces of seven characters: thoughts and answers, tool calls, no tags, no end."""
+    text, turn = F.coalesce("text", F.lit("")), F.col("turn")
+    call = F.concat(F.lit("<action>"), F.to_json(F.struct(F.lit("search").alias("tool"), F.struct(F.left(text, F.lit(40)).alias("q")).alias("input"))), F.lit("</action>"))
+    think = F.concat(F.lit("<think>"), text, F.lit("</think>"))
+    reply = F.when(turn % 4 == 0, F.concat(think, F.lit("<answer>"), text, F.lit("</answer>"))).when(turn % 4 == 1, F.concat(think, call)).when(turn % 4 == 2, text).otherwise(F.concat(F.lit("<answer>"), text))
+    key = F.concat_ws("/", F.col("conv_id").cast("string"), turn.cast("string"))
+    events = live.live_batch(live.pieces_of(t.conversations.select(key.alias("reply"), reply.alias("text")), "reply", "text", 7))
+    return events.select(F.col("conv_id").alias("reply"), "place", "type", "data")

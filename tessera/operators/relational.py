@@ -84,3 +84,23 @@ def capped(df: DataFrame, key: str, order: Column, most: int = 100, keep: int =
     w = Window.partitionBy(key)
     rows = df.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_r", F.row_number().over(w.orderBy(order.desc())))
     return rows.where((F.col("_n") <= most) | (F.col("_r") <= keep)).drop("_n", "_r")
+
+
+def box(rows: DataFrame, key: str, value: str, reach: float = 1.5) -> DataFrame:
+    """key, n, given (values that aren't null), q1, middle, q3 (exact, between neighbours in proportion), low, high (whiskers) and outliers.
+
+    A group without values has nulls and no outliers. Exact percentiles count values before they are shuffled, so a group is as large as its different values.
+    """
+    v = F.col(value)
+    q = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.count(v).alias("given"), F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
+    wide = (F.col("_q")[2] - F.col("_q")[0]) * reach
+    q = q.select(F.col(key).alias("_key"), "n", "given", "_q", (F.col("_q")[0] - wide).alias("_lo"), (F.col("_q")[2] + wide).alias("_hi"))
+    both = rows.select(key, v.alias("_v")).join(q, F.col(key).eqNullSafe(F.col("_key")))
+    low, high = F.col("_v") >= F.col("_lo"), F.col("_v") <= F.col("_hi")
+    out = both.groupBy(key).agg(*[F.first(c).alias(c) for c in ("n", "given", "_q")], F.min(F.when(low, F.col("_v"))).alias("low"), F.max(F.when(high, F.col("_v"))).alias("high"), F.count_if(~low | ~high).alias("outliers"))
+    return out.select(key, "n", "given", *[F.round(F.col("_q")[k], 6).alias(x) for k, x in enumerate(("q1", "middle", "q3"))], "low", "high", "outliers")
+
+
+def shape(df: DataFrame, name: str) -> DataFrame:
+    """name, n_rows, n_columns and kinds (names and types) of a table: one count."""
+    return df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("name"), "n_rows", F.lit(len(df.columns)).alias("n_columns"), F.lit(", ".join(f"{c} {k}" for c, k in df.dtypes)).alias("kinds"))

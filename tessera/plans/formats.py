@@ -128,6 +128,50 @@ def error_classify(t: Tables) -> DataFrame:
     return t.events.select("event_id", K.error_kind(m[F.col("event_type")]).alias("kind"))
 
 
+# an error of each kind, with what is said to it
+_SAID = {
+    "NameError: name 'np' is not defined": [("undefined", "'np' isn't defined: check its spelling, or define or import it first"), ("import", "import numpy as np")],
+    "NameError: name 'total' is not defined": [("undefined", "'total' isn't defined: check its spelling, or define or import it first")],
+    "nameerror, of what isn't said": [],
+    "TypeError: 'int' object is not subscriptable": [("not_subscriptable", "the object takes no index: check what it is")],
+    "TypeError: 'int' object is NOT ITERABLE": [("not_iterable", "the object can't be looped over: a list or a dict can")],
+    "TypeError: f() takes 1 positional argument but 2 were given": [("wrong_arguments", "the number of arguments isn't that of the function")],
+    "TypeError: bad operand": [],
+    "IndexError: list index out of range": [("index", "the index is out of range: check the length"), ("length", "len() gives the length, try and except catch the error")],
+    "KeyError: 3": [("key", "the key isn't there: get() gives a default"), ("membership", "`key in d` tells whether it is there")],
+    "ModuleNotFoundError: No module named 'foo'": [("install", "the module 'foo' isn't installed: install it with pip")],
+    "ImportError: cannot import": [],
+    "AttributeError: no attribute 'x'": [("attribute", "the object has no such attribute: check its type and the spelling"), ("inspect", "dir() and type() tell about the object")],
+    "ValueError: invalid literal for int()": [("conversion", "the text can't be converted: check its format")],
+    "ValueError: out of range": [("value", "the value isn't one that is allowed: check range and format")],
+    "FileNotFoundError: x.csv": [("file", "the file isn't there: check the path"), ("exists", "os.path.exists() tells whether it is there")],
+    "all fine": [],
+}
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+_SAID_SQL = ", ".join(f"({k}, {i}, {_quoted(c)}, {_quoted(x)})" for k, said in enumerate(_SAID.values()) for i, (c, x) in enumerate(said))
+
+
+@query(f"SELECT event_id, place, code, text FROM events JOIN (VALUES {_SAID_SQL}) s(k, place, code, text) ON event_id % {len(_SAID)} = k")
+def error_suggestions(t: Tables) -> DataFrame:
+    """What is suggested against each error, one row a suggestion."""
+    message = F.element_at(F.array(*map(F.lit, _SAID)), (F.col("event_id") % len(_SAID) + 1).cast("int"))
+    return t.events.select("event_id", F.posexplode(K.suggestions(message)).alias("place", "s")).select("event_id", "place", "s.code", "s.text")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 2 WHEN p_partkey % 5 = 0 THEN 1 END::INT AS line,
+CASE WHEN p_partkey % 3 = 0 THEN '''['' was never closed' WHEN p_partkey % 5 = 0 THEN '''return'' outside function' END AS message FROM part""")
+def syntax_faults(t: Tables) -> DataFrame:
+    """Where a source can't be compiled, and why: an open bracket, and what only compiling finds."""
+    k = F.col("p_partkey")
+    code = F.concat(F.when(k % 3 == 0, "import os\nx = [\n").when(k % 5 == 0, "return 1\n").otherwise("x = 1\n"), F.col("p_size").cast("string"))
+    return t.part.select("p_partkey", K.syntax_fault(code).alias("f")).select("p_partkey", "f.line", "f.message")
+
+
 @query("SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT * 2 AS place, role AS type, text AS data FROM conversations")
 def sse_frames_whole(t: Tables) -> DataFrame:
     """Events framed and read again, over whole messages: JSON escapes their newlines. A line that is no frame stands between."""

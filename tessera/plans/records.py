@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as X
@@ -10,7 +10,7 @@ from tessera.functions import vectors as V
 from tessera.operators import mutations as C
 from tessera.operators import relational as R
 from tessera.operators.caches import cached
-from tessera.session import Tables, kept, written
+from tessera.session import Tables, kept, shared_folder, written
 from tessera.sources import bibliography as B
 
 from .library import n
@@ -274,6 +274,49 @@ def source_router(t: Tables) -> DataFrame:
     return B.routed(asked, "named", {"arxiv": papers, "semantic_scholar": papers}, "semantic_scholar", "p_partkey").select("o_orderkey", "source", "title")
 
 
+def _text(*parts) -> Column:
+    return F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+
+
+@query("""WITH f AS (SELECT p_partkey || '.1' AS external_id, p_name AS title, '19' || lpad((50 + p_size)::VARCHAR, 2, '0') || '-01-01' AS published, count(*) OVER () AS total
+FROM part WHERE lower(p_name || ' about ' || p_type || ' ' || p_brand) LIKE '%a%' AND (p_size % 5 = 1 OR p_size % 7 = 2))
+SELECT external_id, title, published, total FROM f ORDER BY published DESC, external_id LIMIT 40 OFFSET 20""")
+def arxiv_search(t: Tables) -> DataFrame:
+    """The words in any field, one of two categories, by date of submission: a page, and how many there are."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    day = _text("19", F.lpad((50 + size).cast("string"), 2, "0"), "-01-01")
+    entry = _text("<entry><id>http://arxiv.org/abs/", k, ".1</id><title>", F.col("p_name"), "</title><summary>about ", F.col("p_type"), "</summary><published>", day, "</published><updated>", day, "</updated><author><name>", F.col("p_brand"), '</name></author><category term="five.', size % 5, '"/><category term="seven.', size % 7, '"/></entry>')
+    feeds = t.part.groupBy(F.floor(k / 100)).agg(F.array_join(F.collect_list(entry), "").alias("e"), F.count(F.lit(1)).alias("n"))
+    head = '<feed xmlns="http://www.w3.org/2005/Atom" xmlns:o="http://a9.com/-/spec/opensearch/1.1/"><o:totalResults>'
+    papers = B.parse_arxiv_feeds(feeds.select(_text(head, F.col("n"), "</o:totalResults>", F.col("e"), "</feed>").alias("f")), "f")
+    return B.arxiv_search(papers, "A", ["five.1", "seven.2"], "submittedDate", offset=20, limit=40).select("external_id", "title", "published", "total")
+
+
+@query("""WITH o AS (SELECT p_partkey, p_name, p_size, row_number() OVER (ORDER BY p_partkey) - 1 AS place, count(*) OVER () AS total FROM part)
+SELECT place, 'W' || p_partkey AS external_id, p_name AS title, (1990 + p_size)::INT AS year, total FROM o WHERE place >= 130 AND place < 190 AND p_size BETWEEN 5 AND 40""")
+def openalex_page(t: Tables) -> DataFrame:
+    """Results 130 to 189 of a search whose answers have landed in pages of 25, of some years: three pages are read."""
+    work = F.to_json(F.struct(_text("https://openalex.org/W", F.col("p_partkey")).alias("id"), F.col("p_name").alias("title"), (1990 + F.col("p_size")).alias("publication_year")))
+    row = t.part.select((F.floor(F.col("p_partkey") / 25)).cast("int").alias("page"), F.struct("p_partkey", work.alias("w")).alias("r"))
+    works = F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda x: x["w"]), ",")
+    pages = row.groupBy("page").agg(works.alias("w")).crossJoin(F.broadcast(t.part.agg(F.count(F.lit(1)).alias("n"))))
+    root = shared_folder(t.spark)
+    B.land(pages.select(F.lit("openalex").alias("source"), "page", _text('{"meta": {"count": ', F.col("n"), '}, "results": [', F.col("w"), "]}").alias("body")), root, shelf=4)
+    found = B.openalex_results(B.landed(t.spark, root, "openalex", 130, 60, per_page=25, shelf=4), 25).where("place >= 130 and place < 190")
+    return B.filtered(found, years=(1995, 2030)).select("place", "external_id", "title", "year", "total")
+
+
+@query("""SELECT p_partkey::VARCHAR AS external_id, p_name AS title, (1990 + p_size)::INT AS year FROM part WHERE p_partkey IN (SELECT p_partkey FROM part WHERE p_name ILIKE '%a%' AND p_size % 3 = 0)""")
+def pubmed_two_steps(t: Tables) -> DataFrame:
+    """A search gives ids in XML, a second one the articles with these ids, in XML too."""
+    k = F.col("p_partkey")
+    ids = t.part.where(R.contains_any("a", "p_name") & (F.col("p_size") % 3 == 0)).groupBy(F.floor(k / 100)).agg(F.array_join(F.collect_list(_text("<Id>", k, "</Id>")), "").alias("i"))
+    article = _text("<PubmedArticle><PMID>", k, "</PMID><Article><ArticleTitle>", F.col("p_name"), "</ArticleTitle><Journal><PubDate><Year>", 1990 + F.col("p_size"), "</Year></PubDate></Journal></Article></PubmedArticle>")
+    sets = t.part.groupBy(F.floor(k / 50)).agg(_text("<s>", F.array_join(F.collect_list(article), ""), "</s>").alias("a"))
+    found = B.parse_pubmed_ids(ids.select(_text("<r><IdList>", F.col("i"), "</IdList></r>").alias("f")), "f")
+    return B.parse_feeds(sets, "a", B.pubmed_articles).join(found, "external_id", "left_semi").select("external_id", "title", "year")
+
+
 # ---- keyed state in batches
 
 

@@ -9,6 +9,7 @@ from tessera.functions import maths as M
 from tessera.functions import text as X
 from tessera.functions import vectors as V
 from tessera.operators.chunks import ENDINGS, chunk
+from tessera.operators import relational as R
 from tessera.operators.relational import page_with_total
 from tessera.session import Tables, shared_folder
 from tessera.streaming.ingest import Store, ingest
@@ -305,6 +306,34 @@ def describe(t: Tables) -> DataFrame:
     return t.events.groupBy("event_type").agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std_pop"), F.stddev_samp(v).alias("std_samp"), F.min(v).alias("low"), F.max(v).alias("high"))
 
 
+@query("""WITH q AS (SELECT event_type, count(*) AS n, count(value) AS given, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS middle, quantile_cont(value, 0.75) AS q3 FROM events GROUP BY event_type),
+w AS (SELECT *, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM q)
+SELECT w.event_type, any_value(n) AS n, any_value(given) AS given, round(any_value(q1), 6) AS q1, round(any_value(middle), 6) AS middle, round(any_value(q3), 6) AS q3,
+min(value) FILTER (WHERE value >= lo) AS low, max(value) FILTER (WHERE value <= hi) AS high, count(*) FILTER (WHERE value < lo OR value > hi) AS outliers FROM w JOIN events USING (event_type) GROUP BY w.event_type""")
+def box(t: Tables) -> DataFrame:
+    """What a box plot draws of each kind's values: quartiles, whiskers within one and a half boxes, and how many lie beyond."""
+    return R.box(t.events, "event_type", "value")
+
+
+@query("""WITH r AS (SELECT event_type, value, (row_number() OVER (PARTITION BY event_type ORDER BY value) - 1) / greatest(count(*) OVER (PARTITION BY event_type) - 1, 1) AS below FROM events WHERE value IS NOT NULL)
+SELECT event_type, true AS q1, true AS middle, true AS q3 FROM r GROUP BY event_type""")
+def quartile_sketch(t: Tables) -> DataFrame:
+    """Quartiles by a sketch: each is a value of the column whose rank is within a hundredth of the rows of the one asked for."""
+    rows = t.events.where("value is not null").select("event_type", "value")
+    sketch = rows.groupBy("event_type").agg(F.percentile_approx("value", [0.25, 0.5, 0.75], 1000).alias("s"), F.count(F.lit(1)).alias("n"))
+    both = rows.join(sketch, "event_type")
+    near = [F.count_if(F.col("value") < F.col("s")[k]) / F.first("n") <= p + 0.01 for k, p in enumerate((0.25, 0.5, 0.75))]
+    reach = [F.count_if(F.col("value") <= F.col("s")[k]) / F.first("n") >= p - 0.01 for k, p in enumerate((0.25, 0.5, 0.75))]
+    return both.groupBy("event_type").agg(*[(a & b).alias(x) for a, b, x in zip(near, reach, ("q1", "middle", "q3"), strict=True)])
+
+
+@query("""SELECT 'events' AS name, count(*) AS n_rows, 6 AS n_columns, 'event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string' AS kinds FROM events
+UNION ALL SELECT 'part', count(*), 6, 'p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double' FROM part""")
+def shapes(t: Tables) -> DataFrame:
+    """Rows, columns and types of tables."""
+    return R.shape(t.events, "events").union(R.shape(t.part, "part"))
+
+
 @query("SELECT round(corr(l_quantity, l_extendedprice), 6) AS qe, round(corr(l_quantity, l_discount), 6) AS qd, round(corr(l_extendedprice, l_tax), 6) AS et FROM lineitem")
 def correlation(t: Tables) -> DataFrame:
     c = lambda a, b, x: F.round(F.corr(a, b), 6).alias(x)

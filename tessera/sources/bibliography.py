@@ -17,11 +17,11 @@ _OPENALEX = "struct<id:string,title:string,abstract:string,doi:string,publicatio
 _CROSSREF = "struct<DOI:string,title:array<string>,abstract:string,URL:string,author:array<struct<given:string,family:string>>,`container-title`:array<string>,`is-referenced-by-count`:int,`references-count`:int,`published-print`:struct<`date-parts`:array<array<int>>>,`published-online`:struct<`date-parts`:array<array<int>>>,created:struct<`date-parts`:array<array<int>>>>"
 
 
-def _rows(df: DataFrame, source: str, **columns: Column) -> DataFrame:
-    """Columns in the common schema; those not given are null."""
+def _rows(df: DataFrame, source: str, *more: str, **columns: Column) -> DataFrame:
+    """The columns `more` of df, and columns in the common schema; those not given are null."""
     out = {"source": F.lit(source), **columns}
     kinds = dict(x.strip().split(" ", 1) for x in PAPER.replace("authors " + AUTHORS, "authors AUTHORS").split(","))
-    return df.select(*[out.get(c, F.lit(None)).cast(AUTHORS if k == "AUTHORS" else k).alias(c) for c, k in kinds.items()])
+    return df.select(*more, *[out.get(c, F.lit(None)).cast(AUTHORS if k == "AUTHORS" else k).alias(c) for c, k in kinds.items()])
 
 
 def _named(names: Column) -> Column:
@@ -42,14 +42,14 @@ def parse_s2(df: DataFrame, column: str) -> DataFrame:
     )
 
 
-def parse_openalex(df: DataFrame, column: str) -> DataFrame:
-    """OpenAlex works: of ten authors and five concepts those with a name."""
+def parse_openalex(df: DataFrame, column: str, *more: str) -> DataFrame:
+    """OpenAlex works, with the columns `more` of df: of ten authors and five concepts those with a name."""
     w = F.from_json(F.col(column), _OPENALEX)
     named = lambda c: F.filter(c, lambda x: F.coalesce(x, F.lit("")) != "")
     authors = named(F.transform(F.slice(w["authorships"], 1, 10), lambda a: a["author"]["display_name"]))
     fields = named(F.transform(F.slice(w["concepts"], 1, 5), lambda c: c["display_name"]))
     return _rows(
-        df, "openalex", external_id=F.replace(w["id"], F.lit("https://openalex.org/"), F.lit("")), title=F.coalesce(w["title"], F.lit("")), abstract=w["abstract"], authors=_some(_named(authors), AUTHORS), year=w["publication_year"],
+        df, "openalex", *more, external_id=F.replace(w["id"], F.lit("https://openalex.org/"), F.lit("")), title=F.coalesce(w["title"], F.lit("")), abstract=w["abstract"], authors=_some(_named(authors), AUTHORS), year=w["publication_year"],
         venue=w["primary_location"]["source"]["display_name"], citation_count=F.coalesce(w["cited_by_count"], F.lit(0)), reference_count=F.greatest(F.size(_some(w["referenced_works"], "array<string>")), F.lit(0)), url=w["id"],
         pdf_url=F.when(w["open_access"]["is_oa"], w["open_access"]["oa_url"]), doi=F.nullif(F.replace(w["doi"], F.lit("https://doi.org/"), F.lit("")), F.lit("")), fields_of_study=_some(fields, "array<string>"),
     )
@@ -180,3 +180,100 @@ def routed(asked: DataFrame, named: str, sources: dict[str, DataFrame], default:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+# ---- searches over what a service would hold
+
+
+#: An arXiv entry with its two dates, and what its feed says of the whole search.
+ENTRY = f"{PAPER}, published string, updated string, total_results long"
+
+
+def arxiv_feed(feed: str) -> list[dict]:
+    """As arxiv_entries, with published, updated and the feed's totalResults (null where it gives no number)."""
+    papers = arxiv_entries(feed)
+    if not papers:
+        return []
+    a = "{http://www.w3.org/2005/Atom}"
+    root = ElementTree.fromstring(feed)
+    total = root.findtext("{http://a9.com/-/spec/opensearch/1.1/}totalResults", "").strip()
+    entries = [e for e in root.findall(f"{a}entry") if e.findtext(f"{a}id")]
+    return [p | {"published": e.findtext(f"{a}published"), "updated": e.findtext(f"{a}updated"), "total_results": int(total) if total.isdigit() else None} for p, e in zip(papers, entries, strict=True)]
+
+
+def parse_arxiv_feeds(df: DataFrame, column: str) -> DataFrame:
+    """Papers of Atom feeds in the schema ENTRY."""
+    names = [c.strip().split(" ")[0] for c in ENTRY.replace(AUTHORS, "a").split(",")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [p for feed in b["feed"] if feed for p in arxiv_feed(feed)]
+            yield pd.DataFrame(rows, columns=names).astype({"year": "Int32", "total_results": "Int64"})
+
+    return df.select(F.col(column).alias("feed")).mapInPandas(run, ENTRY)
+
+
+#: What arXiv sorts by, and the column that holds it; relevance is how often the words stand in title and abstract.
+ARXIV_ORDERS = {"relevance": None, "lastUpdatedDate": "updated", "submittedDate": "published"}
+
+
+def with_total(found: DataFrame, order: list[Column], offset: int, limit: int, most: int = 100) -> DataFrame:
+    """A page of what was found, each row with how many there are in all."""
+    return paged(found, order, offset, limit, most).crossJoin(F.broadcast(found.agg(F.count(F.lit(1)).alias("total"))))
+
+
+def arxiv_search(entries: DataFrame, words: str, categories: list[str] | None = None, sort_by: str = "relevance", descending: bool = True, offset: int = 0, limit: int = 10) -> DataFrame:
+    """A page of entries that hold the words anywhere, in any of the categories if some are given, and the total."""
+    if sort_by not in ARXIV_ORDERS:
+        raise ValueError(f"sort_by must be one of {tuple(ARXIV_ORDERS)}")
+    text = F.lower(F.concat_ws(" ", "title", "abstract", F.array_join(F.transform("authors", lambda a: a["name"]), " ")))
+    found = entries.where(text.contains(words.lower()))
+    if categories:
+        found = found.where(F.arrays_overlap("fields_of_study", F.array(*map(F.lit, categories))))
+    times = F.size(F.split(F.lower(F.concat_ws(" ", "title", "abstract")), F.concat(F.lit("\\Q"), F.lit(words.lower()), F.lit("\\E")))) - 1
+    key = F.col(ARXIV_ORDERS[sort_by]) if ARXIV_ORDERS[sort_by] else times
+    return with_total(found, [key.desc_nulls_last() if descending else key.asc_nulls_last(), F.asc("external_id")], offset, limit)
+
+
+def pubmed_ids(feed: str | None) -> list[str]:
+    """The ids of a search's answer; none where it can't be read."""
+    try:
+        return [i.text for i in ElementTree.fromstring(feed or "").findall(".//IdList/Id") if i.text]
+    except ElementTree.ParseError:
+        return []
+
+
+def parse_pubmed_ids(df: DataFrame, column: str) -> DataFrame:
+    """external_id of each id in the answers of a column, once."""
+
+    @F.pandas_udf("array<string>")
+    def ids(feeds: pd.Series) -> pd.Series:
+        return feeds.map(pubmed_ids)
+
+    return df.select(F.explode(ids(column)).alias("external_id")).distinct()
+
+
+# ---- landed pages
+
+
+def land(pages: DataFrame, root: str, shelf: int = 64) -> None:
+    """Writes pages (source, page, body) of services' answers, as they came, in folders by source and by `shelf` pages."""
+    rows = pages.withColumn("shelf", F.floor(F.col("page") / shelf).cast("int"))
+    rows.repartition("source", "shelf").sortWithinPartitions("source", "shelf", "page").write.partitionBy("source", "shelf").parquet(root)
+
+
+def landed(spark, root: str, source: str, offset: int | None = None, limit: int = 20, per_page: int = 100, shelf: int = 64) -> DataFrame:
+    """page and body of a source's pages, or of those alone that hold results from offset on: other folders aren't opened, and other row groups are skipped."""
+    rows = spark.read.schema("page int, body string, source string, shelf int").parquet(root).where(F.col("source") == source)
+    if offset is not None:
+        first, last = offset // per_page, (offset + max(limit, 1) - 1) // per_page
+        rows = rows.where(F.col("shelf").between(first // shelf, last // shelf) & F.col("page").between(first, last))
+    return rows.select("page", "body")
+
+
+def openalex_results(pages: DataFrame, per_page: int = 100) -> DataFrame:
+    """Works of pages of OpenAlex answers ({"meta": {"count": n}, "results": [...]}), each with its place in the whole list and the total."""
+    body = F.from_json("body", "struct<meta:struct<count:long>,results:array<string>>")
+    rows = pages.select("page", body["meta"]["count"].alias("total"), F.posexplode(body["results"]).alias("k", "work"))
+    rows = rows.select((F.col("page") * per_page + F.col("k")).cast("long").alias("place"), "total", "work")
+    return parse_openalex(rows, "work", "place", "total")

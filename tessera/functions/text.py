@@ -120,18 +120,26 @@ def citation(authors: Column, title: Column, venue: Column, year: Column) -> Col
     return F.concat(who, F.lit('. "'), title, F.lit('". '), F.coalesce(venue, F.lit("")), F.lit(" ("), F.coalesce(year.cast("string"), F.lit("")), F.lit(")"))
 
 
-def url_allowed(url: Column) -> Column:
-    """http or https, and no local, private or internal host; any host that contains one of these is refused."""
-    # fixed values: what a host must not contain, and how it must not start
-    inside = ["localhost", "127.0.0.1", "0.0.0.0", "internal", "intranet", "private", "corp"]
-    starts = ["10.", "172.", "192.168."]
+# fixed values: what a host must not contain, and how it must not start
+REFUSED_INSIDE = ("localhost", "127.0.0.1", "0.0.0.0", "internal", "intranet", "private", "corp")
+REFUSED_STARTS = ("10.", "172.", "192.168.")
+
+
+def url_error(url: Column) -> Column:
+    """Why an address isn't allowed: invalid_protocol, blocked_domain or private_ip, the first that holds; null if it is."""
     host = F.lower(F.regexp_extract(url, r"^[a-zA-Z]+://(?:[^/?#]*@)?(\[[^\]]*\]|[^/:?#]*)", 1))
-    bad = F.lit(False)
-    for x in inside:
-        bad = bad | host.contains(x)
-    for x in starts:
-        bad = bad | host.startswith(x)
-    return F.coalesce(F.regexp_like(url, F.lit(r"^(?i:https?)://")) & ~bad, F.lit(False))
+    inside, starts = F.lit(False), F.lit(False)
+    for x in REFUSED_INSIDE:
+        inside = inside | host.contains(x)
+    for x in REFUSED_STARTS:
+        starts = starts | host.startswith(x)
+    known = F.coalesce(F.regexp_like(url, F.lit(r"^(?i:https?)://")), F.lit(False))
+    return F.when(~known, "invalid_protocol").when(inside, "blocked_domain").when(starts, "private_ip")
+
+
+def url_allowed(url: Column) -> Column:
+    """http or https, and no local, private or internal host."""
+    return url_error(url).isNull()
 
 
 def package_name(text: Column) -> Column:

@@ -89,6 +89,33 @@ def extract_links(t: Tables) -> DataFrame:
     return out.select("page_id", F.inline("links"))
 
 
+_PAGE = "'<body><script>x < 1</script><div id=\"d\" class=\"a b\"><p>' || page_id || '</p><p class=\"x\">in <b>' || url || '</b></p></div><p>out</p><a href=\"https://e.org/' || page_id || '\">far <i>away</i></a><a href=\"/near\">near</a><table><tr><th>k</th></tr><tr></tr><tr><td>' || page_id || '</td><td> v </td></tr></table></body>'"
+_MODES = [("text", None), ("html", "div.a > p.x"), ("links", "body a"), ("tables", "table"), ("all", "#d p, table"), ("text", "ul")]
+
+
+@query(f"""WITH p AS (SELECT page_id, url, CASE page_id % 5 WHEN 1 THEN 'blocked_domain' WHEN 2 THEN 'private_ip' WHEN 3 THEN 'invalid_protocol' END AS error, {_PAGE} AS page FROM pages),
+m AS (SELECT unnest(range(6)) AS m)
+SELECT page_id, m::INT AS mode, error, CASE WHEN error IS NULL THEN m < 5 END AS found,
+CASE WHEN error IS NULL THEN CASE m WHEN 0 THEN left(page_id || chr(10) || 'in' || chr(10) || trim(url) || chr(10) || 'out' || chr(10) || 'far' || chr(10) || 'away' || chr(10) || 'near' || chr(10) || 'k' || chr(10) || page_id || chr(10) || 'v', 60)
+  WHEN 4 THEN left(page_id || chr(10) || 'in' || chr(10) || trim(url) || chr(10) || 'k' || chr(10) || page_id || chr(10) || 'v', 60) END END AS text,
+CASE WHEN error IS NULL AND m = 1 THEN left('<div><p class="x">in <b>' || url || '</b></p></div>', 60) END AS html,
+CASE WHEN error IS NULL THEN CASE m WHEN 2 THEN 'https://e.org/' || page_id || '=faraway' WHEN 4 THEN '' END END AS links,
+CASE WHEN error IS NULL AND m IN (3, 4) THEN 'k;' || page_id || ',v' END AS tables FROM p, m""")
+def scrape_modes(t: Tables) -> DataFrame:
+    """Every page in all five modes, with and without selectors: one that takes some elements, one that takes none; texts cut at 60."""
+    k = F.col("page_id").cast("string")
+    page = F.expr(_PAGE)
+    at = F.when(k.cast("long") % 5 == 1, "https://my.internal/x").when(k.cast("long") % 5 == 2, "http://10.0.0.1/").when(k.cast("long") % 5 == 3, "ftp://e.org/").otherwise("https://e.org/")
+    rows = t.pages.select("page_id", at.alias("at"), page.alias("page"))
+    out = None
+    for m, (mode, selector) in enumerate(_MODES):
+        got = web.scrape(rows, "page_id", "at", "page", mode, selector, 60).withColumn("mode", F.lit(m))
+        out = got if out is None else out.union(got)
+    links = F.array_join(F.transform("links", lambda x: F.concat(x["url"], F.lit("="), x["text"])), ";")
+    tables = F.array_join(F.transform(F.flatten("tables"), lambda r: F.array_join(r, ",")), ";")
+    return out.select("page_id", "mode", "error", "found", "text", "html", links.alias("links"), tables.alias("tables"))
+
+
 @query("SELECT page_id, r AS row, CASE r WHEN 0 THEN 'id|url' ELSE page_id || '|' || url END AS cells FROM pages, (SELECT unnest([0, 1]) AS r)")
 def extract_tables(t: Tables) -> DataFrame:
     page = F.concat(F.lit("<table><tr><th>id</th><th> url </th></tr><tr></tr><tr><td>"), F.col("page_id").cast("string"), F.lit("</td><td>"), F.col("url"), F.lit("</td></tr></table>"))

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.text import file_type, url_allowed
+from tessera.functions.text import file_type, url_error
+from tessera.sources import markup
 
 SKIPPED = {"script", "style", "noscript", "iframe"}
 #: Encodings in the order in which they are tried.
@@ -155,34 +156,40 @@ def result_links(pages: DataFrame, key: str, html: str, most: int = 5) -> DataFr
 
 #: What scrape may give.
 MODES = ("text", "html", "links", "tables", "all")
+SCRAPED = "error string, found boolean, text string, html string, links array<struct<url:string,text:string>>, tables array<array<array<string>>>"
 
 
-def scrape(pages: DataFrame, key: str, url: str, html: str, mode: str = "text", selector: str | None = None, max_length: int = 10000) -> DataFrame:
-    """key, error, text, links and tables of each page by mode, from what the selector takes if one is given; texts cut at max_length.
+def scrape(pages: DataFrame, key: str, url: str, html: str, mode: str = "text", selector: str | None = None, max_length: int = 5000) -> DataFrame:
+    """key, and of each page by mode its text, html, links or tables (all: but for html); the others are null.
 
-    A page whose address is not allowed gives its error and nothing else.
+    Everything is of what the selector takes, if one is given: each element taken out of its place, in their order. found tells whether it
+    takes anything; a page where it doesn't has nothing. Texts and html are cut at max_length characters. A page whose address isn't allowed has
+    an error (see url_error) and nothing else; it isn't parsed. Each page is parsed once.
     """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
+    chains = markup.compiled(selector) if selector else None
+
+    def of_one(page: str | None) -> tuple:
+        root = markup.parsed(page)
+        if chains is not None:
+            nodes = markup.selected(root, chains)
+            if not nodes:
+                return None, False, None, None, None, None
+            root = markup.apart(nodes)
+        wants = lambda x: mode in (x, "all")
+        return (
+            None, True, markup.text_of(root, max_length) if wants("text") else None, root.markup()[:max_length] if mode == "html" else None,
+            markup.links_of(root) if wants("links") else None, markup.tables_of(root) if wants("tables") else None,
+        )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for k, ok, x in zip(b["key"], b["ok"], b["html"], strict=True):
-                if not ok:
-                    rows.append((k, "blocked", None, [], []))
-                    continue
-                p = Page(x or "")
-                body = "\n".join(Selected(x or "", selector).texts if selector else p.text)
-                text = {"html": x or "", "text": body, "all": body}.get(mode)
-                links = [{"url": u, "text": t[:50]} for u, t in p.links if u.startswith(("http://", "https://"))][:50] if mode in ("links", "all") else []
-                tables = [[r for r in t if r] for t in p.tables[:5]] if mode in ("tables", "all") else []
-                rows.append((k, None, None if text is None else text[:max_length], links, tables))
-            yield pd.DataFrame(rows, columns=["key", "error", "text", "links", "tables"])
-
-    schema = f"key {dict(pages.dtypes)[key]}, error string, text string, links array<struct<url:string,text:string>>, tables array<array<array<string>>>"
-    rows = pages.select(F.col(key).alias("key"), url_allowed(F.col(url)).alias("ok"), F.col(html).alias("html"))
-    return rows.mapInPandas(run, schema).withColumnRenamed("key", key)
+            rows = [(k, *((error, None, None, None, None, None) if error else of_one(x))) for k, error, x in zip(b["key"], b["error"], b["html"], strict=True)]
+            yield pd.DataFrame(rows, columns=["key", "error", "found", "text", "html", "links", "tables"])
+
+    rows = pages.select(F.col(key).alias("key"), url_error(F.col(url)).alias("error"), F.col(html).alias("html"))
+    return rows.mapInPandas(run, f"key {dict(pages.dtypes)[key]}, {SCRAPED}").withColumnRenamed("key", key)
 
 
 def select(pages: DataFrame, key: str, html: str, selector: str) -> DataFrame:

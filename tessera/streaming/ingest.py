@@ -14,6 +14,7 @@ the same files, and what the first attempt left behind is replaced. A batch that
 from __future__ import annotations
 
 import hashlib
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -135,3 +136,19 @@ def ingest(uploads: DataFrame, store: Store, checkpoint: str, embed=None, first_
         store.add(rows, batch_id, embed, first_wait)
 
     return uploads.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**trigger or {"availableNow": True}).start()
+
+
+def polled(store: Store, uploads: DataFrame, every: float = 3.0, sleep: Callable[[float], None] = time.sleep) -> Iterator[dict[str, int]]:
+    """How many uploads have each status, again and again as long as one is pending or processing."""
+    while True:
+        counts = {r["status"]: r["count"] for r in store.statuses(uploads).groupBy("status").count().collect()}
+        yield counts
+        if not counts.keys() & {PENDING, PROCESSING}:
+            return
+        sleep(every)
+
+
+def stopped(query: StreamingQuery, store: Store) -> DataFrame:
+    """Stops the stream, and gives the documents of all batches that were done. Started anew with its checkpoint it goes on with the batch it was in."""
+    query.stop()
+    return store.documents()

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 
 from tessera.operators.chunks import chunk
 from tessera.sources.retries import RateLimited, embedded, fetched, with_retries
-from tessera.streaming.ingest import COMPLETED, FAILED, PENDING, PROCESSING, Store, ingest, processed
+from tessera.streaming.ingest import COMPLETED, FAILED, PENDING, PROCESSING, Store, ingest, polled, processed, stopped
 
 SCHEMA = "doc_id long, kb string, text string, chunk_size int, chunk_overlap int"
 
@@ -80,6 +80,20 @@ def test_a_crash_neither_loses_nor_doubles(spark, landed, monkeypatch, table):
     assert have(store) == want(spark)
 
 
+def test_stop_keeps_what_is_done_and_a_restart_goes_on(spark, landed):
+    store, uploads = Store(spark, str(landed / "store")), spark.createDataFrame(rows(), SCHEMA)
+    query = ingest(stream(spark, landed), store, str(landed / "c"), processingTime="0 seconds")
+    for counts in polled(store, uploads, 0.2):
+        if counts.get(COMPLETED, 0) > 5:
+            break
+    part = stopped(query, store).count()
+    documents, chunks, kbs = have(store)
+    assert 5 < part == len(documents) and not query.isActive
+    assert sum(n for _, n, _ in kbs) == sum(s == COMPLETED for _, s, _ in documents) and sum(c for *_, c in kbs) == len(chunks)
+    ingest(stream(spark, landed), store, str(landed / "c")).awaitTermination()
+    assert have(store) == want(spark) and list(polled(store, uploads)) == [{COMPLETED: 40, FAILED: 3}]
+
+
 def flaky(times):
     """An embedder whose first `times` calls are refused."""
     calls = []

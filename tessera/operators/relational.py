@@ -104,3 +104,32 @@ def box(rows: DataFrame, key: str, value: str, reach: float = 1.5) -> DataFrame:
 def shape(df: DataFrame, name: str) -> DataFrame:
     """name, n_rows, n_columns and kinds (names and types) of a table: one count."""
     return df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("name"), "n_rows", F.lit(len(df.columns)).alias("n_columns"), F.lit(", ".join(f"{c} {k}" for c, k in df.dtypes)).alias("kinds"))
+
+
+def named_references(rows: DataFrame, kind: str, id_: str, targets: dict[str, DataFrame]) -> DataFrame:
+    """rows with name and detail (a map) of what (kind, id_) refers to; rows whose target is gone, has no name or is of no known kind drop out.
+
+    targets: a table (id, name, detail) for each kind. They are joined as one table, so rows are shuffled once however many kinds there are.
+    """
+    every = None
+    for k, t in targets.items():
+        part = t.select(F.lit(k).alias("_kind"), F.col("id").cast("long").alias("_id"), F.col("name").alias("name"), F.col("detail").cast("map<string,string>").alias("detail"))
+        every = part if every is None else every.union(part)
+    every = every.where("coalesce(name, '') <> ''")
+    return rows.join(every, (F.col(kind) == F.col("_kind")) & (F.col(id_) == F.col("_id"))).drop("_kind", "_id")
+
+
+def answered(invitations: DataFrame, answers: DataFrame, now: Column) -> DataFrame:
+    """invitations (id, from_user, to_user, status, expires_at) with the status after answers (id, user, action), one each, and outcome.
+
+    accept and reject are the receiver's, cancel is the sender's; any other answer, one to an invitation that isn't pending, and one to
+    none at all is `not_found`. An accepted invitation that has expired is cancelled, and the outcome is `expired`.
+    """
+    a = answers.select(F.col("id").alias("_id"), F.col("user").alias("_user"), F.col("action").alias("_action"))
+    both = invitations.join(a, F.col("id") == F.col("_id"), "left")
+    mine = F.when(F.col("_action") == "cancel", F.col("_user") == F.col("from_user")).when(F.col("_action").isin("accept", "reject"), F.col("_user") == F.col("to_user"))
+    allowed = F.coalesce(mine & (F.col("status") == "pending"), F.lit(False))
+    late = (F.col("_action") == "accept") & F.coalesce(F.col("expires_at") < now, F.lit(False))
+    outcome = F.when(F.col("_id").isNull(), F.lit(None)).when(~allowed, "not_found").when(late, "expired").otherwise("done")
+    done = F.when(late, "cancelled").when(F.col("_action") == "accept", "accepted").when(F.col("_action") == "reject", "rejected").otherwise("cancelled")
+    return both.select(*[F.when(allowed, done).otherwise(F.col("status")).alias("status") if c == "status" else F.col(c) for c in invitations.columns], outcome.alias("outcome"))

@@ -317,6 +317,76 @@ def pubmed_two_steps(t: Tables) -> DataFrame:
     return B.parse_feeds(sets, "a", B.pubmed_articles).join(found, "external_id", "left_semi").select("external_id", "title", "year")
 
 
+# ---- references, invitations, saved papers, lists
+
+_REFS = """r AS (SELECT o_orderkey AS share_id, o_custkey, o_orderstatus, ['knowledge_base', 'paper_collection', 'paper', 'notebook', 'other'][(o_orderkey % 5 + 1)::INT] AS kind, o_orderkey // 5 % 3000 AS id FROM orders),
+k AS (SELECT 'knowledge_base' AS kind, n_nationkey AS id, n_name AS name, NULL AS year FROM nation UNION ALL SELECT 'paper_collection', s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE s_name END, NULL FROM supplier
+UNION ALL SELECT 'paper', p_partkey, p_name, (1990 + p_size)::VARCHAR FROM part UNION ALL SELECT 'notebook', item_id, text, NULL FROM benchmark)"""
+
+
+@query(f"""WITH {_REFS} SELECT share_id, r.kind, k.name, year, c_name AS owner, CASE o_orderstatus WHEN 'O' THEN n_name WHEN 'F' THEN 'all students' END AS shared_with
+FROM r JOIN k ON k.kind = r.kind AND k.id = r.id JOIN customer ON c_custkey = o_custkey LEFT JOIN nation ON n_nationkey = share_id % 30 WHERE coalesce(k.name, '') <> ''""")
+def shared_resources(t: Tables) -> DataFrame:
+    """Shares of four kinds with the names of what is shared, of its owner and of those it is shared with; what is gone or has no name drops out."""
+    kind = F.element_at(F.array(*map(F.lit, ("knowledge_base", "paper_collection", "paper", "notebook", "other"))), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    rows = t.orders.select(F.col("o_orderkey").alias("share_id"), "o_custkey", "o_orderstatus", kind.alias("kind"), (F.floor(F.col("o_orderkey") / 5) % 3000).alias("rid"))
+    none = F.lit(None)
+    targets = {
+        "knowledge_base": t.nation.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), none.alias("detail")),
+        "paper_collection": t.supplier.select(F.col("s_suppkey").alias("id"), F.when(F.col("s_suppkey") % 3 == 0, "").otherwise(F.col("s_name")).alias("name"), none.alias("detail")),
+        "paper": t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.create_map(F.lit("year"), (1990 + F.col("p_size")).cast("string")).alias("detail")),
+        "notebook": t.benchmark.select(F.col("item_id").alias("id"), F.col("text").alias("name"), none.alias("detail")),
+    }
+    named = R.named_references(rows, "kind", "rid", targets)
+    owner = t.customer.select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("owner"))
+    group = t.nation.select(F.col("n_nationkey").cast("long").alias("gid"), F.col("n_name").alias("group"))
+    out = named.join(owner, "o_custkey").join(group, F.col("share_id") % 30 == F.col("gid"), "left")
+    whom = F.when(F.col("o_orderstatus") == "O", F.col("group")).when(F.col("o_orderstatus") == "F", "all students")
+    return out.select("share_id", "kind", "name", F.col("detail")["year"].alias("year"), "owner", whom.alias("shared_with"))
+
+
+@query("""WITH i AS (SELECT o_orderkey AS id, o_custkey % 50 AS f, o_orderkey % 50 AS t, CASE WHEN o_orderstatus <> 'P' THEN 'pending' ELSE 'accepted' END AS status, CASE WHEN o_orderkey % 5 > 1 THEN o_orderdate END AS e FROM orders),
+a AS (SELECT *, ['accept', 'reject', 'cancel', 'frown'][(id % 4 + 1)::INT] AS action, CASE WHEN id % 3 = 0 THEN f ELSE t END AS u FROM i WHERE id % 7 <> 0),
+b AS (SELECT i.*, action, coalesce(i.status = 'pending' AND CASE action WHEN 'cancel' THEN u = i.f WHEN 'frown' THEN false ELSE u = i.t END, false) AS ok FROM i LEFT JOIN a ON a.id = i.id)
+SELECT id, CASE WHEN NOT ok THEN status WHEN action = 'accept' AND coalesce(e < TIMESTAMP '1998-01-01', false) THEN 'cancelled' ELSE CASE action WHEN 'accept' THEN 'accepted' WHEN 'reject' THEN 'rejected' ELSE 'cancelled' END END AS status,
+CASE WHEN action IS NULL THEN NULL WHEN NOT ok THEN 'not_found' WHEN action = 'accept' AND coalesce(e < TIMESTAMP '1998-01-01', false) THEN 'expired' ELSE 'done' END AS outcome FROM b""")
+def invitation_answers(t: Tables) -> DataFrame:
+    """Invitations after answers by their receivers and senders, some of them of the wrong party, too late, or to what is no longer pending."""
+    order = F.col("id")
+    i = t.orders.select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 50).alias("from_user"), (F.col("o_orderkey") % 50).alias("to_user"), F.when(F.col("o_orderstatus") != "P", "pending").otherwise("accepted").alias("status"), F.when(F.col("o_orderkey") % 5 > 1, F.col("o_orderdate")).alias("expires_at"))
+    action = F.element_at(F.array(*map(F.lit, ("accept", "reject", "cancel", "frown"))), (order % 4 + 1).cast("int"))
+    answers = i.where(order % 7 != 0).select("id", F.when(order % 3 == 0, F.col("from_user")).otherwise(F.col("to_user")).alias("user"), action.alias("action"))
+    return R.answered(i, answers, F.lit("1998-01-01").cast("timestamp_ntz")).select("id", "status", "outcome")
+
+
+@query("""WITH f AS (SELECT p_partkey AS k, p_partkey % 4 AS usr, ['semantic_scholar', 'arxiv', 'pubmed', 'crossref', 'openalex'][(p_partkey % 5 + 1)::INT] AS source, CASE WHEN p_partkey % 11 = 0 THEN '' ELSE p_size::VARCHAR END AS eid, CASE WHEN p_partkey % 2 = 0 THEN 'd' || p_size END AS doi, p_name AS title FROM part),
+s AS (SELECT s_suppkey AS id, s_suppkey % 4 AS usr, CASE s_suppkey % 3 WHEN 0 THEN s_suppkey::VARCHAR END AS s2, CASE s_suppkey % 3 WHEN 1 THEN s_suppkey::VARCHAR END AS ax, CASE s_suppkey % 3 WHEN 2 THEN s_suppkey::VARCHAR END AS pm, 'd' || s_suppkey AS doi, (SELECT p_name FROM part WHERE p_partkey = s_suppkey) AS title FROM supplier)
+SELECT k, (SELECT min(id) FROM s WHERE s.usr = f.usr AND f.eid <> '' AND CASE source WHEN 'semantic_scholar' THEN s2 = eid WHEN 'arxiv' THEN ax = eid WHEN 'pubmed' THEN pm = eid ELSE CASE WHEN f.doi IS NOT NULL THEN s.doi = f.doi ELSE s.title = f.title END END) AS saved_id FROM f""")
+def is_saved_by_source(t: Tables) -> DataFrame:
+    """Which of a user's saved papers a found one is: by the id of its source, else DOI, else title."""
+    k = F.col("p_partkey")
+    source = F.element_at(F.array(*map(F.lit, ("semantic_scholar", "arxiv", "pubmed", "crossref", "openalex"))), (k % 5 + 1).cast("int"))
+    found = t.part.select(k.alias("k"), (k % 4).alias("user"), source.alias("source"), F.when(k % 11 == 0, "").otherwise(F.col("p_size").cast("string")).alias("external_id"), F.when(k % 2 == 0, _text("d", F.col("p_size"))).alias("doi"), F.col("p_name").alias("title"))
+    i = F.col("s_suppkey")
+    own = lambda m: F.when(i % 3 == m, i.cast("string"))
+    titles = t.part.select(k.alias("s_suppkey"), F.col("p_name").alias("title"))
+    saved = t.supplier.join(titles, "s_suppkey", "left").select(i.alias("id"), (i % 4).alias("user"), own(0).alias("s2_id"), own(1).alias("arxiv_id"), own(2).alias("pubmed_id"), _text("d", i).alias("doi"), "title")
+    return B.with_saved(found, saved).select("k", "saved_id")
+
+
+@query("""WITH p AS (SELECT p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i, p_partkey, p_name || CASE WHEN p_size % 4 = 0 THEN '' ELSE ' (' || (1990 + p_size) || ')' END || chr(10) || 'Authors: ' || CASE p_size % 3 WHEN 0 THEN 'unknown' WHEN 1 THEN 'A, ' || p_type ELSE 'A, B, C and others' END
+|| chr(10) || 'Published: ' || p_type || CASE WHEN p_size > 25 THEN chr(10) || 'Citations: ' || p_size ELSE '' END || chr(10) || 'Abstract: ' || left(repeat(p_name || ' ', 9), 200) || CASE WHEN length(repeat(p_name || ' ', 9)) > 200 THEN '...' ELSE '' END || CASE WHEN p_size % 2 = 0 THEN chr(10) || 'Link: u' || p_partkey ELSE '' END AS b FROM part)
+SELECT p_brand, sha256('Results of ' || p_brand || chr(10) || string_agg(chr(10) || '[' || i || '] ' || b, chr(10) ORDER BY i)) AS text_sha256, count(*) AS n FROM p GROUP BY p_brand""")
+def paper_lists(t: Tables) -> DataFrame:
+    """Lists of papers as text, one for each brand, with and without years, authors, citations and addresses."""
+    size = F.col("p_size")
+    author = lambda *names: F.array(*[F.struct((F.lit(x) if isinstance(x, str) and len(x) == 1 else F.col(x)).alias("name")) for x in names])
+    authors = F.when(size % 3 == 0, F.array().cast("array<struct<name:string>>")).when(size % 3 == 1, author("A", "p_type")).otherwise(author("A", "B", "C", "D"))
+    papers = t.part.select("p_brand", "p_partkey", F.col("p_name").alias("title"), F.when(size % 4 != 0, 1990 + size).alias("year"), authors.alias("authors"), F.col("p_type").alias("venue"), F.when(size > 25, size).otherwise(0).alias("citation_count"), F.repeat(F.concat("p_name", F.lit(" ")), F.lit(9)).alias("abstract"), F.when(size % 2 == 0, _text("u", F.col("p_partkey"))).otherwise("").alias("url"), F.lit(None).cast("string").alias("pdf_url"))
+    text = B.listed(papers, "p_brand", "p_partkey", F.concat(F.lit("Results of "), "p_brand"))
+    return text.join(t.part.groupBy("p_brand").agg(n("n")), "p_brand").select("p_brand", F.sha2("text", 256).alias("text_sha256"), "n")
+
+
 # ---- keyed state in batches
 
 

@@ -277,3 +277,49 @@ def openalex_results(pages: DataFrame, per_page: int = 100) -> DataFrame:
     rows = pages.select("page", body["meta"]["count"].alias("total"), F.posexplode(body["results"]).alias("k", "work"))
     rows = rows.select((F.col("page") * per_page + F.col("k")).cast("long").alias("place"), "total", "work")
     return parse_openalex(rows, "work", "place", "total")
+
+
+# ---- papers in a library
+
+
+def search_key(source: Column, external_id: Column, doi: Column, title: Column) -> Column:
+    """By what a found paper is looked for among the saved ones: the id of its source where that has one of its own, else DOI, else title; null without an id."""
+    own = F.when(source == "semantic_scholar", "s2:").when(source == "arxiv", "arxiv:").when(source == "pubmed", "pubmed:")
+    given = F.nullif(doi, F.lit(""))
+    key = F.when(own.isNotNull(), F.concat(own, external_id)).when(given.isNotNull(), F.concat(F.lit("doi:"), given)).otherwise(F.concat(F.lit("title:"), title))
+    return F.when(F.coalesce(external_id, F.lit("")) != "", key)
+
+
+def with_saved(found: DataFrame, saved: DataFrame, user: str = "user") -> DataFrame:
+    """found (source, external_id, doi, title and the user) with saved_id, the least id of the user's saved papers that it is, or null.
+
+    saved: id, the user, s2_id, arxiv_id, pubmed_id, doi and title, each of which a paper may have. A saved paper is a row for each key that it has.
+    """
+    tagged = [F.concat(F.lit(tag), F.col(c)) for tag, c in (("s2:", "s2_id"), ("arxiv:", "arxiv_id"), ("pubmed:", "pubmed_id"), ("doi:", "doi"), ("title:", "title"))]
+    keys = saved.select("id", F.col(user).alias("_user"), F.explode(F.filter(F.array(*tagged), lambda k: k.isNotNull())).alias("_key"))
+    keys = keys.groupBy("_user", "_key").agg(F.min("id").alias("saved_id"))
+    asked = found.withColumn("_asked", search_key(F.col("source"), F.col("external_id"), F.col("doi"), F.col("title")))
+    return asked.join(keys, (F.col("_asked") == F.col("_key")) & (F.col(user) == F.col("_user")), "left").drop("_asked", "_key", "_user")
+
+
+#: Labels of a list of papers: authors, venue, citations, abstract, address, PDF, unknown authors, and further authors.
+LABELS = {
+    "plain": {"authors": "Authors: ", "venue": "Published: ", "cited": "Citations: ", "abstract": "Abstract: ", "url": "Link: ", "pdf": None, "unknown": "unknown", "more": " and others"},
+    "rich": {"authors": "By ", "venue": "In ", "cited": "Cited ", "abstract": "", "url": "", "pdf": "PDF: ", "unknown": "", "more": " et al."},
+}
+
+
+def listed(papers: DataFrame, group: str, place: str, head: Column, style: str = "plain") -> DataFrame:
+    """group and text: its papers as a numbered list under head, in the order of place. What a paper doesn't have has no line; abstracts are cut at 200 characters."""
+    w = LABELS[style]
+    line = lambda label, c, given=None: F.coalesce(F.when(given if given is not None else c != "", F.concat(F.lit("\n" + label), c)), F.lit(""))
+    names = F.array_join(F.transform(F.slice("authors", 1, 3), lambda a: F.coalesce(a["name"], F.lit(""))), ", ")
+    who = F.concat(F.coalesce(F.nullif(names, F.lit("")), F.lit(w["unknown"])), F.when(F.size("authors") > 3, w["more"]).otherwise(""))
+    abstract = F.concat(F.left("abstract", F.lit(200)), F.when(F.length("abstract") > 200, "...").otherwise(""))
+    body = F.concat(
+        F.coalesce("title", F.lit("")), F.coalesce(F.concat(F.lit(" ("), F.col("year").cast("string"), F.lit(")")), F.lit("")), F.lit("\n" + w["authors"]), F.coalesce(who, F.lit(w["unknown"])), line(w["venue"], F.col("venue")),
+        line(w["cited"], F.col("citation_count").cast("string"), F.col("citation_count") > 0), line(w["abstract"], abstract, F.col("abstract") != ""), line(w["url"], F.col("url")), line(w["pdf"], F.col("pdf_url")) if w["pdf"] else F.lit(""),
+    )
+    rows = papers.select(F.col(group).alias("_g"), head.alias("_h"), F.struct(F.col(place).alias("o"), body.alias("b")).alias("_e")).groupBy("_g", "_h").agg(F.array_sort(F.collect_list("_e")).alias("_e"))
+    text = F.array_join(F.transform("_e", lambda e, i: F.concat(F.lit("\n["), (i + 1).cast("string"), F.lit("] "), e["b"])), "\n")
+    return rows.select(F.col("_g").alias(group), F.concat("_h", F.lit("\n"), text).alias("text"))

@@ -49,7 +49,7 @@ def delete_cascade(t: Tables) -> DataFrame:
 
 @query("SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2))")
 def delete_in_subquery(t: Tables) -> DataFrame:
-    of = t.customer.join(F.broadcast(t.nation.where("n_regionkey = 2")), F.col("c_nationkey") == F.col("n_nationkey"), "left_semi")
+    of = t.customer.join(t.nation.where("n_regionkey = 2"), F.col("c_nationkey") == F.col("n_nationkey"), "left_semi")
     return C.delete_where_in(t.orders, "o_custkey", of, "c_custkey").select("o_orderkey")
 
 
@@ -127,7 +127,7 @@ def toggle(t: Tables) -> DataFrame:
 @query("SELECT c_custkey, CASE WHEN n_regionkey = 3 THEN NULL ELSE c_nationkey END AS mentor FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def role_change(t: Tables) -> DataFrame:
     """Students of mentors who lose the role have none."""
-    lost = F.broadcast(t.nation.where("n_regionkey = 3").select("n_nationkey"))
+    lost = t.nation.where("n_regionkey = 3").select("n_nationkey")
     both = t.customer.join(lost, F.col("c_nationkey") == F.col("n_nationkey"), "left")
     return both.select("c_custkey", F.when(F.col("n_nationkey").isNull(), F.col("c_nationkey")).alias("mentor"))
 

@@ -107,14 +107,14 @@ def papers_in_collection(t: Tables) -> DataFrame:
 
 @query("SELECT n_nationkey, n_name, c_custkey, c_name FROM nation JOIN customer ON c_nationkey = n_nationkey")
 def group_members(t: Tables) -> DataFrame:
-    return t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).select("n_nationkey", "n_name", "c_custkey", "c_name")
+    return t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select("n_nationkey", "n_name", "c_custkey", "c_name")
 
 
 @query("SELECT DISTINCT c_mktsegment, n_nationkey, n_name FROM nation JOIN customer ON c_nationkey = n_nationkey")
 def my_groups(t: Tables) -> DataFrame:
     """Groups with a member of each segment."""
     member = t.customer.select("c_mktsegment", "c_nationkey").distinct()
-    return member.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).select("c_mktsegment", "n_nationkey", "n_name")
+    return member.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_mktsegment", "n_nationkey", "n_name")
 
 
 @query("SELECT c_custkey, c_name, o_orderkey, row_number() OVER (PARTITION BY c_custkey ORDER BY o_orderdate DESC, o_orderkey) AS place FROM customer JOIN orders ON o_custkey = c_custkey")
@@ -136,8 +136,8 @@ CASE o_orderstatus WHEN 'F' THEN o_orderkey % 150 WHEN 'O' THEN o_orderkey % 25
 
 def principals(t: Tables, user: int = 7) -> DataFrame:
     """The user; the user's group; and the mentors (users of the group's region with a number under 6) whose students it holds."""
-    me = t.customer.where(F.col("c_custkey") == user).join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey"))
-    mentors = t.customer.where("c_custkey < 60").join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("m"), F.col("n_regionkey").alias("r"))
+    me = t.customer.where(F.col("c_custkey") == user).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    mentors = t.customer.where("c_custkey < 60").join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("m"), F.col("n_regionkey").alias("r"))
     own = me.select(F.lit("user").alias("kind"), F.col("c_custkey").alias("id"))
     groups = me.select(F.lit("group").alias("kind"), F.col("c_nationkey").cast("long").alias("id"))
     above = me.join(mentors, F.col("n_regionkey") == F.col("r")).select(F.lit("all_students").alias("kind"), F.col("m").alias("id"))
@@ -176,7 +176,7 @@ def share_details(t: Tables) -> DataFrame:
     user = t.customer.select(F.col("c_custkey").alias("k"), F.coalesce(F.nullif(F.col("c_name"), F.lit("")), F.col("c_custkey").cast("string")).alias("to_user"))
     owner = t.customer.select(F.col("c_custkey").alias("owner_id"), F.col("c_name").alias("owner"))
     group = t.nation.select(F.col("n_nationkey").cast("long").alias("g"), F.col("n_name").alias("to_group"))
-    s = shares(t).join(owner, "owner_id", "left").join(F.broadcast(group), (F.col("to_kind") == "group") & (F.col("g") == F.col("to_id")), "left")
+    s = shares(t).join(owner, "owner_id", "left").join(group, (F.col("to_kind") == "group") & (F.col("g") == F.col("to_id")), "left")
     return s.join(user, (F.col("to_kind") == "user") & (F.col("k") == F.col("to_id")), "left").select("share_id", "owner", "to_group", "to_user")
 
 
@@ -186,7 +186,7 @@ def polymorphic_ref(t: Tables) -> DataFrame:
     """Each share's target from the table that its kind names; gone targets drop out."""
     user = t.customer.select(F.lit("user").alias("to_kind"), F.col("c_custkey").alias("to_id"), F.col("c_name").alias("u"))
     group = t.nation.select(F.lit("group").alias("to_kind"), F.col("n_nationkey").cast("long").alias("to_id"), F.col("n_name").alias("g"))
-    s = shares(t).join(user, ["to_kind", "to_id"], "left").join(F.broadcast(group), ["to_kind", "to_id"], "left")
+    s = shares(t).join(user, ["to_kind", "to_id"], "left").join(group, ["to_kind", "to_id"], "left")
     return s.select("share_id", "to_kind", F.coalesce("u", "g").alias("target")).where("coalesce(target, '') <> ''")
 
 
@@ -333,7 +333,7 @@ def cache_evict(t: Tables) -> DataFrame:
 LEFT JOIN (SELECT c_nationkey AS g, count(*) AS k FROM customer GROUP BY 1) ON g = n_nationkey""")
 def my_mentor(t: Tables) -> DataFrame:
     size = t.customer.groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(n("k"))
-    mentor = F.broadcast(t.nation.join(size, "n_nationkey", "left"))
+    mentor = t.nation.join(size, "n_nationkey", "left")
     return t.customer.join(mentor, (F.col("n_nationkey") == F.col("c_nationkey")) & (F.col("c_acctbal") > 0), "left").select("c_custkey", "n_name", F.coalesce("k", F.lit(0)).alias("students"))
 
 

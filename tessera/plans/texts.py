@@ -24,7 +24,7 @@ def search(t: Tables, query_id: int = 0, top_k: int = 20, threshold: float = 0.1
     """The vectors nearest to one by cosine, joined to their knowledge base, from a threshold on: TakeOrdered, no full sort."""
     asked = t.embeddings.where(F.col("vec_id") == query_id).select(F.col("embedding").alias("q")).limit(1)
     scored = t.embeddings.crossJoin(F.broadcast(asked)).withColumn("distance", 1 - V.cosine(F.col("embedding"), F.col("q")))
-    near = scored.where(F.col("distance") <= 1 - threshold).join(F.broadcast(t.nation), F.col("label") == F.col("n_nationkey"))
+    near = scored.where(F.col("distance") <= 1 - threshold).join(t.nation, F.col("label") == F.col("n_nationkey"))
     return near.orderBy("distance", "vec_id").limit(top_k).select("vec_id", "n_name", _ROUND(1 - F.col("distance")).alias("score"))
 
 
@@ -99,13 +99,9 @@ _STOP = "('的','是','在','和','了','有','不','这','为','上','the','a',
 @query(rf"""WITH w AS (SELECT doc_id, unnest(x) AS word, unnest(range(1, len(x) + 1)) AS p FROM (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[\x{{4e00}}-\x{{9fff}}]+|[a-z]+'), lambda y: length(y) > 1 AND y NOT IN {_STOP}) AS x FROM documents)),
 c AS (SELECT doc_id, word, count(*) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, min(p)) AS place FROM w GROUP BY doc_id, word) SELECT doc_id, word, n, place FROM c WHERE place <= 10""")
 def keywords(t: Tables) -> DataFrame:
-    """Each document's ten most frequent words, ties in the order of appearance: words sorted within the row, their runs counted; nothing is shuffled."""
-    rows = t.documents.select("doc_id", X.keywords_of(F.col("text")).alias("w"))
-    rows = rows.select("doc_id", F.expr("sort_array(transform(w, (x, i) -> struct(x as w, i as i)))").alias("s")).where("size(s) > 0")
-    rows = rows.select("doc_id", "s", F.expr("filter(sequence(0, size(s) - 1), k -> k = 0 or get(s, k).w <> get(s, k - 1).w)").alias("b"))
-    runs = F.expr("transform(b, (k, j) -> struct(k - coalesce(get(b, j + 1), size(s)) as less, get(s, k).i as i, get(s, k).w as word))")
-    top = rows.select("doc_id", F.posexplode(F.slice(F.sort_array(runs), 1, 10)).alias("p", "r"))
-    return top.select("doc_id", F.col("r.word").alias("word"), (-F.col("r.less")).cast("long").alias("n"), (F.col("p") + 1).cast("long").alias("place"))
+    """Each document's ten most frequent words, ties in the order of appearance: counted in Arrow batches, as lambdas over arrays aren't compiled; nothing is shuffled."""
+    top = t.documents.select("doc_id", F.posexplode(X.top_words(F.lower("text"), 10)).alias("p", "r"))
+    return top.select("doc_id", "r.word", "r.n", (F.col("p") + 1).cast("long").alias("place"))
 
 
 @query("SELECT doc_id, CASE WHEN length(text) > 200 THEN left(text, 200) || '...' ELSE text END AS preview FROM documents")

@@ -68,6 +68,7 @@ class TrieEncoder:
         self.exact_pieces = regex.compile(exact, regex.V1).findall
         self.small = {k: k + d for a, b, d in CAPITALS for k in range(a, b + 1)}
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.leads = {t[0] for t in self.special if t}
         self.white = regex.compile(r"\s+")
         self.ends = [x + self.suffix for x in self.symbols]
         self.numbers = {t: str(i) for t, i in self.vocab.items()}
@@ -155,7 +156,7 @@ class TrieEncoder:
 
     def parts_of(self, text: str) -> list[tuple[bool, object]]:
         """(True, special string) and (False, pieces), in order."""
-        if self.at_special is None or "<" not in text:
+        if not any(c in text for c in self.leads):
             return [(False, self.split(text))]
         return [(True, x) if k % 2 else (False, self.split(x)) for k, x in enumerate(self.at_special.split(text)) if x]
 

@@ -30,12 +30,21 @@ def _key(seed: str, doc_id: Column, text: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")))))
 
 
-def _repeated(df: DataFrame, times: str, name: str) -> DataFrame:
-    """Each row so many times, numbered from 0 in `name`; rows with none go. No array is longer than _COPIES times itself allows."""
+def _repeated(df: DataFrame, times: str, name: str, heavy: Column | None = None) -> DataFrame:
+    """Each row so many times, numbered from 0 in `name`; rows with none go. No array is longer than _COPIES times itself allows.
+
+    heavy: which rows are to be repeated by many tasks. They become a row for each _COPIES of theirs, which are dealt out before they are
+    repeated in turn.
+    """
     n = F.col(times)
-    out = df.where(n > 0).withColumn("m_hi", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"({times} - 1) div {_COPIES}"))))
-    out = out.withColumn("m_lo", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(_COPIES - 1).cast("long"), n - 1 - F.col("m_hi") * _COPIES))))
-    return out.withColumn(name, F.col("m_hi") * _COPIES + F.col("m_lo")).drop("m_hi", "m_lo")
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"({times} - 1) div {_COPIES}")))
+    within = F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(_COPIES - 1).cast("long"), n - 1 - F.col("m_hi") * _COPIES)))
+    numbered = lambda rows: rows.withColumn("m_lo", within).withColumn(name, F.col("m_hi") * _COPIES + F.col("m_lo")).drop("m_hi", "m_lo")
+    some = df.where(n > 0)
+    if heavy is None:
+        return numbered(some.withColumn("m_hi", blocks))
+    dealt = some.where(heavy).withColumn("m_hi", blocks).repartition(n_partitions(df.sparkSession), "m_hi", "m_key")
+    return numbered(some.where(~heavy).withColumn("m_hi", blocks)).union(numbered(dealt))
 
 
 def source_targets(sizes: DataFrame, weights: list[float], most: float) -> DataFrame:
@@ -43,8 +52,8 @@ def source_targets(sizes: DataFrame, weights: list[float], most: float) -> DataF
 
     Sources by code point, null last, take the weights in turn: range partitions are numbered within, and from the numbers
     of rows in those before (one row a partition). They share the sum of all sizes by weight, none above most times its own
-    size: what the full ones cannot take goes to the others by weight. That level (words to a weight) is found by filling
-    up: each pass over the sources gathers two sums, and the level rises until no further source is full.
+    size: what the full ones cannot take goes to the others by weight. That level (words to a weight) is found in one
+    pass over the sources in the order in which they fill up, with running sums by range.
     """
     placed = sizes.repartitionByRange(n_partitions(sizes.sparkSession), F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id())
     placed = written(placed, "sources")
@@ -54,22 +63,29 @@ def source_targets(sizes: DataFrame, weights: list[float], most: float) -> DataF
     turn = F.array(*[F.lit(float(w)) for w in weights])
     ranked = placed.join(parts, "part").withColumn("weight", F.element_at(turn, (F.pmod(place, F.lit(len(weights))) + 1).cast("int")))
     ranked = written(ranked.select("source", "source_size", "weight", (F.col("source_size") * F.lit(float(most))).alias("most")), "sources")
-    total, level = ranked.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("n")).first()["n"], 0.0
-    while True:
-        full = F.col("most") / F.col("weight") < level
-        got = ranked.agg(F.coalesce(F.sum(F.when(full, F.col("most"))), F.lit(0.0)).alias("taken"), F.sum(F.when(~full, F.col("weight"))).alias("open")).first()
-        last, level = level, (total - got["taken"]) / got["open"] if got["open"] else float("inf")
-        if level <= last or level == float("inf"):
-            break
+    # sources in the order in which they fill up: with all before it full, a source sees this level; the first that isn't full under its own sets it
+    filled = F.col("most") / F.col("weight")
+    placed = ranked.repartitionByRange(n_partitions(sizes.sparkSession), filled, F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id())
+    placed = written(placed, "sources")
+    sums = placed.groupBy("part").agg(F.sum("most").alias("m"), F.sum("weight").alias("w"))
+    sums = sums.select("part", F.coalesce(F.sum("m").over(before), F.lit(0.0)).alias("m_before"), F.coalesce(F.sum("w").over(before), F.lit(0.0)).alias("w_before"))
+    earlier = Window.partitionBy("part").orderBy(filled, F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    upto = lambda c, x: F.col(x) + F.coalesce(F.sum(c).over(earlier), F.lit(0.0))
+    whole = ranked.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("n"), F.sum("weight").alias("w")).first()
+    level = (F.lit(float(whole["n"])) - upto("most", "m_before")) / (F.lit(float(whole["w"] or 1)) - upto("weight", "w_before"))
+    seen = placed.join(sums, "part").select(filled.alias("filled"), level.alias("level"))
+    level = seen.where("level <= filled").agg(F.min(F.struct("filled", (-F.col("level")).alias("less")))["less"].alias("level")).first()["level"]
+    level = float("inf") if level is None else -level
     return ranked.select("source", "source_size", "weight", F.least("most", F.col("weight") * F.lit(level)).alias("target"))
 
 
-def _taken(docs: DataFrame, weights: list[float], most: float, seed: str, ranges: int) -> DataFrame:
-    """For each distinct (doc_id, source, key): m (rows), size, source_size, target, epochs, and extra, the words of all m beyond whole epochs."""
+def _taken(docs: DataFrame, weights: list[float], most: float, seed: str, ranges: int) -> tuple[DataFrame, bool]:
+    """For each distinct (doc_id, source, key): m (rows), size, source_size, target, epochs, and extra, the words of all m beyond whole epochs; and whether any m is over _COPIES."""
     doc_id = docs["doc_id"].cast("long")
     rows = docs.select(doc_id.alias("doc_id"), docs["source"].alias("source"), word_count(docs["text"]).alias("size"), _key(seed, doc_id, docs["text"]).alias("key"))
     rows = rows.groupBy("doc_id", "source", "size", "key").agg(F.count(F.lit(1)).alias("m"))
     rows = written(rows.withColumn("range", F.expr(f"cast(floor(cast(conv(substring(key, 1, 8), 16, 10) as long) * {ranges}D / 4294967296D) as int)")), "sizes")
+    heavy = not rows.where(F.col("m") > _COPIES).isEmpty()
     by_range = rows.groupBy("source", "range").agg(F.sum(F.col("size") * F.col("m")).alias("in_range"))
     targets = source_targets(by_range.groupBy("source").agg(F.sum("in_range").alias("source_size")), list(weights), most)
     earlier = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
@@ -85,7 +101,7 @@ def _taken(docs: DataFrame, weights: list[float], most: float, seed: str, ranges
     rest = budget - F.col("epochs") * F.col("source_size")
     extra = F.greatest(F.lit(0), F.least(F.col("size") * F.col("m"), rest - F.col("offset") - F.col("before")))
     out = placed.withColumn("epochs", epochs.cast("long")).withColumn("extra", extra.cast("long"))
-    return out.select("doc_id", "source", "key", "m", "size", "source_size", "target", "epochs", "extra")
+    return out.select("doc_id", "source", "key", "m", "size", "source_size", "target", "epochs", "extra"), heavy
 
 
 def mix(docs: DataFrame, weights: list[float] = (1, 2, 3), most: float = 3.0, seed: str = "mix", ranges: int = RANGES) -> DataFrame:
@@ -98,7 +114,8 @@ def mix(docs: DataFrame, weights: list[float] = (1, 2, 3), most: float = 3.0, se
     null source is a source of its own, in the last place. Equal rows are taken one after the other. No rows give no
     rows. Further columns of docs are left out. Only sizes and keys are shuffled, never text.
     """
-    rows = _repeated(_taken(docs, weights, most, seed, ranges), "m", "copy")
+    took, heavy = _taken(docs, weights, most, seed, ranges)
+    rows = _repeated(took.withColumnRenamed("key", "m_key"), "m", "copy", F.col("m") > _COPIES if heavy else None)
     here = F.greatest(F.lit(0), F.least(F.col("size"), F.col("extra") - F.col("copy") * F.col("size")))
     return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + here).cast("long").alias("taken"))
 
@@ -111,12 +128,12 @@ def mixed_documents(docs: DataFrame, weights: list[float] = (1, 2, 3), most: flo
     names: they travel in one struct. Nulls, ties and empty tables as for mix.
     """
     whole = lambda key, source: F.md5(F.concat(key, F.coalesce(F.concat(F.lit(":"), source), F.lit("null"))))
-    took = _taken(docs, weights, most, seed, RANGES)
+    took, heavy = _taken(docs, weights, most, seed, RANGES)
     took = took.select(whole(F.col("key"), F.col("source")).alias("m_key"), F.col("size").alias("m_size"), (F.col("m") * F.col("epochs") * F.col("size") + F.col("extra")).alias("m_all"))
     key = whole(_key(seed, docs["doc_id"].cast("long"), docs["text"]), docs["source"])
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("m_row"), key.alias("m_key")).dropDuplicates(["m_key"])
-    out = rows.join(took.where("m_all > 0"), "m_key").withColumn("m_times", F.ceil(F.col("m_all") / F.col("m_size")))
-    out = _repeated(out, "m_times", "m_copy").withColumn("m_words", F.least(F.col("m_size"), F.col("m_all") - F.col("m_copy") * F.col("m_size")))
+    out = rows.join(took.where("m_all > 0"), "m_key").withColumn("m_times", F.ceil(F.try_divide("m_all", "m_size")))
+    out = _repeated(out, "m_times", "m_copy", F.col("m_times") > 4 * _COPIES if heavy else None).withColumn("m_words", F.least(F.col("m_size"), F.col("m_all") - F.col("m_copy") * F.col("m_size")))
     text = F.col("m_row")["text"]
     cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"({WORD})")), F.lit(1), F.col("m_words").cast("int")), " ")
     kept = F.when(F.col("m_words") < F.col("m_size"), cut).otherwise(text)

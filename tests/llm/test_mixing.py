@@ -1,11 +1,14 @@
 """Operator 2 against a plain implementation."""
 
 import hashlib
+import random
 from collections import defaultdict
 from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
+from tessera.llm import mixing
 from tessera.llm.mixing import mix, mixed_documents
 
 from .fixtures import SCHEMA, corpus, documents, with_clashes
@@ -96,3 +99,34 @@ def test_empty(spark):
     assert mix(empty).collect() == [] and mixed_documents(empty).collect() == []
     nothing = documents(spark, [(1, None, "en", "s", 0), (2, "", "en", None, 0)])
     assert sorted(r["taken"] for r in mix(nothing).collect()) == [0, 0]
+
+
+def test_many_copies_of_a_row_are_dealt_out(spark, monkeypatch):
+    """A row repeated more often than a task makes copies at once comes out as often, from several tasks."""
+    monkeypatch.setattr(mixing, "_COPIES", 16)
+    rows = [(1, "a b c", "en", "s0", 5)] * 150 + [(k, "w " * (k % 5), "en", f"s{k % 3}", 1) for k in range(2, 40)]
+    docs = documents(spark, rows)
+    got = mix(docs).collect()
+    assert len(got) == len(rows) and sum(r["doc_id"] == 1 for r in got) == 150
+    assert sum(r["taken"] for r in got) == sum({(r["source_size"], r["target"]): int(r["target"]) for r in got}.values())
+    out = mixed_documents(docs).select("doc_id", "text", F.spark_partition_id().alias("p")).collect()
+    one = [r for r in out if r["doc_id"] == 1]
+    assert sum(len(r["text"].split()) for r in one) == sum(r["taken"] for r in got if r["doc_id"] == 1) and len({r["p"] for r in one}) > 1
+
+
+def test_levels_of_many_sources(spark):
+    """Sources of very different sizes, ties among them: targets against filling up step by step."""
+    rng = random.Random(5)
+    sizes = {f"s{k:03d}": rng.choice([1, 2, 3, 50, 50, 400, 10_000]) for k in range(120)} | {None: 7}
+    frame = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    got = {r["source"]: r["target"] for r in mixing.source_targets(frame, [1.0, 2.0, 3.0], 3.0).collect()}
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: float(k % 3 + 1) for k, s in enumerate(order)}
+    full, total = set(), sum(sizes.values())
+    while True:
+        level = (total - sum(3 * sizes[s] for s in full)) / sum(weight[s] for s in sizes if s not in full)
+        more = {s for s in sizes if s not in full and 3 * sizes[s] < level * weight[s]}
+        if not more:
+            break
+        full |= more
+    assert len(full) > 20 and all(abs(got[s] - (3 * sizes[s] if s in full else level * weight[s])) < 1e-6 for s in sizes)

@@ -17,7 +17,7 @@ import time
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of a shard after compaction, and runs merged at once.
@@ -107,6 +107,9 @@ class ShardStore:
         """df as a run: a folder of Parquet files that never changes."""
         folder = f"{self.root}/data/{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(folder)
+        return self._run(folder)
+
+    def _run(self, folder: str) -> dict:
         sizes = [s.getLen() for s in self._fs.listStatus(self._path(folder)) if s.getPath().getName().startswith("part-")]
         return {"folder": folder, "files": len(sizes), "bytes": sum(sizes), "tier": self.tier(sum(sizes))}
 
@@ -119,6 +122,20 @@ class ShardStore:
         run = self._written(df)
         return self._committed(lambda runs: [*runs, run])
 
+    def append_split(self, df: DataFrame, arrival: Column, n: int) -> None:
+        """Adds df's rows as n runs by `arrival` (0 to n - 1), one commit after the other, from one pass over df.
+
+        The rows are written in folders by arrival to the side; each then gets the name of a run, and is committed.
+        """
+        side, tag = f"{self.root}/data/{uuid.uuid4().hex}", f"arrival_{uuid.uuid4().hex}"
+        df.withColumn(tag, arrival).write.partitionBy(tag).option("compression", "zstd").parquet(side)
+        for k in range(n):
+            folder, part = f"{self.root}/data/{uuid.uuid4().hex}", self._path(f"{side}/{tag}={k}")
+            self._fs.rename(part, self._path(folder)) if self._fs.exists(part) else self._fs.mkdirs(self._path(folder))
+            run = self._run(folder)
+            self._committed(lambda runs, run=run: [*runs, run])
+        self._fs.delete(self._path(side), True)
+
     def _merge(self, group: list[dict], schema) -> dict:
         """The rows of some runs in files of about the target size; a task reads whole files, nothing is shuffled."""
         n = max(1, math.ceil(sum(r["bytes"] for r in group) / self.target_bytes))
@@ -180,14 +197,13 @@ class ShardStore:
 
 
 def shard_documents(docs: DataFrame, root: str, arrivals: int = 8, target_bytes: int = TARGET_BYTES, fan_in: int = FAN_IN) -> ShardStore:
-    """Appends docs in `arrivals` batches (by a hash of doc_id), one after the other, and compacts them.
+    """Appends docs in `arrivals` batches (by a hash of doc_id and text), one commit after the other, and compacts them.
 
     Null texts, null ids, repeated rows and further columns of any names are stored as they are; an empty table commits
     empty runs. A lost task is run again by Spark's committer; what a lost driver leaves uncommitted is in no manifest, and
     vacuum() removes it.
     """
     store = ShardStore(docs.sparkSession, root, target_bytes, fan_in)
-    for k in range(arrivals):
-        store.append(docs.where(F.pmod(F.xxhash64(docs["doc_id"]), F.lit(arrivals)) == k))
+    store.append_split(docs, F.pmod(F.xxhash64(docs["doc_id"], docs["text"]), F.lit(arrivals)).cast("int"), arrivals)
     store.compact(docs.schema)
     return store

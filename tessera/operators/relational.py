@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 
 def by_key(df: DataFrame, key: str, value) -> DataFrame:
-    """The row with this key; the filter reaches the scan. More than one is the caller's error."""
-    return df.where(F.col(key) == F.lit(value))
+    """The row with this key, or one of them if there are several; the filter reaches the scan."""
+    return df.where(F.col(key) == F.lit(value)).limit(1)
 
 
 def contains_any(pattern: str, *columns: str) -> Column:
@@ -133,3 +133,15 @@ def answered(invitations: DataFrame, answers: DataFrame, now: Column) -> DataFra
     outcome = F.when(F.col("_id").isNull(), F.lit(None)).when(~allowed, "not_found").when(late, "expired").otherwise("done")
     done = F.when(late, "cancelled").when(F.col("_action") == "accept", "accepted").when(F.col("_action") == "reject", "rejected").otherwise("cancelled")
     return both.select(*[F.when(allowed, done).otherwise(F.col("status")).alias("status") if c == "status" else F.col(c) for c in invitations.columns], outcome.alias("outcome"))
+
+
+def bounded(rounds: DataFrame, key: str, place: str, done: Column, most: int) -> DataFrame:
+    """key, rounds, answered and answer_place: rounds are taken in their order until one is done, `most` at the most.
+
+    answered is false where none of these is done: then a summary is asked for. answer_place is the place of the round that is done.
+    """
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(place))
+    first = rounds.select(key, F.col(place).alias("_p"), F.coalesce(done, F.lit(False)).alias("_d"), nth.alias("_n")).where(F.col("_n") <= most)
+    end = F.min(F.when(F.col("_d"), F.struct("_n", "_p")))
+    by = first.groupBy(key).agg(F.max("_n").alias("_m"), end.alias("_e"))
+    return by.select(key, F.coalesce("_e._n", "_m").cast("long").alias("rounds"), F.col("_e").isNotNull().alias("answered"), F.col("_e._p").alias("answer_place"))

@@ -68,11 +68,14 @@ def resource_access(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", allowed.alias("allowed"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_suppkey, l_returnflag FROM lineitem WHERE (l_suppkey = 5 OR l_partkey = 5) AND l_returnflag = 'N'")
+@query("""SELECT 'all' AS mode, l_orderkey, l_linenumber, l_suppkey, l_returnflag FROM lineitem WHERE (l_suppkey = 5 OR l_partkey = 5) AND l_returnflag = 'N'
+UNION ALL SELECT 'received', l_orderkey, l_linenumber, l_suppkey, l_returnflag FROM lineitem WHERE l_suppkey = 5 UNION ALL SELECT 'sent', l_orderkey, l_linenumber, l_suppkey, l_returnflag FROM lineitem WHERE l_partkey = 5""")
 def my_invitations(t: Tables) -> DataFrame:
-    """Pending ones from or to one party."""
-    mine = (F.col("l_suppkey") == 5) | (F.col("l_partkey") == 5)
-    return t.lineitem.where(mine & (F.col("l_returnflag") == "N")).select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag")
+    """One party's: pending ones from or to it, those it received, those it sent."""
+    to, by = F.col("l_suppkey") == 5, F.col("l_partkey") == 5
+    modes = {"all": R.all_given(to | by, F.col("l_returnflag") == "N"), "received": R.all_given(to, None), "sent": R.all_given(by, None)}
+    hit = F.array_compact(F.array(*[F.when(c, m) for m, c in modes.items()]))
+    return t.lineitem.where(to | by).select(F.explode(hit).alias("mode"), "l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag")
 
 
 _LAST = "SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM conversations WHERE role = 'assistant'"
@@ -385,9 +388,13 @@ def my_students_whole(t: Tables) -> DataFrame:
     return t.customer.select("c_custkey", "c_name", joined).orderBy(F.col("joined").desc_nulls_first(), "c_custkey")
 
 
-@query("SELECT doc_id, lang, (SELECT count(*) FROM documents WHERE source = 'src3') AS total FROM documents WHERE source = 'src3' ORDER BY doc_id DESC LIMIT 20")
+@query("""SELECT doc_id, lang, (SELECT count(*) FROM documents WHERE doc_id % 25 = 7 AND EXISTS (SELECT 1 FROM nation WHERE n_nationkey = 7 AND n_regionkey = 2)) AS total
+FROM documents WHERE doc_id % 25 = 7 AND EXISTS (SELECT 1 FROM nation WHERE n_nationkey = 7 AND n_regionkey = 2) ORDER BY doc_id DESC LIMIT 20""")
 def document_page(t: Tables) -> DataFrame:
-    return R.page_with_total(t.documents.where("source = 'src3'").select("doc_id", "lang"), [F.desc("doc_id")], 0, 20)
+    """Documents of a knowledge base (doc_id % 25) that is its asker's (a region's), the newest first, and their number; of another's there are none."""
+    own = t.nation.where("n_nationkey = 7 and n_regionkey = 2").select(F.col("n_nationkey").cast("long").alias("kb"))
+    docs = t.documents.withColumn("kb", F.col("doc_id") % 25).where("kb = 7").join(own, "kb", "left_semi")
+    return R.page_with_total(docs.select("doc_id", "lang"), [F.desc("doc_id")], 0, 20)
 
 
 @query(f"WITH {_SHARES} SELECT share_id, to_kind, resource_type FROM s WHERE owner_id <= 30 ORDER BY expires_at DESC, share_id LIMIT 50")

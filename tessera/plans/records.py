@@ -387,6 +387,22 @@ def paper_lists(t: Tables) -> DataFrame:
     return text.join(t.part.groupBy("p_brand").agg(n("n")), "p_brand").select("p_brand", F.sha2("text", 256).alias("text_sha256"), "n")
 
 
+@query("""SELECT 'p' || p_partkey AS external_id, '{"source":"semantic_scholar","external_id":"p' || p_partkey || '","title":"' || p_name || '","abstract":null,"authors":[{"name":"' || p_type || '","authorId":"a' || p_partkey % 50 || '","affiliations":null}],"year":' || (1990 + p_size) ||
+',"venue":"' || p_brand || '","citation_count":' || p_size || ',"reference_count":0,"url":null,"pdf_url":' || CASE WHEN p_partkey % 2 = 0 THEN '"u"' ELSE 'null' END || ',"arxiv_id":"' || p_partkey || '.1","doi":null,"fields_of_study":["' || p_brand || '"]}' AS paper FROM part""")
+def paper_dicts(t: Tables) -> DataFrame:
+    """What a tool gives of each paper that it has found."""
+    return B.as_dicts(_works(t))
+
+
+@query(f"""WITH {_REFS} SELECT share_id, r.kind, k.name, c_name AS owner FROM r JOIN k ON k.kind = r.kind AND k.id = r.id JOIN customer ON c_custkey = o_custkey
+WHERE coalesce(k.name, '') <> '' AND o_custkey <= 30 AND r.kind = 'paper' ORDER BY share_id DESC LIMIT 20 OFFSET 5""")
+def my_shares_of_a_kind(t: Tables) -> DataFrame:
+    """A page of some users' shares of papers, with names."""
+    mine = t.customer.where("c_custkey <= 30").select(F.col("c_name").alias("owner"))
+    rows = shared_resources(t).where("kind = 'paper'").join(mine, "owner", "left_semi")
+    return R.paginate(rows, [F.desc("share_id")], 5, 20).select("share_id", "kind", "name", "owner")
+
+
 # ---- keyed state in batches
 
 
@@ -435,7 +451,11 @@ def fold_steps(t: Tables) -> DataFrame:
     return by.select("conv_id", F.size("s").cast("long").alias("steps"), F.nullif(F.array_join(F.transform("s", lambda x: x["kind"]), ","), F.lit("")).alias("kinds"), F.when(F.exists("s", lambda x: x["kind"] == "observation"), last["text"]).alias("answer"))
 
 
-@query("SELECT conv_id, least(count(*), 5) AS rounds, count(*) > 5 AS summary FROM conversations GROUP BY conv_id")
+@query("""WITH r AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, length(text) % 5 = 0 AS done FROM conversations),
+e AS (SELECT conv_id, max(n) AS m, min(n) FILTER (WHERE done) AS f, min(turn) FILTER (WHERE done) AS p FROM r WHERE n <= 5 GROUP BY conv_id)
+SELECT conv_id, coalesce(f, m) AS rounds, f IS NULL AS summary, p AS answered_at FROM e""")
 def bounded_rounds(t: Tables) -> DataFrame:
-    """Rounds of an agent, five at most, after which a summary is asked for."""
-    return t.conversations.groupBy("conv_id").agg(n("k")).select("conv_id", F.least("k", F.lit(5)).alias("rounds"), (F.col("k") > 5).alias("summary"))
+    """Rounds of an agent until one gives an answer, five at most; without one a summary is asked for."""
+    out = R.bounded(t.conversations, "conv_id", "turn", F.length("text") % 5 == 0, 5)
+    return out.select("conv_id", "rounds", (~F.col("answered")).alias("summary"), F.col("answer_place").alias("answered_at"))
+

@@ -11,7 +11,7 @@ from tessera.functions import vectors as V
 from tessera.operators.chunks import ENDINGS, chunk
 from tessera.operators import relational as R
 from tessera.operators.relational import page_with_total
-from tessera.session import Tables, shared_folder
+from tessera.session import Tables, shared_folder, timed
 from tessera.streaming.ingest import Store, ingest
 
 from .library import n
@@ -405,3 +405,11 @@ def ingest_stream(t: Tables) -> DataFrame:
     counters = ["document_count", "total_chunks", "total_tokens"]
     docs = store.documents().join(store.counters(), "kb", "left")
     return docs.select("doc_id", "status", F.col("chunk_count").cast("long").alias("chunk_count"), *[F.coalesce(c, F.lit(0)).alias(c) for c in counters])
+
+
+@query("SELECT vec_id, true AS timed FROM (SELECT e.vec_id, 1 - list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS d FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q) ORDER BY d, vec_id LIMIT 10")
+def search_timed(t: Tables) -> DataFrame:
+    """The nearest vectors with the time that finding them took."""
+    asked = F.broadcast(t.embeddings.where("vec_id = 0").select(F.col("embedding").alias("q")).limit(1))
+    near = t.embeddings.crossJoin(asked).select("vec_id", (1 - V.cosine(F.col("embedding"), F.col("q"))).alias("d")).orderBy("d", "vec_id").limit(10)
+    return timed(near.select("vec_id")).select("vec_id", (F.col("elapsed_ms") >= 0).alias("timed"))

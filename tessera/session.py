@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -65,3 +66,11 @@ def kept(df: DataFrame) -> Iterator[DataFrame]:
         yield df.persist()
     finally:
         df.unpersist()
+
+
+def timed(page: DataFrame) -> DataFrame:
+    """A page's rows, computed now, with elapsed_ms: how long that took. For pages alone, as their rows go through the driver."""
+    began = time.perf_counter()
+    rows = page.collect()
+    ms = int((time.perf_counter() - began) * 1000)
+    return page.sparkSession.createDataFrame([(*r, ms) for r in rows], page.schema.add("elapsed_ms", "long"))

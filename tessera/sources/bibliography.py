@@ -323,3 +323,9 @@ def listed(papers: DataFrame, group: str, place: str, head: Column, style: str =
     rows = papers.select(F.col(group).alias("_g"), head.alias("_h"), F.struct(F.col(place).alias("o"), body.alias("b")).alias("_e")).groupBy("_g", "_h").agg(F.array_sort(F.collect_list("_e")).alias("_e"))
     text = F.array_join(F.transform("_e", lambda e, i: F.concat(F.lit("\n["), (i + 1).cast("string"), F.lit("] "), e["b"])), "\n")
     return rows.select(F.col("_g").alias(group), F.concat("_h", F.lit("\n"), text).alias("text"))
+
+
+def as_dicts(papers: DataFrame) -> DataFrame:
+    """external_id and paper: all that a caller of a tool sees of it, as JSON with nulls; what the service sent besides is not in it."""
+    names = [c.strip().split(" ")[0] for c in PAPER.replace(AUTHORS, "a").split(",")]
+    return papers.select("external_id", F.to_json(F.struct(*names), {"ignoreNullFields": "false"}).alias("paper"))

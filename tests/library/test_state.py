@@ -92,3 +92,28 @@ def test_kept_tables_are_let_go(spark):
 def test_a_name_is_registered_once():
     with pytest.raises(ValueError, match="already"):
         registry.query(name="vector_search")(lambda t: None)
+
+
+def test_rounds_end_with_an_answer_or_at_the_bound(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.operators.relational import bounded, by_key
+
+    rows = [(1, k, k == 3) for k in range(9)] + [(2, k, False) for k in range(9)] + [(3, 7, None), (3, 9, True)] + [(4, k, k == 6) for k in range(9)]
+    got = bounded(spark.createDataFrame(rows, "k long, p long, done boolean"), "k", "p", F.col("done"), 5).collect()
+    assert sorted(tuple(r) for r in got) == [(1, 4, True, 3), (2, 5, False, None), (3, 2, True, 9), (4, 5, False, None)]
+    assert by_key(spark.createDataFrame(rows, "k long, p long, done boolean"), "k", 1).count() == 1
+
+
+def test_answers_of_the_wrong_party(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.operators.relational import answered
+
+    day = lambda d: datetime(2024, 1, d)
+    invitations = [(k, 1, 2, "pending", day(9)) for k in range(6)] + [(6, 1, 2, "pending", day(1)), (7, 1, 2, "accepted", None), (8, 1, 2, "pending", None)]
+    answers = [(0, 2, "accept"), (1, 2, "reject"), (2, 1, "cancel"), (3, 1, "accept"), (4, 2, "cancel"), (5, 2, "shrug"), (6, 2, "accept"), (7, 2, "reject")]
+    df = answered(spark.createDataFrame(invitations, "id long, from_user long, to_user long, status string, expires_at timestamp"), spark.createDataFrame(answers, "id long, user long, action string"), F.lit(day(5)))
+    assert {r["id"]: (r["status"], r["outcome"]) for r in df.collect()} == {
+        0: ("accepted", "done"), 1: ("rejected", "done"), 2: ("cancelled", "done"), 3: ("pending", "not_found"), 4: ("pending", "not_found"), 5: ("pending", "not_found"), 6: ("cancelled", "expired"), 7: ("accepted", "not_found"), 8: ("pending", None),
+    }

@@ -314,3 +314,19 @@ def live_events(t: Tables) -> DataFrame:
     key = F.concat_ws("/", F.col("conv_id").cast("string"), turn.cast("string"))
     events = live.live_batch(live.pieces_of(t.conversations.select(key.alias("reply"), reply.alias("text")), "reply", "text", 7))
     return events.select(F.col("conv_id").alias("reply"), "place", "type", "data")
+
+
+@query(r"""WITH r AS (SELECT conv_id || '/' || turn AS reply, coalesce(text, '') AS t, 15 + length(coalesce(text, '')) AS e FROM conversations),
+s AS (SELECT *, e + 8 AS a, e + 17 + length(t) AS z FROM r)
+SELECT reply, regexp_replace(t, '^\s+|\s+$', '', 'g') AS thought, regexp_replace(t, '^\s+|\s+$', '', 'g') AS answer,
+greatest(0, 7 * ((e + 6) // 7 - 1) - 15 - 7)::BIGINT AS thinking_chars, greatest(0, 7 * ((z + 6) // 7 - 1) - 15 - a)::BIGINT AS content_chars FROM s""")
+def live_streamed(t: Tables) -> DataFrame:
+    """Of replies in pieces of seven characters: the thought, the answer, and how much of each was sent on before its end came."""
+    text = F.coalesce("text", F.lit(""))
+    reply = F.concat(F.lit("<think>"), text, F.lit("</think><answer>"), text, F.lit("</answer>"))
+    key = F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    events = live.live_batch(live.pieces_of(t.conversations.select(key.alias("reply"), reply.alias("text")), "reply", "text", 7))
+    of = lambda kind: F.max(F.when(F.col("type") == kind, F.col("data")))
+    chars = lambda kind: F.coalesce(F.sum(F.when(F.col("type") == kind, F.length("data"))), F.lit(0)).cast("long")
+    out = events.groupBy(F.col("conv_id").alias("reply")).agg(of("thought").alias("thought"), of("answer").alias("answer"), chars("thinking").alias("thinking_chars"), chars("content").alias("content_chars"))
+    return out.select("reply", "thought", "answer", "thinking_chars", "content_chars")

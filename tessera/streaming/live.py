@@ -215,15 +215,19 @@ def _rows(part: pd.DataFrame) -> list[tuple[int, str | None, bool | None]]:
 
 
 def live_batch(pieces: DataFrame, kind: str = STEPS) -> DataFrame:
-    """conv_id, place, type and data of all events of finished replies; pieces: conv_id, seq, piece, last. One reply is one group."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        o = Ordered(kind)
-        events = o.add(_rows(rows)) + o.end()
-        return pd.DataFrame([(rows["conv_id"].iloc[0], *e) for e in events], columns=["conv_id", "place", "type", "data"])
-
-    schema = f"conv_id {dict(pieces.dtypes)['conv_id']}, place int, type string, data string"
-    return pieces.where("seq is not null").select("conv_id", "seq", "piece", "last").groupBy("conv_id").applyInPandas(run, schema)
+    """conv_id, place, type and data of all events of finished replies; pieces: conv_id, seq, piece, last. A reply's pieces come together as one row."""
+
+    @F.pandas_udf("array<struct<place:int,type:string,data:string>>")
+    def events(replies: pd.Series) -> pd.Series:
+        got = []
+        for parts in replies:
+            o = Ordered(kind)
+            found = o.add((p["seq"], p["piece"], p["last"]) for p in parts)
+            got.append([dict(zip(("place", "type", "data"), e, strict=True)) for e in found + o.end()])
+        return pd.Series(got, index=replies.index, dtype=object)
+
+    rows = pieces.where("seq is not null").groupBy("conv_id").agg(F.collect_list(F.struct("seq", "piece", "last")).alias("p"))
+    return rows.select("conv_id", F.inline(events("p")))
 
 
 class LiveProcessor(StatefulProcessor):

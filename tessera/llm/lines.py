@@ -153,11 +153,14 @@ def near_lines(rows: DataFrame, classes: DataFrame) -> DataFrame:
     places = classes.select("ord", "no", "th", "keys").mapInArrow(lambda it: _sharing(it, half_bits), "place long")
     place_bits = spark.sparkContext.broadcast(bitmap(places, "place"))
     cands = written(rows.mapInArrow(lambda it: _candidates(it, place_bits, half_bits), "ord long, no long, th long, line string, late boolean, early boolean"), "line-candidates")
+    for bits in (half_bits, place_bits):  # each lies on the disks of all workers
+        bits.destroy()
     schema = "key long, kind int, ord long, no long, th long"
     place = F.struct("ord", "no", "th")
     met = cands.mapInArrow(lambda it: _variants(it, None), schema).groupBy("key").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x <> y")
     met_bits = spark.sparkContext.broadcast(bitmap(met, "key"))
     variants = written(cands.mapInArrow(lambda it: _variants(it, met_bits), schema), "line-variants")
+    met_bits.destroy()
     at = variants.withColumn("place", place)
     first = at.groupBy("key").agg(*[F.min(F.when(F.col("kind") == kind, F.col("place"))).alias(f"first{kind}") for kind in (WHOLE, CUT, PLACED)])
     both = at.join(written(first, "line-firsts"), "key")

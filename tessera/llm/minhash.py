@@ -270,12 +270,15 @@ def near_duplicates(docs: DataFrame, hashes=set_hashes) -> DataFrame:
     keys = signed.select("rk", "n", "bands").mapInArrow(lambda it: _bands(it, reps, None), "bk long")
     several = share(keys.groupBy("bk").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "bk")
     members = written(signed.select("rk", "sid", "n", "bands").mapInArrow(lambda it: _bands(it, reps, several), "bk long, sid long, rk long, n long").distinct(), "members")
+    for bits in (reps, several):  # each lies on the disks of all workers
+        bits.destroy()
     lead = F.min(F.struct(F.xxhash64("sid", "bk").alias("o"), "sid", "n", "rk")).alias("l")
     leads = members.groupBy("bk").agg(lead, F.min("sid").alias("x"), F.max("sid").alias("y")).where("x <> y")
     leads = written(leads.select("bk", F.col("l.sid").alias("l_sid"), F.col("l.n").alias("l_n"), F.col("l.rk").alias("l_rk")), "buckets")
     members = written(members.join(leads, "bk"), "members")
     wanted = share(members, "rk")
     sets = written(apart(rows.mapInArrow(lambda it: _sets(it, wanted, hashes), "sid long, check long, rk long, set array<long>, par array<long>")), "sets")
+    wanted.destroy()
     # a full bitmap lets in further rows; what meets a set must be the row that stands for it
     sketch = sets.select("sid", "rk", "par")
     theirs = sketch.select(F.col("sid").alias("l_sid"), F.col("rk").alias("l_rk"), F.col("par").alias("l_par"))

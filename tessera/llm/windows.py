@@ -428,6 +428,7 @@ def repeated_ranges(rows: DataFrame, w: Windows) -> DataFrame:
     packed = rows.mapInArrow(lambda it: _packed(it, w, repeated), "lead binary, ord long, th long, start long, n int, anchor int, packed binary")
     buckets = packed.repartitionByRange(partitions_for(rows), "lead", "ord", "start").sortWithinPartitions("lead")
     found = written(buckets.mapInArrow(lambda it: _settled(it, w), "ord long, th long, a long, b long, d1 long, d2 long"), "windows")
+    repeated.destroy()  # it lies on the disks of all workers
     border = found.where("b < 0")
     first = border.groupBy("d1", "d2").agg(F.min(F.struct("ord", "a")).alias("m"), F.count(F.lit(1)).alias("c")).where("c > 1")
     first = written(first.select("d1", "d2", "m"), "border")

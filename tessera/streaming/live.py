@@ -16,10 +16,13 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tessera.functions.batches import packed, rows_of
+
 STEPS, PLAIN = "steps", "plain"
 #: Tags of either kind, in the order in which they are looked for: one that stands later wins over a later one in this list.
 TAGS = {STEPS: ("think", "action", "answer"), PLAIN: ("think", "answer")}
@@ -214,20 +217,30 @@ def _rows(part: pd.DataFrame) -> list[tuple[int, str | None, bool | None]]:
     return [(int(s), None if pd.isna(p) else p, bool(e) and not pd.isna(e)) for s, p, e in zip(part["seq"], part["piece"], part["last"], strict=True)]
 
 
+def _events(batches: Iterable[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
+    """conv_id, place, type and data of pieces (conv_id, seq, piece, last) that are sorted by reply: one reply's state is held."""
+    conv_id, reply, schema = None, None, None
+
+    def read(b: pa.RecordBatch) -> Iterator[tuple]:
+        nonlocal conv_id, reply
+        for key, *row in rows_of(b):
+            if reply is None or key != conv_id:
+                if reply:
+                    yield from ((conv_id, *e) for e in reply.end())
+                conv_id, reply = key, Ordered(kind)
+            yield from ((key, *e) for e in reply.add([row]))
+
+    for b in batches:
+        schema = pa.schema([b.schema.field("conv_id"), ("place", pa.int32()), ("type", pa.string()), ("data", pa.string())])
+        yield from packed(read(b), schema)
+    if reply:
+        yield from packed(((conv_id, *e) for e in reply.end()), schema)
+
+
 def live_batch(pieces: DataFrame, kind: str = STEPS) -> DataFrame:
-    """conv_id, place, type and data of all events of finished replies; pieces: conv_id, seq, piece, last. A reply's pieces come together as one row."""
-
-    @F.pandas_udf("array<struct<place:int,type:string,data:string>>")
-    def events(replies: pd.Series) -> pd.Series:
-        got = []
-        for parts in replies:
-            o = Ordered(kind)
-            found = o.add((p["seq"], p["piece"], p["last"]) for p in parts)
-            got.append([dict(zip(("place", "type", "data"), e, strict=True)) for e in found + o.end()])
-        return pd.Series(got, index=replies.index, dtype=object)
-
-    rows = pieces.where("seq is not null").groupBy("conv_id").agg(F.collect_list(F.struct("seq", "piece", "last")).alias("p"))
-    return rows.select("conv_id", F.inline(events("p")))
+    """conv_id, place, type and data of all events of finished replies; pieces: conv_id, seq, piece, last. Dealt and sorted by reply, pieces are read one by one."""
+    rows = pieces.where("seq is not null").select("conv_id", "seq", "piece", "last").repartition("conv_id").sortWithinPartitions("conv_id", "seq")
+    return rows.mapInArrow(lambda it: _events(it, kind), f"conv_id {dict(pieces.dtypes)['conv_id']}, place int, type string, data string")
 
 
 class LiveProcessor(StatefulProcessor):

@@ -2,10 +2,13 @@
 
 import json
 import random
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 
 from tessera.sources.tokens import token_stream
+from tessera.streaming import live
 from tessera.streaming.live import PLAIN, STEPS, Ordered, Reply, live_batch, live_stream, pieces_of
 
 CALL = '{"tool": "search", "input": {"q": "é"}}'
@@ -127,6 +130,28 @@ def test_stream_equals_batch(spark, rocksdb, tmp_path, kind):
     assert got == want and len(want) > 20
 
 
+def test_a_batch_holds_one_reply(spark):
+    """Pieces of a reply aren't gathered into a row, and the events of an Arrow batch of 40,000 pieces take a few MB (before: a dict for each piece and event, 10,000 replies at once)."""
+    plan = live_batch(spark.createDataFrame([(1, 0, "a", True)], "conv_id long, seq int, piece string, last boolean"))._jdf.queryExecution().toString()
+    assert "collect_list" not in plan
+    piece = ["<think>", *["1234567"] * 97, "</think>", "x"]
+    columns = ([k // 100 for k in range(40_000)], [k % 100 for k in range(40_000)], piece * 400, [False] * 40_000)
+    b = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["conv_id", "seq", "piece", "last"])
+    tracemalloc.start()
+    rows = sum(x.num_rows for x in live._events(iter([b]), STEPS))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows > 38_000 and peak < 8e6
+
+
+def test_replies_end_over_arrow_batches():
+    """A reply may begin in one batch and end in another; one whose last piece never comes ends with the next reply, or with the task."""
+    rows = [(1, 0, "<answer>a", False), (1, 1, "b</answer>", True), (2, 0, "<answer>c", False), (None, 0, "<answer>d", None), (None, 0, "again", None)]
+    batches = [pa.RecordBatch.from_pylist([dict(zip(("conv_id", "seq", "piece", "last"), r, strict=True))], pa.schema([("conv_id", pa.int64()), ("seq", pa.int32()), ("piece", pa.string()), ("last", pa.bool_())])) for r in rows]
+    got = [tuple(r.values()) for b in live._events(iter(batches), STEPS) for r in b.to_pylist()]
+    assert got == [(1, 0, "thinking_start", ""), (1, 1, "answer", "ab"), (2, 0, "thinking_start", ""), (2, 1, "answer", "c"), (None, 0, "thinking_start", ""), (None, 1, "answer", "d")]
+
+
 def test_token_source_feeds_the_stream_and_replays(spark, rocksdb, tmp_path):
     """Two batches of a file each; a third file for the restarted stream; another stream from the same offsets gives the same pieces."""
     rows = replies(9, 9)

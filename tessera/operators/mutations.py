@@ -104,8 +104,8 @@ def registered(new: DataFrame, old: DataFrame, key: str, columns: list[str]) ->
 
 
 def with_changes(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """table after changes (its columns, and change: create, update or delete), one a key: a full join on it."""
-    new = changes.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_new_{c}") for c in table.columns if c != key], "change")
-    both = table.join(new, F.col(key) == F.col("_key"), "full").where("change is null or (change = 'create' and " + key + " is null) or (change = 'update' and " + key + " is not null)")
+    """table after changes (its columns, and change: create, update or delete): a full join on the key. At most one update or delete a key; a create adds its row, whether or not its key is there."""
+    new = changes.where("change in ('create', 'update', 'delete')").select(F.col(key).alias("_key"), *[F.col(c).alias(f"_new_{c}") for c in table.columns if c != key], "change")
+    both = table.join(new, (F.col(key) == F.col("_key")) & (F.col("change") != "create"), "full").where("change is null or change = 'create' or (change = 'update' and " + key + " is not null)")
     pick = lambda c: F.when(F.col("change").isNull(), F.col(c)).otherwise(F.col(f"_new_{c}"))
     return both.select(*[F.coalesce(F.col(key), F.col("_key")).alias(key) if c == key else pick(c).alias(c) for c in table.columns])

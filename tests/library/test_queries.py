@@ -87,3 +87,14 @@ def test_documents_that_begin_alike_stay_apart(spark, tmp_path):
     rows = [(2, head + "one"), (3, head + "two"), (6, head + "one"), (10, head + "mine"), (7, head + "mine")]
     spark.createDataFrame([(d, x, "en", "s", len(x)) for d, x in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(r["doc_id"] for r in plans.QUERIES["copy_collection_whole"](spark, str(tmp_path)).collect()) == [2, 3]
+
+
+def test_a_create_whose_key_is_there_takes_no_row_away(spark, tmp_path):
+    """1,000,003 is a row of the table, and the key that the row created from 3 gets."""
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(k, f"n{k}", f"b{k}", f"t{k}") for k in (1, 2, 3, 4, 1000001, 1000002, 1000003)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in plans.QUERIES["record_changes"](spark, str(tmp_path)).select("id", "name").collect())
+    assert got == sorted(con.sql(plans.ORACLES["record_changes"]).fetchall()) and (1000003, "n1000003") in got and (1000003, "t3") in got

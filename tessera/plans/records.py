@@ -49,8 +49,8 @@ def retrieval_in_kbs(t: Tables) -> DataFrame:
 
 @query("SELECT vec_id, '[' || array_to_string(list_transform(embedding, lambda x: floor(x * 100)::INT::VARCHAR), ',') || ']' AS literal, floor(embedding[1] * 100)::DOUBLE AS first FROM embeddings")
 def vector_literal(t: Tables) -> DataFrame:
-    """A vector as text, and read again."""
-    literal = X.vector_text(F.transform("embedding", lambda x: F.floor(x * 100).cast("int")))
+    """A vector as text, and read again. Products are of single precision, as those of the vectors' SQL: in double precision 0.29 as float is just under 29 hundredths."""
+    literal = X.vector_text(F.transform("embedding", lambda x: F.floor(x * F.lit(100).cast("float")).cast("int")))
     return t.embeddings.select("vec_id", literal.alias("literal"), F.get(X.vector_of(literal), F.lit(0)).cast("double").alias("first"))
 
 

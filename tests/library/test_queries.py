@@ -98,3 +98,14 @@ def test_a_create_whose_key_is_there_takes_no_row_away(spark, tmp_path):
     con.sql(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
     got = sorted(tuple(r) for r in plans.QUERIES["record_changes"](spark, str(tmp_path)).select("id", "name").collect())
     assert got == sorted(con.sql(plans.ORACLES["record_changes"]).fetchall()) and (1000003, "n1000003") in got and (1000003, "t3") in got
+
+
+def test_vector_literal_multiplies_in_single_precision(spark, tmp_path):
+    """0.29 as float is under 0.29, but a hundred times as much is 29 as float."""
+    duckdb = pytest.importorskip("duckdb")
+    rows = [(0, [0.29, -0.29, 0.57, 1.13]), (1, []), (2, [k / 100 for k in range(-300, 300)])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = sorted((tuple(r) for r in plans.QUERIES["vector_literal"](spark, str(tmp_path)).select("vec_id", "literal", "first").collect()), key=str)
+    assert got == sorted(con.sql(plans.ORACLES["vector_literal"]).fetchall(), key=str) and got[0][2] == 29

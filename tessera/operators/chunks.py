@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.batches import packed, rows_of
 from tessera.functions.text import clean_text
 
 # fixed values: sentence ends, in the order in which they are tried
@@ -47,16 +48,17 @@ def spans(text: str, size: int, overlap: int) -> Iterator[tuple[int, int]]:
         start = end - overlap if end - overlap > max(last, start) else end
 
 
+def _chunks(batches: Iterable[pa.RecordBatch], size: int, overlap: int) -> Iterator[pa.RecordBatch]:
+    """The chunks of texts (key, text), handed on a few at a time."""
+    for b in batches:
+        schema = pa.schema([b.schema.field("key"), ("chunk_index", pa.int32()), ("start_char", pa.int32()), ("end_char", pa.int32()), ("content", pa.string())])
+        yield from packed(((key, i, s, e, text[s:e]) for key, text in rows_of(b) for i, (s, e) in enumerate(spans(text, size, overlap))), schema)
+
+
 def chunk(docs: DataFrame, key: str, text: str, size: int = 500, overlap: int = 50) -> DataFrame:
     """key, chunk_index, start_char, end_char, content. Empty and null texts give none. A narrow map over Arrow batches."""
     if not 100 <= size <= 2000 or not 0 <= overlap <= 500:
         raise ValueError("size must be from 100 to 2000, overlap from 0 to 500")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(k, i, s, e, t[s:e]) for k, t in zip(b["key"], b["text"], strict=True) for i, (s, e) in enumerate(spans(t, size, overlap))]
-            yield pd.DataFrame(rows, columns=["key", "chunk_index", "start_char", "end_char", "content"])
-
     kind = dict(docs.dtypes)[key]
     cleaned = docs.where(F.length(text) > 0).select(F.col(key).alias("key"), clean_text(F.col(text)).alias("text"))
-    return cleaned.mapInPandas(run, f"key {kind}, chunk_index int, start_char int, end_char int, content string").withColumnRenamed("key", key)
+    return cleaned.mapInArrow(lambda it: _chunks(it, size, overlap), f"key {kind}, chunk_index int, start_char int, end_char int, content string").withColumnRenamed("key", key)

@@ -2,7 +2,9 @@
 
 import math
 import time
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,6 +91,16 @@ def test_chunk_frame(spark):
     assert sorted(tuple(r) for r in C.chunk(df, "k", "t").collect()) == [(1, 0, 0, 0, ""), (4, 0, 0, 3, "a b")]
 
 
+def test_chunks_are_handed_on_a_few_at_a_time():
+    """Of an Arrow batch of 30 MB of text, a task holds a few MB of chunks (before: all of them, as Python strings and as a pandas table)."""
+    b = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(["0123456789" * 1000] * 3000)], names=["key", "text"])
+    tracemalloc.start()
+    rows = sum(x.num_rows for x in C._chunks(iter([b]), 500, 50))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == 3000 * 23 and peak < 12e6
+
+
 def test_mutations(spark):
     t = spark.createDataFrame([(1, "a"), (2, None)], "k long, v string")
     new = spark.createDataFrame([(2, "x"), (3, "y"), (3, "z")], "k long, v string")

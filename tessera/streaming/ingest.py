@@ -15,30 +15,26 @@ from __future__ import annotations
 
 import hashlib
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tessera.functions.batches import packed, rows_of
 from tessera.functions.text import clean_text, token_estimate
 from tessera.operators.chunks import spans
 from tessera.sources.retries import embedded
 
 ROWS = "doc_id long, kb string, chunk_index int, start_char int, end_char int, content string, embedding array<float>, content_hash string, chunk_count int, status string, error string"
 PENDING, PROCESSING, COMPLETED, FAILED = "pending", "processing", "completed", "failed"
-#: Chunks that a task holds of one document before it hands them on; without an embedder they go at once.
-SLICE = 200
+ARROW = pa.schema({"doc_id": pa.int64(), "kb": pa.string(), "chunk_index": pa.int32(), "start_char": pa.int32(), "end_char": pa.int32(), "content": pa.string(), "embedding": pa.list_(pa.float32()), "content_hash": pa.string(), "chunk_count": pa.int32(), "status": pa.string(), "error": pa.string()})
 
 
-def processed(uploads: DataFrame, embed: Callable[[list[str]], list[list[float]]] | None = None, first_wait: float = 2.0) -> DataFrame:
-    """ROWS of uploads (doc_id, kb, text, chunk_size, chunk_overlap): each document's chunks, then its outcome.
-
-    A text that is empty when cleaned fails, as does one without chunks and one whose embedding fails; a failed document has no
-    chunks. A narrow map over Arrow batches.
-    """
+def _outcomes(batches: Iterable[pa.RecordBatch], embed: Callable[[list[str]], list[list[float]]] | None, first_wait: float) -> Iterator[pa.RecordBatch]:
+    """ROWS of uploads with cleaned texts. Rows of many documents are handed on together, as a table for each costs more than its chunks."""
 
     def of_one(doc_id: int, kb: str, text: str | None, size: int, overlap: int) -> list[tuple]:
         end = lambda n, status, error=None, digest=None: (doc_id, kb, None, None, None, None, None, digest, n, status, error)
@@ -56,18 +52,17 @@ def processed(uploads: DataFrame, embed: Callable[[list[str]], list[list[float]]
             return [end(0, FAILED, "no chunks", digest)]
         return [(doc_id, kb, i, s, e, x, v, None, None, None, None) for i, ((s, e, x), v) in enumerate(zip(cut, vectors, strict=True))] + [end(len(cut), COMPLETED, None, digest)]
 
-    names = [c.split()[0] for c in ROWS.split(", ")]
+    return packed((row for b in batches for upload in rows_of(b) for row in of_one(*upload)), ARROW)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for row in b.itertuples(index=False):
-                got = of_one(row.doc_id, row.kb, row.text, row.chunk_size, row.chunk_overlap)
-                for lo in range(0, len(got), SLICE):
-                    part = pd.DataFrame(got[lo : lo + SLICE], columns=names, dtype=object)
-                    yield part
 
-    cleaned = uploads.select("doc_id", "kb", clean_text(F.col("text")).alias("text"), "chunk_size", "chunk_overlap")
-    return cleaned.mapInPandas(run, ROWS)
+def processed(uploads: DataFrame, embed: Callable[[list[str]], list[list[float]]] | None = None, first_wait: float = 2.0) -> DataFrame:
+    """ROWS of uploads (doc_id, kb, text, chunk_size, chunk_overlap): each document's chunks, then its outcome.
+
+    A text that is empty when cleaned fails, as does one without chunks and one whose embedding fails; a failed document has no
+    chunks. A narrow map over Arrow batches.
+    """
+    cleaned = uploads.select(*[F.col(c).cast(kind).alias(c) for c, kind in (("doc_id", "long"), ("kb", "string"))], clean_text(F.col("text")).alias("text"), "chunk_size", "chunk_overlap")
+    return cleaned.mapInArrow(lambda it: _outcomes(it, embed, first_wait), ROWS)
 
 
 @dataclass

@@ -2,12 +2,13 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import DataFrame
 
 from tessera.operators.chunks import chunk
 from tessera.sources.retries import RateLimited, embedded, fetched, with_retries
-from tessera.streaming.ingest import COMPLETED, FAILED, PENDING, PROCESSING, Store, ingest, polled, processed, stopped
+from tessera.streaming.ingest import COMPLETED, FAILED, PENDING, PROCESSING, Store, _outcomes, ingest, polled, processed, stopped
 
 SCHEMA = "doc_id long, kb string, text string, chunk_size int, chunk_overlap int"
 
@@ -46,6 +47,15 @@ def have(store):
     return documents, chunks, sorted((r["kb"], r["document_count"], r["total_chunks"]) for r in store.counters().collect())
 
 
+def test_many_documents_are_handed_on_together():
+    """2,000 short uploads and one of 4,445 chunks: a few Arrow batches (before: a table for each document)."""
+    texts = ["short"] * 2000 + ["0123456789" * 200_000, None]
+    b = pa.RecordBatch.from_arrays([pa.array(x) for x in (range(2002), ["kb"] * 2002, texts, [500] * 2002, [50] * 2002)], names=["doc_id", "kb", "text", "chunk_size", "chunk_overlap"])
+    got = list(_outcomes(iter([b]), None, 0.0))
+    assert sum(x.num_rows for x in got) == 2 * 2000 + 4445 + 1 + 1 and len(got) <= 4
+    assert [x for g in got for x in g["status"].to_pylist() if x] == [COMPLETED] * 2001 + [FAILED]
+
+
 def test_equals_the_batch(spark, landed):
     store = Store(spark, str(landed / "store"))
     assert have(store) == ([], [], [])

@@ -91,6 +91,18 @@ def test_chunk_frame(spark):
     assert sorted(tuple(r) for r in C.chunk(df, "k", "t").collect()) == [(1, 0, 0, 0, ""), (4, 0, 0, 3, "a b")]
 
 
+def test_words_are_counted_text_by_text():
+    """Of an Arrow batch of 30 MB of text, a task holds a few texts and their words (before: every text of the batch as a Python string, and the words of a text as a list)."""
+    words = " ".join("abcdefgh"[k % 8] * 9 for k in range(1000))
+    b = pa.array([words] * 2999 + [None])
+    tracemalloc.start()
+    got = X._tops(b, 3, frozenset(["a" * 9]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4e6 and got[0].as_py() == [{"word": c * 9, "n": 125} for c in "bcd"] and got[2999].as_py() == [] and len(got) == 3000
+    assert len(X._tops(b[:0], 3, frozenset())) == 0
+
+
 def test_chunks_are_handed_on_a_few_at_a_time():
     """Of an Arrow batch of 30 MB of text, a task holds a few MB of chunks (before: all of them, as Python strings and as a pandas table)."""
     b = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(["0123456789" * 1000] * 3000)], names=["key", "text"])

@@ -144,6 +144,21 @@ def test_a_batch_holds_one_reply(spark):
     assert rows > 38_000 and peak < 8e6
 
 
+def test_live_events_of_the_query(spark, tmp_path):
+    """The query gathers no reply into a row, and gives the events of one state machine a reply, whatever Arrow batches hold."""
+    from tessera import plans
+
+    rows = [(c, t, "user", "some text, " * 40 + str(t)) for c in range(2) for t in range(4)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    df = plans.QUERIES["live_events"](spark, str(tmp_path))
+    assert "collect_list" not in df._jdf.queryExecution().toString()
+    got = sorted(tuple(r) for r in df.where("reply = '1/0'").select("place", "type", "data").collect())
+    text = rows[4][3]
+    reply = f"<think>{text}</think><answer>{text}</answer>"
+    assert got == [(k, *e) for k, e in enumerate(events(STEPS, *[reply[k : k + 7] for k in range(0, len(reply), 7)]))]
+    assert df.select("reply").distinct().count() == 8
+
+
 def test_replies_end_over_arrow_batches():
     """A reply may begin in one batch and end in another; one whose last piece never comes ends with the next reply, or with the task."""
     rows = [(1, 0, "<answer>a", False), (1, 1, "b</answer>", True), (2, 0, "<answer>c", False), (None, 0, "<answer>d", None), (None, 0, "again", None)]
